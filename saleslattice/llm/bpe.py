@@ -21,6 +21,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._text import pieces
+
 VOCABULARY = "word_bpe_49k.json"
 #: The white space of the tokenizer's patterns, and the patterns themselves.
 SPACE = "\t-\r " + "".join(map(chr, (0x85, 0xA0, 0x1680, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + f"{chr(0x2000)}-{chr(0x200A)}"
@@ -28,7 +30,7 @@ _SPACES = regex.compile(f"[{SPACE}]+")
 _WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
 _PLAIN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
 END = "</w>"
-CACHE = 1_500_000
+CACHE = 600_000
 
 
 def byte_letters() -> list[str]:
@@ -38,6 +40,11 @@ def byte_letters() -> list[str]:
     return [chr(b if b in shown else next(spare)) for b in range(256)]
 
 
+def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of x are in known, which is sorted."""
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x if len(known) else np.zeros(len(x), bool)
+
+
 class Coder:
     """Encoder of words, with what it has learnt about words and pairs of tokens."""
 
@@ -48,7 +55,10 @@ class Coder:
         self.rank = {tuple(m.split(" ")) if isinstance(m, str) else tuple(m): k for k, m in enumerate(spec["model"]["merges"])}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.text = {v: k for k, v in (self.ids | self.special).items()}
-        self.longest = max(map(len, self.ids))
+        self.longest: dict[str, int] = {}
+        for t in self.ids:
+            n = len(t) - len(END) * t.endswith(END)
+            self.longest[t[:2]] = max(n, self.longest.get(t[:2], 0))
         self.cut = regex.compile("(" + "|".join(regex.escape(t) for t in self.special) + ")") if self.special else None
         self.letters = byte_letters()
         self.whole: dict[str, bool] = {}
@@ -59,12 +69,16 @@ class Coder:
 
     def merged(self, parts: list[str]) -> list[str]:
         """Merge the adjacent pair of the lowest rank, leftmost first, until none is left."""
-        parts = list(parts)
-        while len(parts) > 1:
-            k, at = min((self.rank.get(p, 1 << 60), i) for i, p in enumerate(zip(parts, parts[1:], strict=False)))
-            if k == 1 << 60:
-                break
+        parts, get, never = list(parts), self.rank.get, 1 << 60
+        ranks = [get(p, never) for p in zip(parts, parts[1:], strict=False)]
+        while ranks and (least := min(ranks)) < never:
+            at = ranks.index(least)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del ranks[at]
+            if at:
+                ranks[at - 1] = get((parts[at - 1], parts[at]), never)
+            if at < len(ranks):
+                ranks[at] = get((parts[at], parts[at + 1]), never)
         return parts
 
     def symbols(self, token: str) -> list[str]:
@@ -80,7 +94,7 @@ class Coder:
         """Greedy longest match over the symbols of word; None where some symbol has no token."""
         out, at, n = [], 0, len(word)
         while at < n:
-            for to in range(min(n, at + self.longest), at, -1):
+            for to in range(min(n, at + max(self.longest.get(word[at : at + 2], 0), 1)), at, -1):
                 t = word[at:to] + END * (to == n)
                 if t in self.ids and self.reachable(t):
                     out.append(t)
@@ -92,9 +106,6 @@ class Coder:
 
     def learn(self, words: list[str]) -> None:
         """Encode new words."""
-        if len(self.words) > CACHE:
-            self.words.clear()
-            self.shown.clear()
         spelt = ["".join(self.letters[b] for b in w.encode()) for w in words]
         made = [self.propose(s) for s in spelt]
         lens = np.array([len(m or ()) for m in made], np.int64)
@@ -102,14 +113,16 @@ class Coder:
         owner = np.repeat(np.arange(len(made)), lens)
         next_to = owner[1:] == owner[:-1]
         pairs = (flat[:-1][next_to] << np.uint64(32)) | flat[1:][next_to]
-        for p in np.setdiff1d(np.setdiff1d(pairs, self.good), self.bad).tolist():
+        pairs_new = np.unique(pairs)
+        pairs_new = pairs_new[~(_among(pairs_new, self.good) | _among(pairs_new, self.bad))]
+        for p in pairs_new.tolist():
             two = [self.text[p >> 32], self.text[p & 0xFFFFFFFF]]
             name = "good" if self.merged([*two[0], *self.symbols(two[1])]) == two else "bad"
             self.__dict__.setdefault(f"_{name}", []).append(p)
         for name in ("good", "bad"):
             if new := self.__dict__.pop(f"_{name}", None):
                 setattr(self, name, np.union1d(getattr(self, name), np.array(new, np.uint64)))
-        failing = {int(x) for x in np.unique(owner[1:][next_to][~np.isin(pairs, self.good)])}
+        failing = {int(x) for x in np.unique(owner[1:][next_to][~_among(pairs, self.good)])}
         for k, (w, s, m) in enumerate(zip(words, spelt, made, strict=True)):
             if m is None or k in failing:
                 self.exact += 1
@@ -124,22 +137,27 @@ class Coder:
         text = _SPACES.sub(" ", unicodedata.normalize("NFC", text)).replace("Σ", "σ")
         return _WORDS.findall(text.lower())
 
-    def encode(self, text: str) -> tuple[bytes, str]:
-        """Ids as little-endian 32-bit integers, and the decoded text."""
-        ids, shown = [], []
-        for k, part in enumerate(self.cut.split(text) if self.cut and "<|" in text else [text]):
-            if k % 2:
-                ids.append(self.special[part].to_bytes(4, "little"))
-                shown.append(part)
-                continue
-            words = self.split(part)
-            if new := list({*words} - self.words.keys()):
-                self.learn(new)
-                if lost := list({*words} - self.words.keys()):
-                    self.learn(lost)
-            ids.extend(map(self.words.__getitem__, words))
-            shown.extend(x for x in map(self.shown.__getitem__, words) if x)
-        return b"".join(ids), " ".join(shown)
+    def encode(self, texts: list[str]) -> list[tuple[bytes, str]]:
+        """Ids as little-endian 32-bit integers, and the decoded text, of each text."""
+        if len(self.words) > CACHE:
+            self.words.clear()
+            self.shown.clear()
+        cut = [self.cut.split(t) if self.cut and "<|" in t else [t] for t in texts]
+        words = [[self.split(p) if k % 2 == 0 else p for k, p in enumerate(parts)] for parts in cut]
+        if new := list({w for parts in words for p in parts[::2] for w in p} - self.words.keys()):
+            self.learn(new)
+        out = []
+        for parts in words:
+            ids, shown = [], []
+            for k, p in enumerate(parts):
+                if k % 2:
+                    ids.append(self.special[p].to_bytes(4, "little"))
+                    shown.append(p)
+                else:
+                    ids.extend(map(self.words.__getitem__, p))
+                    shown.extend(x for x in map(self.shown.__getitem__, p) if x)
+            out.append((b"".join(ids), " ".join(shown)))
+        return out
 
     def decode(self, ids: bytes) -> str:
         """The library's decoding without a decoder: the tokens, specials included, joined by a space."""
@@ -166,10 +184,9 @@ def encode(df: DataFrame, col: str = "text", key: str = "doc_id", path: str | No
 
     def run(batches):
         made = coder(path or default_path())
-        for b in batches:
+        for b in pieces(batches, "t"):
             n, ids, texts = [], [], []
-            for t in b.column(1):
-                raw, text = made.encode(t.as_py() or "")
+            for raw, text in made.encode([t or "" for t in b.column(1).to_pylist()]):
                 n.append(len(raw) // 4)
                 ids.append(hashlib.sha256(raw).hexdigest() if digests else raw)
                 texts.append(hashlib.sha256(text.encode()).hexdigest() if digests else text)

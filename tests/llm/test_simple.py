@@ -102,7 +102,7 @@ def test_bpe(spark, sf, odd):
         want = len(ids), digest(struct.pack(f"<{len(ids)}I", *ids)), digest(t.decode(ids, skip_special_tokens=False).encode())
         assert want in got[k], (k, text[:50])
     c = bpe.coder(bpe.default_path())
-    raw, text = c.encode("Hello <|endoftext|> wörld")
+    raw, text = c.encode(["Hello <|endoftext|> wörld"])[0]
     assert c.decode(raw) == text
 
 
