@@ -7,8 +7,10 @@ forest; documents whose labels share ``LEAST`` values are in one region of a tre
 * First, in ``CHAINS`` trees, label neighbours (by longest common prefix) are candidates: at most one pair a row, so
   that large groups become connected without pairing all members.
 * Then, in all trees, classes that share a region but no component are candidates: those outside a region's main
-  component against the region. Where a region still holds many components, its depth grows until they are few or the
-  labels end. No candidates are dropped.
+  component against the region. A region with more than ``FEW`` such pairs is followed deeper: first all its members
+  against its most usual one; then they are sorted by their own shingles, rare ones first, and only pairs of two
+  components that share a shingle near enough to the front of both are candidates (an exact filter, so none that could
+  be confirmed is dropped).
 * Candidates are confirmed on full sets; components come from min-label rounds with pointer jumps.
 
 Null and wordless texts have no set and link with nothing. Repeated ids are one document to the links. Rows keep their
@@ -27,7 +29,8 @@ from pyspark.sql import functions as F
 from ._shards import checkpointed
 from ._text import LOWER, columns, grams, hash_spans, inside, lut, mix, pieces, spans
 
-TREES, DEPTH, LEAST, CHAINS, FEW = 24, 6, 4, 6, 32
+TREES, DEPTH, LEAST, CHAINS, FEW = 24, 6, 4, 6, 4096
+MEMBERS, BUCKET_SETS = 128, 2048
 _RNG = np.random.Generator(np.random.PCG64(20))
 _MUL = _RNG.integers(1, 1 << 62, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 1 << 63, TREES * DEPTH, dtype=np.uint64)
@@ -75,14 +78,14 @@ def signatures(docs: DataFrame, key: str, col: str, k: int) -> DataFrame:
     return docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{col}`").cast("string").alias("text")).mapInArrow(run, "id bigint, n bigint, d1 bigint, d2 bigint, sig binary")
 
 
-def forest(classes: DataFrame, trees: int) -> DataFrame:
-    """rep, region (tree and first LEAST values, hashed) and label (all values of the tree, in sorting form)."""
-    labels = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), F.substring("sig", t * (4 * DEPTH) + F.lit(1), F.lit(4 * DEPTH)).alias("label")))
-    return classes.select("rep", F.explode(labels).alias("x")).select("rep", F.xxhash64("x.tree", F.substring("x.label", 1, 4 * LEAST)).alias("region"), "x.label")
-
-
-def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], names=["a", "b"])
+def shared_regions(classes: DataFrame) -> DataFrame:
+    """rep, tree, region (tree and first LEAST values, hashed) and label (the other values, in sorting form) of classes
+    that are not alone in the region."""
+    labels = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("tree"), F.substring("sig", t * (4 * DEPTH) + F.lit(1), F.lit(4 * LEAST)).alias("first"), F.substring("sig", t * (4 * DEPTH) + F.lit(4 * LEAST + 1), F.lit(4 * (DEPTH - LEAST))).alias("label")))
+    rows = classes.select("rep", F.explode(labels).alias("x")).select("rep", "x.tree", F.xxhash64("x.tree", "x.first").alias("region"), "x.label")
+    often = rows.groupBy("region").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select(F.col("region").alias("_g"), F.xxhash64("region").alias("_k"))
+    left = rows.withColumn("_l", F.xxhash64("region"))
+    return left.join(often.hint("merge"), (left["_l"] == often["_k"]) & (left["region"] == often["_g"])).select("rep", "tree", "region", "label")
 
 
 def chain_candidates(rows: DataFrame) -> DataFrame:
@@ -116,66 +119,164 @@ def chain_candidates(rows: DataFrame) -> DataFrame:
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def open_candidates(rows: DataFrame, comps: DataFrame) -> DataFrame:
-    """Pairs of classes that share a region and not a component; dense regions are cut at a greater depth."""
-    out = None
-    left = rows.join(comps.hint("merge"), rows["rep"] == comps["id"], "left").select("rep", "region", "label", F.coalesce("comp", "rep").alias("comp"))
-    for depth in range(LEAST, DEPTH + 1):
-        sizes = left.groupBy("region", "comp").agg(F.count(F.lit(1)).alias("n"))
-        regions = sizes.groupBy("region").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-        regions = regions.select(F.col("region").alias("_r"), "main", "comps", F.xxhash64("region").alias("_k"))
-        open_ = left.withColumn("_k", F.xxhash64("region"))
-        open_ = checkpointed(open_.join(regions.hint("merge"), (open_["_k"] == regions["_k"]) & (open_["region"] == regions["_r"])).select("rep", "region", "label", "comp", "main", "comps"))
-        ready = open_.where(F.col("comps") <= FEW) if depth < DEPTH else open_
-        less = ready.where("comp <> main").select(F.col("rep").alias("a"), F.col("region").alias("ra"), F.col("comp").alias("ca"))
-        every = ready.select(F.col("rep").alias("b"), F.col("region").alias("rb"), F.col("comp").alias("cb"))
-        got = less.join(every.hint("merge"), (F.col("ra") == F.col("rb")) & (F.col("ca") != F.col("cb"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        out = got if out is None else out.union(got)
-        if depth == DEPTH:
-            break
-        left = open_.where(F.col("comps") > FEW).select("rep", F.xxhash64("region", F.substring("label", 4 * depth + 1, 4)).alias("region"), "label", "comp")
-        if left.isEmpty():
-            break
-    return out.distinct()
-
-
-def confirmed(pairs: DataFrame, docs: DataFrame, key: str, col: str, k: int, percent: int) -> DataFrame:
-    """Pairs whose sets have 100 * intersection >= percent * union."""
-    pairs = checkpointed(pairs)
-    if pairs.isEmpty():
-        return pairs
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("i")).distinct()
+def _main(rows: DataFrame, by: str, having: str) -> DataFrame:
+    """rows (with comp) with n and main, by group: its rows and its largest component; groups that fail having go.
+
+    The join has a key of its own, so that both sides are dealt anew and a hot group can be split."""
+    sizes = rows.groupBy(by, "comp").agg(F.count(F.lit(1)).alias("m"))
+    groups = sizes.groupBy(by).agg(F.max(F.struct("m", "comp")).alias("x"), F.sum("m").alias("n"), F.count(F.lit(1)).alias("comps"))
+    groups = groups.where(having).select(F.col(by).alias("_g"), F.col("x.comp").alias("main"), F.col("n").alias("rows"), (F.col("n") - F.col("x.m")).alias("minor"), F.xxhash64(by).alias("_k"))
+    left = rows.withColumn("_l", F.xxhash64(by))
+    return left.join(groups.hint("merge"), (left["_l"] == groups["_k"]) & (left[by] == groups["_g"])).drop("_l", "_k", "_g")
+
+
+def _main(rows: DataFrame, by: str, having: str) -> DataFrame:
+    """rows (with comp) with rows, minor and main, by group: its rows, those outside its largest component, and that
+    component; groups that fail having go.
+
+    The join has a key of its own, so that both sides are dealt anew and a hot group can be split."""
+    sizes = rows.groupBy(by, "comp").agg(F.count(F.lit(1)).alias("m"))
+    groups = sizes.groupBy(by).agg(F.max(F.struct("m", "comp")).alias("x"), F.sum("m").alias("n"), F.count(F.lit(1)).alias("comps"))
+    groups = groups.where(having).select(F.col(by).alias("_g"), F.col("x.comp").alias("main"), F.col("n").alias("rows"), (F.col("n") - F.col("x.m")).alias("minor"), F.xxhash64(by).alias("_k"))
+    left = rows.withColumn("_l", F.xxhash64(by))
+    return left.join(groups.hint("merge"), (left["_l"] == groups["_k"]) & (left[by] == groups["_g"])).drop("_l", "_k", "_g")
+
+
+def _with(rows: DataFrame, comps: DataFrame) -> DataFrame:
+    """rows (rep, ...) with their component, so far."""
+    return rows.join(comps.hint("merge"), rows["rep"] == comps["id"], "left").drop("id").withColumn("comp", F.coalesce("comp", "rep"))
+
+
+def packed(docs: DataFrame, ids: DataFrame, key: str, col: str) -> DataFrame:
+    """id, z: the compressed texts of the ids (rep)."""
     texts = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{col}`").cast("string").alias("text"))
-    texts = texts.join(ids.hint("merge"), texts["id"] == ids["i"], "left_semi")
+    texts = texts.join(ids.hint("merge"), texts["id"] == ids["rep"], "left_semi")
 
     def squeeze(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([zstandard.compress((t.as_py() or "").encode(), 3) for t in b.column(1)], pa.binary())], names=["id", "z"])
 
-    texts = checkpointed(texts.mapInArrow(squeeze, "id bigint, z binary").groupBy("id").agg(F.min("z").alias("z")))
+    return texts.mapInArrow(squeeze, "id bigint, z binary").groupBy("id").agg(F.min("z").alias("z"))
+
+
+def _unpacked(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    raws = [zstandard.decompress(x.as_py()) for x in column]
+    return sets(np.frombuffer(b"".join(raws), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raws])]).astype(np.int64), k)
+
+
+def rare_first(members: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """rep, n, usual (mean count of its shingles among members) and front: place and hash of those of its first shingles
+    (rare among members first) that others have too. Sets go to buckets of shingles and back in packs of MEMBERS sets."""
+    some = checkpointed(texts.join(members.select("rep").distinct().hint("merge"), texts["id"] == F.col("rep"), "left_semi").select("id", "z"))
+    buckets = max(1, -(-some.count() // BUCKET_SETS))
+    row = "pack bigint, bucket int, reps binary, t binary, of binary, df binary"
+    names = [x.split()[0] for x in row.split(", ")]
+
+    def send(batches):
+        made = TaskContext.get().partitionId() << 32
+        for b in batches:
+            for at in range(0, b.num_rows, MEMBERS):
+                part = b.slice(at, MEMBERS)
+                h, firsts = _unpacked(part.column(1), k)
+                of = np.repeat(np.arange(part.num_rows, dtype="<u4"), np.diff(firsts))
+                bucket = (mix(h) >> np.uint64(33)) % np.uint64(buckets)
+                reps = part.column(0).to_numpy().astype("<i8").tobytes()
+                for k_ in np.unique(bucket):
+                    on = bucket == k_
+                    yield pa.RecordBatch.from_arrays([pa.array([made]), pa.array([int(k_)], pa.int32()), pa.array([reps]), pa.array([h[on].tobytes()]), pa.array([of[on].tobytes()]), pa.array([None], pa.binary())], names=names)
+                made += 1
+
+    def count(table: pa.Table) -> pa.Table:
+        sent = [np.frombuffer(x, "<u8") for x in table["t"].to_pylist()]
+        _, of, n = np.unique(np.concatenate(sent), return_inverse=True, return_counts=True)
+        cut = np.cumsum([0, *map(len, sent)])
+        df = n[of].astype("<u4")
+        return table.set_column(5, "df", pa.array([df[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary()))
+
+    def order(table: pa.Table) -> pa.Table:
+        t, of, df = (np.concatenate([np.frombuffer(x, kind) for x in table[name].to_pylist()]) for name, kind in (("t", "<i8"), ("of", "<u4"), ("df", "<u4")))
+        reps = np.frombuffer(table["reps"][0].as_py(), "<i8")
+        o = np.lexsort((t, df, of))
+        t, df = t[o], df[o]
+        cut = np.searchsorted(of[o], np.arange(len(reps) + 1))
+        out = []
+        for r in range(len(reps)):
+            n = int(cut[r + 1] - cut[r])
+            front = np.arange(cut[r], cut[r] + n - -(-n * percent // 100) + 1 if n else cut[r])
+            front = front[df[front] > 1]
+            out.append((int(reps[r]), n, float(df[cut[r] : cut[r + 1]].mean()) if n else 0.0, [{"i": int(i - cut[r]), "t": int(t[i])} for i in front]))
+        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.struct([("i", pa.int64()), ("t", pa.int64())])))
+        return pa.table([pa.array([x[j] for x in out], kind) for j, kind in enumerate(kinds)], names=["rep", "n", "usual", "front"])
+
+    counted = some.mapInArrow(send, row).groupBy("bucket").applyInArrow(count, row)
+    return counted.groupBy("pack").applyInArrow(order, "rep bigint, n bigint, usual double, front array<struct<i:bigint,t:bigint>>")
+
+
+def front_candidates(ordered: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
+    """Every pair of ordered sets, of two components, that can reach the similarity.
+
+    Two sets that reach it share a shingle among the first of both, so near enough to the front that what follows can
+    still be enough; only pairs with such a shingle are made."""
+    back = F.col("n") - F.ceil(F.col("n") * (2 * percent) / (100 + percent)) + 1
+    placed = _with(ordered.select("rep", "n", "front"), comps).select("rep", "comp", "n", back.alias("back"), F.explode("front").alias("x")).select("rep", "comp", "n", "back", "x.i", "x.t")
+    found = checkpointed(_main(placed, "t", "comps > 1"))
+    names = ("rep", "comp", "n", "i", "t", "main")
+    small = found.where("i < back").select(*(F.col(c).alias(f"{c}1") for c in names))
+    other = found.select(*(F.col(c).alias(f"{c}2") for c in names))
+    enough = (F.col("t1") == F.col("t2")) & (F.col("comp1") != F.col("comp2")) & (F.struct("n1", "rep1") < F.struct("n2", "rep2")) & (F.col("n1") * 100 >= F.col("n2") * percent) & (F.least(F.col("n1") - F.col("i1"), F.col("n2") - F.col("i2")) * (100 + percent) >= percent * (F.col("n1") + F.col("n2")))
+    a = small.where("comp1 <> main1").join(other.hint("merge"), enough)
+    b = small.where("comp1 = main1").join(other.where("comp2 <> main2").hint("merge"), enough)
+    return a.select("rep1", "rep2").union(b.select("rep1", "rep2")).select(F.least("rep1", "rep2").alias("a"), F.greatest("rep1", "rep2").alias("b")).distinct()
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs whose sets have 100 * intersection >= percent * union."""
     side = pairs.join(texts.select(F.col("id").alias("b"), F.col("z").alias("zb")).hint("merge"), "b")
     side = side.join(texts.select(F.col("id").alias("a"), F.col("z").alias("za")).hint("merge"), "a").select("a", "b", "za", "zb")
 
     def run(batches):
         held, mine = None, None
-        for b in batches:
-            yes = []
-            raws = [zstandard.decompress(x.as_py()) for x in b.column(3)]
-            h, firsts = sets(np.frombuffer(b"".join(raws), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raws])]).astype(np.int64), k)
-            for i, a in enumerate(b.column(0).to_pylist()):
-                if a != held:
-                    raw = zstandard.decompress(b.column(2)[i].as_py())
-                    held, mine = a, sets(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), k)[0]
-                x = h[firsts[i] : firsts[i + 1]]
-                at = np.searchsorted(mine, x)
-                both = int((mine[np.minimum(at, max(0, len(mine) - 1))] == x).sum()) if len(mine) else 0
-                yes.append(bool(len(x)) and 100 * both >= percent * (len(mine) + len(x) - both))
-            at = np.flatnonzero(yes)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at))], names=["a", "b"])
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                b = batch.slice(start, 256)
+                yes = []
+                h, firsts = _unpacked(b.column(3), k)
+                for i, a in enumerate(b.column(0).to_pylist()):
+                    if a != held:
+                        held, mine = a, _unpacked(b.column(2).slice(i, 1), k)[0]
+                    x = h[firsts[i] : firsts[i + 1]]
+                    at = np.searchsorted(mine, x)
+                    both = int((mine[np.minimum(at, max(0, len(mine) - 1))] == x).sum()) if len(mine) else 0
+                    yes.append(bool(len(x)) and 100 * both >= percent * (len(mine) + len(x) - both))
+                at = pa.array(np.flatnonzero(yes))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at)], names=["a", "b"])
 
     return checkpointed(side.mapInArrow(run, "a bigint, b bigint"))
 
 
+def linked(classes: DataFrame, docs: DataFrame, key: str, col: str, k: int, percent: int) -> DataFrame:
+    """id, comp of the classes (rep) that have links."""
+    rows = checkpointed(shared_regions(classes))
+    texts = checkpointed(packed(docs, rows.select("rep").distinct(), key, col))
+    comps = components(confirmed(chain_candidates(rows.where(F.col("tree") < CHAINS)), texts, k, percent))
+    open_ = checkpointed(_main(_with(rows.select("rep", "region"), comps), "region", "comps > 1"))
+    few = F.col("rows") * F.col("minor") <= FEW
+    less = open_.where(few & (F.col("comp") != F.col("main"))).select(F.col("rep").alias("a"), F.col("region").alias("ra"), F.col("comp").alias("ca"))
+    every = open_.where(few).select(F.col("rep").alias("b"), F.col("region").alias("rb"), F.col("comp").alias("cb"))
+    pairs = less.join(every.hint("merge"), (F.col("ra") == F.col("rb")) & (F.col("ca") != F.col("cb"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    dense = checkpointed(open_.where(~few).select("rep", "region"))
+    if dense.isEmpty():
+        return components(confirmed(pairs.distinct(), texts, k, percent), comps)
+    # each dense region's most usual member is a candidate for all others, which leaves few open pairs to the exact filter
+    ordered = checkpointed(rare_first(dense, texts, k, percent))
+    usual = dense.join(ordered.select(F.col("rep").alias("_r"), "usual").hint("merge"), F.col("rep") == F.col("_r"))
+    hubs = usual.groupBy("region").agg(F.max(F.struct("usual", "rep")).alias("x")).select(F.col("region").alias("_g"), F.col("x.rep").alias("hub"), F.xxhash64("region").alias("_k"))
+    left = dense.withColumn("_l", F.xxhash64("region"))
+    stars = left.join(hubs.hint("merge"), (F.col("_l") == F.col("_k")) & (F.col("region") == F.col("_g")) & (F.col("rep") != F.col("hub"))).select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
+    comps = components(confirmed(pairs.union(stars).distinct(), texts, k, percent), comps)
+    return components(confirmed(front_candidates(ordered, comps, percent), texts, k, percent), comps)
+
+
 def components(links: DataFrame, start: DataFrame | None = None) -> DataFrame:
     """id, comp (least id reachable) of every linked id. start: components so far, as more links."""
     if start is not None:
@@ -200,9 +301,7 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", col: str = "text", k: int =
     some = base.where("n > 0 and id is not null")
     grouped = some.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.max("id").alias("last"), F.first("sig").alias("sig"))
     classes = checkpointed(grouped)
-    comps = components(confirmed(chain_candidates(forest(classes, CHAINS)), docs, key, col, k, percent))
-    more = confirmed(open_candidates(forest(classes, TREES), comps), docs, key, col, k, percent)
-    comps = components(more, comps)
+    comps = linked(classes, docs, key, col, k, percent)
     named = classes.join(comps.hint("merge"), classes["rep"] == comps["id"], "left").where("comp is not null or last > rep")
     named = named.select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), F.coalesce("comp", "rep").alias("comp"))
     left = base.where("n > 0").select("id", "n", "d1", "d2")

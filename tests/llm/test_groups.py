@@ -39,14 +39,16 @@ def brute_components(rows, k):
     return {i: (len(s[i]), top(i)) for i in s}
 
 
-def test_near_dedup(spark):
+@pytest.mark.parametrize("few", [4096, 0])
+def test_near_dedup(spark, few, monkeypatch):
+    monkeypatch.setattr(forest, "FEW", few)
     rnd = random.Random(0)
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").where("doc_id < 500").collect()]
     words = [f"w{i}" for i in range(300)]
     hot = [rnd.choice(words) for _ in range(120)]
-    for i in range(150):  # one large group of near copies
+    for i in range(150):  # one large group of near copies, some too far from all others
         w = list(hot)
-        for _ in range(rnd.randrange(3)):
+        for _ in range(rnd.randrange(6)):
             w[rnd.randrange(len(w))] = rnd.choice(words)
         rows.append((10_000 + i, " ".join(w)))
     rows += [(20_000, None), (20_001, ""), (20_002, "One"), (20_003, "one"), (20_004, "one two"), (20_005, "a b c d"), (20_006, " A\tb C d "), (20_007, "x " * 60_000), (20_008, "x x x x x")]
