@@ -30,7 +30,7 @@ _SPACES = regex.compile(f"[{SPACE}]+")
 _WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
 _PLAIN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
 END = "</w>"
-CACHE = 600_000
+CACHE = 120_000
 
 
 def byte_letters() -> list[str]:

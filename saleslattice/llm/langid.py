@@ -46,7 +46,7 @@ def _grams(s: np.ndarray):
 
 def _count(batches):
     totals: dict[tuple[str, int], np.ndarray] = {}
-    for b in pieces(batches, "text"):
+    for b in pieces(batches, "text", 1 << 20):
         langs = b.column(b.schema.get_field_index("lang")).to_pylist()
         _, s, firsts = _lowered(b, "text")
         codes: dict[str, int] = {}
@@ -55,8 +55,10 @@ def _count(batches):
             at = np.flatnonzero(ok)
             at = at[at < len(of)]
             for lang, k in codes.items():
-                got = np.bincount(g[at[of[at] == k]], minlength=SYMBOLS**n)
-                totals[lang, n] = totals.get((lang, n), 0) + got
+                at_lang, n_at = np.unique(g[at[of[at] == k]], return_counts=True)
+                if (lang, n) not in totals:
+                    totals[lang, n] = np.zeros(SYMBOLS**n, np.uint32)
+                totals[lang, n][at_lang] += n_at.astype(np.uint32)
     for (lang, n), c in totals.items():
         at = np.flatnonzero(c)
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at * 4 + n, pa.int64()), pa.array(c[at], pa.int64())], names=["lang", "gram", "n"])
