@@ -231,10 +231,19 @@ def score(df: DataFrame, model: dict, col: str = "text") -> DataFrame:
     return src.mapInArrow(run, T.StructType([*src.schema.fields, T.StructField("score", T.DoubleType())]))
 
 
+def labelled(docs: DataFrame, labels: DataFrame, max_docs: int = 40_000) -> DataFrame:
+    """text, toxic of about max_docs labelled documents at most, taken by hash of their id. The chosen labels are
+    bounded by max_docs, so they are broadcast and no text is shuffled."""
+    known = labels.where("toxic is not null").select("doc_id", "toxic")
+    part = min(1.0, max_docs / max(1, known.count()))
+    some = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(part * 1_000_000))
+    return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", "toxic")
+
+
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
     channel = fit_channel(docs)
-    model = fit_words(docs.where(~out).join(labels.where(~out).select("doc_id", "toxic"), "doc_id"), channel)
+    model = fit_words(labelled(docs.where(~out), labels.where(~out)), channel)
     scored = score(docs.select("doc_id", "text"), model).drop("text")
     return scored.select("doc_id", out.alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).cast("int").alias("predicted"))
