@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -208,3 +209,93 @@ def fy_range(label: str) -> tuple[str, str] | None:
     if not m or not 2000 <= int(m[1]) <= 2100 or (int(m[1]) + 1) % 100 != int(m[2]):
         return None
     return f"{m[1]}-04-01", f"{int(m[1]) + 1}-04-01"
+
+
+def month_year(c: Column) -> Column:
+    """Struct (y, m) of a label such as Apr-25 or April/2025; null for others."""
+    t = F.trim(c)
+    at = F.array_position(F.array(*map(F.lit, MONTHS)), F.upper(F.substring(t, 1, 3)))
+    digits = F.regexp_extract(t, r"(\d+)$", 1)
+    n = digits.try_cast("int")
+    year = F.when(n < 100, n + 2000).otherwise(n)
+    return F.when(t.rlike(r"^[A-Za-z]{3,9}\s*[-/]\s*(\d{2}|\d{4})$") & (at > 0), F.struct(year.alias("y"), at.cast("int").alias("m")))
+
+
+def month_only(c: Column) -> Column:
+    """Number of a month name without a year; null for others."""
+    at = F.array_position(F.array(*map(F.lit, MONTHS)), F.upper(F.substring(F.trim(c), 1, 3)))
+    return F.when(~c.rlike(r"[-/]\d") & (at > 0), at.cast("int"))
+
+
+def fy_start(c: Column) -> Column:
+    """First year of a YYYY-YY label, with any sign between and two to four last digits; null for others."""
+    t = F.trim(c)
+    return F.when(t.rlike(r"^\d{4}\D\d{2,4}$"), F.substring(t, 1, 4).try_cast("int"))
+
+
+def fy_to_range(c: Column) -> Column:
+    """Struct (lo, hi): first day of a label's year and of the next; null outside 2000 to 2100 or for wrong labels."""
+    y = F.when(F.trim(c).rlike(r"^\d{4}-\d{2}$"), fy_start(c))
+    good = y.between(2000, 2100) & ((y + 1) % 100 == F.right(F.trim(c), F.lit(2)).try_cast("int"))
+    return F.when(good, F.struct(F.make_date(y, F.lit(4), F.lit(1)).alias("lo"), F.make_date(y + 1, F.lit(4), F.lit(1)).alias("hi")))
+
+
+def triple(y: Column, m: Column) -> Column:
+    """Struct (fy, month, mmm) of a year and a month number; null where either is."""
+    name = F.initcap(F.get(F.array(*map(F.lit, MONTHS)), m - 1))
+    start = y - F.when(m < 4, 1).otherwise(0)
+    fy = F.concat(start.cast("string"), F.lit("-"), F.lpad(((start + 1) % 100).cast("string"), 2, "0"))
+    return F.when(y.isNotNull() & m.isNotNull(), F.struct(fy.alias("fy"), F.concat(name, F.lit("-"), F.right(y.cast("string"), F.lit(2))).alias("month"), F.upper(name).alias("mmm")))
+
+
+def date_triple(d: Column) -> Column:
+    """triple() of a date from 2000 on; null for earlier dates."""
+    return F.when(F.year(d) >= 2000, triple(F.year(d), F.month(d)))
+
+
+def temporal_triple() -> Column:
+    """triple() of bill_date, else of the month label."""
+    label = month_year(F.col("month"))
+    return F.coalesce(date_triple(F.col("bill_date")), triple(label["y"], label["m"]))
+
+
+def temporal_fallback_numeric() -> Column:
+    """triple() of bill_date, else of sale_order_date where there is none; else of a numeric month within the stored fy."""
+    d = F.coalesce(F.col("bill_date"), F.col("sale_order_date"))
+    number, start = F.col("month").try_cast("double"), F.when(F.trim("fy").rlike(r"^\d{4}-\d{2}$"), fy_start(F.col("fy")))
+    m = F.when(number.between(1, 12) & (number == F.floor(number)), number.cast("int"))
+    return F.coalesce(date_triple(d), triple(start + F.when(m < 4, 1).otherwise(0), m))
+
+
+def fill_temporal(name: str) -> Column:
+    """fy, month or mmm as stored, filled from bill_date where blank."""
+    return F.coalesce(null_if_blank(F.col(name)), triple(F.year("bill_date"), F.month("bill_date"))[name])
+
+
+def join_key(*cols: Column) -> Column:
+    return F.concat_ws("||", *(F.coalesce(c.cast("string"), F.lit("(blank)")) for c in cols))
+
+
+def split_key(c: Column, n: int) -> Column:
+    """n labels of a key; missing ones are empty."""
+    parts = F.split(c, r"\|\|")
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(F.get(parts, i), F.lit("")))
+
+
+def json_payload(*names: str) -> Column:
+    return F.to_json(F.struct(*names))
+
+
+def nfkc(c: Column) -> Column:
+    """Unicode NFKC of a text column, by batches: Spark has no built-in for it. Null stays null."""
+    @F.pandas_udf("string")
+    def run(v: pd.Series) -> pd.Series:
+        return v.str.normalize("NFKC")
+
+    return run(c)
+
+
+def party_exact_key(c: Column) -> Column:
+    """Name for exact matches: NFKC, Unicode dashes and blanks made plain, trimmed, upper case; inner blanks are kept."""
+    t = F.regexp_replace(nfkc(c), r"[\x{A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}\t\r\n]", " ")
+    return F.upper(F.trim(F.regexp_replace(t, r"[\x{2010}-\x{2015}\x{2212}]", "-")))

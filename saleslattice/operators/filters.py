@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
@@ -87,3 +87,36 @@ def where(filters: list[dict] | dict, exclude_totals: bool = True, casefold: boo
     got = [predicate(f["field"], f.get("operator", "eq"), f.get("value"), f.get("values"), casefold) for f in filters]
     parts = [p for p in got if p is not None] + ([not_total_pivot()] if exclude_totals else [])
     return reduce(lambda a, b: a & b, parts, F.lit(True))
+
+
+def search_parties(groups: DataFrame, term: str) -> DataFrame:
+    """p: names, with and without M/S prefix, of the parties whose group contains the term."""
+    hit = groups.where(F.lower("party_grouped").contains(term.lower())).where("to_party_name IS NOT NULL")
+    name = F.col("to_party_name")
+    return hit.select(F.explode(F.concat(F.array(name), X.party_filter_values(name))).alias("p")).distinct()
+
+
+def search(df: DataFrame, groups: DataFrame, term: str = "", state: str = "") -> DataFrame:
+    """Rows of a state (any if blank) whose bill number, group or, from three characters on, party's group has the term.
+    Here % and _ stay wildcards. All matching parties count; the join takes their number as it comes."""
+    term, state = term.strip(), state.strip()
+    out = df.where(F.col("state") == state) if state else df
+    if len(term) < 2:
+        return out
+    found = F.coalesce(F.col("bill_no").ilike(f"%{term}%"), F.lit(False)) | F.coalesce(F.col("party_grouped").ilike(f"%{term}%"), F.lit(False))
+    if len(term) < 3:
+        return out.where(found)
+    names = search_parties(groups, term).withColumnRenamed("p", "_p")
+    return out.join(names, F.col("to_party_name") == F.col("_p"), "left").where(found | F.col("_p").isNotNull()).drop("_p")
+
+
+#: Columns in which a grid's totals are looked for.
+TOTAL_COLUMNS = ("branch", "state", "brand", "to_party_name")
+
+
+def grid_page(df: DataFrame, groups: DataFrame, term: str = "", state: str = "", by: str = "id", asc: bool = False, page: int = 1, limit: int = 50) -> DataFrame:
+    """One page of the searched rows, newest first, without its total rows."""
+    limit = min(max(limit, 10), 300)
+    order = F.asc_nulls_last(by) if asc else F.desc_nulls_last(by)
+    rows = search(df, groups, term, state).orderBy(order, F.asc("id") if asc else F.desc("id")).offset((max(page, 1) - 1) * limit).limit(limit)
+    return rows.where(~is_total_grid([c for c in TOTAL_COLUMNS if c in df.columns]))

@@ -43,6 +43,45 @@ def lookup_party_group(df: DataFrame, groups: DataFrame) -> DataFrame:
     return got.withColumns({"party_grouped": F.when(blank, F.col("party_grouped")).otherwise(group), "party_name_for_count": F.when(blank, F.col("party_name_for_count")).otherwise(count)}).drop("_m_party_grouped", "_m_party_name_for_count", "_m_hit")
 
 
+def lookup_party_group_report(df: DataFrame, groups: DataFrame) -> DataFrame:
+    """Group and count name of parties that the master knows; other rows stay as they are."""
+    got = _two_keys(df, groups.withColumnRenamed("to_party_name", "party"), "party", X.normalize_party, ["party_grouped", "party_name_for_count"], "_m_", last=True)
+    hit, party = F.col("_m_hit"), F.col("to_party_name")
+    group = F.when(hit, F.coalesce("_m_party_grouped", party)).otherwise(F.col("party_grouped"))
+    count = F.when(hit, F.coalesce("_m_party_name_for_count", "party_name_for_count", party)).otherwise(F.col("party_name_for_count"))
+    return got.withColumns({"party_grouped": group, "party_name_for_count": count}).drop("_m_party_grouped", "_m_party_name_for_count", "_m_hit")
+
+
+def seed_regions(states: DataFrame, regions: DataFrame, master: DataFrame) -> DataFrame:
+    """The region master with the reference states (state, region_id) that it lacks; regions are of id, region."""
+    known = master.select("state", "region")
+    named = states.join(regions.withColumnRenamed("id", "region_id"), "region_id").select("state", "region")
+    return known.unionByName(named.join(known.select("state"), "state", "left_anti"))
+
+
+def display_agent(df: DataFrame, agents: DataFrame) -> DataFrame:
+    """Agent names as shown: the correction, else the final name; rows without a final name take the master's name for
+    the agent, else the agent, else the correction."""
+    old = df.withColumns({"_f": X.null_if_blank(F.col("agent_name_final")), "_c": X.null_if_blank(F.col("agent_names_correction"))})
+    got = lookup_agent(old, agents)
+    found = F.coalesce(F.col("agent_name_final"), F.col("_c"))
+    return got.withColumns({"agent_names_correction": F.when(F.col("_f").isNotNull(), F.coalesce("_c", "_f")).otherwise(found), "agent_name_final": F.coalesce("_f", found)}).drop("_f", "_c")
+
+
+def enrich_display(df: DataFrame, masters: dict[str, DataFrame], complete: bool = False) -> DataFrame:
+    """Rows as shown: the types of parties from the master, sub-category from scheme where blank, time from the dates.
+    complete: the rows hold all of this already, so only total rows go."""
+    from .filters import TOTAL_COLUMNS, is_total_grid
+
+    rows = df.where(~is_total_grid([c for c in TOTAL_COLUMNS if c in df.columns]))
+    if complete:
+        return rows
+    out = lookup_agent(lookup_party_group(lookup_party_master(lookup_region(rows, masters["region"]), masters["party"]), masters["group"]), masters["agent"])
+    out = lookup_customer_type(out, masters["type"]).withColumn("_t", X.temporal_fallback_numeric())
+    time = {c: F.coalesce(F.col(f"_t.{c}"), F.col(c)) for c in ("fy", "month", "mmm")}
+    return out.withColumns(time | {"branch": X.branch_rule(F.col("branch"), F.col("brand")), "business_type": F.col("master_type"), "item_sub_cat": X.first_non_blank(F.col("item_sub_cat"), F.col("scheme")), "item_with_shade": X.item_with_shade(F.col("item_no"), F.col("shade_name"))}).drop("_t", "master_type")
+
+
 def lookup_agent(df: DataFrame, agents: DataFrame) -> DataFrame:
     keys = agents.select("id", "combined_name", F.explode(F.array(F.struct(F.lit(0).alias("o"), X.agent_exact_key(F.col("agent_name")).alias("k")), F.struct(F.lit(1).alias("o"), X.agent_norm_key(F.col("agent_name")).alias("k")))).alias("x"))
     m = dedupe(keys.select("id", "combined_name", "x.o", "x.k"), "k", [F.asc("id"), F.asc("o")])

@@ -85,3 +85,59 @@ def job_state(events: DataFrame) -> DataFrame:
     """Latest event of each job; queued_at and started_at keep their first known value."""
     last = F.max_by(F.struct("status", "processed_rows", "failed_rows"), "ts").alias("x")
     return events.groupBy("id").agg(last, F.min("queued_at").alias("queued_at"), F.min("started_at").alias("started_at")).select("id", "x.*", "queued_at", "started_at")
+
+
+def cascade_so_type(fact: DataFrame, edits: DataFrame) -> DataFrame:
+    """edits: old_party, old_brand, party_name, brand, type_of_order. The type goes to rows of the old and of the new party
+    and brand, never over RETURN; a blank type is UNKNOWN."""
+    kind = F.coalesce(X.null_if_blank(F.col("type_of_order")), F.lit("UNKNOWN"))
+    keys = F.array(F.struct(X.norm_key(F.col("old_party")).alias("p"), X.norm_key(F.col("old_brand")).alias("b")), F.struct(X.norm_key(F.col("party_name")).alias("p"), X.norm_key(F.col("brand")).alias("b")))
+    flat = edits.select(F.explode(F.array_distinct(keys)).alias("x"), kind.alias("kind")).where("x.p <> '' AND x.b <> ''").select(F.col("x.p").alias("party"), F.col("x.b").alias("label"), "kind")
+    open_ = ~F.coalesce(F.upper("so_type") == "RETURN", F.lit(False))
+    return cascade(fact, flat, {"to_party_name": "party", "brand": "label"}, "so_type", "kind", open_)
+
+
+def cascade_agent(fact: DataFrame, edits: DataFrame) -> DataFrame:
+    """edits: old_agent, agent_name, combined_name. Rows of the old or new name take the new name and its combined name."""
+    new = F.coalesce(X.null_if_blank(F.col("agent_name")), X.null_if_blank(F.col("old_agent")))
+    flat = edits.select(F.explode(F.array_distinct(F.array(X.norm_key(F.col("old_agent")), X.norm_key(new)))).alias("agent"), (X.norm_key(F.col("old_agent"))).alias("old"), new.alias("new"), X.null_if_blank(F.col("combined_name")).alias("combined"))
+    flat = flat.where("agent <> ''").withColumn("value", F.struct("new", "combined", (F.col("agent") == F.col("old")).alias("renamed")))
+    fact = fact.withColumn("_value", F.lit(None).cast("struct<new:string,combined:string,renamed:boolean>"))
+    got = cascade(fact, flat, {"agent_name": "agent"}, "_value", "value")
+    hit = F.col("_value").isNotNull()
+    both = {c: F.when(hit, F.col("_value.combined")).otherwise(F.col(c)) for c in ("agent_names_correction", "agent_name_final")}
+    return got.withColumns(both | {"agent_name": F.when(hit & F.col("_value.renamed"), F.col("_value.new")).otherwise(F.col("agent_name"))}).drop("_value")
+
+
+def edit_siblings(orders: DataFrame, edits: DataFrame) -> DataFrame:
+    """The order master with an edit's type on every row of its party and brand."""
+    return cascade(orders, edits, {"party_name": "party_name", "brand": "brand"}, "type_of_order", "type_of_order")
+
+
+def edit_so_master(orders: DataFrame, fact: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(orders, fact, audit) after the edits (party_name, brand, type_of_order): every year's rows of a party and brand
+    change, each change is an audit line, and the fact's types follow."""
+    after = edit_siblings(orders, edits)
+    moved = edits.withColumns({"old_party": F.col("party_name"), "old_brand": F.col("brand")})
+    return after, cascade_so_type(fact, moved), audit_diff(orders, after, "id")
+
+
+def edit_master_row(master: DataFrame, updates: DataFrame, editable: list[str], key: str = "id") -> tuple[DataFrame, DataFrame]:
+    """(master, audit): updates hold a key and new values; only editable columns change, and null leaves a value."""
+    after = upsert(master, updates.select(key, *(c for c in editable if c in updates.columns)).join(master.select(key), key, "left_semi"), [key])
+    return after, audit_diff(master, after, key)
+
+
+def backfill_district(fact: DataFrame, parties: DataFrame) -> DataFrame:
+    """fact with blank districts from the party master: the same name, else the same name without M/S prefixes."""
+    from .lookups import lookup_party_master
+
+    got = lookup_party_master(fact.withColumn("_old", F.struct("district", "pin_code")), parties)
+    return got.withColumns({"district": F.coalesce(X.null_if_blank(F.col("_old.district")), F.col("district")), "pin_code": F.col("_old.pin_code")}).select(*fact.columns)
+
+
+def union_masters(*masters: DataFrame | None) -> DataFrame:
+    """All rows of the masters that exist; columns that one lacks are null there."""
+    from functools import reduce
+
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (m for m in masters if m is not None))

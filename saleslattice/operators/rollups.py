@@ -62,3 +62,9 @@ def is_fresh(fact: DataFrame, stored: DataFrame) -> DataFrame:
     """One row: the latest month of the fact, and whether the rollup has rows of it."""
     last = fact.where(not_total_pivot()).agg(F.max(F.trunc("bill_date", "month")).alias("latest"))
     return last.join(stored.select("bill_month").distinct(), F.col("latest") == F.col("bill_month"), "left").select("latest", F.col("bill_month").isNotNull().alias("fresh"))
+
+
+def freshness(fact: DataFrame, stored: DataFrame) -> DataFrame:
+    """One row: the fact's latest fy, the stored rows of it (fy, n), and whether there are none."""
+    last = fact.agg(F.max("fy").alias("fy"))
+    return last.join(stored.groupBy("fy").agg(F.sum("n").alias("n")), "fy", "left").select("fy", "n", (F.coalesce("n", F.lit(0)) == 0).alias("stale"))

@@ -65,3 +65,41 @@ def export_period(fact: DataFrame, fy: str, month: str | None = None) -> DataFra
 
 def dedupe_last(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))).where("_n = 1").drop("_n")
+
+
+def scan_master(df: DataFrame, variants: dict[str, list[str]]) -> DataFrame:
+    """Columns of a lookup table by name, each the first non-blank of its variants that the table has; else null."""
+    def one(names: list[str]) -> Column:
+        have = [F.col(f"`{c}`").cast("string") for c in names if c in df.columns]
+        return X.first_non_blank(*have) if have else F.lit(None).cast("string")
+
+    return df.select(*(one(names).alias(c) for c, names in variants.items()))
+
+
+def scan_grouping_csv(spark: SparkSession, path: str) -> DataFrame:
+    """to_party_name, party_grouped, party_name_for_count of a CSV file with headers that contain these words; without
+    them the first three columns. A blank group or count name is the party's name; rows without a party go."""
+    df = spark.read.option("header", True).option("multiLine", False).csv(path)
+    low = [c.lower() for c in df.columns]
+
+    def at(words: tuple[str, ...], place: int) -> Column:
+        found = [i for i, c in enumerate(low) if all(w in c for w in words)]
+        i = found[0] if found else place
+        return X.null_if_blank(F.col(f"`{df.columns[i]}`")) if i < len(low) else F.lit(None).cast("string")
+
+    got = df.select(at(("to", "party"), 0).alias("p"), at(("group",), 1).alias("g"), at(("count",), 2).alias("c")).where("p IS NOT NULL")
+    return got.select(F.col("p").alias("to_party_name"), F.coalesce("g", "p").alias("party_grouped"), F.coalesce("c", "p").alias("party_name_for_count"))
+
+
+def sink_sharded_csv(df: DataFrame, n: int, path: str) -> None:
+    """Rows over n CSV files, their number (rn) first."""
+    df.select("rn", *(c for c in df.columns if c != "rn")).repartition(n).write.option("header", True).mode("overwrite").csv(path)
+
+
+def load_sharded_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of the shards with shard, their file; rows without a readable number go. schema starts with rn."""
+    return spark.read.schema(schema).option("header", True).csv(path).where("rn IS NOT NULL").withColumn("shard", F.input_file_name())
+
+
+def sink_rejects(df: DataFrame, job: str, path: str) -> None:
+    rejects(df, job).write.mode("append").parquet(path)

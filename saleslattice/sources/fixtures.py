@@ -74,6 +74,24 @@ SELECT o_orderkey AS id, upper(c.c_name) AS party_name, CASE o.o_custkey % 4 WHE
   concat(CAST(year(o_orderdate) AS VARCHAR(10)), '-', substr(CAST(year(o_orderdate) + 1 AS VARCHAR(10)), 3, 2)) AS fy,
   CAST(o_orderdate AS DATE) AS so_order_date, o_orderpriority AS type_of_order
 FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey WHERE o_orderkey % 20 = 0
+""",
+    "fx_grid": r"""
+SELECT sheet, rn, split(line, ';') AS cells FROM (
+  SELECT concat('S', CAST(r_regionkey AS VARCHAR(5))) AS sheet, CAST(1 AS BIGINT) AS rn, 'x;Report' AS line FROM region WHERE r_regionkey < 3
+  UNION ALL SELECT concat('S', CAST(r_regionkey AS VARCHAR(5))) AS sheet, CAST(2 AS BIGINT) AS rn, 'x;Party  Name;Brand;Type Of Order;Bill Date;Qty;Sl. Qty;Rate;Rate' AS line FROM region WHERE r_regionkey < 3
+  UNION ALL SELECT concat('S', CAST(o_custkey % 3 AS VARCHAR(5))) AS sheet, CAST(o_orderkey + 40 AS BIGINT) AS rn,
+    concat('x;', CASE WHEN o_orderkey % 9 = 0 THEN '' ELSE concat(' customer', CAST(o_custkey % 500 AS VARCHAR(10))) END, ';IC;', o_orderpriority, ';', CAST(CAST(o_orderdate AS DATE) AS VARCHAR(10)), ';7;', CAST(o_custkey AS VARCHAR(10)), ';1,200') AS line FROM orders
+) g
+""",
+    "fx_alias": r"""
+SELECT CASE r_regionkey WHEN 0 THEN 'PARTY NAME' WHEN 1 THEN 'TYPE OF ORDER' WHEN 2 THEN 'QTY' WHEN 3 THEN 'SL QTY' ELSE 'RATE' END AS norm_header,
+  CASE r_regionkey WHEN 0 THEN 'PARTY NAME' WHEN 1 THEN 'TYPE OF ORDER' WHEN 2 THEN 'SL QTY' WHEN 3 THEN 'SL QTY' ELSE 'RATE/UNIT' END AS canonical, 1 AS priority FROM region
+""",
+    "fx_event": r"""
+SELECT o_orderkey AS id, CASE WHEN o_custkey % 2 = 0 THEN 'party' ELSE 'type' END AS table_name, CAST(o_custkey AS VARCHAR(20)) AS row_id, CAST(o_orderdate AS DATE) AS ts,
+  CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'running' ELSE 'failed' END AS status, o_orderkey % 1000 AS processed_rows, o_orderkey % 7 AS failed_rows,
+  o_custkey AS job, CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderdate AS DATE) ELSE NULL END AS queued_at, CASE WHEN o_orderkey % 5 = 0 THEN CAST(o_orderdate AS DATE) ELSE NULL END AS started_at,
+  CASE WHEN o_orderstatus = 'O' THEN NULL ELSE CAST(o_orderdate AS DATE) END AS ended FROM orders
 """,
 }
 

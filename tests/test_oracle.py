@@ -6,7 +6,7 @@ import decimal
 import duckdb
 import pytest
 
-from saleslattice.plans import queries as Q
+from saleslattice.plans import catalog as Q
 from saleslattice.sources.fixtures import TABLES
 
 SF = "/root/testdata/sf0.001"
