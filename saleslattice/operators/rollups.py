@@ -21,13 +21,17 @@ ROLLUPS = {
 SUMS = {"net_amount": "total_net", "amount_before_tax": "total_before_tax", "sl_qty": "total_qty"}
 
 
+#: Measures that the rollup of all dimensions sums beside keeping them as dimensions.
+ALL_SUMS = ("sl_qty", "gross_amount", "amount_before_tax", "net_amount")
+
+
 def rollup(fact: DataFrame, name: str) -> DataFrame:
-    """Sums and row count by the rollup's dimensions, of the fact without total rows."""
-    base = fact.where(not_total_pivot()).withColumn("bill_month", F.trunc("bill_date", "month"))
+    """Sums and row count by the rollup's dimensions, of the fact without total rows: see pivot_from_rollup. all_dims
+    instead groups by every column but id, of all rows: the fact without exact repeats."""
     if name == "all_dims":
-        dims = [c for c in fact.columns if c not in SUMS and c != "id"]
-    else:
-        dims = [d for d in ROLLUPS[name] if d in base.columns]
+        return fact.groupBy(*(c for c in fact.columns if c != "id")).agg(*(F.sum(c).alias(f"sum_{c}") for c in ALL_SUMS), F.count(F.lit(1)).alias("fact_row_count"))
+    base = fact.where(not_total_pivot()).withColumn("bill_month", F.trunc("bill_date", "month"))
+    dims = [d for d in ROLLUPS[name] if d in base.columns]
     return base.groupBy(*dims).agg(*(F.sum(c).alias(n) for c, n in SUMS.items()), F.count(F.lit(1)).alias("fact_row_count"))
 
 

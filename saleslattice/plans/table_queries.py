@@ -13,7 +13,9 @@ from ..operators import lookups as L
 from ..operators import maintain as M
 from ..operators import rollups as R
 from ..sources import facts
+from ..sources import scratch
 from ..sources.fixtures import load
+from ..streaming import ingest
 from . import body as B
 from . import pivot as P
 from .queries import AGG, QUERIES, SQL, MONTH_AXIS, MONTH_NO, NOT_TOTAL, _derived, _fy, _party, _strip, _total, add
@@ -90,7 +92,7 @@ _AGENT = f"SELECT s.*, coalesce(m.combined_name, trim(s.agent_name)) AS agent_na
 for _n in ("agent_final_branch", "party_agent_branch"):
     _k = ", ".join(R.ROLLUPS[_n])
     add(f"rollup_{_n}", lambda s, d, n=_n: R.rollup(L.lookup_agent(load(s, d), load(s, d, _AGENTS)), n), f"SELECT {_k}, sum(net_amount) AS total_net, sum(amount_before_tax) AS total_before_tax, sum(sl_qty) AS total_qty, count(*) AS fact_row_count FROM ({_AGENT}) x WHERE {NOT_TOTAL} GROUP BY {_k}", "fx_sales", _AGENTS)
-add("rollup_all_dims", lambda s, d: R.rollup(load(s, d), "all_dims"), f"SELECT * EXCLUDE (id, net_amount, amount_before_tax, sl_qty), sum(net_amount) AS total_net, sum(amount_before_tax) AS total_before_tax, sum(sl_qty) AS total_qty, count(*) AS fact_row_count FROM fx_sales WHERE {NOT_TOTAL} GROUP BY ALL")
+add("rollup_all_dims", lambda s, d: R.rollup(load(s, d), "all_dims"), "SELECT * EXCLUDE (id), sum(sl_qty) AS sum_sl_qty, sum(gross_amount) AS sum_gross_amount, sum(amount_before_tax) AS sum_amount_before_tax, sum(net_amount) AS sum_net_amount, count(*) AS fact_row_count FROM fx_sales GROUP BY ALL")
 add("approx_count", lambda s, d: load(s, d).agg(_count()), "SELECT count(*) AS n FROM fx_sales")
 add("win_dedupe_last", lambda s, d: G.keep(load(s, d, _SO).select("party_name", "brand", "fy", "id", "type_of_order"), ["party_name", "brand", "fy"], "id"), "SELECT party_name, brand, fy, max(id) AS id, arg_max(type_of_order, id) AS type_of_order FROM fx_so_master GROUP BY 1, 2, 3", _SO)
 add("win_dedupe_first", lambda s, d: G.keep(load(s, d, _SO).select("party_name", "id", "brand"), ["party_name"], "id", last=False), "SELECT party_name, min(id) AS id, arg_min(brand, id) AS brand FROM fx_so_master GROUP BY 1", _SO)
@@ -185,3 +187,68 @@ add("enrich_agent_display", lambda s, d: L.display_agent(load(s, d).withColumns(
 
 def _all(s, d) -> dict:
     return {"region": load(s, d, _REGIONS), "party": load(s, d, _PARTIES), "group": load(s, d, _GROUPS), "agent": load(s, d, _AGENTS), "type": load(s, d, _TYPES)}
+
+
+# Sinks and streams: written to the cluster's shared folder and read back.
+def _stored(s, d, fact: DataFrame | None = None) -> str:
+    facts.sink_fact(load(s, d) if fact is None else fact, at := scratch.folder(s))
+    return at
+
+
+add("sink_fact", lambda s, d: s.read.parquet(_stored(s, d)).groupBy("fy_part", "norm_brand").agg(_count()), f"SELECT CASE WHEN bill_date >= DATE '2020-04-01' AND bill_date < DATE '2026-04-01' THEN {_fy('bill_date')} ELSE '__default__' END AS fy_part, upper(trim(coalesce(brand,''))) AS norm_brand, count(*) AS n FROM fx_sales GROUP BY 1, 2")
+add("scan_fact", lambda s, d: _total(facts.scan_fact(s, _stored(s, d), "1997-01-15", "1998-06-30"), F.lit(True)), f"SELECT {AGG} FROM fx_sales WHERE bill_date BETWEEN DATE '1997-01-15' AND DATE '1998-06-30'")
+
+
+def _shards(s, d) -> DataFrame:
+    rows = load(s, d).select(F.when(F.col("sl_qty") > 0, F.col("id")).alias("rn"), "to_party_name", "sl_qty", "net_amount")
+    facts.sink_sharded_csv(rows, 4, at := scratch.folder(s))
+    return facts.load_sharded_csv(s, at, "rn bigint, to_party_name string, sl_qty decimal(15,4), net_amount decimal(15,4)")
+
+
+add("sink_sharded_csv", lambda s, d: _shards(s, d).agg(F.countDistinct("shard").alias("shards"), F.max("rn").alias("last")), "SELECT 4 AS shards, max(id) AS last FROM fx_sales WHERE sl_qty > 0")
+add("load_sharded_csv", lambda s, d: _shards(s, d).groupBy("to_party_name").agg(_count(), F.sum("net_amount").alias("total")), "SELECT to_party_name, count(*) AS n, sum(net_amount) AS total FROM fx_sales WHERE sl_qty > 0 GROUP BY 1")
+
+
+def _rejects(s, d) -> DataFrame:
+    bad = load(s, d).where("sl_qty < 0").select(F.col("id").alias("rn"), "bill_no", F.col("bill_date").cast("string").alias("bill_date"), "item_no", "to_party_name", F.lit("qty \"below\" 0").alias("error_message"))
+    facts.sink_rejects(bad, "job", at := scratch.folder(s))
+    return s.read.parquet(at)
+
+
+add("sink_rejects", lambda s, d: _rejects(s, d).select("job_id", "row_number", "error_message", F.get_json_object("row_data", "$.bill_no").alias("bill_no")), "SELECT 'job' AS job_id, id AS row_number, 'qty \"below\" 0' AS error_message, bill_no FROM fx_sales WHERE sl_qty < 0")
+add("export_rejects", lambda s, d: facts.export_rejects(_rejects(s, d).withColumn("row_data", F.get_json_object("row_data", "$.item_no")), "job"), "SELECT concat('\"', id, '\",\"qty \"\"below\"\" 0\",\"', item_no, '\"') AS line FROM fx_sales WHERE sl_qty < 0")
+
+
+def _groups_csv(s, d) -> DataFrame:
+    named = load(s, d, _GROUPS).select(F.col("to_party_name").alias("To Party Name"), F.col("party_grouped").alias("Party Grouped"), F.lit(None).cast("string").alias("Party Name For Count"))
+    named.write.option("header", True).csv(at := scratch.folder(s))
+    return facts.scan_grouping_csv(s, at)
+
+
+add("scan_grouping_csv", _groups_csv, f"SELECT to_party_name, coalesce(party_grouped, to_party_name) AS party_grouped, to_party_name AS party_name_for_count FROM {_GROUPS}", _GROUPS)
+_derived("parse_date_cell", lambda: X.parse_date_cell(F.when(F.col("id") % 2 == 0, F.date_format("bill_date", "dd-MM-yyyy")).otherwise(F.datediff("bill_date", F.lit("1899-12-30").cast("date")).cast("string"))), "CASE WHEN year(bill_date) >= 2000 THEN bill_date END")
+_MONTHS = f"SELECT state, CAST(date_trunc('month', bill_date) AS DATE) AS bill_month, sum(net_amount) AS total_net, sum(amount_before_tax) AS total_before_tax, sum(sl_qty) AS total_qty, count(*) AS fact_row_count FROM fx_sales WHERE {NOT_TOTAL} GROUP BY 1, 2"
+
+
+def _refreshed(s, d) -> DataFrame:
+    R.refresh(load(s, d), at := scratch.folder(s))
+    return s.read.parquet(f"{at}/state_month")
+
+
+def _ingested(s, d) -> DataFrame:
+    load(s, d).write.parquet(f"{(at := scratch.folder(s))}/in")
+    for _ in range(2):  # the second run finds nothing new
+        ingest.ingest_stream(s, load(s, d).schema, f"{at}/in", f"{at}/out", f"{at}/log", _all(s, d) | {"so": load(s, d, _SO)}).awaitTermination()
+    return s.read.parquet(f"{at}/out").groupBy("branch", "goods_type").agg(_count())
+
+
+def _rolled(s, d) -> DataFrame:
+    load(s, d).repartition(2).write.parquet(f"{(at := scratch.folder(s))}/in")
+    for _ in range(2):
+        ingest.rollup_stream(s, load(s, d).schema, f"{at}/in", f"{at}/out", f"{at}/log", "state_month").awaitTermination()
+    return ingest.merged(s, f"{at}/out")
+
+
+add("refresh_rollups", _refreshed, _MONTHS)
+add("rollup_stream", _rolled, _MONTHS)
+add("ingest_stream", _ingested, "SELECT branch, CASE WHEN nullif(trim(sale_order_no),'') IS NULL THEN NULL ELSE CASE regexp_extract(upper(regexp_replace(trim(sale_order_no), '^[''\"]+', '')), '^([A-Z]+)', 1) WHEN 'MID' THEN 'MID' WHEN 'MIX' THEN 'MIX' WHEN 'SRC' THEN 'SRC' WHEN 'ACS' THEN 'ACC' WHEN 'ACC' THEN 'ACC' ELSE 'Fresh' END END AS goods_type, count(*) AS n FROM fx_sales GROUP BY 1, 2")
