@@ -29,14 +29,36 @@ def lookup_region(df: DataFrame, regions: DataFrame) -> DataFrame:
     return df.withColumn("_k", X.norm_key(F.col("state"))).join(m, F.col("_k") == F.col("_s"), "left").withColumn("region", F.coalesce("_r", "region")).drop("_k", "_s", "_r")
 
 
+def _by_name(df: DataFrame, key: str, find) -> DataFrame:
+    """df with the columns that find adds to its distinct values of key.
+
+    Names repeat over a fact, so each one is normalised and looked up once (the distinct is combined before its shuffle)
+    and the fact is joined once, by the name as it is."""
+    found = find(df.select(key).where(F.col(key).isNotNull()).distinct()).withColumnRenamed(key, "_name")
+    return df.join(found, F.col(key) == F.col("_name"), "left").drop("_name")
+
+
+def _find_place(df: DataFrame, parties: DataFrame) -> DataFrame:
+    return _two_keys(df, parties, "account_name", X.normalize_party, ["district", "pin_code"], "_p_", order="account_name")
+
+
+def _place(df: DataFrame) -> DataFrame:
+    return df.withColumns({"district": F.coalesce("_p_district", "district"), "pin_code": F.coalesce("_p_pin_code", "pin_code")}).drop("_p_district", "_p_pin_code", "_p_hit")
+
+
 def lookup_party_master(df: DataFrame, parties: DataFrame) -> DataFrame:
-    got = _two_keys(df, parties, "account_name", X.normalize_party, ["district", "pin_code"], "_m_", order="account_name")
-    return got.withColumns({"district": F.coalesce("_m_district", "district"), "pin_code": F.coalesce("_m_pin_code", "pin_code")}).drop("_m_district", "_m_pin_code", "_m_hit")
+    return _place(_find_place(df, parties))
+
+
+def _find_group(df: DataFrame, groups: DataFrame) -> DataFrame:
+    return _two_keys(df, groups.withColumnRenamed("to_party_name", "party"), "party", X.normalize_party, ["party_grouped", "party_name_for_count"], "_m_", last=True)
 
 
 def lookup_party_group(df: DataFrame, groups: DataFrame) -> DataFrame:
-    m = groups.withColumnRenamed("to_party_name", "party")
-    got = _two_keys(df, m, "party", X.normalize_party, ["party_grouped", "party_name_for_count"], "_m_", last=True)
+    return _group(_find_group(df, groups))
+
+
+def _group(got: DataFrame) -> DataFrame:
     party, blank = F.trim("to_party_name"), X.null_if_blank(F.col("to_party_name")).isNull()
     group = F.when(F.col("_m_hit"), X.first_non_blank(F.col("_m_party_grouped"), F.col("party_grouped"), party)).otherwise(party)
     count = F.when(F.col("_m_hit"), X.first_non_blank(F.col("_m_party_name_for_count"), F.col("party_name_for_count"), party)).otherwise(X.first_non_blank(F.col("party_name_for_count"), party))
@@ -45,7 +67,7 @@ def lookup_party_group(df: DataFrame, groups: DataFrame) -> DataFrame:
 
 def lookup_party_group_report(df: DataFrame, groups: DataFrame) -> DataFrame:
     """Group and count name of parties that the master knows; other rows stay as they are."""
-    got = _two_keys(df, groups.withColumnRenamed("to_party_name", "party"), "party", X.normalize_party, ["party_grouped", "party_name_for_count"], "_m_", last=True)
+    got = _find_group(df, groups)
     hit, party = F.col("_m_hit"), F.col("to_party_name")
     group = F.when(hit, F.coalesce("_m_party_grouped", party)).otherwise(F.col("party_grouped"))
     count = F.when(hit, F.coalesce("_m_party_name_for_count", "party_name_for_count", party)).otherwise(F.col("party_name_for_count"))
@@ -76,44 +98,78 @@ def enrich_display(df: DataFrame, masters: dict[str, DataFrame], complete: bool
     rows = df.where(~is_total_grid([c for c in TOTAL_COLUMNS if c in df.columns]))
     if complete:
         return rows
-    out = lookup_agent(lookup_party_group(lookup_party_master(lookup_region(rows, masters["region"]), masters["party"]), masters["group"]), masters["agent"])
-    out = lookup_customer_type(out, masters["type"]).withColumn("_t", X.temporal_fallback_numeric())
+    out = _named(lookup_region(_with_names(rows, masters), masters["region"])).withColumn("_t", X.temporal_fallback_numeric())
     time = {c: F.coalesce(F.col(f"_t.{c}"), F.col(c)) for c in ("fy", "month", "mmm")}
     return out.withColumns(time | {"branch": X.branch_rule(F.col("branch"), F.col("brand")), "business_type": F.col("master_type"), "item_sub_cat": X.first_non_blank(F.col("item_sub_cat"), F.col("scheme")), "item_with_shade": X.item_with_shade(F.col("item_no"), F.col("shade_name"))}).drop("_t", "master_type")
 
 
-def lookup_agent(df: DataFrame, agents: DataFrame) -> DataFrame:
+def _find_agent(df: DataFrame, agents: DataFrame) -> DataFrame:
     keys = agents.select("id", "combined_name", F.explode(F.array(F.struct(F.lit(0).alias("o"), X.agent_exact_key(F.col("agent_name")).alias("k")), F.struct(F.lit(1).alias("o"), X.agent_norm_key(F.col("agent_name")).alias("k")))).alias("x"))
     m = dedupe(keys.select("id", "combined_name", "x.o", "x.k"), "k", [F.asc("id"), F.asc("o")])
     a, b = m.select(F.col("k").alias("_k1"), F.col("combined_name").alias("_c1")), m.select(F.col("k").alias("_k2"), F.col("combined_name").alias("_c2"))
     out = df.withColumns({"_e": X.agent_exact_key(F.col("agent_name")), "_n": X.agent_norm_key(F.col("agent_name"))}).join(a, F.col("_e") == F.col("_k1"), "left").join(b, F.col("_n") == F.col("_k2"), "left")
-    name = X.first_non_blank(F.col("_c1"), F.col("_c2"), F.col("agent_name"))
-    return out.withColumns({"agent_name_final": name, "agent_names_correction": name}).drop("_e", "_n", "_k1", "_k2", "_c1", "_c2")
+    return out.withColumn("_agent", X.first_non_blank(F.col("_c1"), F.col("_c2"), F.col("agent_name"))).drop("_e", "_n", "_k1", "_k2", "_c1", "_c2")
+
+
+def _agent(df: DataFrame) -> DataFrame:
+    return df.withColumns({"agent_name_final": F.col("_agent"), "agent_names_correction": F.col("_agent")}).drop("_agent")
+
+
+def lookup_agent(df: DataFrame, agents: DataFrame) -> DataFrame:
+    return _agent(_find_agent(df, agents))
+
+
+def _find_type(df: DataFrame, types: DataFrame) -> DataFrame:
+    return _two_keys(df, types.select("id", "party_name", X.clean_type(F.col("type")).alias("kind")), "party_name", X.normalize_party, ["kind"], "_t_", last=True)
+
+
+def _type(df: DataFrame) -> DataFrame:
+    return df.withColumn("master_type", F.coalesce("_t_kind", F.lit("RETAILER"))).drop("_t_kind", "_t_hit")
 
 
 def lookup_customer_type(df: DataFrame, types: DataFrame) -> DataFrame:
     """df with master_type; a miss is RETAILER."""
-    got = _two_keys(df, types.select("id", "party_name", X.clean_type(F.col("type")).alias("kind")), "party_name", X.normalize_party, ["kind"], "_m_", last=True)
-    return got.withColumn("master_type", F.coalesce("_m_kind", F.lit("RETAILER"))).drop("_m_kind", "_m_hit")
+    return _type(_find_type(df, types))
+
+
+def _find_latest(df: DataFrame, orders: DataFrame) -> DataFrame:
+    latest = orders.groupBy(X.normalize_party(F.col("party_name")).alias("_lp")).agg(F.max_by(X.clean_type(F.col("type_of_order")), F.struct("so_order_date", "id")).alias("so_latest"))
+    return df.withColumn("_n", X.normalize_party(F.col("to_party_name"))).join(latest, F.col("_n") == F.col("_lp"), "left").drop("_n", "_lp")
+
+
+def _find_exact(df: DataFrame, orders: DataFrame) -> DataFrame:
+    exact = orders.groupBy(X.norm_key(F.col("party_name")).alias("_xp"), X.norm_key(F.col("brand")).alias("_xb"), F.trim("fy").alias("_xf")).agg(F.max_by(X.clean_type(F.col("type_of_order")), F.struct("so_order_date", "id")).alias("so_exact"))
+    out = df.withColumns({"_p": X.norm_key(F.col("to_party_name")), "_b": X.canonical_brand(F.col("brand")), "_f": F.trim("fy")})
+    return out.join(exact, (F.col("_p") == F.col("_xp")) & (F.col("_b") == F.col("_xb")) & (F.col("_f") == F.col("_xf")), "left").drop("_p", "_b", "_f", "_xp", "_xb", "_xf")
 
 
 def lookup_so_master(df: DataFrame, orders: DataFrame) -> DataFrame:
     """df with so_exact (type of the party's order of the brand and year) and so_latest (of the party's latest order)."""
-    kind = X.clean_type(F.col("type_of_order"))
-    exact = orders.groupBy(X.norm_key(F.col("party_name")).alias("_xp"), X.norm_key(F.col("brand")).alias("_xb"), F.trim("fy").alias("_xf")).agg(F.max_by(kind, F.struct("so_order_date", "id")).alias("so_exact"))
-    latest = orders.groupBy(X.normalize_party(F.col("party_name")).alias("_lp")).agg(F.max_by(kind, F.struct("so_order_date", "id")).alias("so_latest"))
-    out = df.withColumns({"_p": X.norm_key(F.col("to_party_name")), "_b": X.canonical_brand(F.col("brand")), "_f": F.trim("fy"), "_n": X.normalize_party(F.col("to_party_name"))})
-    out = out.join(exact, (F.col("_p") == F.col("_xp")) & (F.col("_b") == F.col("_xb")) & (F.col("_f") == F.col("_xf")), "left").join(latest, F.col("_n") == F.col("_lp"), "left")
-    return out.drop("_p", "_b", "_f", "_n", "_xp", "_xb", "_xf", "_lp")
+    return _find_latest(_find_exact(df, orders), orders)
+
+
+def _with_names(df: DataFrame, masters: dict[str, DataFrame]) -> DataFrame:
+    """df with what the masters hold of its parties and agents, for _named and, with orders, so_latest."""
+
+    def of_party(names):
+        out = _find_type(_find_group(_find_place(names, masters["party"]), masters["group"]), masters["type"])
+        return _find_latest(out, masters["so"]) if "so" in masters else out
+
+    found = of_party(df.select("to_party_name").where("to_party_name is not null").distinct()).withColumnRenamed("to_party_name", "_party")
+    out = _by_name(df, "agent_name", lambda names: _find_agent(names, masters["agent"]))
+    return out.join(found, F.col("to_party_name") == F.col("_party"), "left").drop("_party")
+
+
+def _named(df: DataFrame) -> DataFrame:
+    return _type(_agent(_group(_place(df))))
 
 
 def enrich_fact(df: DataFrame, masters: dict[str, DataFrame]) -> DataFrame:
     """Import enrichment, in order: branch, fiscal time, brand, region, party, group, agent, item, types."""
     d = F.col("bill_date")
-    out = df.withColumns({"branch": X.branch_rule(F.col("branch"), F.col("brand")), "fy": F.coalesce(X.null_if_blank(F.col("fy")), X.fy_of_date(d)), "month": F.coalesce(X.null_if_blank(F.col("month")), X.month_label(d)), "mmm": F.coalesce(X.null_if_blank(F.col("mmm")), X.mmm_label(d))})
+    out = _with_names(df, masters).withColumns({"branch": X.branch_rule(F.col("branch"), F.col("brand")), "fy": F.coalesce(X.null_if_blank(F.col("fy")), X.fy_of_date(d)), "month": F.coalesce(X.null_if_blank(F.col("month")), X.month_label(d)), "mmm": F.coalesce(X.null_if_blank(F.col("mmm")), X.mmm_label(d))})
     out = out.withColumn("brand", X.canonical_brand(F.col("brand")))
-    out = lookup_agent(lookup_party_group(lookup_party_master(lookup_region(out, masters["region"]), masters["party"]), masters["group"]), masters["agent"])
-    out = lookup_so_master(lookup_customer_type(out, masters["type"]), masters["so"])
+    out = _find_exact(_named(lookup_region(out, masters["region"])), masters["so"])
     kind = F.coalesce(X.clean_type(F.col("business_type")), F.col("master_type"))
     channel = (F.upper(F.trim("branch")) == "ITALIAN CHANNEL") & (F.upper(kind) == "RETAILER")
     so = F.when(F.col("sl_qty") <= 0, "RETURN").when(F.col("brand") == "RISHAB FABRICS", "NO SCHEME").otherwise(F.coalesce("so_exact", "so_latest", X.null_if_blank(F.col("so_type")), F.lit("UNKNOWN")))
