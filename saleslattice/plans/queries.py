@@ -66,7 +66,7 @@ _filter("f_eq_fy", [{"field": "fy", "operator": "eq", "value": "1999-00"}], "fy
 _filter("f_in_numeric", [{"field": "sl_qty", "operator": "in", "values": ["5", "-7"]}], "sl_qty IN (5, -7)")
 _filter("f_in_date", [{"field": "bill_date", "operator": "in", "values": ["1998-03-01", "1999-05-05"]}], "bill_date IN (DATE '1998-03-01', DATE '1999-05-05')")
 _filter("f_in_party", [{"field": "to_party_name", "operator": "in", "values": ["CUSTOMER#000000001", "CUSTOMER#000000007"]}], "upper(trim(coalesce(to_party_name,''))) IN ('CUSTOMER#000000001','CUSTOMER#000000007')")
-_filter("f_in_text_exact", [{"field": "branch", "operator": "in", "values": ["BR FRANCE", "BR CHINA"]}], "branch IN ('BR FRANCE','BR CHINA')")
+_filter("f_in_text_exact", [{"field": "branch", "operator": "in", "values": ["BR NATION_7", "BR NATION_11"]}], "branch IN ('BR NATION_7','BR NATION_11')")
 _filter("f_in_text_trim", [{"field": "city", "operator": "in", "values": ["CITY BUILDING"]}], "trim(coalesce(city,'')) IN ('CITY BUILDING')")
 _filter("f_contains", [{"field": "branch", "operator": "contains", "value": "an"}], "contains(lower(branch), 'an')")
 _filter("f_cmp_numeric", [{"field": "units_pack", "operator": "gte", "value": "100"}], f"({UNITS}) >= 100")
@@ -74,9 +74,9 @@ _filter("f_cmp_date", [{"field": "bill_date", "operator": "lt", "value": "1997-0
 _filter("f_cmp_text", [{"field": "city", "operator": "gt", "value": "CITY F"}], "lower(trim(city)) > 'city f'")
 _filter("f_eq_numeric", [{"field": "net_amount", "operator": "eq", "value": ""}], "net_amount IS NULL")
 _filter("f_eq_date", [{"field": "bill_date", "operator": "eq", "value": "1998-03-01"}], "bill_date = DATE '1998-03-01'")
-_filter("f_eq_text", [{"field": "state", "operator": "eq", "value": "FRANCE"}], "state = 'FRANCE'")
-_filter("f_casefold", [{"field": "state", "operator": "eq", "value": "france"}], "lower(trim(coalesce(state,''))) = 'france'", True)
-_filter("f_fact_where", [{"field": "state", "operator": "in", "values": ["FRANCE", "CHINA"]}, {"field": "sl_qty", "operator": "gt", "value": "10"}, {"field": "x", "operator": "nope", "value": "1"}], "state IN ('FRANCE','CHINA') AND sl_qty > 10")
+_filter("f_eq_text", [{"field": "state", "operator": "eq", "value": "NATION_7"}], "state = 'NATION_7'")
+_filter("f_casefold", [{"field": "state", "operator": "eq", "value": "nation_7"}], "lower(trim(coalesce(state,''))) = 'nation_7'", True)
+_filter("f_fact_where", [{"field": "state", "operator": "in", "values": ["NATION_7", "NATION_11"]}, {"field": "sl_qty", "operator": "gt", "value": "10"}, {"field": "x", "operator": "nope", "value": "1"}], "state IN ('NATION_7','NATION_11') AND sl_qty > 10")
 add("f_date_range", lambda s, d: _total(load(s, d), F.col("bill_date").between("1998-01-01", "1998-12-31")), f"SELECT {AGG} FROM fx_sales WHERE bill_date BETWEEN DATE '1998-01-01' AND DATE '1998-12-31'")
 add("f_total_rows_grid", lambda s, d: _total(load(s, d), ~W.is_total_grid(["branch", "state", "brand", "to_party_name"])), f"SELECT {AGG} FROM fx_sales WHERE {NOT_TOTAL}")
 add("f_missing_lookup", lambda s, d: _total(load(s, d), F.col("district").isNull() | (F.col("district") == "")), f"SELECT {AGG} FROM fx_sales WHERE district IS NULL OR district = ''")
@@ -139,14 +139,14 @@ add("pivot_totals_onepass", lambda s, d: _flat(P.pivot(load(s, d), _T)), _SETS)
 for _n, _k in (("pivot_cells", "cell"), ("pivot_row_totals", "row_total"), ("pivot_column_totals", "column_total"), ("pivot_grand_total", "grand_total"), ("pivot_subtotals", "subtotal")):
     add(_n, lambda s, d, k=_k: _flat(P.pivot(load(s, d), _T)).where(F.col("kind") == k), f"SELECT * FROM ({_SETS.replace('WITH b AS', 'WITH b AS', 1)}) WHERE kind = '{_k}'")
 add("pivot_quick", lambda s, d: P.pivot_groupby(load(s, d), P.config(["region"], [], [("net_amount", "sum")])), f"SELECT nullif(trim(region),'') AS d_region, coalesce(sum(net_amount),0) AS sum_net_amount, count(*) AS row_count FROM fx_sales WHERE {NOT_TOTAL} GROUP BY 1")
-add("pivot_casefold", lambda s, d: P.pivot_groupby(load(s, d), P.config(["brand"], [], [("net_amount", "sum")], [{"field": "state", "operator": "in", "values": ["france", "China"]}], casefold=True)), f"SELECT nullif(trim(brand),'') AS d_brand, coalesce(sum(net_amount),0) AS sum_net_amount, count(*) AS row_count FROM fx_sales WHERE {NOT_TOTAL} AND lower(trim(coalesce(state,''))) IN ('france','china') GROUP BY 1")
+add("pivot_casefold", lambda s, d: P.pivot_groupby(load(s, d), P.config(["brand"], [], [("net_amount", "sum")], [{"field": "state", "operator": "in", "values": ["nation_7", "Nation_11"]}], casefold=True)), f"SELECT nullif(trim(brand),'') AS d_brand, coalesce(sum(net_amount),0) AS sum_net_amount, count(*) AS row_count FROM fx_sales WHERE {NOT_TOTAL} AND lower(trim(coalesce(state,''))) IN ('nation_7','nation_11') GROUP BY 1")
 add("filtered_row_count", lambda s, d: P.pivot_groupby(load(s, d), _G).agg(F.sum("row_count").alias("n")), f"SELECT count(*) AS n FROM fx_sales WHERE {NOT_TOTAL} AND bill_date >= DATE '2000-04-01' AND bill_date < DATE '2001-04-01'")
 add("sort_headers", lambda s, d: load(s, d).select(X.axis_label("month").alias("label")).distinct().select("label", P.header_key(F.col("label")).alias("k")).select("label", F.col("k.k").alias("class"), F.col("k.n").cast("int").alias("ord")), f"SELECT DISTINCT label, CASE WHEN label = '(blank)' THEN 4 ELSE 2 END AS class, CASE WHEN label = '(blank)' THEN 0 ELSE CAST(right(label,2) AS INT) * 12 + month(strptime(label, '%b-%y')) END AS ord FROM (SELECT coalesce({MONTH_AXIS}, '(blank)') AS label FROM fx_sales)")
-add("drilldown", lambda s, d: P.drilldown(load(s, d), P.config([], [], [("id", "count")]), {"state": "FRANCE", "brand": "VERCELLI"}).select("id", "bill_no", "net_amount"), f"SELECT id, bill_no, net_amount FROM fx_sales WHERE {NOT_TOTAL} AND trim(coalesce(state,'')) = 'FRANCE' AND trim(coalesce(brand,'')) = 'VERCELLI' ORDER BY id LIMIT 200")
+add("drilldown", lambda s, d: P.drilldown(load(s, d), P.config([], [], [("id", "count")]), {"state": "NATION_7", "brand": "VERCELLI"}).select("id", "bill_no", "net_amount"), f"SELECT id, bill_no, net_amount FROM fx_sales WHERE {NOT_TOTAL} AND trim(coalesce(state,'')) = 'NATION_7' AND trim(coalesce(brand,'')) = 'VERCELLI' ORDER BY id LIMIT 200")
 add("distinct_values", lambda s, d: P.distinct_values(load(s, d), "branch", "an"), "SELECT DISTINCT trim(branch) AS value FROM fx_sales WHERE trim(branch) <> '' AND contains(lower(trim(branch)), 'an')")
 add("distinct_values_batch", lambda s, d: P.distinct_values_batch(load(s, d), ["branch", "brand", "state", "city"]), " UNION ".join(f"SELECT '{c}' AS field, trim({c}) AS value FROM fx_sales WHERE trim({c}) <> ''" for c in ("branch", "brand", "state", "city")))
 add("distinct_states", lambda s, d: load(s, d).where("trim(state) <> ''").select("state").distinct().orderBy("state"), "SELECT DISTINCT state FROM fx_sales WHERE trim(state) <> ''")
-add("count_filtered", lambda s, d: load(s, d).where("state = 'FRANCE'").agg(F.count(F.lit(1)).alias("n")), "SELECT count(*) AS n FROM fx_sales WHERE state = 'FRANCE'")
+add("count_filtered", lambda s, d: load(s, d).where("state = 'NATION_7'").agg(F.count(F.lit(1)).alias("n")), "SELECT count(*) AS n FROM fx_sales WHERE state = 'NATION_7'")
 add("page_keyset", lambda s, d: load(s, d).where("id > 5000000000").orderBy("id").limit(50).select("id"), "SELECT id FROM fx_sales WHERE id > 5000000000 ORDER BY id LIMIT 50")
 add("page_offset", lambda s, d: load(s, d).orderBy(F.desc("id")).offset(100).limit(50).select("id"), "SELECT id FROM fx_sales ORDER BY id DESC LIMIT 50 OFFSET 100")
 add("sort_grid_page", lambda s, d: load(s, d).orderBy(F.desc_nulls_last("net_amount"), "id").limit(50).select("id", "net_amount"), "SELECT id, net_amount FROM fx_sales ORDER BY net_amount DESC NULLS LAST, id LIMIT 50")

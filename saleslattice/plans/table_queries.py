@@ -65,9 +65,9 @@ _FOUND = "SELECT to_party_name AS p FROM fx_party_grouping_master WHERE contains
 _FX2 = ("fx_sales", _GROUPS)
 add("distinct_union_search", lambda s, d: W.search_parties(load(s, d, _GROUPS), "group 7"), _FOUND, _GROUPS)
 add("semi_search_party", lambda s, d: _total(load(s, d).join(W.search_parties(load(s, d, _GROUPS), "group 7"), F.col("to_party_name") == F.col("p"), "left_semi"), F.lit(True)), f"SELECT {AGG} FROM fx_sales WHERE to_party_name IN ({_FOUND})", *_FX2)
-add("f_search", lambda s, d: _total(W.search(load(s, d), load(s, d, _GROUPS), "group 7", "FRANCE"), F.lit(True)), f"SELECT {AGG} FROM fx_sales WHERE state = 'FRANCE' AND (bill_no ILIKE '%group 7%' OR coalesce(party_grouped ILIKE '%group 7%', false) OR to_party_name IN ({_FOUND}))", *_FX2)
-_GRID = "SELECT id, bill_no, branch FROM (SELECT * FROM fx_sales WHERE state = 'FRANCE' AND (bill_no ILIKE '%B-1%' OR coalesce(party_grouped ILIKE '%B-1%', false)) ORDER BY id DESC LIMIT 50 OFFSET 50) x WHERE " + NOT_TOTAL
-add("grid_page", lambda s, d: W.grid_page(load(s, d), load(s, d, _GROUPS), "B-1", "FRANCE", page=2, limit=50).select("id", "bill_no", "branch"), _GRID)
+add("f_search", lambda s, d: _total(W.search(load(s, d), load(s, d, _GROUPS), "group 7", "NATION_7"), F.lit(True)), f"SELECT {AGG} FROM fx_sales WHERE state = 'NATION_7' AND (bill_no ILIKE '%group 7%' OR coalesce(party_grouped ILIKE '%group 7%', false) OR to_party_name IN ({_FOUND}))", *_FX2)
+_GRID = "SELECT id, bill_no, branch FROM (SELECT * FROM fx_sales WHERE state = 'NATION_7' AND (bill_no ILIKE '%B-1%' OR coalesce(party_grouped ILIKE '%B-1%', false)) ORDER BY id DESC LIMIT 50 OFFSET 50) x WHERE " + NOT_TOTAL
+add("grid_page", lambda s, d: W.grid_page(load(s, d), load(s, d, _GROUPS), "B-1", "NATION_7", page=2, limit=50).select("id", "bill_no", "branch"), _GRID)
 
 # Lookups and joins.
 add("lookup_so_master", lambda s, d: L.lookup_so_master(load(s, d).withColumn("fy", F.concat(F.year("sale_order_date"), F.lit("-"), F.right((F.year("sale_order_date") + 1).cast("string"), F.lit(2)))), load(s, d, _SO)).groupBy("so_exact").agg(_count()), f"WITH m AS (SELECT upper(trim(party_name)) AS p, upper(trim(brand)) AS b, trim(fy) AS f, arg_max(type_of_order, (so_order_date, id)) AS t FROM fx_so_master GROUP BY 1, 2, 3), x AS (SELECT upper(trim(to_party_name)) AS p, CASE upper(trim(brand)) WHEN 'D&J' THEN 'DON AND JULIO' WHEN 'IC' THEN 'ITALIAN CHANNEL' WHEN 'RF' THEN 'RISHAB FABRICS' ELSE upper(trim(brand)) END AS b, concat(year(sale_order_date), '-', right(CAST(year(sale_order_date) + 1 AS VARCHAR), 2)) AS f FROM fx_sales) SELECT m.t AS so_exact, count(*) AS n FROM x LEFT JOIN m ON x.p = m.p AND x.b = m.b AND x.f = m.f GROUP BY 1", "fx_sales", _SO)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
@@ -99,11 +101,9 @@ SELECT o_orderkey AS id, CASE WHEN o_custkey % 2 = 0 THEN 'party' ELSE 'type' EN
 def load(spark: SparkSession, sf_dir: str, name: str = "fx_sales") -> DataFrame:
     """A view as a DataFrame; tables are bound to the query, so no session state is changed."""
     sql = VIEWS[name]
-    used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
-    import re
-
+    used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if re.search(rf"\b(FROM|JOIN) {t}\b", sql)}
     bound = re.sub(r"\b(FROM|JOIN) (\w+)", lambda m: f"{m[1]} {{{m[2]}}}" if m[2] in used else m[0], sql)
-    return spark.sql(bound, **{t: d for t, d in used.items() if f"{{{t}}}" in bound})
+    return spark.sql(bound, **used)
 
 
 def with_views(sql: str, *names: str) -> str:
