@@ -2,6 +2,7 @@
 
 import datetime
 import decimal
+from concurrent.futures import ThreadPoolExecutor
 
 import duckdb
 import pytest
@@ -28,15 +29,28 @@ def duck():
     return con
 
 
+@pytest.fixture(scope="module")
+def results(spark):
+    """Columns and rows of each query, several at a time: most of their time is planning."""
+
+    def run(name):
+        df = Q.QUERIES[name](spark, SF)
+        return sorted(df.columns), df.collect()
+
+    with ThreadPoolExecutor(6) as pool:
+        yield {name: pool.submit(run, name) for name in Q.QUERIES}
+        pool.shutdown(cancel_futures=True)
+
+
 @pytest.mark.parametrize("name", list(Q.QUERIES))
-def test_query(spark, duck, name):
-    df = Q.QUERIES[name](spark, SF)
-    got = sorted(tuple(norm(r[c]) for c in sorted(df.columns)) for r in df.collect())
+def test_query(duck, results, name):
+    columns, rows = results[name].result()
+    got = sorted(tuple(norm(r[c]) for c in columns) for r in rows)
     if name not in Q.SQL:
         assert got
         return
     rel = duck.sql(Q.SQL[name])
-    assert sorted(rel.columns) == sorted(df.columns)
+    assert sorted(rel.columns) == columns
     at = [rel.columns.index(c) for c in sorted(rel.columns)]
     want = sorted(tuple(norm(r[i]) for i in at) for r in rel.fetchall())
     assert got == want
