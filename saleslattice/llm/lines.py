@@ -5,6 +5,9 @@ each line: a run's name is the first place (document, line) of its class, from t
 classes are the intervals of common prefixes of the lines' suffix array. After each step only runs that have a copy
 stay, and a window that is not the first of its class is deleted with all its lines.
 
+Runs under ``min_run`` lines stay, so by default a single line that repeats is kept, however long, and a text of one line
+loses nothing. ``long_words`` removes later copies of single lines of so many words too; it is off unless given.
+
 Order is by doc_id (null first), then line. Rows with equal doc_id are equals: they don't delete each other's lines.
 Null text has no lines and stays null; the empty text is one empty line. Other columns are kept.
 """
@@ -33,12 +36,14 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n")
 
 
-def repeated_lines(docs: DataFrame, key: str = "doc_id", col: str = "text", min_run: int = MIN_RUN) -> DataFrame:
+def repeated_lines(docs: DataFrame, key: str = "doc_id", col: str = "text", min_run: int = MIN_RUN, long_words: int | None = None) -> DataFrame:
     """doc, of (which text: hash), gone: the line numbers (from 0) that later copies of repeated runs cover."""
-    if min_run < 1:
-        raise ValueError("min_run")
+    if min_run < 1 or (long_words is not None and long_words < 1):
+        raise ValueError("min_run, long_words")
     doc, of = F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(NULL_ID)).alias("doc"), F.xxhash64(F.col(f"`{col}`")).alias("of")
-    lines = docs.where(F.col(f"`{col}`").isNotNull()).select(doc, of, F.posexplode(_lines(F.col(f"`{col}`"))).alias("line", "x")).select("doc", "of", "line", F.xxhash64("x").alias("nd"), F.xxhash64("x", F.length("x"), F.lit(1)).alias("nl"))
+    each = docs.where(F.col(f"`{col}`").isNotNull()).select(doc, of, F.posexplode(_lines(F.col(f"`{col}`"))).alias("line", "x"))
+    ids = ["doc", "of", "line", F.xxhash64("x").alias("nd"), F.xxhash64("x", F.length("x"), F.lit(1)).alias("nl")]
+    lines = each.select(*ids)
     runs, have = _named(lines, ["nd", "nl"]), 1
     while have < min_run:
         step = min(have, min_run - have)
@@ -47,13 +52,17 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", col: str = "text", min_
         own = runs.repartition("doc", "of").groupBy("doc", "of", "line").agg(F.first("nd").alias("nd"), F.first("nl").alias("nl"))
         nxt = own.select("*", *(F.lead(c, step).over(of_text).alias(f"{c}2") for c in ("line", "nd", "nl"))).where(F.col("line2") == F.col("line") + step)
         runs, have = _named(nxt, ["nd", "nl", "nd2", "nl2"]), have + step
-    later = runs.where((F.col("doc") != F.col("nd")) | (F.col("line") != F.col("nl")))
-    return later.groupBy("doc", "of").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.sequence("line", F.col("line") + min_run - 1))))).alias("gone"))
+    is_later = (F.col("doc") != F.col("nd")) | (F.col("line") != F.col("nl"))
+    later = runs.where(is_later).select("doc", "of", F.sequence("line", F.col("line") + min_run - 1).alias("run"))
+    if long_words is not None:
+        long = each.where((F.length("x") >= 2 * long_words - 1) & (F.regexp_count("x", F.lit(r"\S+")) >= long_words)).select(*ids)
+        later = later.unionByName(_named(long, ["nd", "nl"]).where(is_later).select("doc", "of", F.array("line").alias("run")))
+    return later.groupBy("doc", "of").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("run")))).alias("gone"))
 
 
-def line_dedup(docs: DataFrame, key: str = "doc_id", col: str = "text", min_run: int = MIN_RUN) -> DataFrame:
+def line_dedup(docs: DataFrame, key: str = "doc_id", col: str = "text", min_run: int = MIN_RUN, long_words: int | None = None) -> DataFrame:
     """docs with col rewritten and n_lines and n_removed added (columns of these names are replaced)."""
-    gone = repeated_lines(docs, key, col, min_run)
+    gone = repeated_lines(docs, key, col, min_run, long_words)
     keep = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     base = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)), F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(NULL_ID)).alias("_doc"), F.xxhash64(F.col(f"`{col}`")).alias("_of"))
     text = F.col(f"c{keep.index(col)}")
