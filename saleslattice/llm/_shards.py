@@ -10,8 +10,11 @@ hash of its ``gram``-token grams, so equal windows have equal minimizers, and ne
    and answers one bit a window: its first place in the corpus is this shard's;
 3. shards apply the bits to all their windows.
 
-A stretch shared by any number of documents reaches a bucket once a shard, so hot passages don't gather, and copies are
-never paired. Shards and buckets have bounded sizes; their number grows with the input. Lost executors: shards and
+A stretch shared by any number of documents reaches a bucket once a shard, so copies are never paired. Stretches of one
+minimizer that differ (at the edges of a hot passage, or around a common gram) would gather in its bucket: where shards
+hold more than ``CROWD`` of them besides one a shard, a second bit a key says so, and the minimizer's windows are sent
+one by one, dealt by the hash of the window, which equal windows share. Shards have bounded sizes, buckets bounded
+mean sizes and crowds; their number grows with the input. Lost executors: shards and
 bits are checkpointed, all else is recomputed from them.
 
 Order: by id, then by place in the text; a null id is before all others; rows with equal ids are equals.
@@ -20,7 +23,7 @@ Order: by id, then by place in the text; a null id is before all others; rows wi
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +34,10 @@ from pyspark.sql import functions as F
 
 from ._text import columns, grams, hash_spans, inside, lut, mix, pieces, ranges, spans
 
-SHARD_BYTES, BUCKET_BYTES, LONGEST = 4 << 20, 8 << 20, 256
+SHARD_BYTES, BUCKET_BYTES, LONGEST, CROWD = 4 << 20, 8 << 20, 256, 4096
 NO_ID = np.iinfo(np.int64).min
 _SHARD = "shard bigint, n bigint, ids binary, lens binary, blob binary"
+_KEYS = "shard bigint, bucket int, keys binary, more binary"
 _BITS = "shard bigint, bucket int, bits binary"
 
 
@@ -137,9 +141,7 @@ def unpack(row: dict, plan: Plan) -> Shard:
         parts = -(-n // LONGEST)
         inner = ranges(np.zeros(len(parts), np.int64), parts)
         at, n = np.repeat(at, parts) + inner * LONGEST, np.minimum(np.repeat(n, parts) - inner * LONGEST, LONGEST)
-    key = mix(low[at])
-    bucket = (key >> np.uint64(33)) % np.uint64(plan.buckets)
-    return Shard(ids, data, offs, starts, ends, firsts, at, n, (bucket << np.uint64(32)) | (key & np.uint64(0xFFFFFFFF)), h)
+    return Shard(ids, data, offs, starts, ends, firsts, at, n, _code(low[at], plan), h)
 
 
 @dataclass
@@ -151,6 +153,18 @@ class Plan:
     gram: int
     index: Callable
     buckets: int = 1
+    crowd: int = CROWD
+
+
+def _code(hashes: np.ndarray, plan: Plan) -> np.ndarray:
+    key = mix(hashes)
+    return (((key >> np.uint64(33)) % np.uint64(plan.buckets)) << np.uint64(32)) | (key & np.uint64(0xFFFFFFFF))
+
+
+def _contents(s: Shard, plan: Plan, which: np.ndarray) -> np.ndarray:
+    """The hash of each stretch's content."""
+    at, end = s.at[which], (s.at + s.n + plan.size - 1)[which]
+    return hash_spans(s.hashes.view(np.uint8), at * 8, end * 8) if plan.words else hash_spans(s.data, at, end)
 
 
 def _by_bucket(code: np.ndarray, buckets: int) -> np.ndarray:
@@ -164,34 +178,57 @@ def _rows(batches):
 
 
 def _send_keys(plan: Plan):
+    """A shard's keys by bucket, and how many distinct stretches besides one each has."""
+
     def run(batches):
         for row in _rows(batches):
-            code = np.unique(unpack(row, plan).code)
+            s = unpack(row, plan)
+            code, inv, n = np.unique(s.code, return_inverse=True, return_counts=True)
+            again = np.flatnonzero(n[inv] > 1)
+            who, h = inv[again], _contents(s, plan, again)
+            order = np.lexsort((h, who))
+            differs = (who[order][1:] == who[order][:-1]) & (h[order][1:] != h[order][:-1])
+            more = np.bincount(who[order][1:][differs], minlength=len(code))
             cut = _by_bucket(code, plan.buckets)
             full = np.flatnonzero(np.diff(cut))
             keys = [(np.diff(code[cut[b] : cut[b + 1]].astype(np.uint32), prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T).tobytes() for b in full]
-            yield pa.RecordBatch.from_arrays([pa.array([row["shard"]] * len(full), pa.int64()), pa.array(full, pa.int32()), pa.array(keys, pa.binary())], names=["shard", "bucket", "bits"])
+            extra = [_ints(x, "<u4") if (x := more[cut[b] : cut[b + 1]]).any() else None for b in full]
+            yield pa.RecordBatch.from_arrays([pa.array([row["shard"]] * len(full), pa.int64()), pa.array(full, pa.int32()), pa.array(keys, pa.binary()), pa.array(extra, pa.binary())], names=["shard", "bucket", "keys", "more"])
 
     return run
 
 
-def _shared_keys(table: pa.Table) -> pa.Table:
-    """Merge the shards' sorted keys: one bit a key, set where another shard has it too."""
-    sent = [np.cumsum(np.frombuffer(x, np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel(), dtype=np.uint32) for x in table["bits"].to_pylist()]
-    every = np.sort(np.concatenate(sent))
-    twice = np.unique(every[1:][every[1:] == every[:-1]])
-    bits = []
-    for s in sent:
-        at = np.minimum(np.searchsorted(twice, s), max(0, len(twice) - 1))
-        bits.append(np.packbits(twice[at] == s if len(twice) else np.zeros(len(s), bool)).tobytes())
-    return pa.table({"shard": table["shard"], "bucket": table["bucket"], "bits": pa.array(bits, pa.binary())})
+def _shared_keys(plan: Plan):
+    """Merge the shards' sorted keys: one bit a key, set where another shard has it too, then one a key, set where its
+    stretches are a crowd."""
 
+    def run(table: pa.Table) -> pa.Table:
+        sent = [np.cumsum(np.frombuffer(x, np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel(), dtype=np.uint32) for x in table["keys"].to_pylist()]
+        extra = [None if x is None else _of(x, "<u4") for x in table["more"].to_pylist()]
+        every = np.sort(np.concatenate(sent))
+        twice = np.unique(every[1:][every[1:] == every[:-1]])
+        some = [(s[x > 0], x[x > 0]) for s, x in zip(sent, extra, strict=True) if x is not None]
+        crowds = np.zeros(0, np.uint32)
+        if some:
+            key, of = np.unique(np.concatenate([k for k, _ in some]), return_inverse=True)
+            crowds = key[np.bincount(of, np.concatenate([x for _, x in some])) > plan.crowd]
+        bits = [np.packbits(np.concatenate([_among(s, twice), _among(s, crowds)])).tobytes() for s in sent]
+        return pa.table({"shard": table["shard"], "bucket": table["bucket"], "bits": pa.array(bits, pa.binary())})
 
-def _joined_bits(got: list[dict], tag: int, counts: np.ndarray) -> np.ndarray:
-    """The bits of a shard's answers in bucket order; counts: how many by bucket."""
+    return run
+
+
+def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of x are in known, which is sorted."""
+    at = np.minimum(np.searchsorted(known, x), max(0, len(known) - 1))
+    return known[at] == x if len(known) else np.zeros(len(x), bool)
+
+
+def _joined_bits(got: list[dict], tag: int, counts: np.ndarray, rows: int = 1) -> np.ndarray:
+    """The rows of bits of a shard's answers, each in bucket order; counts: how many in a row by bucket."""
     by = {x["bucket"]: x["bits"] for x in got if x["tag"] == tag}
-    parts = [np.unpackbits(np.frombuffer(by[b], np.uint8), count=c) for b, c in enumerate(counts.tolist()) if c]
-    return np.concatenate(parts).astype(bool) if parts else np.zeros(0, bool)
+    parts = [np.unpackbits(np.frombuffer(by[b], np.uint8), count=rows * c).reshape(rows, c) for b, c in enumerate(counts.tolist()) if c]
+    return np.concatenate(parts, axis=1).astype(bool) if parts else np.zeros((rows, 0), bool)
 
 
 @dataclass
@@ -204,31 +241,43 @@ class Sent:
     cut: np.ndarray  # contents by bucket
 
 
-def _candidates(s: Shard, plan: Plan, got: list[dict]) -> tuple[Sent, np.ndarray, np.ndarray]:
-    """What is sent, and id and place of every stretch."""
+def _apart(s: Shard, plan: Plan, crowd: np.ndarray) -> Shard:
+    """The shard with each window of the stretches in crowd as a stretch of its own, dealt by its hash."""
+    parts = np.where(crowd, s.n, 1)
+    at = np.repeat(s.at, parts) + ranges(np.zeros(len(parts), np.int64), parts)
+    one = np.repeat(crowd, parts)
+    out = replace(s, at=at, n=np.where(one, 1, np.repeat(s.n, parts)), code=np.repeat(s.code, parts))
+    which = np.flatnonzero(one)
+    out.code[which] = _code(_contents(out, plan, which), plan)
+    return out
+
+
+def _candidates(s: Shard, plan: Plan, got: list[dict]) -> tuple[Shard, Sent, np.ndarray, np.ndarray]:
+    """The shard with its crowds apart, what is sent, and id and place of every stretch."""
     code, inv, n = np.unique(s.code, return_inverse=True, return_counts=True)
-    shared = _joined_bits(got, 0, np.diff(_by_bucket(code, plan.buckets))) | (n > 1)
-    which = np.flatnonzero(shared[inv])
+    shared, crowd = _joined_bits(got, 0, np.diff(_by_bucket(code, plan.buckets)), 2)
+    sends = (shared | (n > 1))[inv]
+    if crowd.any():
+        crowd = crowd[inv]
+        s, sends = _apart(s, plan, crowd), np.repeat(sends | crowd, np.where(crowd, s.n, 1))
+    which = np.flatnonzero(sends)
     doc = np.searchsorted(s.firsts, s.at, "right") - 1
     id_, place = s.ids[doc], s.at - s.firsts[doc]
-    if plan.words:
-        h = hash_spans(s.hashes.view(np.uint8), s.at[which] * 8, (s.at + s.n + plan.size - 1)[which] * 8)
-    else:
-        h = hash_spans(s.data, s.at[which], (s.at + s.n + plan.size - 1)[which])
+    h = _contents(s, plan, which)
     order = np.lexsort((place[which], id_[which], h, s.code[which]))
     new = np.ones(len(order), bool)
     new[1:] = (h[order][1:] != h[order][:-1]) | (s.code[which][order][1:] != s.code[which][order][:-1])
     of = np.empty(len(order), np.int64)
     of[order] = np.cumsum(new) - 1
     first = which[order[new]]
-    return Sent(which, of, first, _by_bucket(s.code[first], plan.buckets)), id_, place
+    return s, Sent(which, of, first, _by_bucket(s.code[first], plan.buckets)), id_, place
 
 
 def _send_stretches(plan: Plan):
     def run(batches):
         for row in _rows(batches):
             s = unpack(row, plan)
-            c, id_, place = _candidates(s, plan, row["got"])
+            s, c, id_, place = _candidates(s, plan, row["got"])
             last = s.at + s.n + plan.size - 2
             lo, hi = (s.starts[s.at], s.ends[last]) if plan.words else (s.at, last + 1)
             out = []
@@ -307,10 +356,10 @@ def removed(row: dict, plan: Plan) -> tuple[Shard, np.ndarray]:
     total = int(s.firsts[-1])
     if not len(s.at):
         return s, np.zeros(total, bool)
-    c, id_, place = _candidates(s, plan, row["got"])
+    s, c, id_, place = _candidates(s, plan, row["got"])
     wins = s.n[c.first]
     counts = np.add.reduceat(np.concatenate([wins, [0]]), np.minimum(c.cut[:-1], len(wins))) * (np.diff(c.cut) > 0)
-    flag = _joined_bits(row["got"], 1, counts)
+    flag = _joined_bits(row["got"], 1, counts)[0]
     base = np.concatenate([[0], np.cumsum(wins)])
     same = id_[c.which] == id_[c.first[c.of]]
     if plan.words:
@@ -329,9 +378,9 @@ def repeats(docs: DataFrame, key: str, col: str, plan: Plan, finish, schema: str
     spark: SparkSession = docs.sparkSession
     shards = checkpointed(pack(docs, key, col))
     size = shards.agg(F.sum("n")).first()[0] or 0
-    plan.buckets = max(1, -(-size // BUCKET_BYTES))
+    plan.buckets, plan.crowd = max(1, -(-size // BUCKET_BYTES)), CROWD
     parts = max(plan.buckets, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    answers = shards.mapInArrow(_send_keys(plan), _BITS).repartition(parts, "bucket").groupBy("bucket").applyInArrow(_shared_keys, _BITS)
+    answers = shards.mapInArrow(_send_keys(plan), _KEYS).repartition(parts, "bucket").groupBy("bucket").applyInArrow(_shared_keys(plan), _BITS)
     answers = checkpointed(answers.withColumn("tag", F.lit(0)))
 
     def with_answers(bits: DataFrame) -> DataFrame:
