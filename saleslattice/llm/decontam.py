@@ -5,25 +5,34 @@ lower-cased (A-Z) and words are joined by single spaces, so that each window is
 share a shift table over hashed blocks; lanes of text advance together by their shifts, a zero shift looks up the
 suffix block's bucket, and bytes are compared to confirm.
 
-The benchmark is handled in blocks of ``block_bytes`` text at most; only one block's table is broadcast at a time.
+The benchmark's distinct windows are dealt to blocks of about ``block_bytes / 2`` text. Executors build each block's tables and
+write them to a shared folder; tasks read one block at a time and search it in a chunk of documents, so that neither
+the driver nor a task ever holds more of the benchmark than one block.
 Null and empty texts have no words and hit nothing. Items with a null id are skipped; repeated ids count once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+import zstandard
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import folder
 from ._text import LOWER, columns, lut, pieces, sha
 
 BITS, LANE = 22, 4096
+#: Bytes of text that a task searches for one block after the other; with one block, rows go as they come.
+CHUNK = 16 << 20
 _FLAT = LOWER.copy()
 _FLAT[~lut("alnum")] = 32
-_SCHEMA = "doc_id bigint, text string, n_words bigint, runs binary, items array<string>"
+_SCHEMA = "doc_id bigint, n_words bigint, runs binary, items array<string>"
 
 
 def flatten(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -102,87 +111,136 @@ class Table:
         return [(p, k) for p, k in zip(at[ok].tolist(), pat[ok].tolist(), strict=True) if whole.startswith(self.patterns[k], p)]
 
 
-def tables(items: list[tuple[str, str | None]], n: int) -> tuple[list[Table], dict[bytes, list[str]]]:
-    owners: dict[bytes, set[str]] = {}
-    for item, text in items:
-        for w in windows(text, n):
-            owners.setdefault(w, set()).add(item)
+def tables(found: list[bytes]) -> list[Table]:
     groups: dict[int, list[bytes]] = {}
-    for w in owners:
+    for w in found:
         groups.setdefault((len(w) >= 8) + (len(w) >= 16) + (len(w) >= 32), []).append(w)
-    return [Table(p) for p in groups.values()], {w: sorted(x) for w, x in owners.items()}
+    return [Table(p) for p in groups.values()]
 
 
-def _search(found):
-    """A mapInArrow function that adds one block's hits to each row's runs and items."""
-
+def _windows(n: int):
     def run(batches):
-        made, owners = found.value
         for b in pieces(batches, "text"):
-            text, firsts = flatten(*columns(b, "text"))
-            head = np.zeros(len(text), bool)
-            head[:-1] = (text[:-1] == 32) & (text[1:] != 32) & (text[1:] != 0)
-            words = np.concatenate([[0], np.cumsum(head)])
-            base = words[firsts]
-            spans_of: dict[int, list] = {}
-            items: dict[int, set] = {}
-            for t in made:
-                for at, k in t.find(text):
-                    p = t.patterns[k]
-                    row = int(np.searchsorted(firsts, at, "right")) - 1
-                    first = int(words[at] - base[row])
-                    spans_of.setdefault(row, []).append((first, first + p.count(b" ") - 1))
-                    items.setdefault(row, set()).update(owners[p])
-            runs, ids = b.column(b.schema.get_field_index("runs")).to_pylist(), b.column(b.schema.get_field_index("items")).to_pylist()
-            for r, x in spans_of.items():
-                old = np.frombuffer(runs[r] or b"", np.int64).reshape(-1, 2).tolist()
-                merged: list[list[int]] = []
-                for lo, hi in sorted([*map(list, old), *map(list, x)]):
-                    if merged and lo <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], hi)
-                    else:
-                        merged.append([lo, hi])
-                runs[r], ids[r] = np.array(merged, np.int64).tobytes(), sorted(items[r] | set(ids[r] or ()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.diff(base)), pa.array(runs, pa.binary()), pa.array(ids, pa.list_(pa.string()))], names=["doc_id", "text", "n_words", "runs", "items"])
+            for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                found = list(dict.fromkeys(windows(text, n)))
+                yield pa.RecordBatch.from_arrays([pa.array([item] * len(found), pa.string()), pa.array(found, pa.binary())], names=["item_id", "w"])
 
     return run
 
 
-def _blocks(docs: DataFrame, benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, str | None]]]:
-    """The benchmark's items in blocks of at most about block_bytes of windows."""
+def _built(table: pa.Table) -> pa.Table:
+    """A block's tables and the items of each window, packed."""
+    owners = dict(zip(table["w"].to_pylist(), table["items"].to_pylist(), strict=True))
+    made = zstandard.compress(pickle.dumps((tables(list(owners)), owners)), 1)
+    return pa.table({"block": table["block"][:1], "made": pa.array([made], pa.binary())})
+
+
+def _write_blocks(benchmark: DataFrame, n: int, block_bytes: int) -> tuple[str, int]:
+    """The folder of the blocks' tables, and how many blocks there are."""
     bench = benchmark.where("item_id is not null").select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
     size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = -(-size * 2 // block_bytes) or 1
-    for k in range(blocks):
-        part = bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else bench
-        yield [tuple(r) for r in part.collect()]
+    blocks, where = -(-size * 2 // block_bytes) or 1, folder(benchmark.sparkSession)
+    each = bench.mapInArrow(_windows(n), "item_id string, w binary").groupBy("w").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    dealt = each.withColumn("block", F.pmod(F.xxhash64("w"), F.lit(blocks)).cast("int"))
+    dealt.groupBy("block").applyInArrow(_built, "block int, made binary").write.partitionBy("block").parquet(where)
+    return where, blocks
+
+
+def _read_block(where: str, k: int) -> tuple[list[Table], dict[bytes, list[str]]]:
+    store, path = fs.FileSystem.from_uri(where)
+    files = store.get_file_info(fs.FileSelector(f"{path}/block={k}", allow_not_found=True))
+    for f in files:
+        if f.path.endswith(".parquet") and len(made := pq.ParquetFile(store.open_input_file(f.path)).read(["made"])["made"]):
+            return pickle.loads(zstandard.decompress(made[0].as_py()))
+    return [], {}
+
+
+def _chunks(batches, least: int) -> Iterator[list[pa.RecordBatch]]:
+    """Pieces in lists of at least so many bytes, but for the last."""
+    held, size = [], 0
+    for b in pieces(batches, "text"):
+        held.append(b)
+        size += b.nbytes
+        if size >= least:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _search(where: str, blocks: int, new: Callable, add: Callable, finish: Callable):
+    """A mapInArrow function: new(piece, text, firsts) makes a piece's state, add(state, tables, owners) takes a block's
+    hits into it, finish(state) makes a batch of it."""
+
+    def run(batches):
+        held = None
+        for chunk in _chunks(batches, CHUNK if blocks > 1 else 0):
+            states = [new(b, *flatten(*columns(b, "text"))) for b in chunk]
+            for k in range(blocks):
+                if held is None or blocks > 1:
+                    held = None  # goes before the next comes
+                    held = _read_block(where, k)
+                for s in states:
+                    add(s, *held)
+            yield from map(finish, states)
+
+    return run
+
+
+class _Hits:
+    def __init__(self, b: pa.RecordBatch, text: np.ndarray, firsts: np.ndarray):
+        self.b, self.text, self.firsts = b, text, firsts
+        head = np.zeros(len(text), bool)
+        head[:-1] = (text[:-1] == 32) & (text[1:] != 32) & (text[1:] != 0)
+        self.words = np.concatenate([[0], np.cumsum(head, dtype=np.int32)])
+        self.spans: dict[int, list] = {}
+        self.items: dict[int, set] = {}
+
+    def add(self, made: list[Table], owners: dict[bytes, list[str]]) -> None:
+        for t in made:
+            for at, k in t.find(self.text):
+                p = t.patterns[k]
+                row = int(np.searchsorted(self.firsts, at, "right")) - 1
+                first = int(self.words[at] - self.words[self.firsts[row]])
+                self.spans.setdefault(row, []).append((first, first + p.count(b" ") - 1))
+                self.items.setdefault(row, set()).update(owners[p])
+
+    def finish(self) -> pa.RecordBatch:
+        runs: list = [None] * self.b.num_rows
+        ids: list = [None] * self.b.num_rows
+        for r, x in self.spans.items():
+            merged: list[list[int]] = []
+            for lo, hi in sorted(x):
+                if merged and lo <= merged[-1][1]:
+                    merged[-1][1] = max(merged[-1][1], hi)
+                else:
+                    merged.append([lo, hi])
+            runs[r], ids[r] = np.array(merged, np.int64).tobytes(), sorted(self.items[r])
+        n_words = np.diff(self.words[self.firsts]).astype(np.int64)
+        return pa.RecordBatch.from_arrays([self.b.column(0), pa.array(n_words), pa.array(runs, pa.binary()), pa.array(ids, pa.list_(pa.string()))], names=["doc_id", "n_words", "runs", "items"])
+
+
+class _Clean:
+    def __init__(self, b: pa.RecordBatch, text: np.ndarray, firsts: np.ndarray):
+        self.b, self.text, self.firsts, self.keep = b, text, firsts, np.ones(b.num_rows, bool)
+
+    def add(self, made: list[Table], owners: dict[bytes, list[str]]) -> None:
+        hit = [at for t in made for at, _ in t.find(self.text)]
+        self.keep[np.searchsorted(self.firsts, np.array(hit, np.int64), "right") - 1] = False
+
+    def finish(self) -> pa.RecordBatch:
+        return self.b.filter(pa.array(self.keep))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_bytes: int = 1 << 20) -> DataFrame:
     """doc_id, n_words, runs (int64 pairs: first and past-last hit word, apart and in order) and items (ids, sorted)."""
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("binary").alias("runs"), F.lit(None).cast("array<string>").alias("items"))
-    for items in _blocks(docs, benchmark, block_bytes):
-        out = out.mapInArrow(_search(docs.sparkSession.sparkContext.broadcast(tables(items, n))), _SCHEMA)
-    return out.drop("text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(_search(*_write_blocks(benchmark, n, block_bytes), _Hits, _Hits.add, _Hits.finish), _SCHEMA)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_bytes: int = 1 << 20) -> DataFrame:
     """The rows of docs, with all columns, in which no window occurs."""
-    for items in _blocks(docs, benchmark, block_bytes):
-        held = docs.sparkSession.sparkContext.broadcast(tables(items, n))
-
-        def run(batches, held=held):
-            made, _ = held.value
-            for b in pieces(batches, "text"):
-                text, firsts = flatten(*columns(b, "text"))
-                hit = [at for t in made for at, _ in t.find(text)]
-                bad = np.searchsorted(firsts, np.array(hit, np.int64), "right") - 1
-                keep = np.ones(b.num_rows, bool)
-                keep[bad] = False
-                yield b.filter(pa.array(keep))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    return docs.mapInArrow(_search(*_write_blocks(benchmark, n, block_bytes), _Clean, _Clean.add, _Clean.finish), docs.schema)
 
 
 def _digests(batches):
