@@ -111,7 +111,11 @@ def search(df: DataFrame, groups: DataFrame, term: str = "", state: str = "") ->
 
 
 #: Columns in which a grid's totals are looked for.
-TOTAL_COLUMNS = ("branch", "state", "brand", "to_party_name")
+TOTAL_COLUMNS = ("branch", "item_no", "to_party_name", "party_name_for_count", "party_grouped", "agent_names_correction", "brand")
+
+
+def not_total_grid(df: DataFrame) -> Column:
+    return ~is_total_grid([c for c in TOTAL_COLUMNS if c in df.columns])
 
 
 def grid_page(df: DataFrame, groups: DataFrame, term: str = "", state: str = "", by: str = "id", asc: bool = False, page: int = 1, limit: int = 50) -> DataFrame:
@@ -119,4 +123,4 @@ def grid_page(df: DataFrame, groups: DataFrame, term: str = "", state: str = "",
     limit = min(max(limit, 10), 300)
     order = F.asc_nulls_last(by) if asc else F.desc_nulls_last(by)
     rows = search(df, groups, term, state).orderBy(order, F.asc("id") if asc else F.desc("id")).offset((max(page, 1) - 1) * limit).limit(limit)
-    return rows.where(~is_total_grid([c for c in TOTAL_COLUMNS if c in df.columns]))
+    return rows.where(not_total_grid(rows))

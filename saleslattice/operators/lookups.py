@@ -92,15 +92,15 @@ def display_agent(df: DataFrame, agents: DataFrame) -> DataFrame:
 
 def enrich_display(df: DataFrame, masters: dict[str, DataFrame], complete: bool = False) -> DataFrame:
     """Rows as shown: the types of parties from the master, sub-category from scheme where blank, time from the dates.
-    complete: the rows hold all of this already, so only total rows go."""
-    from .filters import TOTAL_COLUMNS, is_total_grid
+    complete: the rows hold all of this already, so only total rows go. Total rows are told by the names as shown."""
+    from .filters import not_total_grid
 
-    rows = df.where(~is_total_grid([c for c in TOTAL_COLUMNS if c in df.columns]))
     if complete:
-        return rows
-    out = _named(lookup_region(_with_names(rows, masters), masters["region"])).withColumn("_t", X.temporal_fallback_numeric())
+        return df.where(not_total_grid(df))
+    out = _named(lookup_region(_with_names(df, masters), masters["region"])).withColumn("_t", X.temporal_fallback_numeric())
     time = {c: F.coalesce(F.col(f"_t.{c}"), F.col(c)) for c in ("fy", "month", "mmm")}
-    return out.withColumns(time | {"branch": X.branch_rule(F.col("branch"), F.col("brand")), "business_type": F.col("master_type"), "item_sub_cat": X.first_non_blank(F.col("item_sub_cat"), F.col("scheme")), "item_with_shade": X.item_with_shade(F.col("item_no"), F.col("shade_name"))}).drop("_t", "master_type")
+    shown = out.withColumns(time | {"branch": X.branch_rule(F.col("branch"), F.col("brand")), "business_type": F.col("master_type"), "item_sub_cat": X.first_non_blank(F.col("item_sub_cat"), F.col("scheme")), "item_with_shade": X.item_with_shade(F.col("item_no"), F.col("shade_name"))}).drop("_t", "master_type")
+    return shown.where(not_total_grid(shown))
 
 
 def _find_agent(df: DataFrame, agents: DataFrame) -> DataFrame:

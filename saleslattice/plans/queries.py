@@ -78,7 +78,7 @@ _filter("f_eq_text", [{"field": "state", "operator": "eq", "value": "NATION_7"}]
 _filter("f_casefold", [{"field": "state", "operator": "eq", "value": "nation_7"}], "lower(trim(coalesce(state,''))) = 'nation_7'", True)
 _filter("f_fact_where", [{"field": "state", "operator": "in", "values": ["NATION_7", "NATION_11"]}, {"field": "sl_qty", "operator": "gt", "value": "10"}, {"field": "x", "operator": "nope", "value": "1"}], "state IN ('NATION_7','NATION_11') AND sl_qty > 10")
 add("f_date_range", lambda s, d: _total(load(s, d), F.col("bill_date").between("1998-01-01", "1998-12-31")), f"SELECT {AGG} FROM fx_sales WHERE bill_date BETWEEN DATE '1998-01-01' AND DATE '1998-12-31'")
-add("f_total_rows_grid", lambda s, d: _total(load(s, d), ~W.is_total_grid(["branch", "state", "brand", "to_party_name"])), f"SELECT {AGG} FROM fx_sales WHERE {NOT_TOTAL}")
+add("f_total_rows_grid", lambda s, d: _total(df := load(s, d), W.not_total_grid(df)), f"SELECT {AGG} FROM fx_sales WHERE {NOT_TOTAL}")
 add("f_missing_lookup", lambda s, d: _total(load(s, d), F.col("district").isNull() | (F.col("district") == "")), f"SELECT {AGG} FROM fx_sales WHERE district IS NULL OR district = ''")
 
 
