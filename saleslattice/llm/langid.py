@@ -1,9 +1,11 @@
 """Language ID by rank-order profiles (out-of-place distance).
 
 ``fit(labelled)`` counts letter n-grams (1 to 3 bytes of lower-cased words) over every labelled text and keeps each
-language's most frequent ones in order. ``predict(df, profiles)`` ranks a whole text's profile n-grams by frequency and
-sums, over a language's profile, how far each is out of place; the nearest language wins. The score is 1 where the text
-ranks as the profile does and 0 where nothing fits.
+language's most frequent ones in order. ``predict(df, profiles)`` ranks all n-grams of a whole text by frequency and
+sums, over its ``OF_TEXT`` most frequent, how far each is out of place in a language's profile; one that the profile
+lacks is ``PROFILE`` places away. The nearest language wins. The score is 1 where the text ranks as the profile does and
+0 where none of its n-grams is in the profile. Of n-grams of one frequency the lesser code comes first, in texts and
+profiles.
 
 Null, empty and letterless texts get ``und`` and score 0. Ties go to the first language in text order. Rows with a null
 label are not learnt from. With no labelled rows every text is ``und``. Other columns are not read.
@@ -11,67 +13,96 @@ label are not learnt from. With no labelled rows every text is ``und``. Other co
 
 from __future__ import annotations
 
-from collections import Counter
+import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._text import pieces
 
 PROFILE, OF_TEXT, GRAMS = 400, 300, 3
+#: Parts of a language's n-grams that are ranked apart before they are ranked together; counts that a task holds.
+PARTS, HELD = 16, 1 << 20
 #: Symbols: 0 no letter, 1 to 26 the letters a to z, then the bytes from 128 on.
 SYMBOLS = 27 + 128
-_CODE = np.zeros(256, np.int32)
+_CODE = np.zeros(256, np.int64)
 _CODE[97:123] = np.arange(1, 27)
 _CODE[128:] = np.arange(27, SYMBOLS)
+#: Bits of an n-gram's code, its length (in the last two) included.
+WIDTH = int(SYMBOLS**GRAMS * 4).bit_length()
+_LETTER = re.compile("[A-Za-z]")
 
 
-def _lowered(batch: pa.RecordBatch, name: str) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Lower-case texts, their bytes as symbols with a blank after each, and each text's start."""
-    texts = [(t or "").lower() for t in batch.column(batch.schema.get_field_index(name)).to_pylist()]
-    raws = [t.encode() for t in texts]
-    return texts, _CODE[np.frombuffer(b" " + b" ".join(raws) + b" ", np.uint8)], np.cumsum([0, *(len(r) + 1 for r in raws)])
+def has_letter(text: str) -> bool:
+    return bool(_LETTER.search(text)) or any(map(str.isalpha, text))
 
 
-def _grams(s: np.ndarray):
-    """For each length: codes of the n-grams at each place, and which of them count (no blank within, blank ends may be)."""
-    yield 1, s, s > 0
+def _grams(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of all n-grams of lower-case texts, and each one's text. Blanks stand before, between and after words; an
+    n-gram has a letter, a blank only at its ends."""
+    s = _CODE[np.frombuffer(b" " + b" ".join(raws) + b" ", np.uint8)]
+    of = np.repeat(np.arange(len(raws)), [len(r) + 1 for r in raws])
     two = s[:-1] * SYMBOLS + s[1:]
-    yield 2, two, (s[:-1] > 0) | (s[1:] > 0)
-    yield 3, two[:-1] * SYMBOLS + s[2:], s[1:-1] > 0
+    codes, texts = [], []
+    for n, g, ok in ((1, s, s > 0), (2, two, (s[:-1] > 0) | (s[1:] > 0)), (3, two[:-1] * SYMBOLS + s[2:], s[1:-1] > 0)):
+        at = np.flatnonzero(ok[: len(of)])
+        codes.append(g[at] * 4 + n)
+        texts.append(of[at])
+    return np.concatenate(codes), np.concatenate(texts)
+
+
+def _counted(keys: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and how often each comes (n: counts to add up)."""
+    if n is None:
+        keys = np.sort(keys)
+    else:
+        order = np.argsort(keys)
+        keys, n = keys[order], n[order]
+    at = np.flatnonzero(np.diff(keys, prepend=-1))
+    return keys[at], np.diff(np.append(at, len(keys))) if n is None else np.add.reduceat(n, at) if len(at) else n
+
+
+def _lowered(batch: pa.RecordBatch, name: str) -> tuple[list[str], list[bytes]]:
+    texts = [(t or "").lower() for t in batch.column(batch.schema.get_field_index(name)).to_pylist()]
+    return texts, [t.encode() for t in texts]
 
 
 def _count(batches):
-    totals: dict[tuple[str, int], np.ndarray] = {}
+    langs: dict[str, int] = {}
+    held = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+
+    def summed():
+        return _counted(np.concatenate([k for k, _ in held]), np.concatenate([n for _, n in held]))
+
+    def flush(keys, n):
+        names = np.array(list(langs), object)[keys >> WIDTH] if len(keys) else []
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(keys & ((1 << WIDTH) - 1)), pa.array(n)], names=["lang", "gram", "n"])
+
     for b in pieces(batches, "text", 1 << 20):
-        langs = b.column(b.schema.get_field_index("lang")).to_pylist()
-        _, s, firsts = _lowered(b, "text")
-        codes: dict[str, int] = {}
-        of = np.repeat([codes.setdefault(x, len(codes)) for x in langs], np.diff(firsts))
-        for n, g, ok in _grams(s):
-            at = np.flatnonzero(ok)
-            at = at[at < len(of)]
-            for lang, k in codes.items():
-                at_lang, n_at = np.unique(g[at[of[at] == k]], return_counts=True)
-                if (lang, n) not in totals:
-                    totals[lang, n] = np.zeros(SYMBOLS**n, np.uint32)
-                totals[lang, n][at_lang] += n_at.astype(np.uint32)
-    for (lang, n), c in totals.items():
-        at = np.flatnonzero(c)
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at * 4 + n, pa.int64()), pa.array(c[at], pa.int64())], names=["lang", "gram", "n"])
+        codes, of = _grams(_lowered(b, "text")[1])
+        lang = np.array([langs.setdefault(x, len(langs)) for x in b.column(b.schema.get_field_index("lang")).to_pylist()], np.int64)
+        held.append(_counted(lang[of] << WIDTH | codes))
+        if sum(len(k) for k, _ in held) > HELD:
+            held[:] = [summed()]
+            if len(held[0][0]) > HELD // 2:
+                yield flush(*held[0])
+                held[:] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    yield flush(*summed())
 
 
 def fit(labelled: DataFrame, size: int = PROFILE) -> dict[str, list[int]]:
     """Each language's ``size`` most frequent n-grams, most frequent first; at most size times languages reach the driver."""
-    from pyspark.sql import Window
-
     counts = labelled.where("lang is not null").select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).mapInArrow(_count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    top = counts.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("r") <= size)
+    parts = counts.withColumn("part", F.pmod(F.xxhash64("gram"), F.lit(PARTS)))
+
+    def first(rows: DataFrame, *by: str) -> DataFrame:
+        return rows.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), "gram"))).where(F.col("r") <= size)
+
     out: dict[str, list[int]] = {}
-    for lang, gram, _ in sorted(((r.lang, r.gram, r.r) for r in top.collect()), key=lambda x: (x[0], x[2])):
+    for lang, gram, _ in sorted(((r.lang, r.gram, r.r) for r in first(first(parts, "lang", "part").drop("r"), "lang").collect()), key=lambda x: (x[0], x[2])):
         out.setdefault(lang, []).append(gram)
     return out
 
@@ -79,39 +110,34 @@ def fit(labelled: DataFrame, size: int = PROFILE) -> dict[str, list[int]]:
 class Ranker:
     def __init__(self, profiles: dict[str, list[int]]):
         self.langs = sorted(profiles)
-        self.known = sorted({g for p in profiles.values() for g in p})
-        self.v = len(self.known)
-        place = {g: i for i, g in enumerate(self.known)}
-        self.tables = {n: np.full(SYMBOLS**n, -1, np.int32) for n in range(1, GRAMS + 1)}
-        for g, i in place.items():
-            self.tables[g % 4][g // 4] = i
-        self.ranks = np.full((len(self.langs), self.v), PROFILE, np.int32)
+        self.known = np.array(sorted({g for p in profiles.values() for g in p}), np.int64)
+        #: Rank of each known n-gram by language, PROFILE where the profile lacks it; the last column is for all others.
+        self.ranks = np.full((len(self.langs), len(self.known) + 1), PROFILE, np.int64)
         for k, lang in enumerate(self.langs):
-            for r, g in enumerate(profiles[lang]):
-                self.ranks[k, place[g]] = r
+            self.ranks[k, np.searchsorted(self.known, profiles[lang])] = np.arange(len(profiles[lang]))
 
     def of(self, batch: pa.RecordBatch, name: str) -> tuple[list[str], list[float]]:
-        texts, s, firsts = _lowered(batch, name)
+        texts, raws = _lowered(batch, name)
         d = len(texts)
-        lens = np.diff(firsts)
-        row = np.repeat(np.arange(d), lens)
-        counts = np.zeros((d, self.v), np.int64)
-        for n, g, _ in _grams(s):
-            which = self.tables[n][g[: len(row)]]
-            at = np.flatnonzero(which >= 0)
-            counts += np.bincount(row[at] * self.v + which[at], minlength=d * self.v).reshape(d, self.v)
-        letter = np.array([t.isalpha() or any(map(str.isalpha, Counter(t))) for t in texts], bool) if d else np.zeros(0, bool)
-        top = np.argsort(-counts, axis=1, kind="stable")[:, :OF_TEXT]
-        there = np.take_along_axis(counts, top, 1) > 0
-        far = np.zeros((d, len(self.langs)), np.int64)
-        for k in range(len(self.langs)):
-            out = np.minimum(np.abs(self.ranks[k][top] - np.arange(top.shape[1])), PROFILE)
-            out[self.ranks[k][top] == PROFILE] = PROFILE
-            far[:, k] = (out * there).sum(1)
+        codes, of = _grams(raws)
+        keys, n = _counted(of << WIDTH | codes)
+        # in order of text, falling frequency and code: one sort of all three in one number
+        most, span = int(n.max(initial=0)), 1 << WIDTH
+        keys = np.sort(((keys >> WIDTH) * (most + 1) + most - n) * span + (keys & (span - 1)))
+        row, gram = keys // (span * (most + 1)), keys & (span - 1)
+        rank = np.arange(len(keys)) - np.searchsorted(row, np.arange(d))[row]
+        top = np.flatnonzero(rank < OF_TEXT)
+        row, gram, rank = row[top], gram[top], rank[top]
+        at = np.minimum(np.searchsorted(self.known, gram), len(self.known) - 1)
+        at[self.known[at] != gram] = len(self.known)
+        far = np.empty((d, len(self.langs)))
+        for k, ranks in enumerate(self.ranks):
+            place = ranks[at]
+            far[:, k] = np.bincount(row, np.where(place == PROFILE, PROFILE, np.minimum(np.abs(place - rank), PROFILE)), d)
         best = far.argmin(1)
-        n = there.sum(1)
-        score = 1 - far[np.arange(d), best] / np.maximum(n * PROFILE, 1)
-        score[(n == 0) | ~letter] = 0
+        total = np.bincount(row, minlength=d)
+        letter = np.fromiter(map(has_letter, texts), bool, d)
+        score = np.where(letter & (total > 0), 1 - far[np.arange(d), best] / np.maximum(total * PROFILE, 1), 0.0)
         return [self.langs[b] if ok else "und" for b, ok in zip(best.tolist(), letter.tolist(), strict=True)], score.clip(0, 1).tolist()
 
 
