@@ -1,9 +1,12 @@
 """Line dedup: later copies of repeated runs of lines go. Built-in expressions only.
 
-Lines get an id (a 128-bit hash). Prefix doubling names the runs of 1, 2, 4, ... up to ``min_run`` lines that start at
-each line: a run's name is the first place (document, line) of its class, from the names of its two halves, so
-classes are the intervals of common prefixes of the lines' suffix array. After each step only runs that have a copy
-stay, and a window that is not the first of its class is deleted with all its lines.
+A document is a sequence of line ids (128-bit hashes), and all documents' suffixes of lines are sorted by distributed
+prefix doubling: a rank stands for the first ``have`` lines of a suffix in sorted order, and the ranks at a line and
+``have`` lines on give the rank for twice as many. Suffixes of one rank are an interval of the suffix array with a common
+prefix of ``have`` lines at least; suffixes that are alone have no copy and take no further part, so rounds get smaller,
+and they end when all are alone. From ``min_run`` lines on, each interval's first place (document, line) is the one that
+stays; the other places are later copies of a run of ``have`` lines. Runs that overlap or meet make the maximal repeated
+runs of a document, which go.
 
 Runs under ``min_run`` lines stay, so by default a single line that repeats is kept, however long, and a text of one line
 loses nothing. ``long_words`` removes later copies of single lines of so many words too; it is off unless given.
@@ -14,61 +17,92 @@ Null text has no lines and stays null; the empty text is one empty line. Other c
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._shards import checkpointed
+
 MIN_RUN = 2
-NULL_ID = -(1 << 63)
 
 
-def _named(runs: DataFrame, keys: list[str]) -> DataFrame:
-    """runs with name: the first place of its class; classes of one place are gone.
+def _ranked(runs: DataFrame, keys: list[str]) -> DataFrame:
+    """doc, of, line, rank and later (another place of the rank comes first) of runs whose keys have another place too.
+    Ranks are in the order of keys: classes are dealt by ranges, sorted, and numbered in that order.
 
     The join's key differs from the group's, so that both sides are dealt anew and a hot class can be split."""
-    first = runs.groupBy(*keys).agg(F.min(F.struct("doc", "line")).alias("name"), F.max(F.struct("doc", "line")).alias("last")).where("name < last").select(*(F.col(k).alias(f"_{k}") for k in keys), "name")
-    key = F.xxhash64(*keys).alias("_k")
-    left, right = runs.withColumn("_k", key), first.withColumn("_k", F.xxhash64(*(f"_{k}" for k in keys)))
+    groups = runs.groupBy(*keys).agg(F.min(F.struct("doc", "line")).alias("first"), F.max(F.struct("doc", "line")).alias("last")).where("first < last")
+    sorted_ = groups.repartitionByRange(*keys).sortWithinPartitions(*keys).select(*(F.col(k).alias(f"_{k}") for k in keys), "first", F.monotonically_increasing_id().alias("_at"))
+    left, right = runs.withColumn("_k", F.xxhash64(*keys)), sorted_.withColumn("_k", F.xxhash64(*(f"_{k}" for k in keys)))
     on = [left["_k"] == right["_k"], *(left[k] == right[f"_{k}"] for k in keys)]
-    return left.join(right.hint("merge"), on).select("doc", "of", "line", F.col("name.doc").alias("nd"), F.col("name.line").alias("nl"))
+    return left.join(right.hint("merge"), on).select("doc", "of", "line", F.col("_at").alias("rank"), (F.struct("doc", "line") != F.col("first")).alias("later"))
 
 
 def _lines(text: Column) -> Column:
     return F.split(text, "\n")
 
 
-def repeated_lines(docs: DataFrame, key: str = "doc_id", col: str = "text", min_run: int = MIN_RUN, long_words: int | None = None) -> DataFrame:
-    """doc, of (which text: hash), gone: the line numbers (from 0) that later copies of repeated runs cover."""
+def _later_runs(each: DataFrame, min_run: int) -> list[DataFrame]:
+    """doc, of, line and end of later copies, by rounds of doubling. each: doc, of, line, x."""
+    lines = each.select("doc", "of", "line", F.xxhash64("x").alias("k1"), F.xxhash64(F.lit(1), "x").alias("k2"))
+    ranks, have, found = _ranked(lines, ["k1", "k2"]), 1, []
+    while True:
+        if have >= min_run:
+            ranks = checkpointed(ranks)
+            if ranks.isEmpty():
+                return found
+            found.append(ranks.where("later").select("doc", "of", "line", (F.col("line") + have).alias("end")))
+        step = min(have, min_run - have) if have < min_run else have
+        of_text = Window.partitionBy("doc", "of").orderBy("line")
+        # equal rows have equal ranks; one of each is enough
+        own = ranks.repartition("doc", "of").groupBy("doc", "of", "line").agg(F.first("rank").alias("rank"))
+        both = own.select("*", F.lead("line", step).over(of_text).alias("line2"), F.lead("rank", step).over(of_text).alias("rank2"))
+        ranks, have = _ranked(both.where(F.col("line2") == F.col("line") + step), ["rank", "rank2"]), have + step
+
+
+def repeated_runs(docs: DataFrame, key: str = "doc_id", col: str = "text", min_run: int = MIN_RUN, long_words: int | None = None) -> DataFrame:
+    """doc, of (which text: hash), runs: the maximal runs of lines that are later copies, each as start (from 0) and end
+    (past the last), in order."""
     if min_run < 1 or (long_words is not None and long_words < 1):
         raise ValueError("min_run, long_words")
-    doc, of = F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(NULL_ID)).alias("doc"), F.xxhash64(F.col(f"`{col}`")).alias("of")
-    each = docs.where(F.col(f"`{col}`").isNotNull()).select(doc, of, F.posexplode(_lines(F.col(f"`{col}`"))).alias("line", "x"))
-    ids = ["doc", "of", "line", F.xxhash64("x").alias("nd"), F.xxhash64("x", F.length("x"), F.lit(1)).alias("nl")]
-    lines = each.select(*ids)
-    runs, have = _named(lines, ["nd", "nl"]), 1
-    while have < min_run:
-        step = min(have, min_run - have)
-        of_text = Window.partitionBy("doc", "of").orderBy("line")
-        # equal rows have equal runs; one of each is enough
-        own = runs.repartition("doc", "of").groupBy("doc", "of", "line").agg(F.first("nd").alias("nd"), F.first("nl").alias("nl"))
-        nxt = own.select("*", *(F.lead(c, step).over(of_text).alias(f"{c}2") for c in ("line", "nd", "nl"))).where(F.col("line2") == F.col("line") + step)
-        runs, have = _named(nxt, ["nd", "nl", "nd2", "nl2"]), have + step
-    is_later = (F.col("doc") != F.col("nd")) | (F.col("line") != F.col("nl"))
-    later = runs.where(is_later).select("doc", "of", F.sequence("line", F.col("line") + min_run - 1).alias("run"))
+    text = F.col(f"`{col}`")
+    each = docs.where(text.isNotNull()).select(F.col(f"`{key}`").cast("long").alias("doc"), F.xxhash64(text).alias("of"), F.posexplode(_lines(text)).alias("line", "x"))
+    found = _later_runs(each, min_run)
     if long_words is not None:
-        long = each.where((F.length("x") >= 2 * long_words - 1) & (F.regexp_count("x", F.lit(r"\S+")) >= long_words)).select(*ids)
-        later = later.unionByName(_named(long, ["nd", "nl"]).where(is_later).select("doc", "of", F.array("line").alias("run")))
-    return later.groupBy("doc", "of").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("run")))).alias("gone"))
+        long = each.where((F.length("x") >= 2 * long_words - 1) & (F.regexp_count("x", F.lit(r"\S+")) >= long_words))
+        one = _ranked(long.select("doc", "of", "line", F.xxhash64("x").alias("k1"), F.xxhash64(F.lit(1), "x").alias("k2")), ["k1", "k2"])
+        found.append(one.where("later").select("doc", "of", "line", (F.col("line") + 1).alias("end")))
+    if not found:
+        return each.where(F.lit(False)).select("doc", "of", F.array(F.struct(F.col("line").alias("start"), F.col("line").alias("end"))).alias("runs"))
+    ends = reduce(DataFrame.unionByName, found).groupBy("doc", "of", "line").agg(F.max("end").alias("end"))
+    of_text = Window.partitionBy("doc", "of").orderBy("line")
+    before = F.max("end").over(of_text.rowsBetween(Window.unboundedPreceding, -1))
+    starts = ends.repartition("doc", "of").withColumn("new", F.coalesce(F.col("line") > before, F.lit(True)))
+    parts = starts.withColumn("part", F.count_if("new").over(of_text.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = parts.groupBy("doc", "of", "part").agg(F.min("line").alias("start"), F.max("end").alias("end"))
+    return runs.groupBy("doc", "of").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("runs"))
+
+
+def _kept(lines: Column, runs: Column) -> Column:
+    """The lines outside the runs: what lies before each, and after the last."""
+    def between(i: Column) -> Column:
+        start = F.coalesce(F.get(runs, i - 1)["end"], F.lit(0))
+        return F.slice(lines, start + 1, F.coalesce(F.get(runs, i)["start"], F.size(lines)) - start)
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(runs)), between))
 
 
 def line_dedup(docs: DataFrame, key: str = "doc_id", col: str = "text", min_run: int = MIN_RUN, long_words: int | None = None) -> DataFrame:
     """docs with col rewritten and n_lines and n_removed added (columns of these names are replaced)."""
-    gone = repeated_lines(docs, key, col, min_run, long_words)
+    gone = repeated_runs(docs, key, col, min_run, long_words)
     keep = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    base = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)), F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(NULL_ID)).alias("_doc"), F.xxhash64(F.col(f"`{col}`")).alias("_of"))
+    base = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)), F.col(f"`{key}`").cast("long").alias("_doc"), F.xxhash64(F.col(f"`{col}`")).alias("_of"))
     text = F.col(f"c{keep.index(col)}")
-    joined = base.join(gone, (base["_doc"] == gone["doc"]) & (base["_of"] == gone["of"]), "left")
-    kept = F.array_join(F.filter(_lines(text), lambda x, i: ~F.array_contains("gone", i)), "\n")
-    made = {col: F.when(F.col("gone").isNotNull(), kept).otherwise(text), "n_lines": F.when(text.isNull(), 0).otherwise(F.size(_lines(text))).cast("long"), "n_removed": F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long")}
+    joined = base.join(gone, base["_doc"].eqNullSafe(gone["doc"]) & (base["_of"] == gone["of"]), "left")
+    kept = F.array_join(_kept(_lines(text), F.col("runs")), "\n")
+    removed = F.aggregate("runs", F.lit(0), lambda n, r: n + r["end"] - r["start"])
+    made = {col: F.when(F.col("runs").isNotNull() & text.isNotNull(), kept).otherwise(text), "n_lines": F.when(text.isNull(), 0).otherwise(F.size(_lines(text))).cast("long"), "n_removed": F.when(F.col("runs").isNull() | text.isNull(), 0).otherwise(removed).cast("long")}
     names = {c: F.col(f"c{i}") for i, c in enumerate(keep)} | made
     return joined.select(*(x.alias(c) for c, x in names.items()))
 

@@ -61,6 +61,22 @@ def test_near_dedup(spark, few, monkeypatch):
     assert sorted(map(tuple, forest.near_dedup(odd).collect()), key=str) == sorted([(1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (None, 2, None, True), (None, 0, None, True)], key=str)
 
 
+def test_ids_with_several_texts(spark):
+    """One of the texts of an id makes its links; the rows have one component, each its own size."""
+    near = [f"w{i}" for i in range(60)]
+    other = [f"v{i}" for i in range(60)]
+    rows = [(5, " ".join(near)), (5, " ".join(other)), (5, None), (5, ""), (7, " ".join([*near[:-1], "x"])), (8, " ".join([*other[:-1], "x"])), (9, ""), (9, "a b c d e f"), (10, "a b c d e f"), (None, "a b c d e f")]
+    for n in (1, 6):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(n)
+        got = sorted((tuple(r) for r in forest.near_dedup(df).collect()), key=str)
+        comp = {}
+        for i, _, c, _ in got:
+            comp.setdefault(i, set()).add(c)
+        assert comp[5] == {5} and (comp[7], comp[8]) in (({5}, {8}), ({7}, {5})) and comp[9] == comp[10] == {9} and comp[None] == {None}
+        assert sorted(r[1] for r in got if r[0] == 5) == [0, 0, 56, 56] and sorted(r[1] for r in got if r[0] == 9) == [0, 2]
+    assert got == sorted((tuple(r) for r in forest.near_dedup(df.repartition(3)).collect()), key=str)
+
+
 def brute_lines(rows, k):
     first = {}
     for d, t in rows:
@@ -85,6 +101,16 @@ def test_line_dedup(spark, k):
     assert got == brute_lines(rows, k)
 
 
+def test_line_runs(spark):
+    """Runs longer than the least: maximal, over several rounds of doubling, also where they repeat within a text."""
+    a = [f"line {i}" for i in range(37)]
+    rows = [(1, "\n".join(a)), (2, "\n".join(["x", *a[3:30], "y", *a[30:]])), (3, "\n".join(a[5:7] + a[20:37])), (4, "\n".join(["p", "q", "p", "q", "p", "q"])), (5, "\n".join(a)), (-(1 << 63), "u\nv"), (None, "u\nv\nw"), (6, "v\nw")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc: [tuple(x) for x in r.runs] for r in lines.repeated_runs(df).collect()}
+    assert got == {2: [(1, 28), (29, 36)], 3: [(0, 19)], 4: [(2, 6)], 5: [(0, 37)], -(1 << 63): [(0, 2)], 6: [(0, 2)]}
+    assert "Python" not in lines.line_dedup(df)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_line_edges(spark):
     rows = [(1, "a\nb"), (1, "a\nb"), (None, "a\nb\nc"), (3, None), (2, "x\na\nb")]
     got = sorted(map(tuple, lines.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
