@@ -1,11 +1,13 @@
 """WARC derivatives: response records to plain-text conversion and metadata records.
 
-``derive(pages)`` gives two records a page. Both carry WARC-Refers-To with the response's record id, its target URI,
-date and digests; the metadata record keeps the source's headers and the page's links count and title. Record ids are
-name-based, so a repeated run writes the same records. All work is in built-in expressions.
+``derive(pages)`` gives two records a page. Both refer to the response: its record id (WARC-Refers-To), target URI and
+date (WARC-Refers-To-Target-URI, WARC-Refers-To-Date) and digests; the metadata record keeps the source's headers and
+the page's link count and title. The source's date is that of its Date header, else the parameter. Record ids are
+name-based, so a repeated run writes the same records. All work is in built-in expressions, each linear in the page: an
+element or comment that is never closed ends with the page.
 
 Null html is an empty response; null or blank url gives a null target URI; repeated rows give repeated records (ids
-differ by page_id only). Pages with a null page_id get ids made of the other fields.
+differ by page_id only). Pages with a null page_id get ids made of the other fields. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,13 +30,34 @@ def digest(c: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(c.cast("binary"), 256))
 
 
+def numbered(text: Column) -> Column:
+    """text with numeric entities read; those that name no character stay."""
+    def read(part: Column, i: Column) -> Column:
+        code = F.regexp_extract(part, "^(x[0-9a-fA-F]{1,6}|[0-9]{1,7});", 1)
+        n = F.when(code.startswith("x"), F.conv(F.substring(code, 2, 6), 16, 10)).otherwise(code).try_cast("int")
+        ok = n.between(1, 0xD7FF) | n.between(0xE000, 0x10FFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+        rest = F.substring(part, F.length(code) + 2, F.length(part))
+        return F.when(i == 0, part).when(ok, F.concat(char, rest)).otherwise(F.concat(F.lit("&#"), part))
+
+    return F.array_join(F.transform(F.split(text, "&#"), read), "")
+
+
+def http_date(head: Column) -> Column:
+    """The Date header of an HTTP head in the form of WARC dates; null where there is none that can be read."""
+    found = F.regexp_extract(head, r"(?im)^Date:[ \t]*(?:[a-z]+,[ \t]*)?(\d{1,2} [a-z]{3} \d{4} \d{2}:\d{2}:\d{2}) GMT[ \t]*\r?$", 1)
+    return F.date_format(F.try_to_timestamp(found, F.lit("d MMM yyyy HH:mm:ss")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
 def plain_text(html: Column) -> Column:
     """Text of a page: scripts, styles, comments, head and navigation go, block ends become line ends, entities are read."""
-    t = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
-    t = F.regexp_replace(t, r"(?si)<(script|style|head|nav|noscript)\b[^>]*>.*?</\1\s*>", "")
-    t = F.regexp_replace(t, r"(?i)<br\s*/?>|</?(p|div|li|ul|ol|h[1-6]|tr|table|article|section|footer|header)\b[^>]*>", "\n")
-    t = F.regexp_replace(t, r"<[^>]*>", "")
-    for name, to in (("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("amp", "&")):
+    t = F.regexp_replace(html, r"(?s)<!--.*?(?:-->|\z)", "")
+    t = F.regexp_replace(t, r"(?si)<head\b[^<>]*>.*?(?:</head\s*>|(?=<body\b)|\z)", "")
+    t = F.regexp_replace(t, r"(?si)<(script|style|nav|noscript)\b[^<>]*>.*?(?:</\1\s*>|\z)", "")
+    t = F.regexp_replace(t, r"(?i)<br\s*/?>|</?(p|div|li|ul|ol|h[1-6]|tr|table|article|section|footer|header)\b[^<>]*>", "\n")
+    t = F.regexp_replace(t, r"<[^<>]*>", "")
+    t = F.when(t.contains("&#"), numbered(t)).otherwise(t)
+    for name, to in (("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("amp", "&")):
         t = F.replace(t, F.lit(f"&{name};"), F.lit(to))
     t = F.regexp_replace(t, r"[ \t\r\x{A0}]+", " ")
     return F.regexp_replace(F.regexp_replace(t, r" ?\n[ \n]*", "\n"), r"^[\n ]+|[\n ]+$", "")
@@ -56,23 +79,24 @@ def responses(pages: DataFrame) -> DataFrame:
 def derive(pages: DataFrame, date: str = DATE) -> DataFrame:
     """page_id, record_type, record_id, refers_to, target_uri, date, headers, block, block_digest, source digests."""
     r = responses(pages).withColumn("text", plain_text(F.col("payload")))
-    title = F.trim(F.regexp_extract("payload", r"(?si)<title[^>]*>(.*?)</title>", 1))
+    title = F.trim(F.regexp_extract("payload", r"(?si)<title\b[^<>]*>(.*?)(?:</title|\z)", 1))
     links = F.size(F.regexp_extract_all("payload", F.lit(r"(?i)<a\b[^>]*\bhref\s*="), F.lit(0)))
     meta = F.concat(F.lit("title: "), title, F.lit(f"{CRLF}outlinks: "), links.cast("string"), F.lit(f"{CRLF}text-length: "), F.octet_length("text").cast("string"), F.lit(CRLF))
     both = r.withColumns({"meta": meta}).select("*", F.explode(F.array(F.struct(F.lit("conversion").alias("record_type"), F.lit("text/plain").alias("content_type"), F.col("text").alias("block")), F.struct(F.lit("metadata").alias("record_type"), F.lit("application/warc-fields").alias("content_type"), F.concat("meta", F.regexp_replace("head", r"(?m)^", "source-")).alias("block")))).alias("x"))
-    out = both.select("page_id", "x.record_type", "x.content_type", "target_uri", F.lit(date).alias("date"), F.col("record_id").alias("refers_to"), "payload_digest", F.col("block_digest").alias("source_block_digest"), F.col("head").alias("source_headers"), "x.block")
+    out = both.select("page_id", "x.record_type", "x.content_type", "target_uri", F.coalesce(http_date(F.col("head")), F.lit(date)).alias("date"), F.col("record_id").alias("refers_to"), "payload_digest", F.col("block_digest").alias("source_block_digest"), F.col("head").alias("source_headers"), "x.block")
     return out.withColumns({"record_id": uuid_of(F.col("record_type"), F.col("refers_to")), "block_digest": digest(F.col("block"))})
 
 
 def as_records(derived: DataFrame) -> DataFrame:
-    """Each record as the bytes of a WARC 1.1 record (page_id, record_type, record)."""
+    """derived with record, the bytes of a WARC 1.1 record."""
     def line(name: str, c: Column) -> Column:
         return F.when(c.isNull(), "").otherwise(F.concat(F.lit(f"{name}: "), c, F.lit(CRLF)))
 
-    head = F.concat(F.lit(f"WARC/1.1{CRLF}"), line("WARC-Type", F.col("record_type")), line("WARC-Record-ID", F.col("record_id")), line("WARC-Refers-To", F.col("refers_to")), line("WARC-Target-URI", F.col("target_uri")), line("WARC-Date", F.col("date")), line("WARC-Block-Digest", F.col("block_digest")), line("WARC-Source-Payload-Digest", F.col("payload_digest")), line("Content-Type", F.col("content_type")), line("Content-Length", F.octet_length("block").cast("string")))
-    return derived.select("page_id", "record_type", F.concat(head, F.lit(CRLF), "block", F.lit(CRLF * 2)).cast("binary").alias("record"))
+    head = F.concat(F.lit(f"WARC/1.1{CRLF}"), line("WARC-Type", F.col("record_type")), line("WARC-Record-ID", F.col("record_id")), line("WARC-Refers-To", F.col("refers_to")), line("WARC-Refers-To-Target-URI", F.col("target_uri")), line("WARC-Refers-To-Date", F.col("date")), line("WARC-Target-URI", F.col("target_uri")), line("WARC-Date", F.col("date")), line("WARC-Block-Digest", F.col("block_digest")), line("WARC-Source-Payload-Digest", F.col("payload_digest")), line("Content-Type", F.col("content_type")), line("Content-Length", F.octet_length("block").cast("string")))
+    return derived.withColumn("record", F.concat(head, F.lit(CRLF), "block", F.lit(CRLF * 2)).cast("binary"))
 
 
 def op1_warc_derivatives(spark, sf_dir: str) -> DataFrame:
-    d = derive(spark.read.parquet(f"{sf_dir}/pages.parquet"))
-    return d.select("page_id", "record_type", "record_id", "refers_to", "target_uri", "payload_digest", "source_block_digest", "block_digest", F.octet_length("block").alias("block_bytes"), F.col("source_headers"))
+    d = as_records(derive(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+    fields = ("page_id", "record_type", "record_id", "refers_to", "target_uri", "date", "payload_digest", "source_block_digest", "block_digest", "source_headers")
+    return d.select(*fields, F.octet_length("block").alias("block_bytes"), F.octet_length("record").alias("record_bytes"), F.sha2("record", 256).alias("record_sha256"))
