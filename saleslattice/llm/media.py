@@ -22,7 +22,7 @@ _SCHEMA = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 s
 
 
 def decode_netpbm(raw: bytes) -> np.ndarray:
-    """P1 to P6 of up to 8 bits a sample as height x width x channels."""
+    """P1 to P6 as height x width x channels of 8 bits; samples of another depth are scaled to 255."""
     kind, at, head = raw[:2], 2, []
     while len(head) < (2 if kind in (b"P1", b"P4") else 3):
         m = re.compile(rb"(?:\s|#[^\n]*\n)*(\d+)").match(raw, at)
@@ -31,11 +31,16 @@ def decode_netpbm(raw: bytes) -> np.ndarray:
         head.append(int(m[1]))
         at = m.end()
     w, h, most = (*head, 1)[:3]
-    if most > 255:
-        raise ValueError("more than 8 bits a sample")
+    if kind not in (b"P1", b"P4") and not 0 < most < 65536:
+        raise ValueError("netpbm depth")
     c = 3 if kind in (b"P3", b"P6") else 1
+
+    def scaled(x: np.ndarray) -> np.ndarray:
+        x = x.reshape(h, w, c)
+        return x if most == 255 and x.dtype == np.uint8 else ((x.astype(np.int64) * 255 + most // 2) // most).astype(np.uint8)
+
     if kind in (b"P5", b"P6"):
-        return np.frombuffer(raw, np.uint8, w * h * c, at + 1).reshape(h, w, c)
+        return scaled(np.frombuffer(raw, np.uint8 if most < 256 else ">u2", w * h * c, at + 1))
     if kind == b"P4":
         rows = np.frombuffer(raw, np.uint8, h * ((w + 7) // 8), at + 1).reshape(h, -1)
         return (1 - np.unpackbits(rows, axis=1)[:, :w]).astype(np.uint8)[:, :, None] * 255
@@ -43,7 +48,7 @@ def decode_netpbm(raw: bytes) -> np.ndarray:
     if kind == b"P1":
         bits = np.array([x - 48 for x in re.sub(rb"\s", b"", body)[: w * h]], np.uint8)
         return ((1 - bits) * 255).reshape(h, w, 1)
-    return np.array(body.split()[: w * h * c], dtype=np.int64).astype(np.uint8).reshape(h, w, c)
+    return scaled(np.array(body.split()[: w * h * c], dtype=np.int64))
 
 
 def decode_bmp(raw: bytes) -> np.ndarray:
@@ -136,7 +141,7 @@ def media_columns(df: DataFrame, key: str = "doc_id", col: str = "text") -> Data
                 rows.append((k, len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), dhash(total), "bmp" if media[:2] == b"BM" else "ppm", tile(total)))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], names=_NAMES) if rows else pa.RecordBatch.from_arrays([pa.array([], t) for t in _TYPES], names=_NAMES)
 
-    return df.select(F.col(key).cast("long").alias("doc_id"), F.col(col).cast("binary").alias("raw")).mapInArrow(run, _SCHEMA)
+    return df.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{col}`").cast("binary").alias("raw")).mapInArrow(run, _SCHEMA)
 
 
 _NAMES = [x.split()[0] for x in _SCHEMA.split(", ")]
