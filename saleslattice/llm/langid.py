@@ -161,6 +161,6 @@ def predict(df: DataFrame, profiles: dict[str, list[int]], col: str = "text") ->
 
 def op10_language_id(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
-    out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1
+    out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
     profiles = fit(docs.where(~out))
     return predict(docs.select("doc_id", "text"), profiles).select("doc_id", out.alias("held_out"), "lang_pred", "score")

@@ -6,7 +6,8 @@ Viterbi search under a character trigram model picks the likeliest spelling, and
 ``fit_channel(docs)`` counts the trigrams of every text (at most 28^3 numbers). ``fit_words(docs)`` learns, from at most
 ``max_docs`` distinct labelled texts, which restored words and word starts mark toxic texts; half of the texts (by hash) give the features, the other half
 turns raw scores into shares of toxic texts. ``score(df, model)`` reads
-whole texts; a text's raw score is the largest share of toxic texts (shrunk to the base rate) among its words' features.
+whole texts; a word's share is the largest share of toxic texts (shrunk to the base rate) among its features, and a
+text's raw score is the chance that one of its distinct words at least marks it, each taken by itself.
 
 Null, empty and wordless texts score as texts without any marked word; repeated rows score alike; without labels (or
 with labels of one kind only) every text gets the base rate's score. Other columns are kept (score is replaced).
@@ -29,7 +30,8 @@ from pyspark.sql import types as T
 from ._text import columns, pieces
 
 S = 28  # symbols: 0 between words, 1 to 26 a to z, 27 other letters
-THRESHOLD, STARTS, SHRINK, SURE = 0.3, (3, 4, 5, 6), 10, 5
+#: A feature occurs in LEAST toxic texts, its share is shrunk by SHRINK texts of the base rate and SURE deviations above it.
+THRESHOLD, STARTS, SHRINK, SURE, LEAST = 0.3, (3, 4, 5, 6), 10, 5, 5
 CACHE = 400_000
 #: What letters a sign may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
@@ -78,28 +80,39 @@ class Channel:
         self.table = np.log(c / c.sum(2, keepdims=True)).tolist()
 
     def decode(self, text: str, spaced: bool = False) -> str:
-        """Likeliest spelling; spaced allows word ends anywhere between letters."""
-        best = {(0, 0): (0.0, "")}
+        """Likeliest spelling; spaced allows word ends anywhere between letters. Characters that can be neither a letter nor
+        left out are passed over. Of equally likely spellings, that whose states were reached first."""
+        best = {(0, 0): 0.0}
+        steps: list[dict] = []  # of each character: state to the state before it and what was written
         before = ""
         for ch in text.lower():
             ways = [(x, 0.0 if x == ch else -1.0) for x in ((ch,) if ch.isalpha() else LEET.get(ch, ""))]
             skip = -0.2 if ch in GAPS or ch == " " else -0.5 if ch == before and ch.isalpha() else -3.0 if not ch.isalpha() else None
-            new: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (p, s) in best.items():
-                if skip is not None and new.get((a, b), (-math.inf,))[0] < p + skip:
-                    new[a, b] = (p + skip, s)
+            new: dict[tuple[int, int], float] = {}
+            back: dict = {}
+
+            def reach(to: tuple[int, int], q: float, came: tuple[int, int], wrote: str) -> None:
+                if new.get(to, -math.inf) < q:
+                    new[to], back[to] = q, (came, wrote)
+
+            for (a, b), p in best.items():
+                if skip is not None:
+                    reach((a, b), p + skip, (a, b), "")
                 for x, cost in ways:
                     k = ord(x) - 96 if "a" <= x <= "z" else 27
-                    q = p + cost + self.table[a][b][k]
-                    if new.get((b, k), (-math.inf,))[0] < q:
-                        new[b, k] = (q, s + x)
+                    reach((b, k), p + cost + self.table[a][b][k], (a, b), x)
                     if spaced and b:
-                        q = p + cost - 1.0 + self.table[a][b][0] + self.table[b][0][k]
-                        if new.get((0, k), (-math.inf,))[0] < q:
-                            new[0, k] = (q, s + " " + x)
-            best = new or best
+                        reach((0, k), p + cost - 1.0 + self.table[a][b][0] + self.table[b][0][k], (a, b), " " + x)
+            if new:
+                best = new
+                steps.append(back)
             before = ch
-        return max((p + self.table[a][b][0], s) for (a, b), (p, s) in best.items())[1]
+        at = max(best, key=lambda s: best[s] + self.table[s[0]][s[1]][0])
+        out = []
+        for back in reversed(steps):
+            at, wrote = back[at]
+            out.append(wrote)
+        return "".join(reversed(out))
 
 
 @dataclass
@@ -166,8 +179,7 @@ def fit_words(labelled: DataFrame, channel: dict[int, int], max_docs: int = 40_0
                     yield flush()
         yield flush()
 
-    least = max(5, bad // 100)
-    got = rows.mapInArrow(count, "f string, toxic int, n bigint").groupBy("f").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum("n").alias("n")).where(F.col("t") >= least)
+    got = rows.mapInArrow(count, "f string, toxic int, n bigint").groupBy("f").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum("n").alias("n")).where(F.col("t") >= LEAST)
     got = got.withColumn("p", (F.col("t") + SHRINK * prior) / (F.col("n") + SHRINK))
     sure = (F.col("t") - F.col("n") * prior) / F.sqrt(F.col("n") * max(prior * (1 - prior), 1e-9)) >= SURE
     got = got.where((F.col("p") >= max(0.25, 2 * prior)) & sure).orderBy(F.desc("p"), "f").limit(max_features)
@@ -191,6 +203,14 @@ def steps(seen: list[tuple[float, int]], prior: float) -> list[tuple[float, floa
     return [(raw, (t + prior) / (n + 1)) for raw, t, n in blocks]
 
 
+def together(shares: list[float], least: float) -> float:
+    """Raw score of a text from its words' shares of toxic texts: the chance that one of them at least marks it."""
+    clean = 1.0
+    for p in shares:
+        clean *= 1 - p
+    return max(least, 1 - clean)
+
+
 class Scorer:
     def __init__(self, model: dict):
         self.weights, self.rest = model["weights"], model["prior"] * (0.2 if model["weights"] else 1)
@@ -208,7 +228,7 @@ class Scorer:
         return p
 
     def score(self, text: str) -> float:
-        raw = max([self.rest, *map(self.of_word, self.restorer.words(text))])
+        raw = together(sorted(map(self.of_word, self.restorer.words(text))), self.rest)
         if not self.steps:
             return raw
         k = bisect.bisect_right(self.at, raw)
@@ -222,7 +242,7 @@ def score(df: DataFrame, model: dict, col: str = "text") -> DataFrame:
 
     def run(batches):
         state["s"] = s = state.get("s") or Scorer(held.value)
-        for b in batches:
+        for b in pieces(batches, col):
             at = b.schema.get_field_index(col)
             got = [s.score(t.as_py() or "") for t in b.column(at)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.float64())], names=[*b.schema.names, "score"])
@@ -242,7 +262,7 @@ def labelled(docs: DataFrame, labels: DataFrame, max_docs: int = 40_000) -> Data
 
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
     channel = fit_channel(docs)
     model = fit_words(labelled(docs.where(~out), labels.where(~out)), channel)
     scored = score(docs.select("doc_id", "text"), model).drop("text")
