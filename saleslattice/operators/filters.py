@@ -118,9 +118,33 @@ def not_total_grid(df: DataFrame) -> Column:
     return ~is_total_grid([c for c in TOTAL_COLUMNS if c in df.columns])
 
 
+def date_range(df: DataFrame, first: str, last: str, field: str = "bill_date") -> DataFrame:
+    """Rows of the days from first to last."""
+    return df.where(F.col(field).between(F.lit(first).cast("date"), F.lit(last).cast("date")))
+
+
+def missing_lookup(df: DataFrame, field: str = "district") -> DataFrame:
+    """Rows for which a lookup found nothing: the field is null or empty."""
+    return df.where(F.col(field).isNull() | (F.col(field) == ""))
+
+
+def count_filtered(df: DataFrame, filters: list[dict] | dict, exclude_totals: bool = False) -> DataFrame:
+    return df.where(where(filters, exclude_totals)).agg(F.count(F.lit(1)).alias("n"))
+
+
+def page_keyset(df: DataFrame, after: int, limit: int = 50) -> DataFrame:
+    """The next rows by id."""
+    return df.where(F.col("id") > after).orderBy("id").limit(limit)
+
+
+def sort_page(df: DataFrame, by: str = "id", asc: bool = False, page: int = 1, limit: int = 50) -> DataFrame:
+    """One page in the order of a column, nulls last; ids decide ties in the same direction."""
+    order = [F.asc_nulls_last(by), F.asc("id")] if asc else [F.desc_nulls_last(by), F.desc("id")]
+    return df.orderBy(*order).offset((max(page, 1) - 1) * limit).limit(limit)
+
+
 def grid_page(df: DataFrame, groups: DataFrame, term: str = "", state: str = "", by: str = "id", asc: bool = False, page: int = 1, limit: int = 50) -> DataFrame:
     """One page of the searched rows, newest first, without its total rows."""
     limit = min(max(limit, 10), 300)
-    order = F.asc_nulls_last(by) if asc else F.desc_nulls_last(by)
-    rows = search(df, groups, term, state).orderBy(order, F.asc("id") if asc else F.desc("id")).offset((max(page, 1) - 1) * limit).limit(limit)
+    rows = sort_page(search(df, groups, term, state), by, asc, page, limit)
     return rows.where(not_total_grid(rows))

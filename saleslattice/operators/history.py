@@ -43,6 +43,13 @@ def has_text(df: DataFrame, term: str) -> Column:
     return reduce(lambda a, b: a | b, (F.coalesce(F.lower(c).contains(term.lower()), F.lit(False)) for c in map(F.col, texts)), F.lit(False))
 
 
+def so_preview(orders: DataFrame, brand: str, fy: str, limit: int = 20) -> DataFrame:
+    """First orders, by party, of a brand and year, each with the number of all of them."""
+    rows = orders.where((F.col("brand") == brand) & (F.col("fy") == fy))
+    total = rows.agg(F.count(F.lit(1)).alias("total"))
+    return rows.orderBy("party_name", "id").limit(limit).join(F.broadcast(total), how="cross")
+
+
 def master_preview(master: DataFrame, term: str = "", by: str = "id", limit: int = 200) -> DataFrame:
     """Newest rows of a master, of those that hold the term in any text column."""
     found = master.where(has_text(master, term)) if term else master

@@ -14,10 +14,13 @@ def dedupe(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
 
 
 def _two_keys(df: DataFrame, master: DataFrame, name: str, key, fields: list[str], prefix: str, last: bool = False, order: str = "id") -> DataFrame:
-    """df with prefix+field of the master's row of the same key, else of the same key without M/S prefix on either side."""
-    m = master.withColumn("_key", key(F.col(name))).withColumn("_alias", F.coalesce(X.party_alias_keys(F.col(name)), key(F.col(name))))
-    first = dedupe(m, "_key", [F.desc(order) if last else F.asc(order)]).select(F.col("_key").alias("_k1"), F.struct(*fields).alias("_v1"))
-    alias = dedupe(m, "_alias", [F.asc(order)]).select(F.col("_alias").alias("_k2"), F.struct(*fields).alias("_v2"))
+    """df with prefix+field of the master's row of the same key, else of the same key without M/S prefix on either side. One
+    aggregate gives both values of each key, and both joins read it."""
+    both = F.array(F.struct(F.lit(True).alias("exact"), key(F.col(name)).alias("k")), F.struct(F.lit(False).alias("exact"), F.coalesce(X.party_alias_keys(F.col(name)), key(F.col(name))).alias("k")))
+    keys = master.select(F.explode(both).alias("x"), F.struct(*fields).alias("v"), F.col(order).alias("o")).where("x.k <> ''")
+    pick = F.max_by if last else F.min_by
+    known = keys.groupBy("x.k").agg(pick("v", F.when(F.col("x.exact"), F.col("o"))).alias("e"), F.min_by("v", F.when(~F.col("x.exact"), F.col("o"))).alias("a"))
+    first, alias = known.select(F.col("k").alias("_k1"), F.col("e").alias("_v1")), known.select(F.col("k").alias("_k2"), F.col("a").alias("_v2"))
     party = F.col("to_party_name")
     out = df.withColumns({"_p": key(party), "_a": F.coalesce(X.party_alias_keys(party), key(party))})
     out = out.join(first, F.col("_p") == F.col("_k1"), "left").join(alias, F.col("_a") == F.col("_k2"), "left")
@@ -132,8 +135,13 @@ def lookup_customer_type(df: DataFrame, types: DataFrame) -> DataFrame:
     return _type(_find_type(df, types))
 
 
+def so_type_latest(orders: DataFrame) -> DataFrame:
+    """party_key and so_type, the type of the party's latest order."""
+    return orders.groupBy(X.normalize_party(F.col("party_name")).alias("party_key")).agg(F.max_by(X.clean_type(F.col("type_of_order")), F.struct("so_order_date", "id")).alias("so_type"))
+
+
 def _find_latest(df: DataFrame, orders: DataFrame) -> DataFrame:
-    latest = orders.groupBy(X.normalize_party(F.col("party_name")).alias("_lp")).agg(F.max_by(X.clean_type(F.col("type_of_order")), F.struct("so_order_date", "id")).alias("so_latest"))
+    latest = so_type_latest(orders).toDF("_lp", "so_latest")
     return df.withColumn("_n", X.normalize_party(F.col("to_party_name"))).join(latest, F.col("_n") == F.col("_lp"), "left").drop("_n", "_lp")
 
 

@@ -62,10 +62,15 @@ def lookup_conflicts(orders: DataFrame) -> DataFrame:
     return orders.groupBy(X.backfill_key(F.col("party_name")).alias("party_key")).agg(F.countDistinct(kind).alias("types")).where("types > 1")
 
 
-def match_stats(fact: DataFrame, orders: DataFrame) -> DataFrame:
+def match_stats(fact: DataFrame, orders: DataFrame, top: int = 20) -> DataFrame:
+    """kind, party_key, n: rows processed, matched and unmatched, and the unmatched keys with most rows."""
     keys = orders.select(X.backfill_key(F.col("party_name")).alias("_k")).distinct()
-    out = fact.join(keys, X.backfill_key(F.col("to_party_name")) == F.col("_k"), "left")
-    return out.agg(F.count(F.lit(1)).alias("processed"), F.count_if(F.col("_k").isNotNull()).alias("matched"), F.count_if(F.col("_k").isNull()).alias("unmatched"))
+    by_key = fact.groupBy(X.backfill_key(F.col("to_party_name")).alias("party_key")).agg(F.count(F.lit(1)).alias("n"))
+    seen = by_key.join(keys, F.col("party_key") == F.col("_k"), "left").withColumn("hit", F.col("_k").isNotNull())
+    kinds = F.array(F.lit("processed"), F.when(F.col("hit"), "matched").otherwise("unmatched"))
+    counts = seen.select(F.explode(kinds).alias("kind"), "n").groupBy("kind").agg(F.sum("n").alias("n"))
+    first = seen.where(~F.col("hit") & F.col("party_key").isNotNull()).orderBy(F.desc("n"), "party_key").limit(top)
+    return counts.select("kind", F.lit("").alias("party_key"), "n").unionByName(first.select(F.lit("top unmatched").alias("kind"), "party_key", "n"))
 
 
 def unmatched_parties(fact: DataFrame, groups: DataFrame) -> DataFrame:

@@ -56,8 +56,20 @@ def reaggregate(stored: DataFrame, axes: list[str], values: list[tuple[str, str]
     return base.groupBy(*(X.dim_axis(d).alias(f"d_{d}") for d in axes)).agg(*(value(f, a).alias(f"{a}_{f}") for f, a in values))
 
 
-def refresh(fact: DataFrame, path: str) -> None:
-    for n in ROLLUPS:
+def pivot_from_rollup(fact: DataFrame, path: str, axes: list[str], values: list[tuple[str, str]], filters=()) -> DataFrame:
+    """A pivot from the best of the rollups that refresh() stored at path; from the fact where none answers it. Both have
+    the columns of reaggregate()."""
+    name = choose(axes, values, [f["field"] for f in filters])
+    if name is not None:
+        return reaggregate(fact.sparkSession.read.parquet(f"{path}/{name}"), axes, values, filters)
+    from ..plans import pivot as P
+
+    return P.pivot_groupby(fact, P.config(axes, [], values, filters)).drop("row_count")
+
+
+def refresh(fact: DataFrame, path: str, only: tuple[str, ...] = tuple(ROLLUPS)) -> None:
+    """Write the rollups, each to a folder of its name."""
+    for n in only:
         if all(d == "bill_month" or d in fact.columns for d in ROLLUPS[n]):
             rollup(fact, n).write.mode("overwrite").parquet(f"{path}/{n}")
 

@@ -67,6 +67,41 @@ def export_grid(df: DataFrame, cfg: dict, headers: list[str]) -> DataFrame:
     return got.groupBy(body.alias("kind"), X.join_key(*(F.get("row_labels", F.lit(i)) for i in range(len(cfg["rows"])))).alias("row_key")).pivot("h", [*headers, "Total"]).agg(F.first("v")).withColumn("row_key", F.when(F.col("kind") == "total", "Grand Total").otherwise(F.col("row_key")))
 
 
+def export_pivot_csv(df: DataFrame, cfg: dict, headers: list[tuple[str, ...]]) -> DataFrame:
+    """part, key, line of a pivot's CSV text: sort by part and key. Part 0: a header line for each column level (the byte
+    order mark before the first) and one of metrics; part 1: rows; part 2: the footer. headers: the column labels to show,
+    a tuple each. Whole numbers in Indian grouping, texts quoted where need be."""
+    metrics, rows = list(names(cfg)), cfg["rows"] or ["ROWS"]
+    headers, depth = headers or [("(all)",)], max([1, *map(len, headers)])
+    columns = [(tuple(h), n) for h in headers for n in metrics] + [(None, n) for n in metrics]
+
+    def cell(c: Column) -> Column:
+        return F.when(c.rlike('[,"\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.coalesce(c, F.lit("")))
+
+    def line(cells: list[Column]) -> Column:
+        return F.concat_ws(",", *map(cell, cells))
+
+    top = []
+    for level in range(depth):
+        lead = [r.upper() for r in rows] if level == depth - 1 else ["ROWS", *[""] * (len(rows) - 1)]
+        shown = [(h[level] if level < len(h) else "") if h is not None else "GRAND TOTAL" if level == depth - 1 else "" for h, _ in columns]
+        top.append([*lead, *(x.upper() for x in shown)])
+    label = {f"{a}_{f}": f"{a.upper()} {f}" for f, a in cfg["values"]}
+    top.append([*[""] * len(rows), *(label[n] for _, n in columns)])
+    heads = df.sparkSession.range(1).select(F.explode(F.array(*(F.struct(F.lit(f"{i}").alias("key"), F.concat(F.lit("\ufeff" if i == 0 else ""), line([F.lit(x) for x in t])).alias("line")) for i, t in enumerate(top)))).alias("x")).select(F.lit(0).alias("part"), "x.*")
+    got = pivot(df, {**cfg, "subtotals": []})
+    if not cfg["columns"]:  # then a row's only column is all, and so is its total
+        both = got.withColumn("h", F.explode(F.array(F.lit("(all)"), F.lit(None).cast("string"))))
+    else:
+        both = got.withColumn("h", F.when(F.size("col_labels") > 0, F.array_join("col_labels", "||")))
+    part = F.when(F.col("kind").isin("column_total", "grand_total") & F.lit(bool(cfg["rows"])), 2).otherwise(1)
+    picked = [F.max(F.when(F.col("h").isNull() if h is None else F.col("h") == "||".join(h), F.round(F.col(n), 0))).alias(f"v{i}") for i, (h, n) in enumerate(columns)]
+    wide = both.groupBy(part.alias("part"), "row_labels").agg(*picked)
+    lead = [F.when(F.col("part") == 2, "GRAND TOTAL" if i == 0 else "").otherwise(F.coalesce(F.get("row_labels", F.lit(i)), F.lit("(all)" if i == 0 else ""))) for i in range(len(rows))]
+    values = [X.format_indian(F.col(f"v{i}")) for i in range(len(columns))]
+    return heads.unionByName(wide.select("part", F.array_join("row_labels", "||").alias("key"), line([*lead, *values]).alias("line")))
+
+
 def export_csv(grid: DataFrame, headers: list[str]) -> DataFrame:
     """Lines of the CSV text in order: byte order mark and header, body, footer; numbers in Indian grouping."""
     def q(c: Column) -> Column:

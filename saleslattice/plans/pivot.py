@@ -35,6 +35,28 @@ def config(rows=(), columns=(), values=(), filters=(), subtotals=(), casefold=Fa
     return {"rows": rows, "columns": columns, "values": kept, "filters": list(filters), "subtotals": [s for s in subtotals if s in rows], "casefold": casefold}
 
 
+def partials(values: list[tuple[str, str]]) -> dict[str, Column]:
+    """What must be kept of a group, so that groups can be put together by merged()."""
+    out = {"_rows": F.count(F.lit(1))}
+    for f, a in values:
+        if a in ("sum", "avg"):
+            out[f"_sum_{f}"] = F.sum(X.fact_numeric(f))
+        elif a != "count":
+            out[f"_{a}_{f}"] = (F.min if a == "min" else F.max)(X.fact_numeric(f))
+    return out
+
+
+def merged(agg: str, field: str) -> Column:
+    """measure() over groups of partials()."""
+    rows = F.sum("_rows")
+    if agg == "count":
+        return rows
+    if agg in ("min", "max"):
+        return (F.min if agg == "min" else F.max)(f"_{agg}_{field}")
+    total = F.coalesce(F.sum(f"_sum_{field}"), F.lit(0)).cast("decimal(25,4)")
+    return total.cast("double") / rows if agg == "avg" else total
+
+
 def names(cfg: dict) -> dict[str, Column]:
     return {f"{a}_{f}": measure(a, f) for f, a in cfg["values"]}
 
@@ -47,15 +69,17 @@ def pivot_groupby(df: DataFrame, cfg: dict) -> DataFrame:
 
 def pivot(df: DataFrame, cfg: dict) -> DataFrame:
     """kind (cell, row_total, column_total, grand_total, subtotal, subtotal_total), depth, row_labels, col_labels and
-    metrics. Blank axes are labelled before grouping, so that null only means "all"."""
+    metrics. Blank axes are labelled before grouping, so that null only means "all". Rows are first aggregated by all axes;
+    only these groups are expanded to the grouping sets."""
     rows, cols = [f"r_{c}" for c in cfg["rows"]], [f"c_{c}" for c in cfg["columns"]]
-    base = df.where(where(cfg["filters"], casefold=cfg["casefold"])).select("*", *(X.axis_label(c).alias(f"r_{c}") for c in cfg["rows"]), *(X.axis_label(c).alias(f"c_{c}") for c in cfg["columns"]))
+    base = df.where(where(cfg["filters"], casefold=cfg["casefold"]))
+    fine = base.groupBy(*(X.axis_label(c).alias(f"r_{c}") for c in cfg["rows"]), *(X.axis_label(c).alias(f"c_{c}") for c in cfg["columns"])).agg(*(x.alias(n) for n, x in partials(cfg["values"]).items()))
     sets = {tuple(rows + cols), tuple(rows), tuple(cols), ()}
     for s in cfg["subtotals"]:
         d = cfg["rows"].index(s) + 1
         if d < len(rows):
             sets |= {tuple(rows[:d] + cols), tuple(rows[:d])}
-    got = base.groupingSets([[F.col(c) for c in s] for s in sorted(sets)], *(F.col(c) for c in rows + cols)).agg(*(m.alias(n) for n, m in names(cfg).items()))
+    got = fine.groupingSets([[F.col(c) for c in s] for s in sorted(sets)], *(F.col(c) for c in rows + cols)).agg(*(merged(a, f).alias(f"{a}_{f}") for f, a in cfg["values"]))
     depth = sum((F.col(c).isNotNull().cast("int") for c in rows), F.lit(0))
     whole, across = depth == len(rows), (F.col(cols[0]).isNotNull() if cols else F.lit(False))
     kind = F.when(whole & across, "cell").when(whole & (depth > 0), "row_total").when((depth == 0) & across, "column_total").when(depth == 0, "grand_total").when(across, "subtotal").otherwise("subtotal_total")
@@ -102,8 +126,49 @@ def distinct_values(df: DataFrame, field: str, search: str = "", limit: int = 10
 
 
 def distinct_values_batch(df: DataFrame, fields: list[str], limit: int = 500) -> DataFrame:
-    """Up to 24 fields' values in one pass; the cut keeps each field's first values."""
+    """field, value, error: up to 24 fields' values in one pass; the limit (50 to 2000) keeps each field's first values. A
+    field that df lacks has one row with an error. No field, or more than 24, is refused."""
+    fields = list(dict.fromkeys(f.strip() for f in fields if f and f.strip()))
+    if not 1 <= len(fields) <= 24:
+        raise ValueError("1 to 24 fields")
     limit = min(max(limit, 50), 2000)
-    pairs = F.array(*(F.struct(F.lit(f).alias("field"), X.dim_axis(f).cast("string").alias("value")) for f in fields[:24]))
+    pairs = F.array(*(F.struct(F.lit(f).alias("field"), (X.dim_axis(f).cast("string") if f in df.columns else F.lit(None).cast("string")).alias("value")) for f in fields))
     out = df.select(F.explode(pairs).alias("x")).select("x.*").where("value IS NOT NULL").distinct()
-    return out.withColumn("n", F.row_number().over(Window.partitionBy("field").orderBy(F.lower("value"), "value"))).where(F.col("n") <= limit).drop("n")
+    out = out.withColumn("n", F.row_number().over(Window.partitionBy("field").orderBy(F.lower("value"), "value"))).where(F.col("n") <= limit).select("field", "value", F.lit(None).cast("string").alias("error"))
+    unknown = [(f, None, "Invalid filter field") for f in fields if f not in df.columns]
+    return out.unionByName(df.sparkSession.createDataFrame(unknown, "field string, value string, error string")) if unknown else out
+
+
+def distinct_states(df: DataFrame) -> DataFrame:
+    return df.where(F.trim("state") != "").select("state").distinct().orderBy("state")
+
+
+def axis_cardinality(df: DataFrame, fields: list[str]) -> DataFrame:
+    """One row: the number of distinct values of each field, and their product as cells."""
+    out = df.agg(*(F.countDistinct(f).alias(f) for f in fields))
+    cells = F.lit(1).cast("bigint")
+    for f in fields:
+        cells = cells * F.greatest(F.col(f), F.lit(1))
+    return out.withColumn("cells", cells)
+
+
+def report_meta(df: DataFrame) -> DataFrame:
+    """fy and its months, in the order of the calendar (names of no month last), years rising."""
+    month = X.month_axis()
+    number = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, X.MONTHS)), F.upper(F.substring(F.trim(month), 1, 3))), F.lit(0)), F.lit(99))
+    each = df.select(X.fy_axis().alias("fy"), F.struct(number.alias("o"), month.alias("m")).alias("x")).where("fy IS NOT NULL AND x.m IS NOT NULL").distinct()
+    return each.groupBy("fy").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["m"]).alias("months")).orderBy("fy")
+
+
+def pivot_quick(df: DataFrame, field: str, value: str = "net_amount") -> DataFrame:
+    """Sum of a value by one field."""
+    return pivot_groupby(df, config([field], [], [(value, "sum")]))
+
+
+def pivot_casefold(df: DataFrame, agents: DataFrame, cfg: dict) -> DataFrame:
+    """pivot() with filters that ignore case, over rows whose agent names and fiscal time are filled in as they are shown."""
+    from ..operators.lookups import display_agent
+
+    filled = display_agent(df, agents).withColumn("_t", X.temporal_triple())
+    filled = filled.withColumns({c: F.coalesce(X.null_if_blank(F.col(c)), F.col(f"_t.{c}")) for c in ("fy", "month", "mmm")}).drop("_t")
+    return pivot(filled, {**cfg, "casefold": True})

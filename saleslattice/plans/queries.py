@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..operators import filters as W
+from ..operators import history as H
 from ..operators import lookups as L
 from ..operators import maintain as M
 from ..operators import rollups as R
+from ..sources import scratch
 from ..sources.facts import fy_part
 from ..sources.fixtures import load, with_views
 from . import pivot as P
@@ -77,9 +79,9 @@ _filter("f_eq_date", [{"field": "bill_date", "operator": "eq", "value": "1998-03
 _filter("f_eq_text", [{"field": "state", "operator": "eq", "value": "NATION_7"}], "state = 'NATION_7'")
 _filter("f_casefold", [{"field": "state", "operator": "eq", "value": "nation_7"}], "lower(trim(coalesce(state,''))) = 'nation_7'", True)
 _filter("f_fact_where", [{"field": "state", "operator": "in", "values": ["NATION_7", "NATION_11"]}, {"field": "sl_qty", "operator": "gt", "value": "10"}, {"field": "x", "operator": "nope", "value": "1"}], "state IN ('NATION_7','NATION_11') AND sl_qty > 10")
-add("f_date_range", lambda s, d: _total(load(s, d), F.col("bill_date").between("1998-01-01", "1998-12-31")), f"SELECT {AGG} FROM fx_sales WHERE bill_date BETWEEN DATE '1998-01-01' AND DATE '1998-12-31'")
+add("f_date_range", lambda s, d: _total(W.date_range(load(s, d), "1998-01-01", "1998-12-31"), F.lit(True)), f"SELECT {AGG} FROM fx_sales WHERE bill_date BETWEEN DATE '1998-01-01' AND DATE '1998-12-31'")
 add("f_total_rows_grid", lambda s, d: _total(df := load(s, d), W.not_total_grid(df)), f"SELECT {AGG} FROM fx_sales WHERE {NOT_TOTAL}")
-add("f_missing_lookup", lambda s, d: _total(load(s, d), F.col("district").isNull() | (F.col("district") == "")), f"SELECT {AGG} FROM fx_sales WHERE district IS NULL OR district = ''")
+add("f_missing_lookup", lambda s, d: _total(W.missing_lookup(load(s, d)), F.lit(True)), f"SELECT {AGG} FROM fx_sales WHERE district IS NULL OR district = ''")
 
 
 def _derived(name: str, col, sql: str, *keys: str) -> None:
@@ -138,20 +140,20 @@ CAST((r1 IS NOT NULL)::INT + (r2 IS NOT NULL)::INT AS INT) AS depth, concat_ws('
 add("pivot_totals_onepass", lambda s, d: _flat(P.pivot(load(s, d), _T)), _SETS)
 for _n, _k in (("pivot_cells", "cell"), ("pivot_row_totals", "row_total"), ("pivot_column_totals", "column_total"), ("pivot_grand_total", "grand_total"), ("pivot_subtotals", "subtotal")):
     add(_n, lambda s, d, k=_k: _flat(P.pivot(load(s, d), _T)).where(F.col("kind") == k), f"SELECT * FROM ({_SETS.replace('WITH b AS', 'WITH b AS', 1)}) WHERE kind = '{_k}'")
-add("pivot_quick", lambda s, d: P.pivot_groupby(load(s, d), P.config(["region"], [], [("net_amount", "sum")])), f"SELECT nullif(trim(region),'') AS d_region, coalesce(sum(net_amount),0) AS sum_net_amount, count(*) AS row_count FROM fx_sales WHERE {NOT_TOTAL} GROUP BY 1")
-add("pivot_casefold", lambda s, d: P.pivot_groupby(load(s, d), P.config(["brand"], [], [("net_amount", "sum")], [{"field": "state", "operator": "in", "values": ["nation_7", "Nation_11"]}], casefold=True)), f"SELECT nullif(trim(brand),'') AS d_brand, coalesce(sum(net_amount),0) AS sum_net_amount, count(*) AS row_count FROM fx_sales WHERE {NOT_TOTAL} AND lower(trim(coalesce(state,''))) IN ('nation_7','nation_11') GROUP BY 1")
+add("pivot_quick", lambda s, d: P.pivot_quick(load(s, d), "region"), f"SELECT nullif(trim(region),'') AS d_region, coalesce(sum(net_amount),0) AS sum_net_amount, count(*) AS row_count FROM fx_sales WHERE {NOT_TOTAL} GROUP BY 1")
 add("filtered_row_count", lambda s, d: P.pivot_groupby(load(s, d), _G).agg(F.sum("row_count").alias("n")), f"SELECT count(*) AS n FROM fx_sales WHERE {NOT_TOTAL} AND bill_date >= DATE '2000-04-01' AND bill_date < DATE '2001-04-01'")
 add("sort_headers", lambda s, d: load(s, d).select(X.axis_label("month").alias("label")).distinct().select("label", P.header_key(F.col("label")).alias("k")).select("label", F.col("k.k").alias("class"), F.col("k.n").cast("int").alias("ord")), f"SELECT DISTINCT label, CASE WHEN label = '(blank)' THEN 4 ELSE 2 END AS class, CASE WHEN label = '(blank)' THEN 0 ELSE CAST(right(label,2) AS INT) * 12 + month(strptime(label, '%b-%y')) END AS ord FROM (SELECT coalesce({MONTH_AXIS}, '(blank)') AS label FROM fx_sales)")
 add("drilldown", lambda s, d: P.drilldown(load(s, d), P.config([], [], [("id", "count")]), {"state": "NATION_7", "brand": "VERCELLI"}).select("id", "bill_no", "net_amount"), f"SELECT id, bill_no, net_amount FROM fx_sales WHERE {NOT_TOTAL} AND trim(coalesce(state,'')) = 'NATION_7' AND trim(coalesce(brand,'')) = 'VERCELLI' ORDER BY id LIMIT 200")
 add("distinct_values", lambda s, d: P.distinct_values(load(s, d), "branch", "an"), "SELECT DISTINCT trim(branch) AS value FROM fx_sales WHERE trim(branch) <> '' AND contains(lower(trim(branch)), 'an')")
-add("distinct_values_batch", lambda s, d: P.distinct_values_batch(load(s, d), ["branch", "brand", "state", "city"]), " UNION ".join(f"SELECT '{c}' AS field, trim({c}) AS value FROM fx_sales WHERE trim({c}) <> ''" for c in ("branch", "brand", "state", "city")))
-add("distinct_states", lambda s, d: load(s, d).where("trim(state) <> ''").select("state").distinct().orderBy("state"), "SELECT DISTINCT state FROM fx_sales WHERE trim(state) <> ''")
-add("count_filtered", lambda s, d: load(s, d).where("state = 'NATION_7'").agg(F.count(F.lit(1)).alias("n")), "SELECT count(*) AS n FROM fx_sales WHERE state = 'NATION_7'")
-add("page_keyset", lambda s, d: load(s, d).where("id > 5000000000").orderBy("id").limit(50).select("id"), "SELECT id FROM fx_sales WHERE id > 5000000000 ORDER BY id LIMIT 50")
-add("page_offset", lambda s, d: load(s, d).orderBy(F.desc("id")).offset(100).limit(50).select("id"), "SELECT id FROM fx_sales ORDER BY id DESC LIMIT 50 OFFSET 100")
-add("sort_grid_page", lambda s, d: load(s, d).orderBy(F.desc_nulls_last("net_amount"), "id").limit(50).select("id", "net_amount"), "SELECT id, net_amount FROM fx_sales ORDER BY net_amount DESC NULLS LAST, id LIMIT 50")
-add("axis_cardinality", lambda s, d: load(s, d).agg(F.countDistinct("branch").alias("branch"), F.countDistinct("to_party_name").alias("party")), "SELECT count(DISTINCT branch) AS branch, count(DISTINCT to_party_name) AS party FROM fx_sales")
-add("report_meta", lambda s, d: load(s, d).select(X.fy_axis().alias("fy"), X.month_axis().alias("month")).distinct(), f"SELECT DISTINCT {FY_AXIS} AS fy, {MONTH_AXIS} AS month FROM fx_sales")
+_FIELDS = ["branch", "brand", "state", "city", "mmm", "region", "district", "business_type", "party_grouped", "to_party_name", "agent_name", "bill_no", "item_no", "shade_name", "size", "units_pack", "sale_order_no", "item_category", "item_sub_cat", "so_type", "scheme"]
+add("distinct_values_batch", lambda s, d: P.distinct_values_batch(load(s, d), [*_FIELDS, "fy", "month", "nope"]), "SELECT field, value, CAST(NULL AS VARCHAR) AS error FROM (SELECT field, value, row_number() OVER (PARTITION BY field ORDER BY lower(value), value) AS n FROM (" + " UNION ".join([f"SELECT '{c}' AS field, trim({c}) AS value FROM fx_sales WHERE trim({c}) <> ''" for c in _FIELDS] + [f"SELECT '{c}' AS field, {x} AS value FROM fx_sales WHERE {x} IS NOT NULL" for c, x in (("fy", FY_AXIS), ("month", MONTH_AXIS))]) + ") v) w WHERE n <= 500 UNION ALL SELECT 'nope', NULL, 'Invalid filter field'")
+add("distinct_states", lambda s, d: P.distinct_states(load(s, d)), "SELECT DISTINCT state FROM fx_sales WHERE trim(state) <> ''")
+add("count_filtered", lambda s, d: W.count_filtered(load(s, d), {"state": {"operator": "eq", "value": "NATION_7"}}), "SELECT count(*) AS n FROM fx_sales WHERE state = 'NATION_7'")
+add("page_keyset", lambda s, d: W.page_keyset(load(s, d), 5_000_000_000).select("id"), "SELECT id FROM fx_sales WHERE id > 5000000000 ORDER BY id LIMIT 50")
+add("page_offset", lambda s, d: W.sort_page(load(s, d), page=3).select("id"), "SELECT id FROM fx_sales ORDER BY id DESC LIMIT 50 OFFSET 100")
+add("sort_grid_page", lambda s, d: W.sort_page(load(s, d), "net_amount").select("id", "net_amount"), "SELECT id, net_amount FROM fx_sales ORDER BY net_amount DESC NULLS LAST, id DESC LIMIT 50")
+add("axis_cardinality", lambda s, d: P.axis_cardinality(load(s, d), ["branch", "to_party_name", "item_no"]), "SELECT count(DISTINCT branch) AS branch, count(DISTINCT to_party_name) AS to_party_name, count(DISTINCT item_no) AS item_no, CAST(count(DISTINCT branch) * count(DISTINCT to_party_name) * count(DISTINCT item_no) AS BIGINT) AS cells FROM fx_sales")
+add("report_meta", lambda s, d: P.report_meta(load(s, d)).withColumn("months", F.array_join("months", "|")), f"SELECT fy, string_agg(m, '|' ORDER BY o, m) AS months FROM (SELECT DISTINCT {FY_AXIS} AS fy, {MONTH_AXIS} AS m, coalesce(list_position(['JAN','FEB','MAR','APR','MAY','JUN','JUL','AUG','SEP','OCT','NOV','DEC'], upper(substr({MONTH_AXIS}, 1, 3))), 99) AS o FROM fx_sales) x WHERE fy IS NOT NULL AND m IS NOT NULL GROUP BY 1")
 
 for _n, _d in R.ROLLUPS.items():
     if "agent_name_final" in _d:
@@ -159,17 +161,30 @@ for _n, _d in R.ROLLUPS.items():
     _s = ", ".join("CAST(date_trunc('month', bill_date) AS DATE) AS bill_month" if c == "bill_month" else c for c in _d)
     add(f"rollup_{_n}", lambda s, d, n=_n: R.rollup(load(s, d), n), f"SELECT {_s}, sum(net_amount) AS total_net, sum(amount_before_tax) AS total_before_tax, sum(sl_qty) AS total_qty, count(*) AS fact_row_count FROM fx_sales WHERE {NOT_TOTAL} GROUP BY {', '.join(str(i + 1) for i in range(len(_d)))}")
 _V = [("net_amount", "sum"), ("sl_qty", "avg"), ("id", "count")]
-for _n in ("pivot_from_rollup", "reaggregate_rollup"):
-    add(_n, lambda s, d: R.reaggregate(R.rollup(load(s, d), R.choose(["state", "brand"], _V, [])), ["state", "brand"], _V), f"SELECT nullif(trim(state),'') AS d_state, nullif(trim(brand),'') AS d_brand, coalesce(sum(net_amount),0) AS sum_net_amount, CAST(coalesce(sum(sl_qty),0) AS DOUBLE) / count(*) AS avg_sl_qty, count(*) AS count_id FROM fx_sales WHERE {NOT_TOTAL} GROUP BY 1, 2")
+_VALUES = f"coalesce(sum(net_amount),0) AS sum_net_amount, CAST(coalesce(sum(sl_qty),0) AS DOUBLE) / count(*) AS avg_sl_qty, count(*) AS count_id FROM fx_sales WHERE {NOT_TOTAL}"
+add("reaggregate_rollup", lambda s, d: R.reaggregate(R.rollup(load(s, d), "state_party_brand"), ["state", "brand"], _V), f"SELECT nullif(trim(state),'') AS d_state, nullif(trim(brand),'') AS d_brand, {_VALUES} GROUP BY 1, 2")
+
+
+def _from_rollup(s, d) -> DataFrame:
+    """A pivot that a stored rollup answers and, with a filter that none has, one that the fact answers."""
+    R.refresh(load(s, d), at := scratch.folder(s), ("state_month", "branch_brand", "state_branch_brand_month"))
+    by, city = ["branch", "brand"], [{"field": "city", "operator": "in", "values": ["CITY BUILDING"]}]
+    brands = [{"field": "brand", "operator": "in", "values": ["IC", "RF", "Rare Wool"]}]
+    stored, base = R.pivot_from_rollup(load(s, d), at, by, _V, brands), R.pivot_from_rollup(load(s, d), at, by, _V, city)
+    return stored.withColumn("source", F.lit("rollup")).unionByName(base.withColumn("source", F.lit("fact")))
+
+
+_BY = "nullif(trim(branch),'') AS d_branch, nullif(trim(brand),'') AS d_brand"
+add("pivot_from_rollup", _from_rollup, f"SELECT 'rollup' AS source, {_BY}, {_VALUES} AND brand IN ('IC', 'RF', 'Rare Wool') GROUP BY 2, 3 UNION ALL SELECT 'fact', {_BY}, {_VALUES} AND city = 'CITY BUILDING' GROUP BY 2, 3")
 add("check_rollup_fresh", lambda s, d: R.is_fresh(load(s, d), R.rollup(load(s, d), "state_month")), f"SELECT CAST(date_trunc('month', max(bill_date)) AS DATE) AS latest, true AS fresh FROM fx_sales WHERE {NOT_TOTAL}")
 
 _SO = "fx_so_master"
-add("lookup_region", lambda s, d: L.lookup_region(load(s, d), load(s, d, "fx_region_master")).groupBy("state", "region").agg(F.count(F.lit(1)).alias("n")), "SELECT s.state, m.region, count(*) AS n FROM fx_sales s LEFT JOIN fx_region_master m ON upper(trim(coalesce(s.state,''))) = upper(trim(m.state)) GROUP BY 1, 2", "fx_sales", "fx_region_master")
-add("lookup_party_master", lambda s, d: L.lookup_party_master(load(s, d), load(s, d, "fx_party_master_app")).groupBy("to_party_name", "district", "pin_code").agg(F.count(F.lit(1)).alias("n")), f"SELECT s.to_party_name, m.district, m.pin_code, count(*) AS n FROM fx_sales s LEFT JOIN fx_party_master_app m ON {_party(_strip('s.to_party_name'))} = {_party(_strip('m.account_name'))} GROUP BY 1, 2, 3", "fx_sales", "fx_party_master_app")
+add("lookup_region", lambda s, d: L.lookup_region(load(s, d), load(s, d, "fx_region_master")).groupBy("state", "region").agg(F.count(F.lit(1)).alias("n")), "SELECT s.state, coalesce(m.region, s.region) AS region, count(*) AS n FROM fx_sales s LEFT JOIN fx_region_master m ON upper(trim(coalesce(s.state,''))) = upper(trim(m.state)) GROUP BY 1, 2", "fx_sales", "fx_region_master")
+add("lookup_party_master", lambda s, d: L.lookup_party_master(load(s, d), load(s, d, "fx_party_master_app")).groupBy("to_party_name", "district", "pin_code").agg(F.count(F.lit(1)).alias("n")), f"SELECT s.to_party_name, coalesce(m.district, s.district) AS district, coalesce(m.pin_code, s.pin_code) AS pin_code, count(*) AS n FROM fx_sales s LEFT JOIN fx_party_master_app m ON {_party(_strip('s.to_party_name'))} = {_party(_strip('m.account_name'))} GROUP BY 1, 2, 3", "fx_sales", "fx_party_master_app")
 add("lookup_customer_type", lambda s, d: L.lookup_customer_type(load(s, d), load(s, d, "fx_customer_type_master")).groupBy("to_party_name", "master_type").agg(F.count(F.lit(1)).alias("n")), f"SELECT s.to_party_name, coalesce(m.type, 'RETAILER') AS master_type, count(*) AS n FROM fx_sales s LEFT JOIN fx_customer_type_master m ON {_party(_strip('s.to_party_name'))} = {_party('m.party_name')} GROUP BY 1, 2", "fx_sales", "fx_customer_type_master")
 add("lookup_party_group", lambda s, d: L.lookup_party_group(load(s, d), load(s, d, "fx_party_grouping_master")).groupBy("to_party_name", "party_grouped").agg(F.count(F.lit(1)).alias("n")), f"SELECT s.to_party_name, CASE WHEN m.id IS NULL THEN trim(s.to_party_name) ELSE coalesce(m.party_grouped, s.party_grouped, trim(s.to_party_name)) END AS party_grouped, count(*) AS n FROM fx_sales s LEFT JOIN fx_party_grouping_master m ON {_party(_strip('s.to_party_name'))} = {_party('m.to_party_name')} GROUP BY 1, 2", "fx_sales", "fx_party_grouping_master")
 add("lookup_agent", lambda s, d: L.lookup_agent(load(s, d), load(s, d, "fx_agent_name_master")).groupBy("agent_name", "agent_name_final").agg(F.count(F.lit(1)).alias("n")), "SELECT s.agent_name, coalesce(m.combined_name, trim(s.agent_name)) AS agent_name_final, count(*) AS n FROM fx_sales s LEFT JOIN fx_agent_name_master m ON lower(replace(s.agent_name,'.','')) = lower(m.agent_name) GROUP BY 1, 2", "fx_sales", "fx_agent_name_master")
-add("lookup_so_type_latest", lambda s, d: load(s, d, _SO).groupBy(X.normalize_party(F.col("party_name")).alias("party_key")).agg(F.max_by(X.clean_type(F.col("type_of_order")), F.struct("so_order_date", "id")).alias("so_type")), f"SELECT {_party('party_name')} AS party_key, arg_max(type_of_order, (so_order_date, id)) AS so_type FROM fx_so_master GROUP BY 1", _SO)
+add("lookup_so_type_latest", lambda s, d: L.so_type_latest(load(s, d, _SO)), f"SELECT {_party('party_name')} AS party_key, arg_max(type_of_order, (so_order_date, id)) AS so_type FROM fx_so_master GROUP BY 1", _SO)
 
 
 def _masters(s, d) -> dict:
@@ -180,20 +195,45 @@ def enriched(s, d) -> DataFrame:
     return L.enrich_fact(load(s, d), _masters(s, d))
 
 
-add("enrich_fact", enriched)
-add("so_type_rule", lambda s, d: enriched(s, d).where("sl_qty <= 0").groupBy("so_type").agg(F.count(F.lit(1)).alias("n")), "SELECT 'RETURN' AS so_type, count(*) AS n FROM fx_sales WHERE sl_qty <= 0 HAVING count(*) > 0")
-add("business_type_rule", lambda s, d: enriched(s, d).groupBy("business_type").agg(F.count(F.lit(1)).alias("n")), f"SELECT coalesce(s.business_type, m.type, 'RETAILER') AS business_type, count(*) AS n FROM fx_sales s LEFT JOIN fx_customer_type_master m ON {_party(_strip('s.to_party_name'))} = {_party('m.party_name')} GROUP BY 1", "fx_sales", "fx_customer_type_master")
+_GOODS = "CASE WHEN nullif(trim(sale_order_no),'') IS NULL THEN NULL ELSE CASE regexp_extract(upper(regexp_replace(trim(sale_order_no), '^[''\"]+', '')), '^([A-Z]+)', 1) WHEN 'MID' THEN 'MID' WHEN 'MIX' THEN 'MIX' WHEN 'SRC' THEN 'SRC' WHEN 'ACS' THEN 'ACC' WHEN 'ACC' THEN 'ACC' ELSE 'Fresh' END END"
+_LAST = "arg_max(type_of_order, (so_order_date, id))"
+#: Every rule of the import, in its order, over the fact and all masters.
+_ENRICHED = f"""WITH b AS (SELECT * REPLACE (CASE WHEN upper(trim(brand)) = 'RARE WOOL' AND upper(trim(branch)) = 'DON AND JULIO' THEN 'RARE WOOL' ELSE branch END AS branch, coalesce(nullif(trim(fy),''), {_fy('bill_date')}) AS fy, {MONTH_AXIS} AS month,
+  coalesce(nullif(trim(mmm),''), upper(strftime(bill_date, '%b'))) AS mmm, {BRAND} AS brand), {_party('to_party_name')} AS pk, {_party(_strip('to_party_name'))} AS ak, trim(to_party_name) AS party FROM fx_sales),
+k AS (SELECT b.* REPLACE (coalesce(r.region, b.region) AS region, coalesce(p.district, b.district) AS district, coalesce(p.pin_code, b.pin_code) AS pin_code,
+    CASE WHEN g.id IS NULL THEN b.party ELSE coalesce(g.party_grouped, b.party_grouped, b.party) END AS party_grouped, coalesce(g.party_name_for_count, b.party_name_for_count, b.party) AS party_name_for_count),
+  coalesce(a.combined_name, trim(b.agent_name)) AS agent_name_final, coalesce(a.combined_name, trim(b.agent_name)) AS agent_names_correction,
+  nullif(concat_ws(' ', nullif(trim(b.item_no),''), nullif(trim(b.shade_name),'')),'') AS item_with_shade, coalesce(nullif(trim(b.business_type),''), t.type, 'RETAILER') AS kind, {_GOODS} AS goods_type, x.t AS exact, l.t AS latest
+FROM b LEFT JOIN fx_region_master r ON upper(trim(coalesce(b.state,''))) = upper(trim(r.state)) LEFT JOIN fx_party_master_app p ON b.ak = {_party(_strip('p.account_name'))}
+LEFT JOIN fx_party_grouping_master g ON b.ak = {_party('g.to_party_name')} LEFT JOIN fx_customer_type_master t ON b.ak = {_party('t.party_name')}
+LEFT JOIN fx_agent_name_master a ON lower(replace(b.agent_name,'.','')) = lower(a.agent_name)
+LEFT JOIN (SELECT upper(trim(party_name)) AS pn, upper(trim(brand)) AS bn, trim(fy) AS fn, {_LAST} AS t FROM {_SO} GROUP BY 1, 2, 3) x ON upper(b.party) = x.pn AND b.brand = x.bn AND b.fy = x.fn
+LEFT JOIN (SELECT {_party('party_name')} AS pn, {_LAST} AS t FROM {_SO} GROUP BY 1) l ON b.pk = l.pn)
+SELECT * EXCLUDE (pk, ak, party, kind, exact, latest) REPLACE (CASE WHEN upper(trim(branch)) = 'ITALIAN CHANNEL' AND upper(kind) = 'RETAILER' THEN 'DISTRIBUTOR' ELSE kind END AS business_type,
+  CASE WHEN sl_qty <= 0 THEN 'RETURN' WHEN brand = 'RISHAB FABRICS' THEN 'NO SCHEME' ELSE coalesce(exact, latest, nullif(trim(so_type),''), 'UNKNOWN') END AS so_type) FROM k"""
+_EV = ("fx_sales", "fx_region_master", "fx_party_master_app", "fx_party_grouping_master", "fx_customer_type_master", "fx_agent_name_master", _SO)
+add("enrich_fact", enriched, _ENRICHED, *_EV)
+add("so_type_rule", lambda s, d: enriched(s, d).groupBy("brand", "so_type").agg(F.count(F.lit(1)).alias("n")), f"SELECT brand, so_type, count(*) AS n FROM ({_ENRICHED}) e GROUP BY 1, 2", *_EV)
+add("business_type_rule", lambda s, d: enriched(s, d).groupBy("branch", "business_type").agg(F.count(F.lit(1)).alias("n")), f"SELECT branch, business_type, count(*) AS n FROM ({_ENRICHED}) e GROUP BY 1, 2", *_EV)
 add("anti_unmatched_party", lambda s, d: M.unmatched_parties(load(s, d), load(s, d, "fx_party_grouping_master")), f"SELECT DISTINCT {_party('to_party_name')} AS party_key FROM fx_sales WHERE {_party('to_party_name')} NOT IN (SELECT {_party('to_party_name')} FROM fx_party_grouping_master)", "fx_sales", "fx_party_grouping_master")
 add("anti_new_party", lambda s, d: M.new_parties(load(s, d), load(s, d, "fx_party_grouping_master")).select(F.lower("to_party_name").alias("k")), "SELECT DISTINCT lower(trim(to_party_name)) AS k FROM fx_sales WHERE lower(trim(to_party_name)) NOT IN (SELECT lower(trim(to_party_name)) FROM fx_party_grouping_master)", "fx_sales", "fx_party_grouping_master")
 add("delete_range", lambda s, d: _total(M.delete_range(load(s, d), "1997-01-01", "1998-06-30"), F.lit(True)), f"SELECT {AGG} FROM fx_sales WHERE NOT coalesce(bill_date BETWEEN DATE '1997-01-01' AND DATE '1998-06-30', false)")
 add("delete_range_preview", lambda s, d: M.delete_range_preview(load(s, d), "1997-01-01", "1998-06-30"), "SELECT count(*) AS n FROM fx_sales WHERE bill_date BETWEEN DATE '1997-01-01' AND DATE '1998-06-30'")
-add("cascade_region", lambda s, d: M.cascade(load(s, d), load(s, d, "fx_region_master"), {"state": "state"}, "region", "region").groupBy("state", "region").agg(F.count(F.lit(1)).alias("n")), "SELECT s.state, m.region, count(*) AS n FROM fx_sales s LEFT JOIN fx_region_master m ON upper(trim(coalesce(s.state,''))) = upper(m.state) GROUP BY 1, 2", "fx_sales", "fx_region_master")
+add("cascade_region", lambda s, d: M.cascade(load(s, d), load(s, d, "fx_region_master"), {"state": "state"}, "region", "region").groupBy("state", "region").agg(F.count(F.lit(1)).alias("n")), "SELECT s.state, coalesce(m.region, s.region) AS region, count(*) AS n FROM fx_sales s LEFT JOIN fx_region_master m ON upper(trim(coalesce(s.state,''))) = upper(m.state) GROUP BY 1, 2", "fx_sales", "fx_region_master")
 add("cascade_party_grouping", lambda s, d: M.cascade(load(s, d), load(s, d, "fx_party_grouping_master").where("party_grouped IS NOT NULL"), {"to_party_name": "to_party_name"}, "party_grouped", "party_grouped").groupBy("party_grouped").agg(F.count(F.lit(1)).alias("n")), "SELECT coalesce(m.party_grouped, s.party_grouped) AS party_grouped, count(*) AS n FROM fx_sales s LEFT JOIN (SELECT * FROM fx_party_grouping_master WHERE party_grouped IS NOT NULL) m ON upper(trim(s.to_party_name)) = upper(trim(m.to_party_name)) GROUP BY 1", "fx_sales", "fx_party_grouping_master")
 add("cascade_customer_type", lambda s, d: M.cascade(load(s, d), load(s, d, "fx_customer_type_master"), {"to_party_name": "party_name"}, "business_type", "type", F.col("business_type").isNull()).groupBy("business_type").agg(F.count(F.lit(1)).alias("n")), "SELECT coalesce(s.business_type, m.type) AS business_type, count(*) AS n FROM fx_sales s LEFT JOIN fx_customer_type_master m ON upper(trim(s.to_party_name)) = upper(m.party_name) GROUP BY 1", "fx_sales", "fx_customer_type_master")
-add("upsert_so_master", lambda s, d: M.upsert(load(s, d, _SO).where("id % 40 = 0"), load(s, d, _SO).where("id % 60 = 0").withColumn("type_of_order", F.lit("NEW")).drop("brand"), ["id"]).select("id", "brand", "type_of_order").where("brand IS NOT NULL"), "SELECT id, brand, CASE WHEN id % 60 = 0 THEN 'NEW' ELSE type_of_order END AS type_of_order FROM fx_so_master WHERE id % 40 = 0", _SO)
+
+
+def _changes(orders: DataFrame) -> DataFrame:
+    """Edits of some orders and, under new ids, orders that the master lacks."""
+    some = orders.where("id % 60 = 0").withColumn("type_of_order", F.lit("NEW")).drop("brand")
+    return some.unionByName(orders.where("id % 60 = 0 AND brand = 'VERCELLI'").withColumns({"id": -F.col("id"), "type_of_order": F.lit("NEW")}).drop("brand"))
+
+
+add("upsert_so_master", lambda s, d: M.upsert(load(s, d, _SO), _changes(load(s, d, _SO)), ["id"]).select("id", "brand", "type_of_order"), "SELECT id, brand, CASE WHEN id % 60 = 0 THEN 'NEW' ELSE type_of_order END AS type_of_order FROM fx_so_master UNION ALL SELECT -id, NULL, 'NEW' FROM fx_so_master WHERE id % 60 = 0 AND brand = 'VERCELLI'", _SO)
 add("upsert_party_grouping", lambda s, d: M.replace_rows(load(s, d, "fx_party_grouping_master"), load(s, d, "fx_party_grouping_master").where("id % 2 = 0").withColumn("party_grouped", F.lit("X")), "id").groupBy("party_grouped").agg(F.count(F.lit(1)).alias("n")), "SELECT CASE WHEN id % 2 = 0 THEN 'X' ELSE party_grouped END AS party_grouped, count(*) AS n FROM fx_party_grouping_master GROUP BY 1", "fx_party_grouping_master")
 add("audit_diff", lambda s, d: M.audit_diff(load(s, d, "fx_party_grouping_master"), load(s, d, "fx_party_grouping_master").withColumn("party_grouped", F.when(F.col("id") % 2 == 0, "X").otherwise(F.col("party_grouped"))), "id"), "SELECT id, 'party_grouped' AS column_name, party_grouped AS before, 'X' AS after FROM fx_party_grouping_master WHERE id % 2 = 0 AND coalesce(party_grouped,'') <> 'X'", "fx_party_grouping_master")
 add("backfill_so_type", lambda s, d: M.backfill_so_type(load(s, d), load(s, d, _SO)).groupBy("so_type").agg(F.count(F.lit(1)).alias("n")), "WITH l AS (SELECT trim(regexp_replace(lower(party_name), '[^a-z0-9 \\-]', '', 'g')) AS k, arg_max(type_of_order, (so_order_date, id)) AS t FROM fx_so_master GROUP BY 1) SELECT CASE WHEN sl_qty <= 0 THEN 'RETURN' ELSE t END AS so_type, count(*) AS n FROM fx_sales LEFT JOIN l ON k = trim(regexp_replace(lower(to_party_name), '[^a-z0-9 \\-]', '', 'g')) GROUP BY 1", "fx_sales", _SO)
 add("lookup_conflicts", lambda s, d: M.lookup_conflicts(load(s, d, _SO)), "SELECT trim(regexp_replace(lower(party_name), '[^a-z0-9 \\-]', '', 'g')) AS party_key, count(DISTINCT type_of_order) AS types FROM fx_so_master GROUP BY 1 HAVING count(DISTINCT type_of_order) > 1", _SO)
-add("match_stats", lambda s, d: M.match_stats(load(s, d), load(s, d, _SO)), "WITH k AS (SELECT DISTINCT lower(replace(party_name,'#','')) AS k FROM fx_so_master), x AS (SELECT k FROM fx_sales LEFT JOIN k ON k = trim(regexp_replace(lower(to_party_name), '[^a-z0-9 \\-]', '', 'g'))) SELECT count(*) AS processed, count(k) AS matched, count(*) - count(k) AS unmatched FROM x", "fx_sales", _SO)
-add("win_total_count", lambda s, d: load(s, d, _SO).where("brand = 'VERCELLI'").select("id", F.count(F.lit(1)).over(P.Window.partitionBy("brand")).alias("total")).orderBy("id").limit(20), "SELECT id, (SELECT count(*) FROM fx_so_master WHERE brand = 'VERCELLI') AS total FROM fx_so_master WHERE brand = 'VERCELLI' ORDER BY id LIMIT 20", _SO)
+add("match_stats", lambda s, d: M.match_stats(load(s, d), load(s, d, _SO)), "WITH k AS (SELECT DISTINCT lower(replace(party_name,'#','')) AS k FROM fx_so_master), x AS (SELECT p AS party_key, k, count(*) AS n FROM (SELECT trim(regexp_replace(lower(to_party_name), '[^a-z0-9 \\-]', '', 'g')) AS p FROM fx_sales) s LEFT JOIN k ON k = p GROUP BY 1, 2) SELECT 'processed' AS kind, '' AS party_key, CAST(sum(n) AS BIGINT) AS n FROM x UNION ALL SELECT CASE WHEN k IS NULL THEN 'unmatched' ELSE 'matched' END, '', CAST(sum(n) AS BIGINT) FROM x GROUP BY 1 UNION ALL (SELECT 'top unmatched', party_key, n FROM x WHERE k IS NULL ORDER BY n DESC, party_key LIMIT 20)", "fx_sales", _SO)
+add("win_total_count", lambda s, d: H.so_preview(load(s, d, _SO), "VERCELLI", "1996-97").select("id", "party_name", "total"), "SELECT id, party_name, count(*) OVER () AS total FROM fx_so_master WHERE brand = 'VERCELLI' AND fy = '1996-97' ORDER BY party_name, id LIMIT 20", _SO)

@@ -18,7 +18,7 @@ from ..sources.fixtures import load
 from ..streaming import ingest
 from . import body as B
 from . import pivot as P
-from .queries import AGG, QUERIES, SQL, MONTH_AXIS, MONTH_NO, NOT_TOTAL, _derived, _fy, _party, _strip, _total, add
+from .queries import _ENRICHED, _EV, _GOODS, AGG, QUERIES, SQL, MONTH_AXIS, MONTH_NO, NOT_TOTAL, _derived, _fy, _party, _strip, _total, add
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -86,14 +86,27 @@ add("join_row_snapshot", lambda s, d: H.row_snapshot(load(s, d, "fx_event").sele
 add("join_freshness", lambda s, d: R.freshness(load(s, d).withColumn("fy", X.fy_axis()), load(s, d).withColumn("fy", X.fy_axis()).groupBy("fy").agg(_count())), f"SELECT max(f) AS fy, arg_max(n, f) AS n, false AS stale FROM (SELECT coalesce(nullif(trim(fy),''), {_fy('bill_date')}, '2001-02') AS f, count(*) AS n FROM fx_sales GROUP BY 1) x")
 
 # Aggregates, windows, top-k.
-add("filter_options", lambda s, d: P.distinct_values_batch(load(s, d), ["state", "party_grouped", "business_type"], 2000), " UNION ".join(f"SELECT '{c}' AS field, trim({c}) AS value FROM fx_sales WHERE trim({c}) <> ''" for c in ("state", "party_grouped", "business_type")))
+add("filter_options", lambda s, d: P.distinct_values_batch(load(s, d), ["state", "party_grouped", "business_type"], 2000), " UNION ".join(f"SELECT '{c}' AS field, trim({c}) AS value, CAST(NULL AS VARCHAR) AS error FROM fx_sales WHERE trim({c}) <> ''" for c in ("state", "party_grouped", "business_type")))
 add("distinct_from_rollup", lambda s, d: P.distinct_values(R.rollup(load(s, d), "branch_brand"), "branch"), f"SELECT DISTINCT trim(branch) AS value FROM fx_sales WHERE trim(branch) <> '' AND {NOT_TOTAL}")
 _AGENT = f"SELECT s.*, coalesce(m.combined_name, trim(s.agent_name)) AS agent_name_final FROM fx_sales s LEFT JOIN {_AGENTS} m ON lower(replace(s.agent_name,'.','')) = lower(m.agent_name)"
 for _n in ("agent_final_branch", "party_agent_branch"):
     _k = ", ".join(R.ROLLUPS[_n])
     add(f"rollup_{_n}", lambda s, d, n=_n: R.rollup(L.lookup_agent(load(s, d), load(s, d, _AGENTS)), n), f"SELECT {_k}, sum(net_amount) AS total_net, sum(amount_before_tax) AS total_before_tax, sum(sl_qty) AS total_qty, count(*) AS fact_row_count FROM ({_AGENT}) x WHERE {NOT_TOTAL} GROUP BY {_k}", "fx_sales", _AGENTS)
+_FOLD = P.config(["agent_name_final"], ["mmm"], [("net_amount", "sum"), ("id", "count")], [{"field": "state", "operator": "in", "values": ["nation_7", "Nation_11"]}])
+
+
+def _folded(s, d) -> DataFrame:
+    shown = load(s, d).withColumns({"agent_name_final": F.when(F.col("sl_qty") > 40, "FINAL"), "agent_names_correction": F.lit(None).cast("string")})
+    got = P.pivot_casefold(shown, load(s, d, _AGENTS), _FOLD)
+    return got.withColumns({"row_labels": F.array_join("row_labels", "||"), "col_labels": F.array_join("col_labels", "||")})
+
+
+add("pivot_casefold", _folded, f"""WITH b AS (SELECT coalesce(nullif(trim(CASE WHEN sl_qty > 40 THEN 'FINAL' ELSE agent_name_final END),''),'(blank)') AS r1, coalesce(nullif(trim(mmm),''), CASE WHEN year(bill_date) >= 2000 THEN upper(strftime(bill_date, '%b')) WHEN regexp_matches(month, '^[A-Za-z]{{3}}-[0-9]{{2}}$') THEN upper(left(month, 3)) END, '(blank)') AS c1, net_amount
+  FROM ({_AGENT}) x WHERE {NOT_TOTAL} AND lower(trim(coalesce(state,''))) IN ('nation_7', 'nation_11')),
+g AS (SELECT r1, c1, coalesce(sum(net_amount),0) AS sum_net_amount, count(*) AS count_id FROM b GROUP BY GROUPING SETS ((r1, c1), (r1), (c1), ()))
+SELECT CASE WHEN r1 IS NOT NULL AND c1 IS NOT NULL THEN 'cell' WHEN r1 IS NOT NULL THEN 'row_total' WHEN c1 IS NOT NULL THEN 'column_total' ELSE 'grand_total' END AS kind, CAST((r1 IS NOT NULL)::INT AS INT) AS depth, coalesce(r1,'') AS row_labels, coalesce(c1,'') AS col_labels, sum_net_amount, count_id FROM g""", "fx_sales", _AGENTS)
 add("rollup_all_dims", lambda s, d: R.rollup(load(s, d), "all_dims"), "SELECT * EXCLUDE (id), sum(sl_qty) AS sum_sl_qty, sum(gross_amount) AS sum_gross_amount, sum(amount_before_tax) AS sum_amount_before_tax, sum(net_amount) AS sum_net_amount, count(*) AS fact_row_count FROM fx_sales GROUP BY ALL")
-add("approx_count", lambda s, d: load(s, d).agg(_count()), "SELECT count(*) AS n FROM fx_sales")
+add("approx_count", lambda s, d: facts.approx_count(s, _stored(s, d)), "SELECT count(*) AS n FROM fx_sales")
 add("win_dedupe_last", lambda s, d: G.keep(load(s, d, _SO).select("party_name", "brand", "fy", "id", "type_of_order"), ["party_name", "brand", "fy"], "id"), "SELECT party_name, brand, fy, max(id) AS id, arg_max(type_of_order, id) AS type_of_order FROM fx_so_master GROUP BY 1, 2, 3", _SO)
 add("win_dedupe_first", lambda s, d: G.keep(load(s, d, _SO).select("party_name", "id", "brand"), ["party_name"], "id", last=False), "SELECT party_name, min(id) AS id, arg_min(brand, id) AS brand FROM fx_so_master GROUP BY 1", _SO)
 add("win_latest_by_date", lambda s, d: G.keep(load(s, d, _SO).select("party_name", F.struct("so_order_date", "id").alias("at"), "type_of_order"), ["party_name"], "at").select("party_name", "type_of_order"), "SELECT party_name, arg_max(type_of_order, (so_order_date, id)) AS type_of_order FROM fx_so_master GROUP BY 1", _SO)
@@ -128,7 +141,37 @@ _HEADS = ["D&J", "IC", "RF", "VERCELLI"]
 _WIDE = ", ".join(f"CASE WHEN count(*) FILTER (b = '{h}') > 0 THEN coalesce(sum(net_amount) FILTER (b = '{h}'), 0) END AS \"{h}\"" for h in _HEADS)
 _XSQL = f"SELECT CASE WHEN r1 IS NULL THEN 'total' ELSE 'body' END AS kind, coalesce(r1, 'Grand Total') AS row_key, {_WIDE}, coalesce(sum(net_amount), 0) AS \"Total\" FROM (SELECT coalesce(nullif(trim(state),''),'(blank)') AS r1, trim(brand) AS b, net_amount FROM fx_sales WHERE {NOT_TOTAL}) x GROUP BY GROUPING SETS ((r1), ())"
 add("pivot_export_grid", lambda s, d: B.export_grid(load(s, d), _XT, _HEADS), _XSQL)
-add("export_pivot_csv", lambda s, d: B.export_csv(B.export_grid(load(s, d), _XT, _HEADS), _HEADS).select("part", "key", F.length("line").alias("n_chars")))
+_CT = P.config(["state"], ["brand", "goods"], [("net_amount", "sum"), ("id", "count")])
+_CH = [("IC", "Fresh"), ("IC", "(blank)"), ("RF", "MID"), ("Rare Wool", "ACC")]
+
+
+def _in(c: str) -> str:
+    """Indian grouping of a whole number of up to 12 digits."""
+    r = f"CAST(round({c}) AS BIGINT)"
+    t = f"CAST(abs({r}) AS VARCHAR)"
+    head = f"left({t}, -3)"
+    pairs = f"array_to_string(list_transform(range(CAST(ceil(length({head}) / 2.0) AS BIGINT)), lambda i: substr(concat(CASE WHEN length({head}) % 2 = 1 THEN ' ' ELSE '' END, {head}), 2 * i + 1, 2)), ',')"
+    return f"CASE WHEN {r} IS NULL THEN NULL WHEN abs({r}) < 1000 THEN CAST({r} AS VARCHAR) ELSE concat(CASE WHEN {r} < 0 THEN '-' ELSE '' END, ltrim({pairs}), ',', right({t}, 3)) END"
+
+
+def _cell(c: str) -> str:
+    return f"CASE WHEN contains({c}, ',') THEN concat('\"', {c}, '\"') ELSE coalesce({c}, '') END"
+
+
+_SHOWN = ["sum(net_amount)", "count(*)"]
+_CELLS = [_cell(_in(f"CASE WHEN count(*) FILTER (b = '{b}' AND g = '{g}') > 0 THEN coalesce({v} FILTER (b = '{b}' AND g = '{g}'), 0) END")) for b, g in _CH for v in _SHOWN] + [_cell(_in(f"coalesce({v}, 0)")) for v in _SHOWN]
+_CSQL = f"""SELECT * FROM (VALUES ('ROWS,IC,IC,IC,IC,RF,RF,RARE WOOL,RARE WOOL,,'), ('STATE,FRESH,FRESH,(BLANK),(BLANK),MID,MID,ACC,ACC,GRAND TOTAL,GRAND TOTAL'), (',{",".join(["SUM net_amount,COUNT id"] * 5)}')) v(line)
+UNION ALL SELECT concat_ws(',', coalesce(r1, 'GRAND TOTAL'), {", ".join(_CELLS)}) FROM (SELECT coalesce(nullif(trim(state),''),'(blank)') AS r1, coalesce(nullif(trim(brand),''),'(blank)') AS b, coalesce({_GOODS},'(blank)') AS g, net_amount FROM fx_sales WHERE {NOT_TOTAL}) x GROUP BY GROUPING SETS ((r1), ())"""
+
+
+def _csv(s, d) -> DataFrame:
+    """The export, written as text and read back; reading drops the byte order mark."""
+    lines = B.export_pivot_csv(load(s, d).withColumn("goods", X.goods_type(F.col("sale_order_no"))), _CT, _CH)
+    facts.sink_lines(lines, at := scratch.folder(s))
+    return s.read.text(at).withColumnRenamed("value", "line")
+
+
+add("export_pivot_csv", _csv, _CSQL)
 add("cap_cells", lambda s, d: B.cap_cells(P.pivot(load(s, d), _XT).where("kind = 'cell'"), 1, 100).select(F.array_join("row_labels", "||").alias("r"), F.array_join("col_labels", "||").alias("c"), "sum_net_amount"), f"WITH b AS (SELECT coalesce(nullif(trim(state),''),'(blank)') AS r, coalesce(nullif(trim(brand),''),'(blank)') AS c, net_amount FROM fx_sales WHERE {NOT_TOTAL}), k AS (SELECT c, row_number() OVER (ORDER BY {_natural('c')}) AS i FROM (SELECT DISTINCT c FROM b) y) SELECT r, b.c AS c, coalesce(sum(net_amount), 0) AS sum_net_amount FROM b JOIN k ON b.c = k.c WHERE i * (SELECT count(DISTINCT r) FROM b) <= 100 GROUP BY 1, 2")
 
 # Grids.
@@ -199,14 +242,30 @@ add("sink_fact", lambda s, d: s.read.parquet(_stored(s, d)).groupBy("fy_part", "
 add("scan_fact", lambda s, d: _total(facts.scan_fact(s, _stored(s, d), "1997-01-15", "1998-06-30"), F.lit(True)), f"SELECT {AGG} FROM fx_sales WHERE bill_date BETWEEN DATE '1997-01-15' AND DATE '1998-06-30'")
 
 
-def _shards(s, d) -> DataFrame:
-    rows = load(s, d).select(F.when(F.col("sl_qty") > 0, F.col("id")).alias("rn"), "to_party_name", "sl_qty", "net_amount")
+def _written(s, d) -> tuple[str, str]:
+    """Shards of the fact, with some rows without a number and some with an unreadable quantity, and their schema."""
+    rows = load(s, d).withColumns({"rn": F.when(F.col("sl_qty") > 0, F.col("id")), "sl_qty": F.when((F.col("sl_qty") > 40) & (F.col("rate_unit") > 1500), "many").otherwise(F.col("sl_qty").cast("string"))})
     facts.sink_sharded_csv(rows, 4, at := scratch.folder(s))
-    return facts.load_sharded_csv(s, at, "rn bigint, to_party_name string, sl_qty decimal(15,4), net_amount decimal(15,4)")
+    return at, ", ".join(["rn bigint", *(f"{c} {t}" for c, t in load(s, d).dtypes)])
+
+
+def _shards(s, d) -> DataFrame:
+    return facts.read_shards(s, *_written(s, d))
+
+
+def _imported(s, d) -> DataFrame:
+    """Counts of all shards, and what is then in the fact and among the rejects."""
+    counts = facts.load_sharded_csv(s, *_written(s, d), _all(s, d) | {"so": load(s, d, _SO)}, f"{(at := scratch.folder(s))}/fact", "job", f"{at}/rejects")
+    seen = counts.agg(F.sum("processed").alias("processed"), F.sum("failed").alias("failed"))
+    fact = s.read.parquet(f"{at}/fact").groupBy("so_type").agg(_count(), F.sum("net_amount").alias("total")).withColumn("kind", F.concat(F.lit("fact "), "so_type"))
+    bad = s.read.parquet(f"{at}/rejects").agg(_count()).select(F.lit("rejects").alias("kind"), "n", F.lit(None).cast("decimal(25,4)").alias("total"))
+    counted = seen.select(F.explode(F.array(F.struct(F.lit("processed").alias("kind"), F.col("processed").alias("n")), F.struct(F.lit("failed").alias("kind"), F.col("failed").alias("n")))).alias("x")).select("x.*", F.lit(None).cast("decimal(25,4)").alias("total"))
+    return fact.select("kind", "n", "total").unionByName(bad).unionByName(counted)
 
 
 add("sink_sharded_csv", lambda s, d: _shards(s, d).agg(F.countDistinct("shard").alias("shards"), F.max("rn").alias("last")), "SELECT 4 AS shards, max(id) AS last FROM fx_sales WHERE sl_qty > 0")
-add("load_sharded_csv", lambda s, d: _shards(s, d).groupBy("to_party_name").agg(_count(), F.sum("net_amount").alias("total")), "SELECT to_party_name, count(*) AS n, sum(net_amount) AS total FROM fx_sales WHERE sl_qty > 0 GROUP BY 1")
+_BAD = "sl_qty > 40 AND rate_unit > 1500"
+add("load_sharded_csv", _imported, f"SELECT concat('fact ', so_type) AS kind, count(*) AS n, sum(net_amount) AS total FROM ({_ENRICHED}) e WHERE sl_qty > 0 AND NOT ({_BAD}) GROUP BY 1 UNION ALL SELECT unnest(['processed', 'failed', 'rejects']), unnest([count(*), count(*) FILTER ({_BAD}), count(*) FILTER ({_BAD})]), NULL FROM fx_sales WHERE sl_qty > 0", *_EV)
 
 
 def _rejects(s, d) -> DataFrame:
@@ -251,4 +310,4 @@ def _rolled(s, d) -> DataFrame:
 
 add("refresh_rollups", _refreshed, _MONTHS)
 add("rollup_stream", _rolled, _MONTHS)
-add("ingest_stream", _ingested, "SELECT branch, CASE WHEN nullif(trim(sale_order_no),'') IS NULL THEN NULL ELSE CASE regexp_extract(upper(regexp_replace(trim(sale_order_no), '^[''\"]+', '')), '^([A-Z]+)', 1) WHEN 'MID' THEN 'MID' WHEN 'MIX' THEN 'MIX' WHEN 'SRC' THEN 'SRC' WHEN 'ACS' THEN 'ACC' WHEN 'ACC' THEN 'ACC' ELSE 'Fresh' END END AS goods_type, count(*) AS n FROM fx_sales GROUP BY 1, 2")
+add("ingest_stream", _ingested, "SELECT CASE WHEN upper(trim(brand)) = 'RARE WOOL' AND upper(trim(branch)) = 'DON AND JULIO' THEN 'RARE WOOL' ELSE branch END AS branch, CASE WHEN nullif(trim(sale_order_no),'') IS NULL THEN NULL ELSE CASE regexp_extract(upper(regexp_replace(trim(sale_order_no), '^[''\"]+', '')), '^([A-Z]+)', 1) WHEN 'MID' THEN 'MID' WHEN 'MIX' THEN 'MIX' WHEN 'SRC' THEN 'SRC' WHEN 'ACS' THEN 'ACC' WHEN 'ACC' THEN 'ACC' ELSE 'Fresh' END END AS goods_type, count(*) AS n FROM fx_sales GROUP BY 1, 2")

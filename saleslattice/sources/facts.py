@@ -16,9 +16,10 @@ def fy_part(c: Column) -> Column:
 
 
 def sink_fact(df: DataFrame, path: str, mode: str = "append") -> None:
-    """Append to the fiscal-year partitions; rows are dealt by partition and day, so that files are few and even."""
+    """Append to the fiscal-year partitions. Rows are dealt by partition and day; what is too large for a task, as may be the
+    rows without a date or those of a hot day, is split, and what is small is put together."""
     keyed = {f"norm_{n}": X.norm_key(F.col(c)) for n, c in (("party", "to_party_name"), ("brand", "brand"), ("agent", "agent_name"), ("state", "state"))}
-    df.withColumns(keyed | {"fy_part": fy_part(F.col("bill_date"))}).repartition("fy_part", "bill_date").sortWithinPartitions("fy_part", "bill_date").write.mode(mode).partitionBy("fy_part").parquet(path)
+    df.withColumns(keyed | {"fy_part": fy_part(F.col("bill_date"))}).hint("rebalance", "fy_part", "bill_date").sortWithinPartitions("fy_part", "bill_date").write.mode(mode).partitionBy("fy_part").parquet(path)
 
 
 def scan_fact(spark: SparkSession, path: str, first: str | None = None, last: str | None = None) -> DataFrame:
@@ -96,9 +97,32 @@ def sink_sharded_csv(df: DataFrame, n: int, path: str) -> None:
     df.select("rn", *(c for c in df.columns if c != "rn")).repartition(n).write.option("header", True).mode("overwrite").csv(path)
 
 
-def load_sharded_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Rows of the shards with shard, their file; rows without a readable number go. schema starts with rn."""
-    return spark.read.schema(schema).option("header", True).csv(path).where("rn IS NOT NULL").withColumn("shard", F.input_file_name())
+def read_shards(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of the shards with shard, their file, and bad, the line where a field can't be read (its other fields stay).
+    Rows without a readable number go. schema starts with rn."""
+    rows = spark.read.schema(f"{schema}, bad string").option("header", True).option("columnNameOfCorruptRecord", "bad").csv(path)
+    return rows.where("rn IS NOT NULL").withColumn("shard", F.regexp_extract(F.input_file_name(), "([^/]+)$", 1))
+
+
+def load_sharded_csv(spark: SparkSession, path: str, schema: str, masters: dict[str, DataFrame], target: str, job: str, log: str) -> DataFrame:
+    """Import the shards: enrich their rows, append them to the fact at target and unreadable ones to the rejects at log.
+    Returns shard, processed and failed; rows that failed count as processed too."""
+    from ..operators.lookups import enrich_fact
+
+    rows = read_shards(spark, path, schema)
+    sink_fact(enrich_fact(rows.where("bad IS NULL").drop("bad", "shard", "rn"), masters), target)
+    sink_rejects(rows.where("bad IS NOT NULL").withColumn("error_message", F.lit("unreadable field")), job, log)
+    return rows.groupBy("shard").agg(F.count(F.lit(1)).alias("processed"), F.count("bad").alias("failed"))
+
+
+def sink_lines(lines: DataFrame, path: str) -> None:
+    """Text files that make up the lines (part, key, line) in order, one file after the other."""
+    lines.repartitionByRange("part", "key").sortWithinPartitions("part", "key").select("line").write.mode("overwrite").text(path)
+
+
+def approx_count(spark: SparkSession, path: str) -> DataFrame:
+    """n: rows of the stored fact by the footers of its files; no column is read."""
+    return spark.read.parquet(path).select().agg(F.count(F.lit(1)).alias("n"))
 
 
 def sink_rejects(df: DataFrame, job: str, path: str) -> None:

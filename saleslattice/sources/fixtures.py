@@ -13,24 +13,26 @@ VIEWS: dict[str, str] = {
 SELECT
   (((l.l_orderkey * 10 + l.l_linenumber) * 100000 + l.l_partkey) * 10000 + l.l_suppkey) * 100 + CAST(l.l_quantity AS INT) AS id,
   CASE WHEN l.l_orderkey % 97 = 0 THEN 'Grand Total'
+       WHEN l.l_orderkey % 29 = 0 THEN ' Don And Julio'
+       WHEN l.l_orderkey % 31 = 0 THEN 'Italian Channel '
        WHEN l.l_orderkey % 5 = 0 THEN concat('BR ', sn.n_name, '  ')
        ELSE concat('BR ', sn.n_name) END AS branch,
   CASE WHEN l.l_linenumber = 6 THEN '1999-00' ELSE CAST(NULL AS VARCHAR(50)) END AS fy,
   CASE WHEN l.l_linenumber = 5 THEN 'Apr-01' WHEN l.l_linenumber = 4 THEN '' ELSE CAST(NULL AS VARCHAR(50)) END AS month,
-  CAST(NULL AS VARCHAR(50)) AS mmm,
-  CAST(NULL AS VARCHAR(255)) AS region,
+  CASE WHEN l.l_linenumber = 5 THEN 'APR' WHEN l.l_linenumber = 4 THEN ' ' ELSE CAST(NULL AS VARCHAR(50)) END AS mmm,
+  CASE WHEN c.c_custkey % 6 = 0 THEN 'OWN REGION' ELSE CAST(NULL AS VARCHAR(255)) END AS region,
   CASE WHEN c.c_custkey % 50 = 0 THEN NULL WHEN c.c_custkey % 50 = 1 THEN '' ELSE cn.n_name END AS state,
-  CAST(NULL AS VARCHAR(255)) AS district,
+  CASE c.c_custkey % 9 WHEN 0 THEN 'OWN DISTRICT' WHEN 1 THEN '' ELSE CAST(NULL AS VARCHAR(255)) END AS district,
   concat('CITY ', c.c_mktsegment) AS city,
   CAST(NULL AS VARCHAR(20)) AS pin_code,
   CASE WHEN c.c_custkey % 7 = 0 THEN 'RETAILER' ELSE NULL END AS business_type,
   CASE WHEN c.c_custkey % 11 = 0 THEN 'SHEET GROUP' ELSE NULL END AS party_grouped,
   CAST(NULL AS VARCHAR(255)) AS party_name_for_count,
   CASE l.l_linenumber WHEN 1 THEN concat('M/S ', c.c_name) WHEN 2 THEN lower(c.c_name) ELSE c.c_name END AS to_party_name,
-  CASE CAST(substr(p.p_brand, 7) AS INT) % 5 WHEN 0 THEN 'D&J' WHEN 1 THEN 'IC' WHEN 2 THEN 'RF' WHEN 3 THEN 'VERCELLI' ELSE p.p_brand END AS brand,
+  CASE WHEN l.l_orderkey % 58 = 0 OR l.l_orderkey % 37 = 0 THEN 'Rare Wool' ELSE CASE CAST(substr(p.p_brand, 7) AS INT) % 5 WHEN 0 THEN 'D&J' WHEN 1 THEN 'IC' WHEN 2 THEN 'RF' WHEN 3 THEN 'VERCELLI' ELSE p.p_brand END END AS brand,
   CASE l.l_linenumber WHEN 2 THEN lower(su.s_name) WHEN 3 THEN concat(su.s_name, '.') ELSE su.s_name END AS agent_name,
   concat('B-', CAST(l.l_orderkey AS VARCHAR(20))) AS bill_no,
-  CASE WHEN l.l_linenumber = 5 THEN NULL ELSE CAST(l.l_shipdate AS DATE) END AS bill_date,
+  CASE WHEN l.l_linenumber = 5 THEN NULL WHEN l.l_orderkey % 13 = 0 THEN make_date(CAST(year(l.l_shipdate) + 24 AS INT), CAST(month(l.l_shipdate) AS INT), CAST(least(day(l.l_shipdate), 28) AS INT)) ELSE CAST(l.l_shipdate AS DATE) END AS bill_date,
   concat('ITEM ', CAST(p.p_partkey % 200 AS VARCHAR(20))) AS item_no,
   p.p_type AS shade_name,
   CAST(p.p_size AS VARCHAR(20)) AS size,
@@ -45,9 +47,9 @@ SELECT
     WHEN 3 THEN 'src 9' WHEN 4 THEN 'ACS1' WHEN 5 THEN '"ACC2' WHEN 6 THEN concat('SO', CAST(o.o_orderkey AS VARCHAR(20))) ELSE NULL END AS sale_order_no,
   CAST(o.o_orderdate AS DATE) AS sale_order_date,
   p.p_type AS item_category,
-  o.o_orderpriority AS item_sub_cat,
-  CAST(NULL AS VARCHAR(255)) AS so_type,
-  CAST(NULL AS VARCHAR(255)) AS scheme
+  CASE WHEN o.o_orderkey % 8 = 0 THEN ' ' ELSE o.o_orderpriority END AS item_sub_cat,
+  CASE l.l_suppkey % 5 WHEN 0 THEN 'OWN TYPE' WHEN 1 THEN ' ' ELSE CAST(NULL AS VARCHAR(255)) END AS so_type,
+  CASE WHEN o.o_orderkey % 3 = 0 THEN concat('SCHEME ', CAST(l.l_linenumber AS VARCHAR(5))) ELSE CAST(NULL AS VARCHAR(255)) END AS scheme
 FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
 JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation cn ON c.c_nationkey = cn.n_nationkey
 JOIN part p ON l.l_partkey = p.p_partkey JOIN supplier su ON l.l_suppkey = su.s_suppkey
@@ -75,7 +77,7 @@ SELECT s_suppkey AS id, s_name AS agent_name, concat('AGENT ', CAST(s_suppkey %
 SELECT o_orderkey AS id, upper(c.c_name) AS party_name, CASE o.o_custkey % 4 WHEN 0 THEN 'DON AND JULIO' WHEN 1 THEN 'ITALIAN CHANNEL' WHEN 2 THEN 'RISHAB FABRICS' ELSE 'VERCELLI' END AS brand,
   concat(CAST(year(o_orderdate) AS VARCHAR(10)), '-', substr(CAST(year(o_orderdate) + 1 AS VARCHAR(10)), 3, 2)) AS fy,
   CAST(o_orderdate AS DATE) AS so_order_date, o_orderpriority AS type_of_order
-FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey WHERE o_orderkey % 20 = 0
+FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey WHERE c.c_custkey % 5 <> 0
 """,
     "fx_grid": r"""
 SELECT sheet, rn, split(line, ';') AS cells FROM (
@@ -99,9 +101,13 @@ SELECT o_orderkey AS id, CASE WHEN o_custkey % 2 = 0 THEN 'party' ELSE 'type' EN
 
 
 def load(spark: SparkSession, sf_dir: str, name: str = "fx_sales") -> DataFrame:
-    """A view as a DataFrame; tables are bound to the query, so no session state is changed."""
+    """A view as a DataFrame; tables are bound to the query, so no session state is changed. Sales lines that come in few
+    large pieces are dealt out before their joins."""
     sql = VIEWS[name]
     used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if re.search(rf"\b(FROM|JOIN) {t}\b", sql)}
+    cores = spark.sparkContext.defaultParallelism
+    if "lineitem" in used and used["lineitem"].rdd.getNumPartitions() < cores:
+        used["lineitem"] = used["lineitem"].repartition(cores)
     bound = re.sub(r"\b(FROM|JOIN) (\w+)", lambda m: f"{m[1]} {{{m[2]}}}" if m[2] in used else m[0], sql)
     return spark.sql(bound, **used)
 

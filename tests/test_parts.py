@@ -1,12 +1,14 @@
 """Unit vectors, sources, streams and invariants of the sales model."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from saleslattice.functions import exprs as X
 from saleslattice.operators import rollups as R
+from saleslattice.plans import body as B
 from saleslattice.plans import pivot as P
 from saleslattice.plans.queries import _masters, enriched
-from saleslattice.sources import facts
+from saleslattice.sources import facts, scratch
 from saleslattice.sources.fixtures import load
 from saleslattice.streaming import ingest
 
@@ -72,3 +74,35 @@ def test_streams(spark, sf, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == sales.count()
     want = sorted(map(str, R.rollup(sales, "state_month").collect()))
     assert sorted(map(str, ingest.merged(spark, str(tmp_path / "roll")).select("state", "bill_month", *R.SUMS.values(), "fact_row_count").collect())) == want
+
+
+def test_csv_file(spark, tmp_path):
+    """An exported pivot as it lies on disk: byte order mark, level and metric lines, rows in order, footer, quotes."""
+    df = spark.createDataFrame([(1, "b,1", "x", "m", None, 1234567.5), (2, "a", "x", "m", None, -1000.0), (3, "a", "y", "n", None, 5.4)], "id int, state string, brand string, city string, branch string, net_amount double")
+    cfg = P.config(["state"], ["brand", "city"], [("net_amount", "sum"), ("id", "count")])
+    facts.sink_lines(B.export_pivot_csv(df, cfg, [("x", "m"), ("y", "n")]), str(tmp_path / "out"))
+    raw = b"".join(p.read_bytes() for p in sorted((tmp_path / "out").glob("part-*")))
+    want = 'ROWS,X,X,Y,Y,,\nSTATE,M,M,N,N,GRAND TOTAL,GRAND TOTAL\n,SUM net_amount,COUNT id,SUM net_amount,COUNT id,SUM net_amount,COUNT id\na,"-1,000",1,5,1,-995,2\n"b,1","12,34,568",1,,,"12,34,568",1\nGRAND TOTAL,"12,33,568",2,5,1,"12,33,573",3\n'
+    assert raw.decode("utf-8-sig") == want and raw.startswith(b"\xef\xbb\xbf")
+
+
+def test_values_of_many_fields(spark):
+    df = spark.createDataFrame([("a",)], "x string")
+    for bad in ([], [f"f{i}" for i in range(25)]):
+        with pytest.raises(ValueError):
+            P.distinct_values_batch(df, bad)
+    assert {tuple(r) for r in P.distinct_values_batch(df, ["x", "z", "x"]).collect()} == {("x", "a", None), ("z", None, "Invalid filter field")}
+
+
+def test_shared_folder_is_named(spark):
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+    with pytest.raises(ValueError):
+        scratch.folder(Session())
