@@ -14,7 +14,8 @@ A stretch shared by any number of documents reaches a bucket once a shard, so co
 minimizer that differ (at the edges of a hot passage, or around a common gram) would gather in its bucket: where shards
 hold more than ``CROWD`` of them besides one a shard, a second bit a key says so, and the minimizer's windows are sent
 one by one, dealt by the hash of the window, which equal windows share. Shards have bounded sizes, buckets bounded
-mean sizes and crowds; their number grows with the input. Lost executors: shards and
+mean sizes and crowds; their number grows with the input. Contents of one hash are compared token by token before they
+count as one (words by 64-bit hashes, bytes as they are). Lost executors: shards and
 bits are checkpointed, all else is recomputed from them.
 
 Order: by id, then by place in the text; a null id is before all others; rows with equal ids are equals.
@@ -32,9 +33,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import folder
 from ._text import columns, grams, hash_spans, inside, lut, mix, pieces, ranges, spans
 
 SHARD_BYTES, BUCKET_BYTES, LONGEST, CROWD = 4 << 20, 8 << 20, 256, 4096
+#: Stands for a null id within shards; it is before all others, and a real id of this value is one with it.
 NO_ID = np.iinfo(np.int64).min
 _SHARD = "shard bigint, n bigint, ids binary, lens binary, blob binary"
 _KEYS = "shard bigint, bucket int, keys binary, more binary"
@@ -42,15 +45,11 @@ _BITS = "shard bigint, bucket int, bits binary"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the session's checkpoint folder (in local runs without one, to a new temporary folder)."""
+    """df written to the session's checkpoint folder: spark.checkpoint.dir, or a new temporary folder in local sessions
+    that name none."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        where = sc.getConf().get("spark.checkpoint.dir")
-        if where is None:
-            import tempfile
-
-            where = tempfile.mkdtemp(prefix="spark-")
-        sc.setCheckpointDir(where)
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -161,10 +160,21 @@ def _code(hashes: np.ndarray, plan: Plan) -> np.ndarray:
     return (((key >> np.uint64(33)) % np.uint64(plan.buckets)) << np.uint64(32)) | (key & np.uint64(0xFFFFFFFF))
 
 
-def _contents(s: Shard, plan: Plan, which: np.ndarray) -> np.ndarray:
+def _contents(s: Shard, plan: Plan, which: np.ndarray, seed: int = 0) -> np.ndarray:
     """The hash of each stretch's content."""
     at, end = s.at[which], (s.at + s.n + plan.size - 1)[which]
-    return hash_spans(s.hashes.view(np.uint8), at * 8, end * 8) if plan.words else hash_spans(s.data, at, end)
+    return hash_spans(s.hashes.view(np.uint8), at * 8, end * 8, seed) if plan.words else hash_spans(s.data, at, end, seed)
+
+
+def same(tokens: np.ndarray, a: np.ndarray, n: np.ndarray, b: np.ndarray, m: np.ndarray) -> bool:
+    """Whether each run of n tokens from a equals that of m from b, compared token by token, some at a time."""
+    if (n != m).any():
+        return False
+    on = np.flatnonzero(a != b)
+    for some in np.array_split(on, int(n[on].sum()) // (1 << 20) + 1):
+        if not np.array_equal(tokens[ranges(a[some], n[some])], tokens[ranges(b[some], n[some])]):
+            return False
+    return True
 
 
 def _by_bucket(code: np.ndarray, buckets: int) -> np.ndarray:
@@ -263,13 +273,21 @@ def _candidates(s: Shard, plan: Plan, got: list[dict]) -> tuple[Shard, Sent, np.
     which = np.flatnonzero(sends)
     doc = np.searchsorted(s.firsts, s.at, "right") - 1
     id_, place = s.ids[doc], s.at - s.firsts[doc]
-    h = _contents(s, plan, which)
-    order = np.lexsort((place[which], id_[which], h, s.code[which]))
-    new = np.ones(len(order), bool)
-    new[1:] = (h[order][1:] != h[order][:-1]) | (s.code[which][order][1:] != s.code[which][order][:-1])
-    of = np.empty(len(order), np.int64)
-    of[order] = np.cumsum(new) - 1
-    first = which[order[new]]
+    tokens = s.hashes if plan.words else s.data
+    n = s.n[which] + plan.size - 1
+    h = [_contents(s, plan, which)]
+    while True:
+        order = np.lexsort((place[which], id_[which], *h, s.code[which]))
+        new = np.ones(len(order), bool)
+        new[1:] = s.code[which][order][1:] != s.code[which][order][:-1]
+        for x in h:
+            new[1:] |= x[order][1:] != x[order][:-1]
+        of = np.empty(len(order), np.int64)
+        of[order] = np.cumsum(new) - 1
+        first = which[order[new]]
+        if same(tokens, s.at[which], n, s.at[first][of], (s.n[first] + plan.size - 1)[of]):
+            break
+        h.append(_contents(s, plan, which, len(h)))  # contents that differ had one hash
     return s, Sent(which, of, first, _by_bucket(s.code[first], plan.buckets)), id_, place
 
 
@@ -304,15 +322,17 @@ def _first_places(plan: Plan):
         if plan.words:
             starts, ends, firsts = spans(data, offs, lut("space"))
             tokens = hash_spans(data, starts, ends)
-            h = hash_spans(tokens.view(np.uint8), firsts[:-1] * 8, firsts[1:] * 8)
-            h2 = hash_spans(tokens.view(np.uint8), firsts[:-1] * 8, firsts[1:] * 8, 7)
+            flat, wide = tokens.view(np.uint8), 8
         else:
             tokens, firsts = data, offs
-            h, h2 = hash_spans(data, offs[:-1], offs[1:]), hash_spans(data, offs[:-1], offs[1:], 7)
-        _, rep, of = np.unique(h, return_index=True, return_inverse=True)
-        if (h2 != h2[rep[of]]).any():
-            _, rep, of = np.unique(np.stack([h, h2]), axis=1, return_index=True, return_inverse=True)
-            of = of.ravel()
+            flat, wide = data, 1
+        h = [hash_spans(flat, firsts[:-1] * wide, firsts[1:] * wide)]
+        while True:
+            _, rep, of = np.unique(np.stack(h), axis=1, return_index=True, return_inverse=True) if len(h) > 1 else np.unique(h[0], return_index=True, return_inverse=True)
+            of, n = of.ravel(), np.diff(firsts)
+            if same(tokens, firsts[:-1], n, firsts[:-1][rep][of], n[rep][of]):
+                break
+            h.append(hash_spans(flat, firsts[:-1] * wide, firsts[1:] * wide, len(h)))  # stretches that differ had one hash
         # the first place of each distinct stretch
         if not plan.words:
             places = np.zeros_like(places)  # within a document bytes don't remove each other

@@ -116,3 +116,37 @@ def test_suffix_parts():
             lo, hi = ix.back(np.array([c]), lo, hi)
         want = sum((text[j : j + n] == p).all() for j in range(500 - n + 1))
         assert hi[0] - lo[0] == want
+
+
+def test_matching_statistics():
+    rnd = np.random.default_rng(4)
+    for sigma, n in ((2, 40), (3, 60), (12, 30)):
+        lens = rnd.integers(1, 30, n)
+        tokens = rnd.integers(0, sigma, lens.sum())
+        parts = [p.tolist() for p in np.split(tokens, np.cumsum(lens)[:-1])]
+        parts[3] = list(parts[5])
+        lens = np.array([len(p) for p in parts])
+        tokens = np.array([x for p in parts for x in p])
+
+        def times(run):
+            return sum(p[i : i + len(run)] == run for p in parts for i in range(len(p) - len(run) + 1))
+
+        want = [max((m for m in range(1, len(p) - i + 1) if times(p[i : i + m]) > 1), default=0) for p in parts for i in range(len(p))]
+        index, text, firsts = fmindex._indexed(tokens, lens)
+        stat, at = fmindex.matching_statistics(index, text, firsts, lens)
+        assert stat.tolist() == want
+        where = [(k, i) for k, p in enumerate(parts) for i in range(len(p))]
+        runs = {(k, i, i + m) for (k, i), m in zip(where, want) if m >= 3}
+        runs = {x for x in runs if not any(y != x and y[0] == x[0] and y[1] <= x[1] and y[2] >= x[2] for y in runs)}
+        assert set(fmindex.repeated_intervals(tokens, lens, 3)) == runs
+        long = np.array([k for k in range(len(parts)) if lens[k] >= 3])
+        cls = fmindex.repeated_windows(np.concatenate([np.array(parts[k]) for k in long]), lens[long], 3)
+        wins = [tuple(parts[k][i : i + 3]) for k in long for i in range(lens[k] - 2)]
+        seen = {}
+        for w, c in zip(wins, cls.tolist()):
+            assert seen.setdefault(w, c) == c
+        assert len(set(seen.values())) == len(seen)
+        x = index.common
+        before, after = fmindex.smaller(x)
+        for k in range(len(x)):
+            assert before[k] == max((j for j in range(k) if x[j] < x[k]), default=0) and after[k] == min((j for j in range(k + 1, len(x)) if x[j] < x[k]), default=len(x) - 1)
