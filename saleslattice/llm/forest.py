@@ -1,24 +1,28 @@
 """MinHash near-dedup by an LSH forest.
 
-A document's set is its distinct word shingles. ``TREES`` sorted orders of ``DEPTH``-value MinHash labels make the
-forest; documents whose labels share ``LEAST`` values are in one region of a tree.
+A document's set is its distinct word shingles, each by a 64-bit hash. ``TREES`` sorted orders of ``DEPTH``-value
+MinHash labels make the forest; documents whose labels share ``LEAST`` values are in one region of a tree.
 
-* Documents with equal sets are one class, named by its smallest id; hot groups of copies are one row from here on.
+* Documents with equal sets (by a 128-bit BLAKE2 digest of the whole sorted set) are one class, named by its smallest id;
+  hot groups of copies are one row from here on.
 * First, in ``CHAINS`` trees, label neighbours (by longest common prefix) are candidates: at most one pair a row, so
   that large groups become connected without pairing all members.
 * Then, in all trees, classes that share a region but no component are candidates: those outside a region's main
-  component against the region. A region with more than ``FEW`` such pairs is followed deeper: first all its members
-  against its most usual one; then they are sorted by their own shingles, rare ones first, and only pairs of two
-  components that share a shingle near enough to the front of both are candidates (an exact filter, so none that could
-  be confirmed is dropped).
+  component against the region. A region with more than ``FEW`` such pairs is closed exactly
+  instead: first all its members against its most usual one; then they are sorted by their own shingles, rare ones first,
+  and only pairs of two components that share a shingle near enough to the front of both are candidates, so none that
+  could be confirmed is dropped.
 * Candidates are confirmed on full sets; components come from min-label rounds with pointer jumps.
 
-Null and wordless texts have no set and link with nothing. Repeated ids are one document to the links. Rows keep their
-number; a null id is a document of its own.
+Null and wordless texts have no set and link with nothing. Rows of one id are one document: where their texts differ,
+the one of the least hash (of those with words) makes its links, and all have its component. Rows keep their number; a
+null id is a document of its own.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -56,26 +60,32 @@ def sets(data: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
     return out, np.searchsorted(row, np.arange(len(offs)))
 
 
+def _texts(docs: DataFrame, key: str, col: str) -> DataFrame:
+    return docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{col}`").cast("string").alias("text"))
+
+
 def signatures(docs: DataFrame, key: str, col: str, k: int) -> DataFrame:
-    """id, n (size of the set), d1 and d2 (digest of the set), sig (labels of all trees; null for empty sets)."""
+    """id, th (hash of the text), n (size of the set), d1 and d2 (digest of the set), sig (labels of all trees; null for
+    empty sets)."""
 
     def run(batches):
         for b in pieces(batches, "text", 1 << 20):
             h, firsts = sets(*columns(b, "text"), k)
             n = np.diff(firsts)
             full = np.flatnonzero(n)
-            sig, d1, d2 = np.zeros((len(full), TREES * DEPTH), ">u4"), np.zeros(b.num_rows, np.uint64), np.zeros(b.num_rows, np.uint64)
+            sig, digest = np.zeros((len(full), TREES * DEPTH), ">u4"), np.zeros((b.num_rows, 2), np.int64)
             if len(full):
                 at = firsts[:-1][full]
-                d1[full], d2[full] = np.add.reduceat(mix(h), at), np.bitwise_xor.reduceat(mix(h ^ np.uint64(77)), at) + n[full].astype(np.uint64)
+                made = b"".join(hashlib.blake2b(h[x:y].data, digest_size=16).digest() for x, y in zip(at.tolist(), firsts[1:][full].tolist(), strict=True))
+                digest[full] = np.frombuffer(made, np.int64).reshape(-1, 2)
                 for j in range(TREES * DEPTH):
                     sig[:, j] = np.minimum.reduceat((h * _MUL[j] + _ADD[j]) >> np.uint64(32), at)
             out = [None] * b.num_rows
             for r, s in zip(full.tolist(), sig, strict=True):
                 out[r] = s.tobytes()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(out, pa.binary())], names=["id", "n", "d1", "d2", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(out, pa.binary())], names=["id", "th", "n", "d1", "d2", "sig"])
 
-    return docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{col}`").cast("string").alias("text")).mapInArrow(run, "id bigint, n bigint, d1 bigint, d2 bigint, sig binary")
+    return _texts(docs, key, col).select("id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, "id bigint, th bigint, n bigint, d1 bigint, d2 bigint, sig binary")
 
 
 def shared_regions(classes: DataFrame) -> DataFrame:
@@ -119,17 +129,6 @@ def chain_candidates(rows: DataFrame) -> DataFrame:
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _main(rows: DataFrame, by: str, having: str) -> DataFrame:
-    """rows (with comp) with n and main, by group: its rows and its largest component; groups that fail having go.
-
-    The join has a key of its own, so that both sides are dealt anew and a hot group can be split."""
-    sizes = rows.groupBy(by, "comp").agg(F.count(F.lit(1)).alias("m"))
-    groups = sizes.groupBy(by).agg(F.max(F.struct("m", "comp")).alias("x"), F.sum("m").alias("n"), F.count(F.lit(1)).alias("comps"))
-    groups = groups.where(having).select(F.col(by).alias("_g"), F.col("x.comp").alias("main"), F.col("n").alias("rows"), (F.col("n") - F.col("x.m")).alias("minor"), F.xxhash64(by).alias("_k"))
-    left = rows.withColumn("_l", F.xxhash64(by))
-    return left.join(groups.hint("merge"), (left["_l"] == groups["_k"]) & (left[by] == groups["_g"])).drop("_l", "_k", "_g")
-
-
 def _main(rows: DataFrame, by: str, having: str) -> DataFrame:
     """rows (with comp) with rows, minor and main, by group: its rows, those outside its largest component, and that
     component; groups that fail having go.
@@ -147,9 +146,8 @@ def _with(rows: DataFrame, comps: DataFrame) -> DataFrame:
     return rows.join(comps.hint("merge"), rows["rep"] == comps["id"], "left").drop("id").withColumn("comp", F.coalesce("comp", "rep"))
 
 
-def packed(docs: DataFrame, ids: DataFrame, key: str, col: str) -> DataFrame:
+def packed(texts: DataFrame, ids: DataFrame) -> DataFrame:
     """id, z: the compressed texts of the ids (rep)."""
-    texts = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{col}`").cast("string").alias("text"))
     texts = texts.join(ids.hint("merge"), texts["id"] == ids["rep"], "left_semi")
 
     def squeeze(batches):
@@ -166,10 +164,11 @@ def _unpacked(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 def rare_first(members: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """rep, n, usual (mean count of its shingles among members) and front: place and hash of those of its first shingles
-    (rare among members first) that others have too. Sets go to buckets of shingles and back in packs of MEMBERS sets."""
+    (rare among members first) that others have too. Sets go to buckets of shingles and back in packs of MEMBERS sets; a
+    pack counts its own shingles first, so that a shingle comes to its bucket once a pack."""
     some = checkpointed(texts.join(members.select("rep").distinct().hint("merge"), texts["id"] == F.col("rep"), "left_semi").select("id", "z"))
     buckets = max(1, -(-some.count() // BUCKET_SETS))
-    row = "pack bigint, bucket int, reps binary, t binary, of binary, df binary"
+    row = "pack bigint, bucket int, reps binary, t binary, n binary, at binary, of binary, df binary"
     names = [x.split()[0] for x in row.split(", ")]
 
     def send(batches):
@@ -183,18 +182,22 @@ def rare_first(members: DataFrame, texts: DataFrame, k: int, percent: int) -> Da
                 reps = part.column(0).to_numpy().astype("<i8").tobytes()
                 for k_ in np.unique(bucket):
                     on = bucket == k_
-                    yield pa.RecordBatch.from_arrays([pa.array([made]), pa.array([int(k_)], pa.int32()), pa.array([reps]), pa.array([h[on].tobytes()]), pa.array([of[on].tobytes()]), pa.array([None], pa.binary())], names=names)
+                    t, at_, n = np.unique(h[on], return_inverse=True, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([made]), pa.array([int(k_)], pa.int32()), *(pa.array([x]) for x in (reps, t.tobytes(), n.astype("<u4").tobytes(), at_.astype("<u4").tobytes(), of[on].tobytes())), pa.array([None], pa.binary())], names=names)
                 made += 1
 
     def count(table: pa.Table) -> pa.Table:
         sent = [np.frombuffer(x, "<u8") for x in table["t"].to_pylist()]
-        _, of, n = np.unique(np.concatenate(sent), return_inverse=True, return_counts=True)
+        _, of = np.unique(np.concatenate(sent), return_inverse=True)
+        n = np.bincount(of, np.concatenate([np.frombuffer(x, "<u4") for x in table["n"].to_pylist()]))
         cut = np.cumsum([0, *map(len, sent)])
         df = n[of].astype("<u4")
-        return table.set_column(5, "df", pa.array([df[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary()))
+        return table.set_column(7, "df", pa.array([df[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary()))
 
     def order(table: pa.Table) -> pa.Table:
-        t, of, df = (np.concatenate([np.frombuffer(x, kind) for x in table[name].to_pylist()]) for name, kind in (("t", "<i8"), ("of", "<u4"), ("df", "<u4")))
+        places = [np.frombuffer(x, "<u4") for x in table["at"].to_pylist()]
+        t, df = (np.concatenate([np.frombuffer(x, kind)[at] for x, at in zip(table[name].to_pylist(), places, strict=True)]) for name, kind in (("t", "<i8"), ("df", "<u4")))
+        of = np.concatenate([np.frombuffer(x, "<u4") for x in table["of"].to_pylist()])
         reps = np.frombuffer(table["reps"][0].as_py(), "<i8")
         o = np.lexsort((t, df, of))
         t, df = t[o], df[o]
@@ -254,27 +257,37 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     return checkpointed(side.mapInArrow(run, "a bigint, b bigint"))
 
 
-def linked(classes: DataFrame, docs: DataFrame, key: str, col: str, k: int, percent: int) -> DataFrame:
-    """id, comp of the classes (rep) that have links."""
+def _open_pairs(open_: DataFrame) -> DataFrame:
+    """Pairs of two components in each region, one of them not the region's main."""
+    less = open_.where(F.col("comp") != F.col("main")).select(F.col("rep").alias("a"), F.col("region").alias("ra"), F.col("comp").alias("ca"))
+    every = open_.select(F.col("rep").alias("b"), F.col("region").alias("rb"), F.col("comp").alias("cb"))
+    return less.join(every.hint("merge"), (F.col("ra") == F.col("rb")) & (F.col("ca") != F.col("cb"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def linked(classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """id, comp of the classes (rep) that have links. docs: id, text."""
     rows = checkpointed(shared_regions(classes))
-    texts = checkpointed(packed(docs, rows.select("rep").distinct(), key, col))
+    texts = checkpointed(packed(docs, rows.select("rep").distinct()))
     comps = components(confirmed(chain_candidates(rows.where(F.col("tree") < CHAINS)), texts, k, percent))
+
+    def grown(pairs: DataFrame) -> DataFrame:
+        found = confirmed(pairs, texts, k, percent)
+        return comps if found.isEmpty() else components(found, comps)
+
     open_ = checkpointed(_main(_with(rows.select("rep", "region"), comps), "region", "comps > 1"))
     few = F.col("rows") * F.col("minor") <= FEW
-    less = open_.where(few & (F.col("comp") != F.col("main"))).select(F.col("rep").alias("a"), F.col("region").alias("ra"), F.col("comp").alias("ca"))
-    every = open_.where(few).select(F.col("rep").alias("b"), F.col("region").alias("rb"), F.col("comp").alias("cb"))
-    pairs = less.join(every.hint("merge"), (F.col("ra") == F.col("rb")) & (F.col("ca") != F.col("cb"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = _open_pairs(open_.where(few))
     dense = checkpointed(open_.where(~few).select("rep", "region"))
     if dense.isEmpty():
-        return components(confirmed(pairs.distinct(), texts, k, percent), comps)
+        return grown(pairs.distinct())
     # each dense region's most usual member is a candidate for all others, which leaves few open pairs to the exact filter
     ordered = checkpointed(rare_first(dense, texts, k, percent))
     usual = dense.join(ordered.select(F.col("rep").alias("_r"), "usual").hint("merge"), F.col("rep") == F.col("_r"))
     hubs = usual.groupBy("region").agg(F.max(F.struct("usual", "rep")).alias("x")).select(F.col("region").alias("_g"), F.col("x.rep").alias("hub"), F.xxhash64("region").alias("_k"))
     left = dense.withColumn("_l", F.xxhash64("region"))
     stars = left.join(hubs.hint("merge"), (F.col("_l") == F.col("_k")) & (F.col("region") == F.col("_g")) & (F.col("rep") != F.col("hub"))).select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
-    comps = components(confirmed(pairs.union(stars).distinct(), texts, k, percent), comps)
-    return components(confirmed(front_candidates(ordered, comps, percent), texts, k, percent), comps)
+    comps = grown(pairs.union(stars).distinct())
+    return grown(front_candidates(ordered, comps, percent))
 
 
 def components(links: DataFrame, start: DataFrame | None = None) -> DataFrame:
@@ -297,16 +310,27 @@ def components(links: DataFrame, start: DataFrame | None = None) -> DataFrame:
 
 def near_dedup(docs: DataFrame, key: str = "doc_id", col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """One row for each of docs': key, n_shingles, component_id and kept."""
-    base = checkpointed(signatures(docs, key, col, k))
-    some = base.where("n > 0 and id is not null")
-    grouped = some.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.max("id").alias("last"), F.first("sig").alias("sig"))
+    base, texts = checkpointed(signatures(docs, key, col, k)), _texts(docs, key, col)
+    # ids with several texts: the text that makes the links
+    first = F.min(F.struct((F.col("n") == 0).alias("e"), "th"))["th"]
+    several = checkpointed(base.where("id is not null").groupBy("id").agg(first.alias("keep"), F.min("th").alias("lo"), F.max("th").alias("hi")).where("lo < hi").select(F.col("id").alias("_id"), "keep"))
+    some, others = base, None
+    if not several.isEmpty():
+        both = base.join(several.hint("merge"), base["id"] == several["_id"], "left")
+        some, others = both.where("keep is null or th = keep").drop("_id", "keep"), both.where("th <> keep").select("id", "n")
+        texts = texts.join(several.hint("merge"), texts["id"] == several["_id"], "left").where(F.col("keep").isNull() | (F.xxhash64("text") == F.col("keep"))).select("id", "text")
+    grouped = some.where("n > 0 and id is not null").groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.max("id").alias("last"), F.first("sig").alias("sig"))
     classes = checkpointed(grouped)
-    comps = linked(classes, docs, key, col, k, percent)
+    comps = linked(classes, texts, k, percent)
     named = classes.join(comps.hint("merge"), classes["rep"] == comps["id"], "left").where("comp is not null or last > rep")
     named = named.select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), F.coalesce("comp", "rep").alias("comp"))
-    left = base.where("n > 0").select("id", "n", "d1", "d2")
+    left = some.where("n > 0").select("id", "n", "d1", "d2")
     out = left.join(named.hint("merge"), (left["d1"] == named["e1"]) & (left["d2"] == named["e2"]), "left").select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("comp", "id")).alias("comp"))
-    out = out.unionByName(base.where("n = 0").select("id", "n", F.col("id").alias("comp")))
+    out = out.unionByName(some.where("n = 0").select("id", "n", F.col("id").alias("comp")))
+    if others is not None:
+        out = checkpointed(out)
+        of = out.join(several.hint("merge"), out["id"] == several["_id"], "left_semi").select(F.col("id").alias("_i"), "comp").distinct()
+        out = out.unionByName(others.join(of.hint("merge"), others["id"] == of["_i"]).select("id", "n", "comp"))
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"), F.coalesce(F.col("id") == F.col("comp"), F.lit(True)).alias("kept"))
 
 
