@@ -166,8 +166,8 @@ add("reaggregate_rollup", lambda s, d: R.reaggregate(R.rollup(load(s, d), "state
 
 
 def _from_rollup(s, d) -> DataFrame:
-    """A pivot that a stored rollup answers and, with a filter that none has, one that the fact answers."""
-    R.refresh(load(s, d), at := scratch.folder(s), ("state_month", "branch_brand", "state_branch_brand_month"))
+    """A pivot that the stored rollup chosen for it answers and, with a filter that none has, one that the fact answers."""
+    R.refresh(load(s, d), at := scratch.folder(s), ("branch_brand",))
     by, city = ["branch", "brand"], [{"field": "city", "operator": "in", "values": ["CITY BUILDING"]}]
     brands = [{"field": "brand", "operator": "in", "values": ["IC", "RF", "Rare Wool"]}]
     stored, base = R.pivot_from_rollup(load(s, d), at, by, _V, brands), R.pivot_from_rollup(load(s, d), at, by, _V, city)
