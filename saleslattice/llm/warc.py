@@ -52,11 +52,12 @@ def http_date(head: Column) -> Column:
 def plain_text(html: Column) -> Column:
     """Text of a page: scripts, styles, comments, head and navigation go, block ends become line ends, entities are read."""
     t = F.regexp_replace(html, r"(?s)<!--.*?(?:-->|\z)", "")
-    t = F.regexp_replace(t, r"(?si)<head\b[^<>]*>.*?(?:</head\s*>|(?=<body\b)|\z)", "")
-    t = F.regexp_replace(t, r"(?si)<(script|style|nav|noscript)\b[^<>]*>.*?(?:</\1\s*>|\z)", "")
+    t = F.concat(t, F.lit("</head></script></style></nav></noscript>"))  # so that what is open ends with the page
+    t = F.regexp_replace(t, r"(?si)<head\b[^<>]*>.*?(?=</head\s*>|<body\b)", "")
+    t = F.regexp_replace(t, r"(?si)<(script|style|nav|noscript)\b[^<>]*>.*?</\1\s*>", "")
     t = F.regexp_replace(t, r"(?i)<br\s*/?>|</?(p|div|li|ul|ol|h[1-6]|tr|table|article|section|footer|header)\b[^<>]*>", "\n")
     t = F.regexp_replace(t, r"<[^<>]*>", "")
-    t = F.when(t.contains("&#"), numbered(t)).otherwise(t)
+    t = numbered(t)
     for name, to in (("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("amp", "&")):
         t = F.replace(t, F.lit(f"&{name};"), F.lit(to))
     t = F.regexp_replace(t, r"[ \t\r\x{A0}]+", " ")
