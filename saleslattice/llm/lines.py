@@ -8,6 +8,9 @@ and they end when all are alone. From ``min_run`` lines on, each interval's firs
 stays; the other places are later copies of a run of ``have`` lines. Runs that overlap or meet make the maximal repeated
 runs of a document, which go.
 
+``longest`` ends the rounds once runs of so many lines are ranked. It changes no result, as longer repeated runs are made
+of overlapping ones of ``min_run`` lines, and saves the shuffles of the further rounds.
+
 Runs under ``min_run`` lines stay, so by default a single line that repeats is kept, however long, and a text of one line
 loses nothing. ``long_words`` removes later copies of single lines of so many words too; it is off unless given.
 
@@ -43,16 +46,20 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n")
 
 
-def _later_runs(each: DataFrame, min_run: int) -> list[DataFrame]:
+def _later_runs(each: DataFrame, min_run: int, longest: int | None) -> list[DataFrame]:
     """doc, of, line and end of later copies, by rounds of doubling. each: doc, of, line, x."""
     lines = each.select("doc", "of", "line", F.xxhash64("x").alias("k1"), F.xxhash64(F.lit(1), "x").alias("k2"))
     ranks, have, found = _ranked(lines, ["k1", "k2"]), 1, []
     while True:
         if have >= min_run:
-            ranks = checkpointed(ranks)
-            if ranks.isEmpty():
-                return found
+            last = longest is not None and have >= longest
+            if not last:
+                ranks = checkpointed(ranks)
+                if ranks.isEmpty():
+                    return found
             found.append(ranks.where("later").select("doc", "of", "line", (F.col("line") + have).alias("end")))
+            if last:
+                return found
         step = min(have, min_run - have) if have < min_run else have
         of_text = Window.partitionBy("doc", "of").orderBy("line")
         # equal rows have equal ranks; one of each is enough
@@ -61,14 +68,14 @@ def _later_runs(each: DataFrame, min_run: int) -> list[DataFrame]:
         ranks, have = _ranked(both.where(F.col("line2") == F.col("line") + step), ["rank", "rank2"]), have + step
 
 
-def repeated_runs(docs: DataFrame, key: str = "doc_id", col: str = "text", min_run: int = MIN_RUN, long_words: int | None = None) -> DataFrame:
+def repeated_runs(docs: DataFrame, key: str = "doc_id", col: str = "text", min_run: int = MIN_RUN, long_words: int | None = None, longest: int | None = None) -> DataFrame:
     """doc, of (which text: hash), runs: the maximal runs of lines that are later copies, each as start (from 0) and end
     (past the last), in order."""
     if min_run < 1 or (long_words is not None and long_words < 1):
         raise ValueError("min_run, long_words")
     text = F.col(f"`{col}`")
     each = docs.where(text.isNotNull()).select(F.col(f"`{key}`").cast("long").alias("doc"), F.xxhash64(text).alias("of"), F.posexplode(_lines(text)).alias("line", "x"))
-    found = _later_runs(each, min_run)
+    found = _later_runs(each, min_run, longest)
     if long_words is not None:
         long = each.where((F.length("x") >= 2 * long_words - 1) & (F.regexp_count("x", F.lit(r"\S+")) >= long_words))
         one = _ranked(long.select("doc", "of", "line", F.xxhash64("x").alias("k1"), F.xxhash64(F.lit(1), "x").alias("k2")), ["k1", "k2"])
@@ -93,9 +100,9 @@ def _kept(lines: Column, runs: Column) -> Column:
     return F.flatten(F.transform(F.sequence(F.lit(0), F.size(runs)), between))
 
 
-def line_dedup(docs: DataFrame, key: str = "doc_id", col: str = "text", min_run: int = MIN_RUN, long_words: int | None = None) -> DataFrame:
+def line_dedup(docs: DataFrame, key: str = "doc_id", col: str = "text", min_run: int = MIN_RUN, long_words: int | None = None, longest: int | None = None) -> DataFrame:
     """docs with col rewritten and n_lines and n_removed added (columns of these names are replaced)."""
-    gone = repeated_runs(docs, key, col, min_run, long_words)
+    gone = repeated_runs(docs, key, col, min_run, long_words, longest)
     keep = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     base = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)), F.col(f"`{key}`").cast("long").alias("_doc"), F.xxhash64(F.col(f"`{col}`")).alias("_of"))
     text = F.col(f"c{keep.index(col)}")

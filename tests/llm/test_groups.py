@@ -107,6 +107,7 @@ def test_line_runs(spark):
     rows = [(1, "\n".join(a)), (2, "\n".join(["x", *a[3:30], "y", *a[30:]])), (3, "\n".join(a[5:7] + a[20:37])), (4, "\n".join(["p", "q", "p", "q", "p", "q"])), (5, "\n".join(a)), (-(1 << 63), "u\nv"), (None, "u\nv\nw"), (6, "v\nw")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = {r.doc: [tuple(x) for x in r.runs] for r in lines.repeated_runs(df).collect()}
+    assert got == {r.doc: [tuple(x) for x in r.runs] for r in lines.repeated_runs(df, longest=2).collect()}
     assert got == {2: [(1, 28), (29, 36)], 3: [(0, 19)], 4: [(2, 6)], 5: [(0, 37)], -(1 << 63): [(0, 2)], 6: [(0, 2)]}
     assert "Python" not in lines.line_dedup(df)._jdf.queryExecution().executedPlan().toString()
 
