@@ -6,26 +6,78 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from .edits import cascade_so_type
 from .lookups import dedupe
 
 
-def upsert(target: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows by key: a new column wins where it is not null. keys are unique in both."""
+def folded(rows: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """One row a key: of each column its last value that is not null, by order (and by the value where that is equal)."""
+    rest = [c for c in rows.columns if c not in keys and c != order]
+
+    def last(c: str) -> Column:
+        return F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(*([order] if order else []), c))).alias(c)
+
+    return rows.groupBy(*keys).agg(*map(last, rest)) if rest else rows.select(*keys).distinct()
+
+
+def upsert(target: DataFrame, rows: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """target (one row a key) with rows put in by key, as if one after the other by order: a new column wins where it is not
+    null. rows may hold a key more than once. Keys with a null are keys like others."""
     rest = [c for c in target.columns if c not in keys]
-    t, n = target.alias("t"), rows.alias("n")
+    t, n = target.alias("t"), folded(rows, keys, order).alias("n")
     on = [F.col(f"t.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys]
     both = t.join(n, on, "full")
     return both.select(*(F.coalesce(f"n.{k}", f"t.{k}").alias(k) for k in keys), *((F.coalesce(f"n.{c}", f"t.{c}") if c in rows.columns else F.col(f"t.{c}")).alias(c) for c in rest)).select(*target.columns)
 
 
+#: Key of an order master; fixed values: its texts that are kept in upper case.
+SO_KEY = ["party_name", "brand", "fy"]
+SO_UPPER = ("party_name", "brand", "so_agent_name", "branch", "company_name")
+
+
+def so_rows(rows: DataFrame) -> DataFrame:
+    """Uploaded order rows as the master holds them: texts trimmed, names in upper case, blanks null. Rows without a party, brand
+    or year go."""
+    def clean(c: str) -> Column:
+        text = X.null_if_blank(F.col(c))
+        return F.upper(text) if c in SO_UPPER else text
+
+    texts = [c for c, kind in rows.dtypes if kind == "string"]
+    return rows.withColumns({c: clean(c) for c in texts}).dropna(subset=SO_KEY)
+
+
+def upsert_so_master(master: DataFrame, rows: DataFrame, order: str | None = None, buckets: int | None = None) -> DataFrame:
+    """The order master (unique by party, brand and year, not null, in upper case) with uploaded rows merged by that key: their
+    values that are not blank win, the later row by order over the earlier.
+
+    Where master is a table in so many buckets of the key (stored.store_bucketed), only the upload is shuffled."""
+    clean = so_rows(rows)
+    new = folded(clean.repartition(buckets, *SO_KEY) if buckets else clean, SO_KEY, order)
+    t, n = master.alias("t"), new.alias("n")
+    both = t.join(n.hint("merge"), [F.col(f"t.{k}") == F.col(f"n.{k}") for k in SO_KEY], "full")
+    return both.select(*((F.coalesce(f"n.{c}", f"t.{c}") if c in new.columns else F.col(f"t.{c}")).alias(c) for c in master.columns))
+
+
+def upsert_party_grouping(master: DataFrame, rows: DataFrame, order: str | None = None) -> DataFrame:
+    """The grouping master with rows' parties deleted (by the very name) and rows inserted, the last of each party by order; a
+    blank group or count name is the party's name. Rows without a party go."""
+    party = F.col("to_party_name")
+    named = rows.where(F.trim(party) != "").withColumns({c: F.coalesce(X.null_if_blank(F.col(c)), party) for c in ("party_grouped", "party_name_for_count") if c in rows.columns})
+    rest = [c for c in rows.columns if c not in ("to_party_name", order)]
+    at = F.struct(*([order] if order else []), *rest)
+    new = named.groupBy("to_party_name").agg(F.max_by(F.struct(*rest), at).alias("x")).select("to_party_name", "x.*")
+    return master.join(new.select("to_party_name"), "to_party_name", "left_anti").unionByName(new, allowMissingColumns=True).select(*master.columns)
+
+
 def replace_rows(target: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     """Delete by key, then insert."""
     return target.join(rows.select(key).distinct(), key, "left_anti").unionByName(rows, allowMissingColumns=True)
 
 
 def cascade(fact: DataFrame, edits: DataFrame, on: dict[str, str], field: str, new: str, only: Column | None = None) -> DataFrame:
-    """fact with field set from the edit (column new) whose keys match on (fact column to edit column), normalised."""
-    e = edits.select(*(X.norm_key(F.col(b)).alias(f"_{a}") for a, b in on.items()), F.col(new).alias("_new")).withColumn("_hit", F.lit(True)).dropDuplicates([f"_{a}" for a in on])
+    """fact with field set from the edit (column new) whose keys match on (fact column to edit column), normalised. Of edits of
+    one key the greatest value holds."""
+    e = edits.select(*(X.norm_key(F.col(b)).alias(f"_{a}") for a, b in on.items()), F.col(new).alias("_new")).groupBy(*(f"_{a}" for a in on)).agg(F.max("_new").alias("_new")).withColumn("_hit", F.lit(True))
     cond = [X.norm_key(F.col(a)) == F.col(f"_{a}") for a in on]
     hit = F.col("_hit").isNotNull() & (only if only is not None else F.lit(True))
     return fact.join(e, cond, "left").withColumn(field, F.when(hit, F.col("_new")).otherwise(F.col(field))).select(*fact.columns)
@@ -92,28 +144,6 @@ def job_state(events: DataFrame) -> DataFrame:
     return events.groupBy("id").agg(last, F.min("queued_at").alias("queued_at"), F.min("started_at").alias("started_at")).select("id", "x.*", "queued_at", "started_at")
 
 
-def cascade_so_type(fact: DataFrame, edits: DataFrame) -> DataFrame:
-    """edits: old_party, old_brand, party_name, brand, type_of_order. The type goes to rows of the old and of the new party
-    and brand, never over RETURN; a blank type is UNKNOWN."""
-    kind = F.coalesce(X.null_if_blank(F.col("type_of_order")), F.lit("UNKNOWN"))
-    keys = F.array(F.struct(X.norm_key(F.col("old_party")).alias("p"), X.norm_key(F.col("old_brand")).alias("b")), F.struct(X.norm_key(F.col("party_name")).alias("p"), X.norm_key(F.col("brand")).alias("b")))
-    flat = edits.select(F.explode(F.array_distinct(keys)).alias("x"), kind.alias("kind")).where("x.p <> '' AND x.b <> ''").select(F.col("x.p").alias("party"), F.col("x.b").alias("label"), "kind")
-    open_ = ~F.coalesce(F.upper("so_type") == "RETURN", F.lit(False))
-    return cascade(fact, flat, {"to_party_name": "party", "brand": "label"}, "so_type", "kind", open_)
-
-
-def cascade_agent(fact: DataFrame, edits: DataFrame) -> DataFrame:
-    """edits: old_agent, agent_name, combined_name. Rows of the old or new name take the new name and its combined name."""
-    new = F.coalesce(X.null_if_blank(F.col("agent_name")), X.null_if_blank(F.col("old_agent")))
-    flat = edits.select(F.explode(F.array_distinct(F.array(X.norm_key(F.col("old_agent")), X.norm_key(new)))).alias("agent"), (X.norm_key(F.col("old_agent"))).alias("old"), new.alias("new"), X.null_if_blank(F.col("combined_name")).alias("combined"))
-    flat = flat.where("agent <> ''").withColumn("value", F.struct("new", "combined", (F.col("agent") == F.col("old")).alias("renamed")))
-    fact = fact.withColumn("_value", F.lit(None).cast("struct<new:string,combined:string,renamed:boolean>"))
-    got = cascade(fact, flat, {"agent_name": "agent"}, "_value", "value")
-    hit = F.col("_value").isNotNull()
-    both = {c: F.when(hit, F.col("_value.combined")).otherwise(F.col(c)) for c in ("agent_names_correction", "agent_name_final")}
-    return got.withColumns(both | {"agent_name": F.when(hit & F.col("_value.renamed"), F.col("_value.new")).otherwise(F.col("agent_name"))}).drop("_value")
-
-
 def edit_siblings(orders: DataFrame, edits: DataFrame) -> DataFrame:
     """The order master with an edit's type on every row of its party and brand."""
     return cascade(orders, edits, {"party_name": "party_name", "brand": "brand"}, "type_of_order", "type_of_order")
@@ -123,14 +153,8 @@ def edit_so_master(orders: DataFrame, fact: DataFrame, edits: DataFrame) -> tupl
     """(orders, fact, audit) after the edits (party_name, brand, type_of_order): every year's rows of a party and brand
     change, each change is an audit line, and the fact's types follow."""
     after = edit_siblings(orders, edits)
-    moved = edits.withColumns({"old_party": F.col("party_name"), "old_brand": F.col("brand")})
-    return after, cascade_so_type(fact, moved), audit_diff(orders, after, "id")
-
-
-def edit_master_row(master: DataFrame, updates: DataFrame, editable: list[str], key: str = "id") -> tuple[DataFrame, DataFrame]:
-    """(master, audit): updates hold a key and new values; only editable columns change, and null leaves a value."""
-    after = upsert(master, updates.select(key, *(c for c in editable if c in updates.columns)).join(master.select(key), key, "left_semi"), [key])
-    return after, audit_diff(master, after, key)
+    log = edits.select(F.lit(0).alias("seq"), *(F.col("party_name").alias(c) for c in ("old_party", "new_party")), *(F.col("brand").alias(c) for c in ("old_brand", "new_brand")), F.col("type_of_order").alias("new_type"))
+    return after, cascade_so_type(fact, log), audit_diff(orders, after, "id")
 
 
 def backfill_district(fact: DataFrame, parties: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.exprs import null_if_blank
+from ..sources.stored import current, new_version, publish
 from .filters import not_total_pivot, where
 
 #: Dimensions of each rollup.
@@ -35,15 +37,38 @@ def rollup(fact: DataFrame, name: str) -> DataFrame:
     return base.groupBy(*dims).agg(*(F.sum(c).alias(n) for c, n in SUMS.items()), F.count(F.lit(1)).alias("fact_row_count"))
 
 
-def choose(axes: list[str], values: list[tuple[str, str]], filter_fields: list[str]) -> str | None:
-    """The rollup that answers a pivot: no other dimensions if possible, then the fewest, then by name."""
+#: Axes that a stored rollup by bill_month keeps as they are in the fact, so that its months answer pivots by time: texts of the
+#: fact's rows that have their own, null for all others, whose time is that of bill_month.
+TIMES = ("fy", "month", "mmm")
+#: Dimensions that a pivot may ask for where a rollup has bill_month. No rollup of all dimensions for these.
+DERIVED = {"bill_month": TIMES}
+
+
+def dims(name: str) -> tuple[str, ...]:
+    """Columns by which a stored rollup is grouped."""
+    return ROLLUPS[name] + (TIMES if "bill_month" in ROLLUPS[name] else ())
+
+
+def answers(name: str) -> set[str]:
+    """Axes that a stored rollup can be asked for."""
+    return {a for d in ROLLUPS[name] for a in (d, *DERIVED.get(d, ()))} - {"bill_month"}
+
+
+def choose(axes: list[str], values: list[tuple[str, str]], filter_fields: list[str], stored: set[str] | None = None) -> str | None:
+    """The rollup that answers a pivot, of those stored (all, if not given): one that has its axes and no others if there is one,
+    then of the fewest further dimensions, then by name. Several time axes are one dimension."""
     if any(a not in ("sum", "avg", "count") or (a != "count" and f not in SUMS) for f, a in values):
         return None
-    fit = [(n, len(set(d) - set(axes))) for n, d in ROLLUPS.items() if {*axes, *filter_fields} <= set(d) and not {"fy", "month", "mmm", "to_party_name"} & set(filter_fields)]
-    return min(fit, key=lambda x: (x[1], x[0]))[0] if fit else None
+    asked = {"bill_month" if a in TIMES else a for a in axes}
+    if {*TIMES, "to_party_name"} & set(filter_fields):
+        return None
+    fit = [(n, len(set(d) - asked)) for n, d in ROLLUPS.items() if {*axes, *filter_fields} <= answers(n) and (stored is None or n in stored)]
+    return min(fit, key=lambda x: (x[1] > 0, x[1], x[0]))[0] if fit else None
 
 
 def reaggregate(stored: DataFrame, axes: list[str], values: list[tuple[str, str]], filters=()) -> DataFrame:
+    """A pivot over a stored rollup. Time axes are those of the fact's rows: the rollup keeps their texts, and a month stands for
+    its days."""
     from ..functions import exprs as X
 
     rows = F.sum(F.coalesce("fact_row_count", F.lit(1)))
@@ -52,35 +77,100 @@ def reaggregate(stored: DataFrame, axes: list[str], values: list[tuple[str, str]
         total = None if a == "count" else F.coalesce(F.sum(SUMS[f]), F.lit(0))
         return rows if a == "count" else total if a == "sum" else total.cast("double") / rows
 
+    if "bill_month" in stored.columns:
+        stored = stored.withColumn("bill_date", F.col("bill_month"))
     base = stored.where(where(list(filters), exclude_totals="branch" in stored.columns))
     return base.groupBy(*(X.dim_axis(d).alias(f"d_{d}") for d in axes)).agg(*(value(f, a).alias(f"{a}_{f}") for f, a in values))
 
 
 def pivot_from_rollup(fact: DataFrame, path: str, axes: list[str], values: list[tuple[str, str]], filters=()) -> DataFrame:
-    """A pivot from the best of the rollups that refresh() stored at path; from the fact where none answers it. Both have
-    the columns of reaggregate()."""
-    name = choose(axes, values, [f["field"] for f in filters])
+    """A pivot from the best of the current rollups at path; from the fact where none answers it. Both have the columns of
+    reaggregate()."""
+    spark, at = fact.sparkSession, current(fact.sparkSession, path)
+    have = stored_names(spark, at)
+    name = choose(axes, values, [f["field"] for f in filters], have) if at else None
     if name is not None:
-        return reaggregate(fact.sparkSession.read.parquet(f"{path}/{name}"), axes, values, filters)
+        return reaggregate(spark.read.parquet(f"{at}/{name}"), axes, values, filters)
     from ..plans import pivot as P
 
     return P.pivot_groupby(fact, P.config(axes, [], values, filters)).drop("row_count")
 
 
-def refresh(fact: DataFrame, path: str, only: tuple[str, ...] = tuple(ROLLUPS)) -> None:
-    """Write the rollups, each to a folder of its name."""
-    for n in only:
-        if all(d == "bill_month" or d in fact.columns for d in ROLLUPS[n]):
-            rollup(fact, n).write.mode("overwrite").parquet(f"{path}/{n}")
-
-
-def is_fresh(fact: DataFrame, stored: DataFrame) -> DataFrame:
-    """One row: the latest month of the fact, and whether the rollup has rows of it."""
-    last = fact.where(not_total_pivot()).agg(F.max(F.trunc("bill_date", "month")).alias("latest"))
-    return last.join(stored.select("bill_month").distinct(), F.col("latest") == F.col("bill_month"), "left").select("latest", F.col("bill_month").isNotNull().alias("fresh"))
+def stored_names(spark, at: str | None) -> set[str]:
+    """Rollups of a version, by its list."""
+    return {r.name for r in spark.read.parquet(f"{at}/names").collect()} if at else set()
+
+
+def _grouped(df: DataFrame, by: list[str], sums: dict[str, str], rows: str | None) -> DataFrame:
+    """Totals of df by columns; sums: column to name. rows: the column that holds how many rows of the fact a row stands for."""
+    n = F.sum(rows) if rows else F.count(F.lit(1))
+    return df.groupBy(*by).agg(*(F.sum(c).alias(n_) for c, n_ in sums.items()), n.alias("fact_row_count"))
+
+
+def refresh(fact: DataFrame, path: str, only: tuple[str, ...] | None = None, wide: bool = True) -> str:
+    """Build the rollups whose columns the fact has (all nine, or only those named) as a new version at path and make it the
+    current one; returns its folder. Readers of the version before are not disturbed, and none sees a part.
+
+    The fact is read once: for the rollup of all dimensions if that is among them, from which one base of all others'
+    dimensions comes; else for the base. Each rollup then comes from the smallest, by its files' row counts, of those already
+    written that have its dimensions. wide: whether to build the rollup of all dimensions, which is about as large as the fact."""
+    spark = fact.sparkSession
+    version, at = new_version(path)
+    # as the fact's columns are known, missing ones are known too
+    have = [n for n in ROLLUPS if (only is None or n in only) and all(d == "bill_month" or d in fact.columns for d in ROLLUPS[n])]
+    every = list(dict.fromkeys(d for n in have for d in dims(n) if d in fact.columns or d == "bill_month"))
+    times = {c: null_if_blank(F.col(c)) for c in TIMES if c in fact.columns}
+    source, sums, rows = fact, dict(SUMS), None
+    if wide and (only is None or "all_dims" in only):
+        rollup(fact, "all_dims").write.parquet(f"{at}/all_dims")
+        source, sums, rows = spark.read.parquet(f"{at}/all_dims"), {f"sum_{c}": n for c, n in SUMS.items()}, "fact_row_count"
+    written: dict[str, tuple[set[str], int]] = {}
+    if have:
+        base = source.where(not_total_pivot()).withColumns({"bill_month": F.trunc("bill_date", "month"), **times})
+        _grouped(base, every, sums, rows).write.parquet(f"{at}/base")
+        written["base"] = set(every), _rows(spark, f"{at}/base")
+    again = {n: n for n in SUMS.values()}
+    for name in sorted(have, key=lambda n: -len(dims(n))):
+        by = [d for d in dims(name) if d in every]
+        parent = min((n for n, (d, _) in written.items() if set(by) <= d), key=lambda n: (written[n][1], n))
+        _grouped(spark.read.parquet(f"{at}/{parent}"), by, again, "fact_row_count").write.parquet(f"{at}/{name}")
+        written[name] = set(by), _rows(spark, f"{at}/{name}")
+    names = [(n, n) for n in [*have, *(["all_dims"] if rows else [])]]
+    spark.createDataFrame(names, "name string, folder string").coalesce(1).write.parquet(f"{at}/names")
+    publish(spark, path, version)
+    return at
+
+
+def _rows(spark, path: str) -> int:
+    return spark.read.parquet(path).count()  # by footers
 
 
 def freshness(fact: DataFrame, stored: DataFrame) -> DataFrame:
-    """One row: the fact's latest fy, the stored rows of it (fy, n), and whether there are none."""
-    last = fact.agg(F.max("fy").alias("fy"))
-    return last.join(stored.groupBy("fy").agg(F.sum("n").alias("n")), "fy", "left").select("fy", "n", (F.coalesce("n", F.lit(0)) == 0).alias("stale"))
+    """One row: the fact's latest fiscal year (fy, by its first year), its rows there (src_rows), those that stored (the rollup of
+    all dimensions) has of it, a row each (mv_rows), and whether there are none (stale). No row where no year is named."""
+    named = F.trim(F.coalesce("fy", F.lit(""))) != ""
+    years = fact.where(named).groupBy("fy").agg(F.count(F.lit(1)).alias("src_rows"))
+    first = F.split("fy", "-")[0].try_cast("int")
+    last = years.agg(F.max_by(F.struct("fy", "src_rows"), F.struct(first, "fy")).alias("x")).where("x is not null").select("x.*")
+    seen = stored.where(named).groupBy("fy").agg(F.count(F.lit(1)).alias("mv_rows"))
+    return last.join(seen, "fy", "left").select("fy", "src_rows", F.coalesce("mv_rows", F.lit(0)).alias("mv_rows"), F.col("mv_rows").isNull().alias("stale"))
+
+
+def check_fresh(fact: DataFrame, path: str) -> DataFrame:
+    """freshness() of the current rollup of all dimensions at path, with skipped, true where there is none."""
+    spark, at = fact.sparkSession, current(fact.sparkSession, path)
+    if "all_dims" not in stored_names(spark, at):
+        return freshness(fact, fact.where(F.lit(False))).withColumn("skipped", F.lit(True))
+    return freshness(fact, spark.read.parquet(f"{at}/all_dims")).withColumn("skipped", F.lit(False))
+
+
+#: Fields whose list of values must be fresh, so that it comes from the fact.
+FRESH = TIMES
+
+
+def distinct_source(fact: DataFrame, path: str, field: str) -> tuple[DataFrame, str]:
+    """(df, name): where a field's distinct values are read: the current rollup at path that has the field, the one of the fewest
+    dimensions; the fact for fields of time, and where none has it."""
+    spark, at = fact.sparkSession, current(fact.sparkSession, path)
+    fit = [] if field in FRESH else sorted((len(ROLLUPS[n]), n) for n in stored_names(spark, at) - {"all_dims"} if field in ROLLUPS[n])
+    return (spark.read.parquet(f"{at}/{fit[0][1]}"), fit[0][1]) if fit else (fact, "fact")

@@ -165,18 +165,6 @@ _VALUES = f"coalesce(sum(net_amount),0) AS sum_net_amount, CAST(coalesce(sum(sl_
 add("reaggregate_rollup", lambda s, d: R.reaggregate(R.rollup(load(s, d), "state_party_brand"), ["state", "brand"], _V), f"SELECT nullif(trim(state),'') AS d_state, nullif(trim(brand),'') AS d_brand, {_VALUES} GROUP BY 1, 2")
 
 
-def _from_rollup(s, d) -> DataFrame:
-    """A pivot that the stored rollup chosen for it answers and, with a filter that none has, one that the fact answers."""
-    R.refresh(load(s, d), at := scratch.folder(s), ("branch_brand",))
-    by, city = ["branch", "brand"], [{"field": "city", "operator": "in", "values": ["CITY BUILDING"]}]
-    brands = [{"field": "brand", "operator": "in", "values": ["IC", "RF", "Rare Wool"]}]
-    stored, base = R.pivot_from_rollup(load(s, d), at, by, _V, brands), R.pivot_from_rollup(load(s, d), at, by, _V, city)
-    return stored.withColumn("source", F.lit("rollup")).unionByName(base.withColumn("source", F.lit("fact")))
-
-
-_BY = "nullif(trim(branch),'') AS d_branch, nullif(trim(brand),'') AS d_brand"
-add("pivot_from_rollup", _from_rollup, f"SELECT 'rollup' AS source, {_BY}, {_VALUES} AND brand IN ('IC', 'RF', 'Rare Wool') GROUP BY 2, 3 UNION ALL SELECT 'fact', {_BY}, {_VALUES} AND city = 'CITY BUILDING' GROUP BY 2, 3")
-add("check_rollup_fresh", lambda s, d: R.is_fresh(load(s, d), R.rollup(load(s, d), "state_month")), f"SELECT CAST(date_trunc('month', max(bill_date)) AS DATE) AS latest, true AS fresh FROM fx_sales WHERE {NOT_TOTAL}")
 
 _SO = "fx_so_master"
 add("lookup_region", lambda s, d: L.lookup_region(load(s, d), load(s, d, "fx_region_master")).groupBy("state", "region").agg(F.count(F.lit(1)).alias("n")), "SELECT s.state, coalesce(m.region, s.region) AS region, count(*) AS n FROM fx_sales s LEFT JOIN fx_region_master m ON upper(trim(coalesce(s.state,''))) = upper(trim(m.state)) GROUP BY 1, 2", "fx_sales", "fx_region_master")
@@ -217,21 +205,9 @@ add("so_type_rule", lambda s, d: enriched(s, d).groupBy("brand", "so_type").agg(
 add("business_type_rule", lambda s, d: enriched(s, d).groupBy("branch", "business_type").agg(F.count(F.lit(1)).alias("n")), f"SELECT branch, business_type, count(*) AS n FROM ({_ENRICHED}) e GROUP BY 1, 2", *_EV)
 add("anti_unmatched_party", lambda s, d: M.unmatched_parties(load(s, d), load(s, d, "fx_party_grouping_master")), f"SELECT DISTINCT {_party('to_party_name')} AS party_key FROM fx_sales WHERE {_party('to_party_name')} NOT IN (SELECT {_party('to_party_name')} FROM fx_party_grouping_master)", "fx_sales", "fx_party_grouping_master")
 add("anti_new_party", lambda s, d: M.new_parties(load(s, d), load(s, d, "fx_party_grouping_master")).select(F.lower("to_party_name").alias("k")), "SELECT DISTINCT lower(trim(to_party_name)) AS k FROM fx_sales WHERE lower(trim(to_party_name)) NOT IN (SELECT lower(trim(to_party_name)) FROM fx_party_grouping_master)", "fx_sales", "fx_party_grouping_master")
-add("delete_range", lambda s, d: _total(M.delete_range(load(s, d), "1997-01-01", "1998-06-30"), F.lit(True)), f"SELECT {AGG} FROM fx_sales WHERE NOT coalesce(bill_date BETWEEN DATE '1997-01-01' AND DATE '1998-06-30', false)")
 add("delete_range_preview", lambda s, d: M.delete_range_preview(load(s, d), "1997-01-01", "1998-06-30"), "SELECT count(*) AS n FROM fx_sales WHERE bill_date BETWEEN DATE '1997-01-01' AND DATE '1998-06-30'")
-add("cascade_region", lambda s, d: M.cascade(load(s, d), load(s, d, "fx_region_master"), {"state": "state"}, "region", "region").groupBy("state", "region").agg(F.count(F.lit(1)).alias("n")), "SELECT s.state, coalesce(m.region, s.region) AS region, count(*) AS n FROM fx_sales s LEFT JOIN fx_region_master m ON upper(trim(coalesce(s.state,''))) = upper(m.state) GROUP BY 1, 2", "fx_sales", "fx_region_master")
-add("cascade_party_grouping", lambda s, d: M.cascade(load(s, d), load(s, d, "fx_party_grouping_master").where("party_grouped IS NOT NULL"), {"to_party_name": "to_party_name"}, "party_grouped", "party_grouped").groupBy("party_grouped").agg(F.count(F.lit(1)).alias("n")), "SELECT coalesce(m.party_grouped, s.party_grouped) AS party_grouped, count(*) AS n FROM fx_sales s LEFT JOIN (SELECT * FROM fx_party_grouping_master WHERE party_grouped IS NOT NULL) m ON upper(trim(s.to_party_name)) = upper(trim(m.to_party_name)) GROUP BY 1", "fx_sales", "fx_party_grouping_master")
-add("cascade_customer_type", lambda s, d: M.cascade(load(s, d), load(s, d, "fx_customer_type_master"), {"to_party_name": "party_name"}, "business_type", "type", F.col("business_type").isNull()).groupBy("business_type").agg(F.count(F.lit(1)).alias("n")), "SELECT coalesce(s.business_type, m.type) AS business_type, count(*) AS n FROM fx_sales s LEFT JOIN fx_customer_type_master m ON upper(trim(s.to_party_name)) = upper(m.party_name) GROUP BY 1", "fx_sales", "fx_customer_type_master")
-
-
-def _changes(orders: DataFrame) -> DataFrame:
-    """Edits of some orders and, under new ids, orders that the master lacks."""
-    some = orders.where("id % 60 = 0").withColumn("type_of_order", F.lit("NEW")).drop("brand")
-    return some.unionByName(orders.where("id % 60 = 0 AND brand = 'VERCELLI'").withColumns({"id": -F.col("id"), "type_of_order": F.lit("NEW")}).drop("brand"))
 
 
-add("upsert_so_master", lambda s, d: M.upsert(load(s, d, _SO), _changes(load(s, d, _SO)), ["id"]).select("id", "brand", "type_of_order"), "SELECT id, brand, CASE WHEN id % 60 = 0 THEN 'NEW' ELSE type_of_order END AS type_of_order FROM fx_so_master UNION ALL SELECT -id, NULL, 'NEW' FROM fx_so_master WHERE id % 60 = 0 AND brand = 'VERCELLI'", _SO)
-add("upsert_party_grouping", lambda s, d: M.replace_rows(load(s, d, "fx_party_grouping_master"), load(s, d, "fx_party_grouping_master").where("id % 2 = 0").withColumn("party_grouped", F.lit("X")), "id").groupBy("party_grouped").agg(F.count(F.lit(1)).alias("n")), "SELECT CASE WHEN id % 2 = 0 THEN 'X' ELSE party_grouped END AS party_grouped, count(*) AS n FROM fx_party_grouping_master GROUP BY 1", "fx_party_grouping_master")
 add("audit_diff", lambda s, d: M.audit_diff(load(s, d, "fx_party_grouping_master"), load(s, d, "fx_party_grouping_master").withColumn("party_grouped", F.when(F.col("id") % 2 == 0, "X").otherwise(F.col("party_grouped"))), "id"), "SELECT id, 'party_grouped' AS column_name, party_grouped AS before, 'X' AS after FROM fx_party_grouping_master WHERE id % 2 = 0 AND coalesce(party_grouped,'') <> 'X'", "fx_party_grouping_master")
 add("backfill_so_type", lambda s, d: M.backfill_so_type(load(s, d), load(s, d, _SO)).groupBy("so_type").agg(F.count(F.lit(1)).alias("n")), "WITH l AS (SELECT trim(regexp_replace(lower(party_name), '[^a-z0-9 \\-]', '', 'g')) AS k, arg_max(type_of_order, (so_order_date, id)) AS t FROM fx_so_master GROUP BY 1) SELECT CASE WHEN sl_qty <= 0 THEN 'RETURN' ELSE t END AS so_type, count(*) AS n FROM fx_sales LEFT JOIN l ON k = trim(regexp_replace(lower(to_party_name), '[^a-z0-9 \\-]', '', 'g')) GROUP BY 1", "fx_sales", _SO)
 add("lookup_conflicts", lambda s, d: M.lookup_conflicts(load(s, d, _SO)), "SELECT trim(regexp_replace(lower(party_name), '[^a-z0-9 \\-]', '', 'g')) AS party_key, count(DISTINCT type_of_order) AS types FROM fx_so_master GROUP BY 1 HAVING count(DISTINCT type_of_order) > 1", _SO)

@@ -83,11 +83,9 @@ def _history(s, d) -> DataFrame:
 
 
 add("join_row_snapshot", lambda s, d: H.row_snapshot(load(s, d, "fx_event").select("table_name", "row_id", "id"), {"party": load(s, d, _GROUPS), "type": load(s, d, _TYPES)}).groupBy("table_name", F.get_json_object("snapshot", "$.type").alias("type"), F.get_json_object("snapshot", "$.party_grouped").alias("grouped")).agg(_count()), f"SELECT e.table_name, CASE WHEN e.table_name = 'type' THEN t.type END AS type, CASE WHEN e.table_name = 'party' THEN g.party_grouped END AS grouped, count(*) AS n FROM fx_event e LEFT JOIN {_GROUPS} g ON CAST(g.id AS VARCHAR) = e.row_id LEFT JOIN {_TYPES} t ON CAST(t.id AS VARCHAR) = e.row_id GROUP BY 1, 2, 3", "fx_event", _GROUPS, _TYPES)
-add("join_freshness", lambda s, d: R.freshness(load(s, d).withColumn("fy", X.fy_axis()), load(s, d).withColumn("fy", X.fy_axis()).groupBy("fy").agg(_count())), f"SELECT max(f) AS fy, arg_max(n, f) AS n, false AS stale FROM (SELECT coalesce(nullif(trim(fy),''), {_fy('bill_date')}, '2001-02') AS f, count(*) AS n FROM fx_sales GROUP BY 1) x")
 
 # Aggregates, windows, top-k.
 add("filter_options", lambda s, d: P.distinct_values_batch(load(s, d), ["state", "party_grouped", "business_type"], 2000), " UNION ".join(f"SELECT '{c}' AS field, trim({c}) AS value, CAST(NULL AS VARCHAR) AS error FROM fx_sales WHERE trim({c}) <> ''" for c in ("state", "party_grouped", "business_type")))
-add("distinct_from_rollup", lambda s, d: P.distinct_values(R.rollup(load(s, d), "branch_brand"), "branch"), f"SELECT DISTINCT trim(branch) AS value FROM fx_sales WHERE trim(branch) <> '' AND {NOT_TOTAL}")
 _AGENT = f"SELECT s.*, coalesce(m.combined_name, trim(s.agent_name)) AS agent_name_final FROM fx_sales s LEFT JOIN {_AGENTS} m ON lower(replace(s.agent_name,'.','')) = lower(m.agent_name)"
 for _n in ("agent_final_branch", "party_agent_branch"):
     _k = ", ".join(R.ROLLUPS[_n])
@@ -204,23 +202,12 @@ add("scan_master", lambda s, d: facts.scan_master(load(s, d, _PARTIES).withColum
 # Maintenance.
 add("job_ledger", lambda s, d: M.job_state(load(s, d, "fx_event").withColumns({"id": F.col("job"), "ts": F.struct("ts", "id")})), "SELECT job AS id, arg_max(status, (ts, id)) AS status, arg_max(processed_rows, (ts, id)) AS processed_rows, arg_max(failed_rows, (ts, id)) AS failed_rows, min(queued_at) AS queued_at, min(started_at) AS started_at FROM fx_event GROUP BY 1", "fx_event")
 add("upload_history", lambda s, d: H.top(load(s, d, "fx_event").where("table_name = 'party'"), "ts", 20).select("id", "ts", "status"), "SELECT id, ts, status FROM fx_event WHERE table_name = 'party' ORDER BY ts DESC NULLS LAST, id DESC LIMIT 20", "fx_event")
-add("purge_old_jobs", lambda s, d: H.purge(load(s, d, "fx_event"), F.lit("1997-01-01").cast("date")).groupBy("status").agg(_count()), "SELECT status, count(*) AS n FROM fx_event WHERE NOT coalesce(status IN ('completed', 'failed', 'cancelled') AND ended < DATE '1997-01-01' - 90, false) GROUP BY 1", "fx_event")
 add("union_so_masters", lambda s, d: M.union_masters(*(load(s, d, _SO).where(F.col("id") % 4 == i) for i in range(4)), None).groupBy("brand").agg(_count()), f"SELECT brand, count(*) AS n FROM {_SO} GROUP BY 1", _SO)
 _NEW = f"SELECT min(trim(to_party_name)) AS p, count(DISTINCT lower(trim(to_party_name))) AS n FROM fx_sales WHERE lower(trim(to_party_name)) NOT IN (SELECT lower(trim(to_party_name)) FROM {_GROUPS})"
 add("seed_party_grouping", lambda s, d: M.new_parties(load(s, d), load(s, d, _GROUPS)).agg(F.min("to_party_name").alias("p"), _count()), _NEW, *_FX2)
 add("union_new_parties", lambda s, d: M.union_masters(load(s, d, _GROUPS), M.new_parties(load(s, d), load(s, d, _GROUPS))).agg(F.count_if(F.col("id").isNull()).alias("fresh"), F.count("id").alias("old")), f"SELECT (SELECT n FROM ({_NEW}) x) AS fresh, (SELECT count(*) FROM {_GROUPS}) AS old", *_FX2)
-_EDIT = "upper(trim(to_party_name)) IN ('CUSTOMER#000000001', 'CUSTOMER#000000004') AND upper(trim(brand)) = 'IC'"
-
-
-def _edits(s, d) -> DataFrame:
-    return load(s, d, _GROUPS).where("id IN (1, 4)").selectExpr("to_party_name AS old_party", "'IC' AS old_brand", "to_party_name AS party_name", "'ic' AS brand", "' ' AS type_of_order")
-
-
-add("cascade_so_type", lambda s, d: M.cascade_so_type(load(s, d).withColumn("so_type", F.when(F.col("sl_qty") < 0, "RETURN")), _edits(s, d)).groupBy("so_type").agg(_count()), f"SELECT CASE WHEN sl_qty < 0 THEN 'RETURN' WHEN {_EDIT} THEN 'UNKNOWN' END AS so_type, count(*) AS n FROM fx_sales GROUP BY 1")
 add("edit_so_master", lambda s, d: M.edit_so_master(load(s, d, _SO), load(s, d), load(s, d, _SO).where("id % 40 = 0").select("party_name", "brand").distinct().withColumn("type_of_order", F.lit("NEW")))[2].groupBy("column_name", "before", "after").agg(_count()), f"SELECT 'type_of_order' AS column_name, type_of_order AS before, 'NEW' AS after, count(*) AS n FROM {_SO} WHERE (party_name, brand) IN (SELECT (party_name, brand) FROM {_SO} WHERE id % 40 = 0) GROUP BY 2", _SO)
 add("edit_siblings", lambda s, d: M.edit_siblings(load(s, d, _SO), load(s, d, _SO).where("id % 40 = 0").select("party_name", "brand").distinct().withColumn("type_of_order", F.lit("NEW"))).groupBy("type_of_order").agg(_count()), f"SELECT CASE WHEN (party_name, brand) IN (SELECT (party_name, brand) FROM {_SO} WHERE id % 40 = 0) THEN 'NEW' ELSE type_of_order END AS type_of_order, count(*) AS n FROM {_SO} GROUP BY 1", _SO)
-add("edit_master_row", lambda s, d: M.edit_master_row(load(s, d, _TYPES), load(s, d, _TYPES).where("id % 10 = 1").select("id", F.lit("OTHER").alias("type"), F.lit("x").alias("party_name")), ["type"])[0], f"SELECT id, party_name, CASE WHEN id % 10 = 1 THEN 'OTHER' ELSE type END AS type FROM {_TYPES}", _TYPES)
-add("cascade_agent", lambda s, d: M.cascade_agent(L.lookup_agent(load(s, d), load(s, d, _AGENTS)), load(s, d, _AGENTS).where("id = 3").selectExpr("agent_name AS old_agent", "'RENAMED' AS agent_name", "'NEW NAME' AS combined_name")).groupBy("agent_name", "agent_name_final").agg(_count()), f"WITH a AS ({_AGENT}) SELECT CASE WHEN h THEN 'RENAMED' ELSE agent_name END AS agent_name, CASE WHEN h THEN 'NEW NAME' ELSE agent_name_final END AS agent_name_final, count(*) AS n FROM (SELECT *, upper(trim(agent_name)) = (SELECT upper(agent_name) FROM {_AGENTS} WHERE id = 3) AS h FROM a) x GROUP BY 1, 2", "fx_sales", _AGENTS)
 add("backfill_district", lambda s, d: M.backfill_district(load(s, d).withColumn("district", F.when(F.col("sl_qty") > 40, "OLD")), load(s, d, _PARTIES)).groupBy("district").agg(_count()), f"SELECT CASE WHEN s.sl_qty > 40 THEN 'OLD' ELSE m.district END AS district, count(*) AS n FROM fx_sales s LEFT JOIN {_PARTIES} m ON {_party(_strip('s.to_party_name'))} = {_party(_strip('m.account_name'))} GROUP BY 1", "fx_sales", _PARTIES)
 add("master_health", lambda s, d: H.health({"fact": (load(s, d), ["state", "district"]), "groups": (load(s, d, _GROUPS), ["party_grouped"])}), f"SELECT 'fact' AS table_name, 'state' AS column_name, count(*) AS n_rows, count(*) FILTER (coalesce(trim(state), '') = '') AS n_blank FROM fx_sales UNION ALL SELECT 'fact', 'district', count(*), count(*) FILTER (coalesce(trim(district), '') = '') FROM fx_sales UNION ALL SELECT 'groups', 'party_grouped', count(*), count(*) FILTER (party_grouped IS NULL) FROM {_GROUPS}", *_FX2)
 add("export_period_report", lambda s, d: facts.export_period(L.lookup_party_group_report(load(s, d), load(s, d, _GROUPS)), "1999-00").select("id", "party_grouped"), f"SELECT s.id, CASE WHEN m.id IS NULL THEN s.party_grouped ELSE coalesce(m.party_grouped, s.to_party_name) END AS party_grouped FROM fx_sales s LEFT JOIN {_GROUPS} m ON {_party(_strip('s.to_party_name'))} = {_party('m.to_party_name')} WHERE trim(s.fy) = '1999-00'", *_FX2)
@@ -289,11 +276,6 @@ _derived("parse_date_cell", lambda: X.parse_date_cell(F.when(F.col("id") % 2 ==
 _MONTHS = f"SELECT state, CAST(date_trunc('month', bill_date) AS DATE) AS bill_month, sum(net_amount) AS total_net, sum(amount_before_tax) AS total_before_tax, sum(sl_qty) AS total_qty, count(*) AS fact_row_count FROM fx_sales WHERE {NOT_TOTAL} GROUP BY 1, 2"
 
 
-def _refreshed(s, d) -> DataFrame:
-    R.refresh(load(s, d), at := scratch.folder(s))
-    return s.read.parquet(f"{at}/state_month")
-
-
 def _ingested(s, d) -> DataFrame:
     load(s, d).write.parquet(f"{(at := scratch.folder(s))}/in")
     for _ in range(2):  # the second run finds nothing new
@@ -308,6 +290,5 @@ def _rolled(s, d) -> DataFrame:
     return ingest.merged(s, f"{at}/out")
 
 
-add("refresh_rollups", _refreshed, _MONTHS)
 add("rollup_stream", _rolled, _MONTHS)
 add("ingest_stream", _ingested, "SELECT CASE WHEN upper(trim(brand)) = 'RARE WOOL' AND upper(trim(branch)) = 'DON AND JULIO' THEN 'RARE WOOL' ELSE branch END AS branch, CASE WHEN nullif(trim(sale_order_no),'') IS NULL THEN NULL ELSE CASE regexp_extract(upper(regexp_replace(trim(sale_order_no), '^[''\"]+', '')), '^([A-Z]+)', 1) WHEN 'MID' THEN 'MID' WHEN 'MIX' THEN 'MIX' WHEN 'SRC' THEN 'SRC' WHEN 'ACS' THEN 'ACC' WHEN 'ACC' THEN 'ACC' ELSE 'Fresh' END END AS goods_type, count(*) AS n FROM fx_sales GROUP BY 1, 2")

@@ -78,6 +78,33 @@ SELECT o_orderkey AS id, upper(c.c_name) AS party_name, CASE o.o_custkey % 4 WHE
   concat(CAST(year(o_orderdate) AS VARCHAR(10)), '-', substr(CAST(year(o_orderdate) + 1 AS VARCHAR(10)), 3, 2)) AS fy,
   CAST(o_orderdate AS DATE) AS so_order_date, o_orderpriority AS type_of_order
 FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey WHERE c.c_custkey % 5 <> 0
+""",
+    "fx_region_log": r"""
+SELECT n_nationkey * 10 AS seq, n_name AS old_state, CASE WHEN n_nationkey % 3 = 0 THEN concat(' NATION_', CAST((n_nationkey + 1) % 25 AS VARCHAR(5))) ELSE lower(n_name) END AS new_state, concat(' REGION ', CAST(n_nationkey % 4 AS VARCHAR(5))) AS new_region FROM nation WHERE n_nationkey % 5 <> 4
+UNION ALL SELECT n_nationkey * 10 + 5 AS seq, n_name AS old_state, n_name AS new_state, CAST(NULL AS VARCHAR(20)) AS new_region FROM nation WHERE n_nationkey % 7 = 2
+""",
+    "fx_party_log": r"""
+SELECT c_custkey * 10 + k AS seq, c_name AS old_party, CASE WHEN k = 2 AND c_custkey % 3 = 0 THEN concat('Customer#', lpad(CAST(c_custkey + 1 AS VARCHAR(12)), 9, '0')) ELSE c_name END AS new_party,
+  CASE WHEN k = 1 THEN concat('G', CAST(c_custkey % 9 AS VARCHAR(5))) WHEN c_custkey % 4 <> 0 THEN concat(' H', CAST(c_custkey % 5 AS VARCHAR(5))) END AS new_group, concat('N', CAST(k AS VARCHAR(5))) AS new_count,
+  CASE WHEN k = 1 THEN 'retailer' WHEN k = 2 THEN 'Dealer' WHEN c_custkey % 8 = 0 THEN ' ' ELSE 'AGENT' END AS old_type, CASE WHEN k = 1 THEN 'DEALER' WHEN k = 2 THEN 'Agent ' WHEN c_custkey % 16 = 0 THEN NULL ELSE 'LAST' END AS new_type
+FROM customer, (SELECT 1 AS k UNION ALL SELECT 2 UNION ALL SELECT 3) r WHERE c_custkey % 2 = 0 OR k = 1
+""",
+    "fx_agent_log": r"""
+SELECT s_suppkey * 10 + 1 AS seq, s_name AS old_agent, concat('Second ', CAST(s_suppkey AS VARCHAR(12))) AS new_agent, CAST(NULL AS VARCHAR(20)) AS old_combined, concat('C', CAST(s_suppkey % 3 AS VARCHAR(5))) AS new_combined FROM supplier WHERE s_suppkey % 4 = 1
+UNION ALL SELECT s_suppkey * 10 + 2 AS seq, concat('second ', CAST(s_suppkey AS VARCHAR(12))) AS old_agent, concat('Third ', CAST(s_suppkey % 50 AS VARCHAR(12))) AS new_agent, CAST(NULL AS VARCHAR(20)) AS old_combined, 'D' AS new_combined FROM supplier WHERE s_suppkey % 8 = 1
+UNION ALL SELECT s_suppkey * 10 + 3 AS seq, s_name AS old_agent, s_name AS new_agent, CAST(NULL AS VARCHAR(20)) AS old_combined, CAST(NULL AS VARCHAR(20)) AS new_combined FROM supplier WHERE s_suppkey % 6 = 2
+UNION ALL SELECT 900000000 + n_nationkey AS seq, ' ' AS old_agent, CAST(NULL AS VARCHAR(20)) AS new_agent, CASE n_nationkey WHEN 0 THEN 'agent 4' WHEN 1 THEN 'FOURTH' ELSE 'c1' END AS old_combined, CASE n_nationkey WHEN 0 THEN 'Fourth' WHEN 1 THEN 'Fifth' ELSE 'Sixth' END AS new_combined FROM nation WHERE n_nationkey < 3
+""",
+    "fx_so_log": r"""
+SELECT c_custkey * 10 + k AS seq, c_name AS old_party, CASE WHEN k = 1 THEN 'ic' ELSE 'RF' END AS old_brand, c_name AS new_party, CASE WHEN c_custkey % 2 = 0 THEN 'Vercelli' ELSE CASE WHEN k = 1 THEN 'ic' ELSE 'RF' END END AS new_brand,
+  CASE WHEN c_custkey % 6 = 0 AND k = 1 THEN 'Return' WHEN c_custkey % 5 = 0 THEN ' ' ELSE concat('T', CAST(k AS VARCHAR(5))) END AS new_type
+FROM customer, (SELECT 1 AS k UNION ALL SELECT 2) r WHERE c_custkey % 3 <> 1
+""",
+    "fx_so_upload": r"""
+SELECT o_orderkey * 3 + k AS seq, CASE WHEN k = 2 THEN concat(' ', c.c_name) ELSE c.c_name END AS party_name, CASE o.o_custkey % 4 WHEN 0 THEN 'don and julio' WHEN 1 THEN 'Italian Channel' WHEN 2 THEN ' RISHAB FABRICS' ELSE 'VERCELLI' END AS brand,
+  CASE WHEN o_orderkey % 7 = 0 THEN '2031-32' ELSE concat(CAST(year(o_orderdate) AS VARCHAR(10)), '-', substr(CAST(year(o_orderdate) + 1 AS VARCHAR(10)), 3, 2)) END AS fy,
+  CASE WHEN k = 1 THEN concat('NEW ', CAST(o_orderkey % 11 AS VARCHAR(5))) WHEN o_orderkey % 5 = 0 THEN 'LATER' ELSE ' ' END AS type_of_order
+FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey, (SELECT 1 AS k UNION ALL SELECT 2) r WHERE o_orderpriority = '1-URGENT'
 """,
     "fx_grid": r"""
 SELECT sheet, rn, split(line, ';') AS cells FROM (
