@@ -13,7 +13,8 @@ ODD = [
     (2, None, None), (3, "  ", ""), (None, "u", "a &#65;&#x42;&#x1F600; &#0; &#1114112; &#55296; &# &#12 &#39;&lt;"),
     (4, "u", "<nav>" * 3 + "lost"), (5, "u", "<head><title>T<body>kept</body>"), (6, "u", "<script>x</script >y<style>z"),
     (7, "u", "<<b>i</b> 1 < 2 > 0 <"), (8, "u", "HTTP/1.0 404 No\r\nDate: today\r\n\r\n"), (9, "u", "<nav>" * 30_000), (10, "u", "<!--" * 30_000), (11, "u", "x " * 200_000),
-    (12, "u", "a  b<br>  c\r\n\r\n\r\nd<BR/>"), (12, "u", "a  b<br>  c\r\n\r\n\r\nd<BR/>"), (13, "u", "<a href=1><A class=x HREF = '2'><a name=q>"),
+    (12, "u", "a  b<br>  c\r\n\r\n\r\nd<BR/>"), (12, "u", "a  b<br>  c\r\n\r\n\r\nd<BR/>"), (14, " http://a/\r\nX-Evil: 1 \x7f", "<title>two\n lines &amp; &#13;\u2028more</title>"), (15, "\r\n\t", "HTTP/1.1 200 OK\r\nLong: a\r\n  b\r\nno header\r\nX:\x01y\r\n\r\nbody"),
+    (13, "u", "<a href=1><A class=x HREF = '2'><a name=q>"),
 ]
 
 
@@ -43,8 +44,27 @@ def text_of(html):
     return t.strip("\n ")
 
 
+def folded(x):
+    return re.sub(r"[\x00-\x1f\x7f]", "", re.sub("[ \t\n\x0b\f\r\x85\u2028\u2029]+", " ", x)).strip(" ")
+
+
+def named(t):
+    t = re.sub(r"&#(x[0-9a-fA-F]{1,6}|[0-9]{1,7});", entity, t)
+    for a, b in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
+        t = t.replace(a, b)
+    return t
+
+
+def fields_of(head):
+    out = ""
+    for i, x in enumerate(x for x in re.split(r"\r?\n|\r", re.sub(r"\r?\n[ \t]+", " ", head)) if x.strip(" ")):
+        x = folded(x)
+        out += ("source-status: " if i == 0 else "source-" if re.match(r"[!#$%&'*+.^_`|~0-9A-Za-z-]+:", x) else "source-line: ") + x + "\r\n"
+    return out
+
+
 def brute(page_id, url, html):
-    url, html = (url or "").strip(" ") or None, html or ""
+    url, html = re.sub(r"[\x00-\x1f\x7f]", "", url or "").strip(" ").replace(" ", "%20") or None, html or ""
     head, mark, payload = html.partition("\r\n\r\n")
     if html.startswith("HTTP/") and mark:
         head += "\r\n"
@@ -55,8 +75,8 @@ def brute(page_id, url, html):
     source = uuid("response", "-" if page_id is None else str(page_id), url or "-", sha(payload))
     text = text_of(payload)
     title = re.search(r"(?si)<title\b[^<>]*>(.*?)(?:</title|\Z)", payload)
-    meta = f"title: {title[1].strip(' ') if title else ''}\r\noutlinks: {len(re.findall(r'(?i)<a\b[^>]*\bhref\s*=', payload))}\r\ntext-length: {len(text.encode())}\r\n"
-    meta += "".join("source-" + x for x in head.splitlines(True))
+    meta = f"title: {folded(named(title[1])) if title else ''}\r\noutlinks: {len(re.findall(r'(?i)<a\b[^>]*\bhref\s*=', payload))}\r\ntext-length: {len(text.encode())}\r\n"
+    meta += fields_of(head)
     for kind, mime, block in (("conversion", "text/plain", text), ("metadata", "application/warc-fields", meta)):
         id_ = uuid(kind, source)
         lines = [("WARC-Type", kind), ("WARC-Record-ID", id_), ("WARC-Refers-To", source), ("WARC-Refers-To-Target-URI", url), ("WARC-Refers-To-Date", date), ("WARC-Target-URI", url), ("WARC-Date", date), ("WARC-Block-Digest", f"sha256:{sha(block)}"), ("WARC-Source-Payload-Digest", f"sha256:{sha(payload)}"), ("Content-Type", mime), ("Content-Length", len(block.encode()))]
@@ -75,3 +95,29 @@ def test_against_brute_force(spark, sf, tmp_path):
     for a, b in zip(got, want, strict=True):
         assert a == b
     assert warc.as_records(warc.derive(odd.limit(0))).count() == 0
+
+
+def parsed(record):
+    """A record by a reader of its own: version, headers by name, block."""
+    head, _, rest = record.partition(b"\r\n\r\n")
+    version, *lines = head.decode().split("\r\n")
+    pairs = [x.split(": ", 1) for x in lines]
+    names = [n for n, _ in pairs]
+    assert version == "WARC/1.1" and len(names) == len(set(names)) and all(re.fullmatch("[A-Za-z-]+", n) for n in names)
+    headers = dict(pairs)
+    n = int(headers["Content-Length"])
+    assert rest[n:] == b"\r\n\r\n"
+    return headers, rest[:n]
+
+
+def test_records_can_be_read_back(spark):
+    odd = spark.createDataFrame(ODD, "page_id long, url string, html string")
+    rows = warc.as_records(warc.derive(odd)).collect()
+    assert len(rows) == 2 * len(ODD)
+    for r in rows:
+        headers, block = parsed(bytes(r.record))
+        assert "X-Evil" not in headers and headers["WARC-Type"] == r.record_type and headers["WARC-Refers-To"] == r.refers_to
+        assert headers["WARC-Block-Digest"] == f"sha256:{sha(block)}" and headers.get("WARC-Target-URI") == r.target_uri
+        if r.record_type == "metadata":
+            lines = block.decode().split("\r\n")
+            assert lines[-1] == "" and all(re.match("[^\\s:]+:", x) and not re.search("[\\x00-\\x1f]", x) for x in lines[:-1]), lines
