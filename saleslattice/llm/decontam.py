@@ -14,6 +14,7 @@ Null and empty texts have no words and hit nothing. Items with a null id are ski
 from __future__ import annotations
 
 import pickle
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -135,24 +136,27 @@ def _built(table: pa.Table) -> pa.Table:
     return pa.table({"block": table["block"][:1], "made": pa.array([made], pa.binary())})
 
 
-def _write_blocks(benchmark: DataFrame, n: int, block_bytes: int) -> tuple[str, int]:
-    """The folder of the blocks' tables, and how many blocks there are."""
+def _write_blocks(benchmark: DataFrame, n: int, block_bytes: int) -> tuple[str, list[int]]:
+    """The folder of the blocks' tables, as a full URI, and the list of the blocks that Spark finds there."""
     bench = benchmark.where("item_id is not null").select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
     size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks, where = -(-size * 2 // block_bytes) or 1, folder(benchmark.sparkSession)
+    spark = benchmark.sparkSession
+    blocks, at = -(-size * 2 // block_bytes) or 1, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder(spark))
+    where = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
     each = bench.mapInArrow(_windows(n), "item_id string, w binary").groupBy("w").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
     dealt = each.withColumn("block", F.pmod(F.xxhash64("w"), F.lit(blocks)).cast("int"))
     dealt.groupBy("block").applyInArrow(_built, "block int, made binary").write.partitionBy("block").parquet(where)
-    return where, blocks
+    return where, sorted(r.block for r in spark.read.schema("made binary, block int").parquet(where).select("block").distinct().collect())
 
 
 def _read_block(where: str, k: int) -> tuple[list[Table], dict[bytes, list[str]]]:
-    store, path = fs.FileSystem.from_uri(where)
-    files = store.get_file_info(fs.FileSelector(f"{path}/block={k}", allow_not_found=True))
-    for f in files:
+    """A block's tables and owners. A block that Spark has written is there: if it isn't found, this task looks elsewhere than
+    Spark, which is an error and no benchmark without windows."""
+    store, path = fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", where))
+    for f in store.get_file_info(fs.FileSelector(f"{path}/block={k}")):
         if f.path.endswith(".parquet") and len(made := pq.ParquetFile(store.open_input_file(f.path)).read(["made"])["made"]):
             return pickle.loads(zstandard.decompress(made[0].as_py()))
-    return [], {}
+    raise FileNotFoundError(f"block {k} of the benchmark at {where}")
 
 
 def _chunks(batches, least: int) -> Iterator[list[pa.RecordBatch]]:
@@ -168,16 +172,16 @@ def _chunks(batches, least: int) -> Iterator[list[pa.RecordBatch]]:
         yield held
 
 
-def _search(where: str, blocks: int, new: Callable, add: Callable, finish: Callable):
+def _search(where: str, blocks: list[int], new: Callable, add: Callable, finish: Callable):
     """A mapInArrow function: new(piece, text, firsts) makes a piece's state, add(state, tables, owners) takes a block's
     hits into it, finish(state) makes a batch of it."""
 
     def run(batches):
         held = None
-        for chunk in _chunks(batches, CHUNK if blocks > 1 else 0):
+        for chunk in _chunks(batches, CHUNK if len(blocks) > 1 else 0):
             states = [new(b, *flatten(*columns(b, "text"))) for b in chunk]
-            for k in range(blocks):
-                if held is None or blocks > 1:
+            for k in blocks:
+                if held is None or len(blocks) > 1:
                     held = None  # goes before the next comes
                     held = _read_block(where, k)
                 for s in states:

@@ -57,3 +57,35 @@ def test_long_texts_and_repeated_ids(spark, sf, block):
     schema = "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean"
     got = decontam.decontaminate(df, bench, 10, block).mapInArrow(decontam._digests, schema).collect()
     assert sorted(((r[0] or 0), r[1], r[2], r[3]) for r in got) == sorted((k or 0, *quick_hits(t, items, 10)) for k, t in docs)
+
+
+def test_missing_blocks_are_errors(spark, tmp_path):
+    """A folder or a block that a task can't find is no clean corpus; folders without a scheme are those of Spark."""
+    bench = spark.createDataFrame([(f"i{i}", " ".join(f"w{i}x{j}" for j in range(12))) for i in range(40)], "item_id string, text string")
+    where, blocks = decontam._write_blocks(bench, 10, 400)
+    assert where.startswith("file:") and len(blocks) > 5
+    assert all(decontam._read_block(where, k)[0] for k in blocks)
+    for bad, k in ((f"file://{tmp_path}/none", 0), (where, max(blocks) + 1)):
+        with pytest.raises(FileNotFoundError):
+            decontam._read_block(bad, k)
+    before = spark.conf.get("spark.checkpoint.dir")
+    try:
+        spark.conf.set("spark.checkpoint.dir", f"{tmp_path}/plain")
+        at, found = decontam._write_blocks(bench, 10, 1 << 20)
+        assert at.startswith("file:/") and found == [0] and decontam._read_block(at, 0)[0]
+    except Exception as e:
+        if "CANNOT_MODIFY" not in str(e):
+            raise
+    finally:
+        try:
+            spark.conf.set("spark.checkpoint.dir", before)
+        except Exception as e:
+            if "CANNOT_MODIFY" not in str(e):
+                raise
+
+
+def test_no_items(spark):
+    docs = spark.createDataFrame([(1, "a b c", "x"), (2, None, "y")], "doc_id long, text string, items string")
+    none = spark.createDataFrame([], "item_id string, text string")
+    assert sorted((r.doc_id, r.n_words, r.items) for r in decontam.decontaminate(docs, none).collect()) == [(1, 3, None), (2, 0, None)]
+    assert decontam.clean(docs, none).count() == 2 and decontam.decontaminate(docs.limit(0), none).count() == 0
