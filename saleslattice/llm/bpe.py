@@ -38,6 +38,8 @@ _DECIMAL = re.compile(rf"[^\W\d_]+|\d|'(?:s|t|re|ve|m|ll|d)|(?:[^\w{SPACE}]|_)+"
 END = "</w>"
 #: Words held in a generation, pairs held, bytes of text encoded together.
 CACHE, PAIRS, PIECE = 100_000, 400_000, 1 << 20
+#: Letters of the words held in a generation: few long words fill it as well.
+LETTERS = 4_000_000
 #: Symbols of a word that is merged, or matched, together with others.
 WIDE, WIDEST = 256, 2048
 NEVER = np.int32(2**31 - 1)
@@ -161,6 +163,7 @@ class Coder:
         self._tree(ids, {x: k for k, x in enumerate(letters)})
         self.good, self.bad = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.young: dict = {}
+        self.letters = 0
         self.old: dict = {}
         self.held = self.before = (np.zeros(0, np.int32), np.zeros(1, np.int64))
         self.exact = 0
@@ -293,6 +296,7 @@ class Coder:
         return flat[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(words))
 
     def _add(self, words: list, flat: np.ndarray, n: np.ndarray) -> None:
+        self.letters += sum(map(len, words))
         self.young.update(zip(words, range(len(self.young), len(self.young) + len(words)), strict=True))
         self.held = np.concatenate([self.held[0], flat]), np.concatenate([self.held[1], self.held[1][-1] + np.cumsum(n)])
 
@@ -321,8 +325,8 @@ class Coder:
 
     def tokens(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts, one after the other, and where each text's begin (one more entry than texts)."""
-        if len(self.young) > CACHE:  # words not used in a whole generation are forgotten
-            self.old, self.before = self.young, self.held
+        if len(self.young) > CACHE or self.letters > LETTERS:  # words not used in a whole generation are forgotten
+            self.old, self.before, self.letters = self.young, self.held, 0
             self.young, self.held = {}, (np.zeros(0, np.int32), np.zeros(1, np.int64))
         each = [self.words(t) for t in texts]
         new, again = self._new(each)
