@@ -33,6 +33,8 @@ S = 28  # symbols: 0 between words, 1 to 26 a to z, 27 other letters
 #: A feature occurs in LEAST toxic texts, its share is shrunk by SHRINK texts of the base rate and SURE deviations above it.
 THRESHOLD, STARTS, SHRINK, SURE, LEAST = 0.3, (3, 4, 5, 6), 10, 5, 5
 CACHE = 400_000
+#: Letters of the tokens that a task remembers, so that few long ones fill it as well.
+LETTERS = 8_000_000
 #: What letters a sign may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
 GAPS = set(".-_*~'`^,:;/\\")
@@ -121,6 +123,7 @@ class Restorer:
 
     channel: Channel
     cache: dict[str, str] = field(default_factory=dict)
+    letters: int = 0
 
     def word(self, w: str) -> str:
         if w.isalpha() and not _RUN.search(w):
@@ -129,8 +132,10 @@ class Restorer:
         if core.isalpha() and not _RUN.search(core):
             return core.lower()
         if (x := self.cache.get(core)) is None:
-            if len(self.cache) > CACHE:
+            if len(self.cache) > CACHE or self.letters > LETTERS:
                 self.cache.clear()
+                self.letters = 0
+            self.letters += len(core)
             ends = core.strip("0123456789!|+$(@€£")
             x = self.cache[core] = self.channel.decode(core) if any(map(str.isalpha, core)) else ""
             if ends.isalpha() and not _RUN.search(ends):
@@ -151,8 +156,9 @@ def features(word: str) -> list[str]:
     return [word, *(f"{word[:n]}-" for n in STARTS if len(word) > n)]
 
 
-def fit_words(labelled: DataFrame, channel: dict[int, int], max_docs: int = 40_000, max_features: int = 20_000) -> dict:
-    """labelled: text, toxic. Learns from max_docs texts at most, taken by hash; keeps max_features features at most."""
+def fit_words(labelled: DataFrame, channel: dict[int, int], max_docs: int = 40_000) -> dict:
+    """labelled: text, toxic. Learns from max_docs texts at most, taken by hash. Features that LEAST and SURE keep
+    are each in LEAST toxic ones of those at least, so max_docs bounds them too."""
     rows = labelled.where("toxic is not null").select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic")).withColumn("h", F.xxhash64("text"))
     n = rows.count()
     part = min(1.0, max_docs / max(1, n))
@@ -182,7 +188,7 @@ def fit_words(labelled: DataFrame, channel: dict[int, int], max_docs: int = 40_0
     got = rows.mapInArrow(count, "f string, toxic int, n bigint").groupBy("f").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum("n").alias("n")).where(F.col("t") >= LEAST)
     got = got.withColumn("p", (F.col("t") + SHRINK * prior) / (F.col("n") + SHRINK))
     sure = (F.col("t") - F.col("n") * prior) / F.sqrt(F.col("n") * max(prior * (1 - prior), 1e-9)) >= SURE
-    got = got.where((F.col("p") >= max(0.25, 2 * prior)) & sure).orderBy(F.desc("p"), "f").limit(max_features)
+    got = got.where((F.col("p") >= max(0.25, 2 * prior)) & sure)
     model = {"weights": {f: p for f, p in got.select("f", "p").collect()}, "prior": prior, "channel": channel, "steps": ()}
     return model | {"steps": steps(score(rest, model).select("score", "toxic").collect(), prior)}
 
@@ -217,13 +223,16 @@ class Scorer:
         words = [f for f, p in self.weights.items() if not f.endswith("-") and p >= 0.5]
         self.restorer = Restorer(Channel(model["channel"], tuple(words)))
         self.known: dict[str, float] = {}
+        self.letters = 0
         self.steps = model["steps"]
         self.at = [x for x, _ in self.steps]
 
     def of_word(self, w: str) -> float:
         if (p := self.known.get(w)) is None:
-            if len(self.known) > CACHE:
+            if len(self.known) > CACHE or self.letters > LETTERS:
                 self.known.clear()
+                self.letters = 0
+            self.letters += len(w)
             p = self.known[w] = max((self.weights.get(f, 0.0) for f in features(w)), default=0.0)
         return p
 
