@@ -26,6 +26,8 @@ from ._text import pieces
 PROFILE, OF_TEXT, GRAMS = 400, 300, 3
 #: Parts of a language's n-grams that are ranked apart before they are ranked together; counts that a task holds.
 PARTS, HELD = 16, 1 << 20
+#: Bytes of a long text that are counted at a time.
+SLICE = 1 << 20
 #: Symbols: 0 no letter, 1 to 26 the letters a to z, then the bytes from 128 on.
 SYMBOLS = 27 + 128
 _CODE = np.zeros(256, np.int64)
@@ -43,8 +45,11 @@ def has_letter(text: str) -> bool:
 def _grams(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Codes of all n-grams of lower-case texts, and each one's text. Blanks stand before, between and after words; an
     n-gram has a letter, a blank only at its ends."""
-    s = _CODE[np.frombuffer(b" " + b" ".join(raws) + b" ", np.uint8)]
-    of = np.repeat(np.arange(len(raws)), [len(r) + 1 for r in raws])
+    return _coded(_CODE[np.frombuffer(b" " + b" ".join(raws) + b" ", np.uint8)], np.repeat(np.arange(len(raws)), [len(r) + 1 for r in raws]))
+
+
+def _coded(s: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the n-grams that start at the first symbols, as many as of has, and what of says of them."""
     two = s[:-1] * SYMBOLS + s[1:]
     codes, texts = [], []
     for n, g, ok in ((1, s, s > 0), (2, two, (s[:-1] > 0) | (s[1:] > 0)), (3, two[:-1] * SYMBOLS + s[2:], s[1:-1] > 0)):
@@ -65,6 +70,22 @@ def _counted(keys: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray,
     return keys[at], np.diff(np.append(at, len(keys))) if n is None else np.add.reduceat(n, at) if len(at) else n
 
 
+def _tallied(raws: list[bytes], base: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams of texts, each with its text's number (or base of it) in front, and counts. A long text is taken in
+    slices, so that only its distinct n-grams are held."""
+    base = np.arange(len(raws)) if base is None else base
+    if len(raws) != 1 or len(raws[0]) <= SLICE:
+        codes, of = _grams(raws)
+        return _counted(base[of] << WIDTH | codes)
+    data = np.frombuffer(b" " + raws[0] + b" ", np.uint8)
+    keys = n = np.zeros(0, np.int64)
+    for at in range(0, len(data) - 1, SLICE):
+        here = min(SLICE, len(data) - 1 - at)
+        k, m = _counted(_coded(_CODE[data[at : at + here + 2]], np.zeros(here, np.int64))[0])
+        keys, n = _counted(np.concatenate([keys, k]), np.concatenate([n, m]))
+    return base[0] << WIDTH | keys, n
+
+
 def _lowered(batch: pa.RecordBatch, name: str) -> tuple[list[str], list[bytes]]:
     texts = [(t or "").lower() for t in batch.column(batch.schema.get_field_index(name)).to_pylist()]
     return texts, [t.encode() for t in texts]
@@ -82,9 +103,8 @@ def _count(batches):
         return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(keys & ((1 << WIDTH) - 1)), pa.array(n)], names=["lang", "gram", "n"])
 
     for b in pieces(batches, "text", 1 << 20):
-        codes, of = _grams(_lowered(b, "text")[1])
         lang = np.array([langs.setdefault(x, len(langs)) for x in b.column(b.schema.get_field_index("lang")).to_pylist()], np.int64)
-        held.append(_counted(lang[of] << WIDTH | codes))
+        held.append(_tallied(_lowered(b, "text")[1], lang))
         if sum(len(k) for k, _ in held) > HELD:
             held[:] = [summed()]
             if len(held[0][0]) > HELD // 2:
@@ -119,8 +139,7 @@ class Ranker:
     def of(self, batch: pa.RecordBatch, name: str) -> tuple[list[str], list[float]]:
         texts, raws = _lowered(batch, name)
         d = len(texts)
-        codes, of = _grams(raws)
-        keys, n = _counted(of << WIDTH | codes)
+        keys, n = _tallied(raws)
         # in order of text, falling frequency and code: one sort of all three in one number
         most, span = int(n.max(initial=0)), 1 << WIDTH
         keys = np.sort(((keys >> WIDTH) * (most + 1) + most - n) * span + (keys & (span - 1)))

@@ -3,6 +3,8 @@
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,3 +75,28 @@ def test_edges(spark):
     assert langid.fit(none) == {} and langid.predict(none, {}).count() == 0
     tie = spark.createDataFrame([("ab", "y"), ("ab", "x"), ("ab", None)], "text string, lang string").withColumns({"score": F.lit("s"), "lang_pred": F.lit(0)})
     assert {tuple(r) for r in langid.predict(tie, langid.fit(tie)).select("lang_pred", "score").collect()} == {("x", 1.0)}
+
+
+def test_slices_of_long_texts(monkeypatch):
+    """A text counted in slices has the n-grams of the whole, wherever the cuts fall."""
+    import random
+
+    rng = random.Random(1)
+    text = "".join(rng.choice("abcé  \n1.ü") for _ in range(5000)).encode()
+    whole = [x.tolist() for x in langid._tallied([text])]
+    for size in (1, 2, 3, 7, 1000, 4999, 5001):
+        monkeypatch.setattr(langid, "SLICE", size)
+        assert [x.tolist() for x in langid._tallied([text])] == whole
+        assert [x.tolist() for x in langid._tallied([text], np.array([3]))] == [[k + (3 << langid.WIDTH) for k in whole[0]], whole[1]]
+
+
+def test_memory_of_a_long_text():
+    import tracemalloc
+
+    ranker = langid.Ranker({"a": list(range(4, 400, 4)), "b": list(range(400, 4, -4))})
+    batch = pa.RecordBatch.from_arrays([pa.array(["Words of a Long text. " * 1_400_000])], names=["text"])
+    tracemalloc.start()
+    ranker.of(batch, "text")
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 400e6  # 31 MB of text
