@@ -183,9 +183,15 @@ def iso_day(c: Column) -> Column:
     return F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}"), F.try_to_date(F.substring(c, 1, 10), "yyyy-MM-dd"))
 
 
+#: Order of texts that ignores case and accents.
+BASE_ORDER = "UNICODE_CI_AI"
+
+
 def natural_sort_key(c: Column) -> Column:
+    """Text that sorts without regard to case and accents, and by the value of numbers inside. Numbers of over 40 digits sort by
+    their first 40."""
     parts = F.regexp_extract_all(F.lower(c), F.lit(r"(\d+|\D+)"), F.lit(1))
-    return F.array_join(F.transform(parts, lambda x: F.when(x.rlike(r"^\d"), F.lpad(x, 20, "0")).otherwise(x)), "")
+    return F.collate(F.array_join(F.transform(parts, lambda x: F.when(x.rlike(r"^\d"), F.lpad(F.ltrim(x, F.lit("0")), 40, "0")).otherwise(x)), ""), BASE_ORDER)
 
 
 def round_half_up(c: Column, p: int = 0) -> Column:

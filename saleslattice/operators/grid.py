@@ -5,10 +5,11 @@ aliases: norm_header, canonical, priority. A header may stand for several canoni
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..sources.scratch import checkpointed
 
 
 def resolve_header(heads: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -24,20 +25,80 @@ def header_cells(grid: DataFrame, rows: int = 30) -> DataFrame:
     return top.where("pos > 0").withColumn("pos", F.col("pos") - 1)
 
 
-def missing_headers(heads: DataFrame, aliases: DataFrame, required: list[str]) -> DataFrame:
-    """sheet, rn, missing: the required names that a header row lacks, in their order."""
+#: Headers that an import of sales needs, the two of which it needs one, and those that it never reads from a file.
+REQUIRED = (
+    "BRANCH", "STATE", "CITY", "BRAND", "AGENT NAME", "TO PARTY NAME", "BILL NO.", "BILL Date", "SHADE NAME", "RATE/UNIT", "SIZE", "UNITS/PACK", "SL QTY", "GROSS AMOUNT",
+    "AMOUNT BEFORE TAX", "NET AMOUNT", "SALE ORDER NO.", "SALE ORDER Date", "Item Category", "Item Sub cat",
+)
+ITEM = ("ITEM NAME", "ITEM NO")
+EXCLUDED = ("FY", "MONTH", "MMM", "REGION", "DISTRICT", "TYPE OF Business", "Agent Names Correction", "SCHEME", "GOODS TYPE", "AGENT NAME.", "Item with Shade", "PIN CODE")
+
+
+def missing_headers(heads: DataFrame, aliases: DataFrame, required: list[str] | tuple[str, ...] = REQUIRED, either: tuple[tuple[str, ...], ...] = ()) -> DataFrame:
+    """sheet, rn, missing: the required names that a header row lacks, in their order; then, for each of either, "A or B" where it
+    has none of them."""
     known = resolve_header(heads, aliases).groupBy("sheet", "rn").agg(F.collect_set("canonical").alias("_have"))
     rows = heads.select("sheet", "rn").distinct().join(known, ["sheet", "rn"], "left")
     have = F.coalesce("_have", F.array().cast("array<string>"))
-    return rows.select("sheet", "rn", F.array_except(F.array(*map(F.lit, required)), have).alias("missing"))
+    ors = F.filter(F.array(*(F.when(~F.arrays_overlap(have, F.array(*map(F.lit, names))), F.lit(" or ".join(names))) for names in either)).cast("array<string>"), lambda x: x.isNotNull())
+    return rows.select("sheet", "rn", F.concat(F.array_except(F.array(*map(F.lit, required)), have), ors).alias("missing"))
 
 
-def validate_headers(heads: DataFrame, aliases: DataFrame, required: list[str]) -> DataFrame:
+def validate_headers(heads: DataFrame, aliases: DataFrame, required: list[str] | tuple[str, ...] = REQUIRED, either: tuple[tuple[str, ...], ...] = ()) -> DataFrame:
     """missing_headers() with valid and the first missing name."""
-    got = missing_headers(heads, aliases, required)
+    got = missing_headers(heads, aliases, required, either)
     return got.select("sheet", "rn", (F.size("missing") == 0).alias("valid"), F.get("missing", F.lit(0)).alias("first_missing"))
 
 
+def numbered(df: DataFrame, order: list[str], name: str = "number", start: int = 1) -> DataFrame:
+    """df with the place of each row in the order (which has no ties), from start on, without gaps. Rows are dealt by ranges of
+    the order; each partition numbers its own, from where the partitions before it end: no task sees all rows."""
+    parts = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    local = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    dealt = checkpointed(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("_part"), local.alias("_at")))
+    sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # a row a partition
+    ends = sizes.select(F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return dealt.join(F.broadcast(ends), F.col("_part") == F.col("_p")).select(*df.columns, (F.col("_before") + F.col("_at") + start).alias(name))
+
+
+#: Rows of a sheet in which its header must be, and what is said where it isn't.
+ATTEMPTS = 30
+NO_HEADER = "Invalid headers: required header row not found after skips."
+
+
+def first_headers(grid: DataFrame, aliases: DataFrame, required: list[str] | tuple[str, ...] = REQUIRED, either: tuple[tuple[str, ...], ...] = (ITEM,)) -> DataFrame:
+    """sheet, head (row) and at (canonical to position) of the first row of each sheet, of its first ATTEMPTS ones, that has all
+    required names."""
+    heads = header_cells(grid, ATTEMPTS)
+    good = validate_headers(heads, aliases, required, either).where("valid").groupBy("sheet").agg(F.min("rn").alias("rn"))
+    return header_index(heads.join(good, ["sheet", "rn"], "left_semi"), aliases).groupBy("sheet", F.col("rn").alias("head")).agg(F.map_from_entries(F.collect_list(F.struct("canonical", "pos"))).alias("at"))
+
+
+def read_rows(grid: DataFrame, heads: DataFrame, done: int = 0, cap: int = 2_500_000) -> DataFrame:
+    """sheet, rn, number and at (canonical to text) of a grid's data rows: those after each sheet's header, numbered over all sheets
+    from 2 on; without those up to number done, without each sheet's last row (its totals), at most cap of them."""
+    body = grid.join(heads, "sheet").where(F.col("rn") > F.col("head"))
+    every = numbered(body, ["sheet", "rn"], "number", 2)
+    last = every.groupBy("sheet").agg(F.max("rn").alias("_last"))
+    kept = resume_skip(every.join(last, "sheet").where(F.col("rn") < F.col("_last")).drop("_last"), done)
+    return row_cap(kept, cap).select("sheet", "rn", "number", F.transform_values(F.map_filter("at", lambda c, _: ~c.isin(*EXCLUDED)), lambda _, p: F.get("cells", p + 1)).alias("at"))
+
+
+def sheet_errors(grid: DataFrame, heads: DataFrame) -> DataFrame:
+    """sheet and error of the sheets that have no header among their first ATTEMPTS rows and go on after them; shorter ones without
+    a header hold nothing to import."""
+    long = grid.groupBy("sheet").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > ATTEMPTS)
+    return long.join(heads.select("sheet"), "sheet", "left_anti").select("sheet", F.lit(NO_HEADER).alias("error"))
+
+
+def import_rows(grid: DataFrame, aliases: DataFrame, done: int = 0, cap: int = 2_500_000, required: list[str] | tuple[str, ...] = REQUIRED, either: tuple[tuple[str, ...], ...] = (ITEM,), check: bool = True) -> DataFrame:
+    """read_rows() of the grid's sheets. check: fail, before anything is read, if a sheet has no header (see sheet_errors)."""
+    heads = checkpointed(first_headers(grid, aliases, required, either))
+    if check and (bad := sheet_errors(grid, heads).orderBy("sheet").limit(20).collect()):
+        raise ValueError(f"{NO_HEADER} ({', '.join(str(r.sheet) for r in bad)})")
+    return read_rows(grid, heads, done, cap)
+
+
 def quantity_score(header: Column) -> Column:
     """How well a header fits SL QTY."""
     u = X.normalize_header_dots(header)
@@ -78,8 +139,8 @@ def type_row(name: str) -> Column:
         return X.money_cell(c)
     if name in DATES:
         return X.parse_date_cell(c)
-    if name == "ITEM NAME":
-        return X.first_non_blank(F.try_element_at("at", F.lit("ITEM NO")), c)
+    if name in ITEM:  # the sheet's ITEM NO column, if it has one
+        return X.null_if_blank(F.when(F.map_contains_key("at", F.lit("ITEM NO")), F.try_element_at("at", F.lit("ITEM NO"))).otherwise(F.try_element_at("at", F.lit("ITEM NAME"))))
     return X.null_if_blank(c)
 
 
@@ -92,13 +153,14 @@ def import_so_master(grid: DataFrame, aliases: DataFrame, brand: str, fy: str) -
     return got.groupBy("party_name", "brand", "fy").agg(F.max_by("type_of_order", F.struct("sheet", "rn")).alias("type_of_order"))
 
 
-def resume_skip(df: DataFrame, checkpoint: int) -> DataFrame:
-    return df.where(F.col("rn") > checkpoint)
+def resume_skip(df: DataFrame, done: int) -> DataFrame:
+    """Rows whose number is past done."""
+    return df.where(F.col("number") > done)
 
 
 def row_cap(df: DataFrame, n: int = 2_500_000) -> DataFrame:
-    """The first n rows by number: a limit of the import itself."""
-    return df.orderBy("sheet", "rn").limit(n)
+    """The first n rows by number, a limit of the import itself. Numbers may have gaps, so rows are counted anew."""
+    return numbered(df, ["number"], "_place").where(F.col("_place") <= n).drop("_place")
 
 
 def keep(df: DataFrame, keys: list[str], order: str, last: bool = True) -> DataFrame:

@@ -56,12 +56,6 @@ def master_preview(master: DataFrame, term: str = "", by: str = "id", limit: int
     return found.orderBy(F.desc_nulls_last(by)).limit(min(max(limit, 1), 500))
 
 
-def with_total(df: DataFrame, order: str, limit: int = 20) -> DataFrame:
-    """The first rows, each with the count of all; the count is an aggregate of its own, not a window of one task."""
-    total = df.agg(F.count(F.lit(1)).alias("total"))
-    return df.orderBy(order).limit(limit).join(F.broadcast(total), how="cross")
-
-
 def health(tables: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
     """table_name, column_name, n_rows, n_blank of each named column, one aggregate a table."""
     out = []

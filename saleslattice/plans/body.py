@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..sources.scratch import checkpointed
 from .pivot import header_key, names, pivot
 
 
@@ -28,7 +29,7 @@ def body_lines(df: DataFrame, cfg: dict) -> DataFrame:
     subs = got.where(F.col("depth") < n).withColumn("_k", F.lit(1))
     lines = rows.unionByName(subs)
     # Labels of one depth are followed by a mark that sorts after every label: 9 is past all header classes.
-    last = F.struct(F.lit(9).alias("k"), F.lit(0).alias("n"), F.lit("").alias("t"), F.lit("").alias("l"))
+    last = F.struct(F.lit(9).alias("k"), F.lit(0).alias("n"), F.collate(F.lit(""), X.BASE_ORDER).alias("t"), F.lit("").alias("l"))
     key = F.when(F.col("_k") == 1, F.concat(_order(F.col("row_labels")), F.array(last))).otherwise(_order(F.col("row_labels")))
     return lines.select(F.when(F.col("_k") == 1, "subtotal").otherwise("row").alias("type"), "depth", F.col("row_labels").alias("labels"), key.alias("key"), *names(cfg))
 
@@ -59,6 +60,37 @@ def cap_cells(cells: DataFrame, metrics: int, cap: int = 250_000) -> DataFrame:
     return cells.join(rows, "row_labels", "left_semi").join(fit, "col_labels", "left_semi")
 
 
+def dense_grid(df: DataFrame, cfg: dict, cap: int = 250_000) -> tuple[DataFrame, DataFrame]:
+    """(headers, rows) of a pivot's grid. headers: place and col_labels of the columns in order, the first whose cells fit the cap;
+    rows: row_labels and, for each metric, an array with a cell for each header, in their order: 0 for a sum, an average or a
+    count of no rows, null for their least and greatest.
+
+    A row's cells are gathered by the places of their headers and spread over an array of the headers' number: rows and headers are
+    not crossed. The cap bounds the headers."""
+    from .pivot import sort_headers
+
+    every = F.array(F.lit("(all)"))
+    cell = {(True, True): "cell", (True, False): "row_total", (False, True): "cell", (False, False): "grand_total"}[bool(cfg["rows"]), bool(cfg["columns"])]
+    got = pivot(df, {**cfg, "subtotals": []}).where(F.col("kind") == cell)
+    got = checkpointed(got.withColumns({c: F.when(F.size(c) == 0, every).otherwise(F.col(c)) for c in ("row_labels", "col_labels")}))
+    metrics = list(names(cfg))
+    labels = got.select("row_labels").distinct()
+    most = max(1, cap // (max(1, labels.count()) * len(metrics)))
+    heads = got.select(F.col("col_labels").alias("labels")).distinct()
+    first = heads.orderBy(*(header_key(F.get("labels", F.lit(i)), f) for i, f in enumerate(cfg["columns"])), "labels").limit(most)
+    placed = checkpointed(sort_headers(first, cfg["columns"]).withColumnRenamed("labels", "col_labels"))
+    width = placed.count()
+    cells = got.join(placed, "col_labels")
+    gathered = cells.groupBy("row_labels").agg(F.map_from_entries(F.collect_list(F.struct("place", F.struct(*metrics)))).alias("at"))
+    empty = {n: F.lit(None) if a in ("min", "max") else F.lit(0) for (f, a), n in zip(cfg["values"], metrics, strict=True)}
+
+    def spread(n: str) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.lit(width)), lambda i: F.coalesce(F.try_element_at("at", i)[n], empty[n].cast(got.schema[n].dataType)))
+
+    rows = labels.join(gathered, "row_labels", "left").select("row_labels", *((spread(n) if width else F.array().cast(f"array<{got.schema[n].dataType.simpleString()}>")).alias(n) for n in metrics))
+    return placed.select("place", "col_labels"), rows
+
+
 def export_grid(df: DataFrame, cfg: dict, headers: list[str]) -> DataFrame:
     """Rows by headers of the first value, with a total column and a last line of column totals (kind: body or total)."""
     value = next(iter(names(cfg)))
@@ -100,14 +132,3 @@ def export_pivot_csv(df: DataFrame, cfg: dict, headers: list[tuple[str, ...]]) -
     lead = [F.when(F.col("part") == 2, "GRAND TOTAL" if i == 0 else "").otherwise(F.coalesce(F.get("row_labels", F.lit(i)), F.lit("(all)" if i == 0 else ""))) for i in range(len(rows))]
     values = [X.format_indian(F.col(f"v{i}")) for i in range(len(columns))]
     return heads.unionByName(wide.select("part", F.array_join("row_labels", "||").alias("key"), line([*lead, *values]).alias("line")))
-
-
-def export_csv(grid: DataFrame, headers: list[str]) -> DataFrame:
-    """Lines of the CSV text in order: byte order mark and header, body, footer; numbers in Indian grouping."""
-    def q(c: Column) -> Column:
-        return F.concat(F.lit('"'), F.replace(F.coalesce(c, F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
-
-    cols = [q(X.format_indian(F.col(f"`{h}`"))) for h in [*headers, "Total"]]
-    lines = grid.select(F.when(F.col("kind") == "body", 1).otherwise(2).alias("part"), F.col("row_key").alias("key"), F.concat_ws(",", q(F.col("row_key")), *cols).alias("line"))
-    head = grid.sparkSession.range(1).select(F.lit(0).alias("part"), F.lit("").alias("key"), F.concat(F.lit("﻿"), F.concat_ws(",", *(q(F.lit(h)) for h in ["Row", *headers, "Total"]))).alias("line"))
-    return head.unionByName(lines).orderBy("part", "key")

@@ -1,5 +1,5 @@
 """All registered queries of the sales model and their oracles."""
 
-from .stored_queries import QUERIES, SQL
+from .grid_queries import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,27 +88,33 @@ def pivot(df: DataFrame, cfg: dict) -> DataFrame:
     return got.select(kind.alias("kind"), depth.cast("int").alias("depth"), F.filter(F.array(*map(F.col, rows)).cast("array<string>"), lambda x: x.isNotNull()).alias("row_labels"), F.filter(F.array(*map(F.col, cols)).cast("array<string>"), lambda x: x.isNotNull()).alias("col_labels"), *names(cfg))
 
 
-def header_key(label: Column) -> Column:
-    """Order of labels: dates, fiscal years, months, texts in natural order, blank last."""
-    month = F.array_position(F.array(*map(F.lit, X.MONTHS)), F.upper(F.substring(label, 1, 3)))
-    is_month = label.rlike(r"^[A-Za-z]{3}-\d{2}$") & (month > 0)
-    only = F.upper(label).isin(*X.MONTHS)
-    kind = F.when(label == "(blank)", 4).when(label.rlike(r"^\d{4}-\d{2}-\d{2}$"), 0).when(label.rlike(r"^\d{4}-\d{2}$"), 1).when(is_month | only, 2).otherwise(3)
-    num = F.when(kind == 1, F.substring(label, 1, 4).try_cast("int")).when(is_month, F.right(label, F.lit(2)).try_cast("int") * 12 + month).when(only, month).otherwise(0)
-    return F.struct(kind.alias("k"), num.alias("n"), X.natural_sort_key(label).alias("t"), label.alias("l"))
-
-
-def pivot_wide(df: DataFrame, cfg: dict, headers: list[str]) -> DataFrame:
-    """Rows by one column field, a column a header, of the first value, with the row total."""
-    f, a = cfg["values"][0]
-    base = df.where(where(cfg["filters"])).select("*", *(X.axis_label(c).alias(f"r_{c}") for c in cfg["rows"]), X.axis_label(cfg["columns"][0]).alias("_h"))
-    rows = [f"r_{c}" for c in cfg["rows"]]
-    wide = base.groupBy(*rows).pivot("_h", headers).agg(measure(a, f))
-    return wide.join(base.groupBy(*rows).agg(measure(a, f).alias("total")), rows)
-
-
-def drilldown(df: DataFrame, cfg: dict, keys: dict[str, str], offset: int = 0, limit: int = 200) -> DataFrame:
-    """Rows behind one cell, in id order."""
+def header_key(label: Column, field: str | None = None) -> Column:
+    """Order of labels: dates, fiscal years, months, texts in natural order without case and accents, blank last; ties by the
+    label itself. field: the labels' field, whose kind of value alone is read; without it, all kinds are told by their form."""
+    month, only, year = X.month_year(label), X.month_only(label), X.fy_start(label)
+    day = F.when(label.rlike(r"^\d{4}-\d{2}-\d{2}"), F.try_to_date(F.substring(label, 1, 10), "yyyy-MM-dd"))
+    if field is None:
+        only = F.when(F.upper(label).isin(*X.MONTHS), only)
+        year = F.when(label.rlike(r"^\d{4}-\d{2}$"), year)
+    none = F.lit(None).cast("int")
+    date_n = F.datediff(day, F.lit("1970-01-01").cast("date")) if field is None or field in X.DATES else none
+    fy_n = year if field in (None, "fy") else none
+    month_n = F.coalesce(month["y"] * 12 + month["m"] if field in (None, "month", "mmm") else none, only if field in (None, "mmm") else none)
+    kind = F.when((label == "(blank)") | (label == ""), 4).when(date_n.isNotNull(), 0).when(fy_n.isNotNull(), 1).when(month_n.isNotNull(), 2).otherwise(3)
+    num = F.when(kind < 3, F.coalesce(F.when(kind == 0, date_n), F.when(kind == 1, fy_n), month_n)).otherwise(0)
+    return F.struct(kind.alias("k"), num.alias("n"), F.when(kind == 3, X.natural_sort_key(label)).alias("t"), label.alias("l"))
+
+
+def sort_headers(headers: DataFrame, fields: list[str], desc: bool = False) -> DataFrame:
+    """headers (labels: array of a label a field) with place, from 1 on: in the order of their labels' kinds, field by field, or
+    all reversed, blanks included. Headers are those of a pivot's columns, few enough to be shown (cap_cells)."""
+    keys = [header_key(F.get("labels", F.lit(i)), f) for i, f in enumerate(fields)] + [F.array_join("labels", "||")]
+    order = [k.desc() if desc else k.asc() for k in keys]
+    return headers.withColumn("place", F.row_number().over(Window.orderBy(*order)))
+
+
+def drill_rows(df: DataFrame, cfg: dict, keys: dict[str, str]) -> DataFrame:
+    """All rows behind one cell. keys: a label a field; an empty one and (all) ask for nothing, (blank) for blank values."""
     cond = where(cfg["filters"])
     for f, v in keys.items():
         if v in ("", "(all)"):
@@ -114,7 +122,26 @@ def drilldown(df: DataFrame, cfg: dict, keys: dict[str, str], offset: int = 0, l
         c = F.col(f)
         text = F.trim(F.coalesce(c.cast("string"), F.lit("")))
         cond = cond & ((c.isNull() if f in X.DATES else text == "") if v == "(blank)" else c.cast("date") == F.lit(v).cast("date") if f in X.DATES else text == v)
-    return df.where(cond).orderBy("id").offset(max(0, offset)).limit(min(max(limit, 1), 1000))
+    return df.where(cond)
+
+
+def cell_keys(cfg: dict, row_key: str, col_key: str) -> dict[str, str]:
+    """A cell's labels by field, from its keys: labels joined by ||, missing ones empty."""
+    out = {}
+    for fields, key in ((cfg["rows"], row_key), (cfg["columns"], col_key)):
+        parts = key.split("||") if key else []
+        out |= {f: parts[i] if i < len(parts) else "" for i, f in enumerate(fields)}
+    return out
+
+
+def drilldown(df: DataFrame, cfg: dict, keys: dict[str, str], offset: int = 0, limit: int = 200) -> DataFrame:
+    """Rows behind one cell, in id order: a page of them."""
+    return drill_rows(df, cfg, keys).orderBy("id").offset(max(0, offset)).limit(min(max(limit, 1), 1000))
+
+
+def drilldown_total(df: DataFrame, cfg: dict, keys: dict[str, str]) -> DataFrame:
+    """One row: total, the number of rows behind one cell."""
+    return drill_rows(df, cfg, keys).agg(F.count(F.lit(1)).alias("total"))
 
 
 def distinct_values(df: DataFrame, field: str, search: str = "", limit: int = 10_000) -> DataFrame:
@@ -125,16 +152,33 @@ def distinct_values(df: DataFrame, field: str, search: str = "", limit: int = 10
     return out.orderBy(F.lower("value"), "value").limit(min(max(limit, 1), 20_000))
 
 
+#: Values that one ranking keeps: up to here Spark limits each partition's groups before it shuffles them.
+STEP = 1000
+
+
+def first_values(pairs: DataFrame, limit: int) -> DataFrame:
+    """The first limit values (in order without case) of each field of pairs (field, value; distinct). They are taken STEP at a time,
+    so that no task sorts more of a field than its partitions' first ones; later steps start after the last value so far."""
+    at, order = F.struct(F.lower("value").alias("a"), F.col("value").alias("b")), (F.lower("value"), F.col("value"))
+    out, rest = [], pairs
+    for done in range(0, limit, STEP):
+        ranked = rest.withColumn("n", F.row_number().over(Window.partitionBy("field").orderBy(*order)))
+        out.append(ranked.where(F.col("n") <= min(STEP, limit - done)).select("field", "value"))
+        if done + STEP < limit:  # a row a field that goes on
+            last = out[-1].groupBy(F.col("field").alias("_f")).agg(F.max(at).alias("_last"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") == STEP)
+            rest = rest.join(F.broadcast(last), (F.col("field") == F.col("_f")) & (at > F.col("_last"))).select("field", "value")
+    return reduce(DataFrame.unionByName, out)
+
+
 def distinct_values_batch(df: DataFrame, fields: list[str], limit: int = 500) -> DataFrame:
     """field, value, error: up to 24 fields' values in one pass; the limit (50 to 2000) keeps each field's first values. A
     field that df lacks has one row with an error. No field, or more than 24, is refused."""
     fields = list(dict.fromkeys(f.strip() for f in fields if f and f.strip()))
     if not 1 <= len(fields) <= 24:
         raise ValueError("1 to 24 fields")
-    limit = min(max(limit, 50), 2000)
     pairs = F.array(*(F.struct(F.lit(f).alias("field"), (X.dim_axis(f).cast("string") if f in df.columns else F.lit(None).cast("string")).alias("value")) for f in fields))
-    out = df.select(F.explode(pairs).alias("x")).select("x.*").where("value IS NOT NULL").distinct()
-    out = out.withColumn("n", F.row_number().over(Window.partitionBy("field").orderBy(F.lower("value"), "value"))).where(F.col("n") <= limit).select("field", "value", F.lit(None).cast("string").alias("error"))
+    every = df.select(F.explode(pairs).alias("x")).select("x.*").where("value IS NOT NULL").distinct()
+    out = first_values(every, min(max(limit, 50), 2000)).select("field", "value", F.lit(None).cast("string").alias("error"))
     unknown = [(f, None, "Invalid filter field") for f in fields if f not in df.columns]
     return out.unionByName(df.sparkSession.createDataFrame(unknown, "field string, value string, error string")) if unknown else out
 
@@ -143,13 +187,29 @@ def distinct_states(df: DataFrame) -> DataFrame:
     return df.where(F.trim("state") != "").select("state").distinct().orderBy("state")
 
 
-def axis_cardinality(df: DataFrame, fields: list[str]) -> DataFrame:
-    """One row: the number of distinct values of each field, and their product as cells."""
-    out = df.agg(*(F.countDistinct(f).alias(f) for f in fields))
+def _with_cells(df: DataFrame, fields: list[str]) -> DataFrame:
     cells = F.lit(1).cast("bigint")
     for f in fields:
         cells = cells * F.greatest(F.col(f), F.lit(1))
-    return out.withColumn("cells", cells)
+    return df.withColumn("cells", cells)
+
+
+def axis_cardinality(df: DataFrame, fields: list[str]) -> DataFrame:
+    """One row: the number of distinct values of each field, and their product as cells."""
+    return _with_cells(df.agg(*(F.countDistinct(f).alias(f) for f in fields)), fields)
+
+
+def sketch_axes(df: DataFrame, fields: list[str], by: list[str] | None = None, bits: int = 12) -> DataFrame:
+    """A HyperLogLog sketch of each field's values (columns of its name), for each value of by, or one row: to be stored with the
+    parts of a table and put together by estimated_cardinality(). 2**bits registers: a standard error of 1.04 / 2**(bits / 2)."""
+    made = [F.hll_sketch_agg(F.col(f).cast("string"), F.lit(bits)).alias(f) for f in fields]
+    return df.groupBy(*by).agg(*made) if by else df.agg(*made)
+
+
+def estimated_cardinality(sketches: DataFrame, fields: list[str]) -> DataFrame:
+    """axis_cardinality() as estimated from stored sketches; the table itself is not read."""
+    got = sketches.agg(*(F.coalesce(F.hll_sketch_estimate(F.hll_union_agg(f)), F.lit(0)).cast("bigint").alias(f) for f in fields))
+    return _with_cells(got, fields)
 
 
 def report_meta(df: DataFrame) -> DataFrame:

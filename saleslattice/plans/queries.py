@@ -115,7 +115,7 @@ _derived("fact_numeric", lambda: X.fact_numeric("units_pack"), UNITS, "units_pac
 _derived("money_cell", lambda: X.money_cell(F.col("units_pack")), "CASE WHEN regexp_replace(units_pack, '[^0-9.\\-]', '', 'g') = '' THEN 0.0::DOUBLE ELSE TRY_CAST(regexp_replace(units_pack, '[^0-9.\\-]', '', 'g') AS DOUBLE) END", "units_pack")
 _derived("serial_to_date", lambda: X.serial_to_date(F.col("size")), "DATE '1899-12-30' + CAST(size AS INT)", "size")
 _derived("round_half_up", lambda: X.round_half_up(F.col("net_amount")).cast("decimal(20,0)"), "CAST(round(net_amount) AS DECIMAL(20,0))", "net_amount")
-_derived("natural_sort_key", lambda: X.natural_sort_key(F.col("item_no")), "concat('item ', lpad(regexp_extract(item_no, '(\\d+)', 1), 20, '0'))", "item_no")
+_derived("natural_sort_key", lambda: X.natural_sort_key(F.col("item_no")).cast("string"), "concat('item ', lpad(regexp_extract(item_no, '(\\d+)', 1), 40, '0'))", "item_no")
 _derived("first_non_blank", lambda: X.first_non_blank(F.col("state"), F.col("city")), "coalesce(nullif(trim(state),''), nullif(trim(city),''))", "state", "city")
 _derived("iso_day", lambda: X.iso_day(F.col("bill_date").cast("string")), "bill_date")
 _derived("valid_iso_date", lambda: X.valid_iso_date(F.col("bill_date").cast("string")), "bill_date IS NOT NULL")
@@ -138,11 +138,10 @@ g AS (SELECT r1, r2, c1, coalesce(sum(net_amount),0) AS sum_net_amount, CAST(coa
 SELECT CASE WHEN r2 IS NOT NULL AND c1 IS NOT NULL THEN 'cell' WHEN r2 IS NOT NULL THEN 'row_total' WHEN r1 IS NULL AND c1 IS NOT NULL THEN 'column_total' WHEN r1 IS NULL THEN 'grand_total' WHEN c1 IS NOT NULL THEN 'subtotal' ELSE 'subtotal_total' END AS kind,
 CAST((r1 IS NOT NULL)::INT + (r2 IS NOT NULL)::INT AS INT) AS depth, concat_ws('||', r1, r2) AS row_labels, coalesce(c1, '') AS col_labels, sum_net_amount, avg_sl_qty, count_id FROM g"""
 add("pivot_totals_onepass", lambda s, d: _flat(P.pivot(load(s, d), _T)), _SETS)
-for _n, _k in (("pivot_cells", "cell"), ("pivot_row_totals", "row_total"), ("pivot_column_totals", "column_total"), ("pivot_grand_total", "grand_total"), ("pivot_subtotals", "subtotal")):
+for _n, _k in (("pivot_row_totals", "row_total"), ("pivot_column_totals", "column_total"), ("pivot_grand_total", "grand_total"), ("pivot_subtotals", "subtotal")):
     add(_n, lambda s, d, k=_k: _flat(P.pivot(load(s, d), _T)).where(F.col("kind") == k), f"SELECT * FROM ({_SETS.replace('WITH b AS', 'WITH b AS', 1)}) WHERE kind = '{_k}'")
 add("pivot_quick", lambda s, d: P.pivot_quick(load(s, d), "region"), f"SELECT nullif(trim(region),'') AS d_region, coalesce(sum(net_amount),0) AS sum_net_amount, count(*) AS row_count FROM fx_sales WHERE {NOT_TOTAL} GROUP BY 1")
 add("filtered_row_count", lambda s, d: P.pivot_groupby(load(s, d), _G).agg(F.sum("row_count").alias("n")), f"SELECT count(*) AS n FROM fx_sales WHERE {NOT_TOTAL} AND bill_date >= DATE '2000-04-01' AND bill_date < DATE '2001-04-01'")
-add("sort_headers", lambda s, d: load(s, d).select(X.axis_label("month").alias("label")).distinct().select("label", P.header_key(F.col("label")).alias("k")).select("label", F.col("k.k").alias("class"), F.col("k.n").cast("int").alias("ord")), f"SELECT DISTINCT label, CASE WHEN label = '(blank)' THEN 4 ELSE 2 END AS class, CASE WHEN label = '(blank)' THEN 0 ELSE CAST(right(label,2) AS INT) * 12 + month(strptime(label, '%b-%y')) END AS ord FROM (SELECT coalesce({MONTH_AXIS}, '(blank)') AS label FROM fx_sales)")
 add("drilldown", lambda s, d: P.drilldown(load(s, d), P.config([], [], [("id", "count")]), {"state": "NATION_7", "brand": "VERCELLI"}).select("id", "bill_no", "net_amount"), f"SELECT id, bill_no, net_amount FROM fx_sales WHERE {NOT_TOTAL} AND trim(coalesce(state,'')) = 'NATION_7' AND trim(coalesce(brand,'')) = 'VERCELLI' ORDER BY id LIMIT 200")
 add("distinct_values", lambda s, d: P.distinct_values(load(s, d), "branch", "an"), "SELECT DISTINCT trim(branch) AS value FROM fx_sales WHERE trim(branch) <> '' AND contains(lower(trim(branch)), 'an')")
 _FIELDS = ["branch", "brand", "state", "city", "mmm", "region", "district", "business_type", "party_grouped", "to_party_name", "agent_name", "bill_no", "item_no", "shade_name", "size", "units_pack", "sale_order_no", "item_category", "item_sub_cat", "so_type", "scheme"]

@@ -110,8 +110,6 @@ add("win_dedupe_first", lambda s, d: G.keep(load(s, d, _SO).select("party_name",
 add("win_latest_by_date", lambda s, d: G.keep(load(s, d, _SO).select("party_name", F.struct("so_order_date", "id").alias("at"), "type_of_order"), ["party_name"], "at").select("party_name", "type_of_order"), "SELECT party_name, arg_max(type_of_order, (so_order_date, id)) AS type_of_order FROM fx_so_master GROUP BY 1", _SO)
 _GROWS = "SELECT sheet, rn, len(cells) AS n FROM fx_grid"
 add("win_drop_footer", lambda s, d: G.drop_footer(load(s, d, "fx_grid")).select("sheet", "rn", F.size("cells").cast("long").alias("n")), f"{_GROWS} WHERE (sheet, rn) NOT IN (SELECT (sheet, max(rn)) FROM fx_grid GROUP BY sheet)", "fx_grid")
-add("win_row_cap", lambda s, d: G.row_cap(load(s, d, "fx_grid"), 500).select("sheet", "rn"), "SELECT sheet, rn FROM fx_grid ORDER BY sheet, rn LIMIT 500", "fx_grid")
-add("win_resume_skip", lambda s, d: G.resume_skip(load(s, d, "fx_grid"), 1000).select("sheet", "rn"), "SELECT sheet, rn FROM fx_grid WHERE rn > 1000", "fx_grid")
 add("top_history", lambda s, d: H.top(load(s, d, "fx_event"), "ended", 30).select("id", "ended"), "SELECT id, ended FROM fx_event ORDER BY ended DESC NULLS LAST, id DESC LIMIT 30", "fx_event")
 add("master_preview", lambda s, d: H.master_preview(load(s, d, _SO), "urgent").select("id", "party_name"), f"SELECT id, party_name FROM {_SO} WHERE contains(lower(concat_ws('|', party_name, brand, fy, type_of_order)), 'urgent') ORDER BY id DESC LIMIT 200", _SO)
 add("sample_unmatched", lambda s, d: M.unmatched_parties(load(s, d), load(s, d, _GROUPS)).orderBy("party_key").limit(20), f"SELECT DISTINCT {_party('to_party_name')} AS party_key FROM fx_sales WHERE {_party('to_party_name')} NOT IN (SELECT {_party('to_party_name')} FROM {_GROUPS}) ORDER BY 1 LIMIT 20", *_FX2)
@@ -174,7 +172,6 @@ add("cap_cells", lambda s, d: B.cap_cells(P.pivot(load(s, d), _XT).where("kind =
 
 # Grids.
 _GA = ("fx_grid", "fx_alias")
-_REQ = ["PARTY NAME", "TYPE OF ORDER", "CITY"]
 
 
 def _heads(s, d) -> DataFrame:
@@ -184,11 +181,8 @@ def _heads(s, d) -> DataFrame:
 _HROW = "SELECT DISTINCT sheet, rn FROM fx_grid WHERE rn <= 2"
 add("resolve_header", lambda s, d: G.resolve_header(_heads(s, d), load(s, d, "fx_alias")).select("sheet", "pos", "canonical"), f"SELECT sheet, unnest([0, 2, 4, 5, 6, 7]) AS pos, unnest(['PARTY NAME','TYPE OF ORDER','SL QTY','SL QTY','RATE/UNIT','RATE/UNIT']) AS canonical FROM ({_HROW}) h WHERE rn = 2", *_GA)
 add("header_index", lambda s, d: G.header_index(_heads(s, d), load(s, d, "fx_alias")).select("sheet", "pos", "canonical"), f"SELECT sheet, unnest([0, 2, 5, 7]) AS pos, unnest(['PARTY NAME','TYPE OF ORDER','SL QTY','RATE/UNIT']) AS canonical FROM ({_HROW}) h WHERE rn = 2", *_GA)
-add("missing_headers", lambda s, d: G.missing_headers(_heads(s, d), load(s, d, "fx_alias"), _REQ).select("sheet", "rn", F.array_join("missing", ",").alias("missing")), f"SELECT sheet, rn, CASE rn WHEN 2 THEN 'CITY' ELSE 'PARTY NAME,TYPE OF ORDER,CITY' END AS missing FROM ({_HROW}) h", *_GA)
-add("validate_headers", lambda s, d: G.validate_headers(_heads(s, d), load(s, d, "fx_alias"), _REQ[:2]), f"SELECT sheet, rn, rn = 2 AS valid, CASE rn WHEN 1 THEN 'PARTY NAME' END AS first_missing FROM ({_HROW}) h", *_GA)
 _DATA = "(SELECT *, row_number() OVER (PARTITION BY sheet ORDER BY rn DESC) AS back FROM fx_grid) g WHERE rn > 2 AND back > 1"
 add("type_row", lambda s, d: _data(s, d).select("sheet", "rn", G.type_row("PARTY NAME").alias("party"), G.type_row("SL QTY").alias("qty"), G.type_row("RATE/UNIT").alias("rate")), f"SELECT sheet, rn, nullif(trim(cells[2]), '') AS party, CAST(cells[7] AS DOUBLE) AS qty, CAST(NULL AS DOUBLE) AS rate FROM {_DATA}", *_GA)
-add("column_plan", lambda s, d: _data(s, d).groupBy("sheet", F.size("at").cast("long").alias("columns")).agg(_count()), f"SELECT sheet, 4 AS columns, count(*) AS n FROM {_DATA} GROUP BY 1", *_GA)
 add("import_so_master", lambda s, d: G.import_so_master(load(s, d, "fx_grid"), load(s, d, "fx_alias"), "IC", "1997-98"), f"SELECT upper(trim(cells[2])) AS party_name, 'IC' AS brand, '1997-98' AS fy, upper(arg_max(cells[4], (sheet, rn))) AS type_of_order FROM {_DATA} AND trim(cells[2]) <> '' GROUP BY 1", *_GA)
 
 
@@ -196,7 +190,6 @@ def _data(s, d) -> DataFrame:
     return G.data_rows(load(s, d, "fx_grid"), G.header_index(_heads(s, d), load(s, d, "fx_alias")))
 
 
-add("scan_grid", lambda s, d: facts.scan_grid(load(s, d, "fx_grid"), ["PARTY NAME", "TYPE OF ORDER"]).select("sheet", "rn", facts.cell("PARTY NAME").alias("party")), f"SELECT sheet, rn, cells[2] AS party FROM {_DATA}", "fx_grid")
 add("scan_master", lambda s, d: facts.scan_master(load(s, d, _PARTIES).withColumnsRenamed({"account_name": "ACCOUNT_NAME"}), {"party_name": ["Party Name", "ACCOUNT_NAME"], "district": ["LEVEL1", "district"]}), f"SELECT trim(account_name) AS party_name, trim(district) AS district FROM {_PARTIES}", _PARTIES)
 
 # Maintenance.
@@ -210,7 +203,6 @@ add("edit_so_master", lambda s, d: M.edit_so_master(load(s, d, _SO), load(s, d),
 add("edit_siblings", lambda s, d: M.edit_siblings(load(s, d, _SO), load(s, d, _SO).where("id % 40 = 0").select("party_name", "brand").distinct().withColumn("type_of_order", F.lit("NEW"))).groupBy("type_of_order").agg(_count()), f"SELECT CASE WHEN (party_name, brand) IN (SELECT (party_name, brand) FROM {_SO} WHERE id % 40 = 0) THEN 'NEW' ELSE type_of_order END AS type_of_order, count(*) AS n FROM {_SO} GROUP BY 1", _SO)
 add("backfill_district", lambda s, d: M.backfill_district(load(s, d).withColumn("district", F.when(F.col("sl_qty") > 40, "OLD")), load(s, d, _PARTIES)).groupBy("district").agg(_count()), f"SELECT CASE WHEN s.sl_qty > 40 THEN 'OLD' ELSE m.district END AS district, count(*) AS n FROM fx_sales s LEFT JOIN {_PARTIES} m ON {_party(_strip('s.to_party_name'))} = {_party(_strip('m.account_name'))} GROUP BY 1", "fx_sales", _PARTIES)
 add("master_health", lambda s, d: H.health({"fact": (load(s, d), ["state", "district"]), "groups": (load(s, d, _GROUPS), ["party_grouped"])}), f"SELECT 'fact' AS table_name, 'state' AS column_name, count(*) AS n_rows, count(*) FILTER (coalesce(trim(state), '') = '') AS n_blank FROM fx_sales UNION ALL SELECT 'fact', 'district', count(*), count(*) FILTER (coalesce(trim(district), '') = '') FROM fx_sales UNION ALL SELECT 'groups', 'party_grouped', count(*), count(*) FILTER (party_grouped IS NULL) FROM {_GROUPS}", *_FX2)
-add("export_period_report", lambda s, d: facts.export_period(L.lookup_party_group_report(load(s, d), load(s, d, _GROUPS)), "1999-00").select("id", "party_grouped"), f"SELECT s.id, CASE WHEN m.id IS NULL THEN s.party_grouped ELSE coalesce(m.party_grouped, s.to_party_name) END AS party_grouped FROM fx_sales s LEFT JOIN {_GROUPS} m ON {_party(_strip('s.to_party_name'))} = {_party('m.to_party_name')} WHERE trim(s.fy) = '1999-00'", *_FX2)
 add("enrich_display", lambda s, d: L.enrich_display(load(s, d), _all(s, d)).groupBy("business_type").agg(_count()), f"SELECT coalesce(m.type, 'RETAILER') AS business_type, count(*) AS n FROM fx_sales s LEFT JOIN {_TYPES} m ON {_party(_strip('s.to_party_name'))} = {_party('m.party_name')} WHERE {NOT_TOTAL} GROUP BY 1", "fx_sales", _TYPES)
 add("enrich_agent_display", lambda s, d: L.display_agent(load(s, d).withColumns({"agent_name_final": F.when(F.col("sl_qty") > 20, "FINAL"), "agent_names_correction": F.when(F.col("sl_qty") > 40, "FIXED")}), load(s, d, _AGENTS)).groupBy("agent_name_final", "agent_names_correction").agg(_count()), f"SELECT CASE WHEN sl_qty > 20 THEN 'FINAL' ELSE agent_name_final END AS agent_name_final, CASE WHEN sl_qty > 40 THEN 'FIXED' WHEN sl_qty > 20 THEN 'FINAL' ELSE agent_name_final END AS agent_names_correction, count(*) AS n FROM ({_AGENT}) x GROUP BY 1, 2", "fx_sales", _AGENTS)
 
@@ -262,7 +254,6 @@ def _rejects(s, d) -> DataFrame:
 
 
 add("sink_rejects", lambda s, d: _rejects(s, d).select("job_id", "row_number", "error_message", F.get_json_object("row_data", "$.bill_no").alias("bill_no")), "SELECT 'job' AS job_id, id AS row_number, 'qty \"below\" 0' AS error_message, bill_no FROM fx_sales WHERE sl_qty < 0")
-add("export_rejects", lambda s, d: facts.export_rejects(_rejects(s, d).withColumn("row_data", F.get_json_object("row_data", "$.item_no")), "job"), "SELECT concat('\"', id, '\",\"qty \"\"below\"\" 0\",\"', item_no, '\"') AS line FROM fx_sales WHERE sl_qty < 0")
 
 
 def _groups_csv(s, d) -> DataFrame:

@@ -32,14 +32,19 @@ def scan_fact(spark: SparkSession, path: str, first: str | None = None, last: st
 
 
 def scan_grid(grid: DataFrame, required: list[str], rows: int = 30) -> DataFrame:
-    """sheet, rn, header, cells of data rows: column A dropped, header the first of each sheet's first rows that has all
-    required names, rows before it and each sheet's last row (its totals) dropped."""
+    """sheet, rn, header, cells, error of data rows: column A dropped, header the first of each sheet's first rows that has all
+    required names, rows before it and each sheet's last row (its totals) dropped. A sheet of more rows than those without such
+    a header is one row with an error; a shorter one holds nothing."""
     g = grid.select("sheet", "rn", F.slice("cells", F.lit(2), F.greatest(F.size("cells") - 1, F.lit(0))).alias("cells"))
     names = F.transform("cells", lambda c: X.normalize_header(F.coalesce(c, F.lit(""))))
     heads = g.where(F.col("rn") <= rows).withColumn("header", names).where(F.size(F.array_except(F.array(*map(F.lit, required)), "header")) == 0)
     first = heads.groupBy("sheet").agg(F.min(F.struct("rn", "header")).alias("h"))
-    last = g.groupBy("sheet").agg(F.max("rn").alias("_last"))
-    return g.join(first, "sheet").join(last, "sheet").where((F.col("rn") > F.col("h.rn")) & (F.col("rn") < F.col("_last"))).select("sheet", "rn", F.col("h.header").alias("header"), "cells")
+    last = g.groupBy("sheet").agg(F.max("rn").alias("_last"), F.count(F.lit(1)).alias("_n")).join(first, "sheet", "left")
+    here = last.where("h IS NOT NULL")
+    data = g.join(here, "sheet").where((F.col("rn") > F.col("h.rn")) & (F.col("rn") < F.col("_last"))).select("sheet", "rn", F.col("h.header").alias("header"), "cells", F.lit(None).cast("string").alias("error"))
+    none = F.lit(None).cast("array<string>")
+    bad = last.where(F.col("h").isNull() & (F.col("_n") > rows)).select("sheet", F.lit(None).cast(g.schema["rn"].dataType).alias("rn"), none.alias("header"), none.alias("cells"), F.lit("required header row not found").alias("error"))
+    return data.unionByName(bad)
 
 
 def cell(name: str) -> Column:
@@ -51,21 +56,42 @@ def rejects(df: DataFrame, job: str) -> DataFrame:
     return df.select(F.lit(job).alias("job_id"), F.col("rn").alias("row_number"), F.to_json(F.struct("bill_no", "bill_date", "item_no", "to_party_name")).alias("row_data"), "error_message")
 
 
+def _quoted(c: Column) -> Column:
+    return F.concat(F.lit('"'), F.replace(F.coalesce(c.cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+
+
 def export_rejects(rows: DataFrame, job: str) -> DataFrame:
-    """Lines of the CSV text, quotes doubled, in row order."""
-    def q(c: Column) -> Column:
-        return F.concat(F.lit('"'), F.replace(c.cast("string"), F.lit('"'), F.lit('""')), F.lit('"'))
+    """part, key, line of the CSV text of a job's rejects: the header line, then rows by number, quotes doubled. For sink_lines()."""
+    head = rows.sparkSession.range(1).select(F.lit(0).alias("part"), F.lit(0).cast("bigint").alias("key"), F.lit("Row Number,Error Message,Row Data").alias("line"))
+    body = rows.where(F.col("job_id") == job).select(F.lit(1).alias("part"), F.col("row_number").cast("bigint").alias("key"), F.concat_ws(",", *map(_quoted, (F.col("row_number"), F.col("error_message"), F.col("row_data")))).alias("line"))
+    return head.unionByName(body)
 
-    return rows.where(F.col("job_id") == job).orderBy("row_number").select(F.concat_ws(",", q(F.col("row_number")), q(F.col("error_message")), q(F.col("row_data"))).alias("line"))
+
+#: Columns of the period report, in order.
+REPORT = (
+    "branch", "fy", "month", "mmm", "region", "state", "district", "city", "business_type", "agent_names_correction", "party_grouped", "party_name_for_count", "brand", "agent_name", "to_party_name",
+    "bill_no", "bill_date", "item_no", "shade_name", "rate_unit", "size", "units_pack", "sl_qty", "gross_amount", "amount_before_tax", "net_amount", "sale_order_no", "sale_order_date",
+    "item_with_shade", "item_category", "item_sub_cat", "so_type", "scheme", "goods_type", "agent_name_final", "pin_code",
+)
 
 
 def export_period(fact: DataFrame, fy: str, month: str | None = None) -> DataFrame:
+    """id and the report's columns (null where the fact has none) of a fiscal year, or of one month of it."""
     cond = X.null_if_blank(F.col("fy")) == fy
-    return fact.where(cond & (F.col("month") == month) if month else cond).orderBy("id")
+    rows = fact.where(cond & (F.col("month") == month) if month else cond)
+    return rows.select("id", *(F.col(c) if c in fact.columns else F.lit(None).cast("string").alias(c) for c in REPORT))
+
 
+def sink_period_report(report: DataFrame, path: str) -> None:
+    """CSV text of export_period(): a header of upper-case names with blanks, then rows by id."""
+    names = [c.upper().replace("_", " ") for c in REPORT]
+    head = report.sparkSession.range(1).select(F.lit(0).alias("part"), F.lit(0).cast("bigint").alias("key"), F.lit(",".join(names)).alias("line"))
 
-def dedupe_last(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))).where("_n = 1").drop("_n")
+    def text(c: str) -> Column:
+        v = F.coalesce(F.col(c).cast("string"), F.lit(""))
+        return F.when(v.rlike('[,"\n\r]'), _quoted(v)).otherwise(v)
+
+    sink_lines(head.unionByName(report.select(F.lit(1).alias("part"), F.col("id").cast("bigint").alias("key"), F.concat_ws(",", *map(text, REPORT)).alias("line"))), path)
 
 
 def scan_master(df: DataFrame, variants: dict[str, list[str]]) -> DataFrame:
@@ -77,6 +103,21 @@ def scan_master(df: DataFrame, variants: dict[str, list[str]]) -> DataFrame:
     return df.select(*(one(names).alias(c) for c, names in variants.items()))
 
 
+def scan_regions(master: DataFrame | None, states: DataFrame | None = None, regions: DataFrame | None = None) -> DataFrame:
+    """state and region of the region master; where there is none, or it has no row with both, of the reference states (state,
+    region_id) joined with their regions (id, region)."""
+    def named(df: DataFrame) -> DataFrame:
+        return scan_master(df, {"state": ["state", "State", "STATE"], "region": ["region", "Region", "REGION"]}).dropna()
+
+    own = named(master) if master is not None else None
+    if states is None or regions is None:
+        if own is None:
+            raise ValueError("no region master and no reference states")
+        return own
+    other = named(states.join(regions.withColumnRenamed("id", "region_id"), "region_id"))
+    return other if own is None or own.isEmpty() else own
+
+
 def scan_grouping_csv(spark: SparkSession, path: str) -> DataFrame:
     """to_party_name, party_grouped, party_name_for_count of a CSV file with headers that contain these words; without
     them the first three columns. A blank group or count name is the party's name; rows without a party go."""

@@ -117,6 +117,20 @@ SELECT sheet, rn, split(line, ';') AS cells FROM (
     "fx_alias": r"""
 SELECT CASE r_regionkey WHEN 0 THEN 'PARTY NAME' WHEN 1 THEN 'TYPE OF ORDER' WHEN 2 THEN 'QTY' WHEN 3 THEN 'SL QTY' ELSE 'RATE' END AS norm_header,
   CASE r_regionkey WHEN 0 THEN 'PARTY NAME' WHEN 1 THEN 'TYPE OF ORDER' WHEN 2 THEN 'SL QTY' WHEN 3 THEN 'SL QTY' ELSE 'RATE/UNIT' END AS canonical, 1 AS priority FROM region
+""",
+    "fx_sheet": r"""
+SELECT sheet, rn, split(line, ';') AS cells FROM (
+  SELECT CASE WHEN r_regionkey = 0 THEN 'A' ELSE 'B' END AS sheet, CAST(r_regionkey + 1 AS BIGINT) AS rn,
+    concat('x;Branch;STATE;City;Brand;Agent  Name;To Party Name;Bill No.;Bill Date;Shade Name;Rate/Unit;Size;Units/Pack;SL Qty;Gross Amount;Amount Before Tax;Net Amount;Sale Order No;Sale Order Date;Item Category;Item Sub Cat;', CASE WHEN r_regionkey = 0 THEN 'Item No;Item Name;FY;Region' ELSE 'Item Name;FY;Other' END) AS line FROM region WHERE r_regionkey < 2
+  UNION ALL SELECT 'B' AS sheet, CAST(1 AS BIGINT) AS rn, 'x;Report;of sales' AS line FROM region WHERE r_regionkey = 0
+  UNION ALL SELECT CASE o_custkey % 4 WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 2 THEN 'C' ELSE CASE WHEN o_orderkey < 20 THEN 'D' ELSE 'B' END END AS sheet, CAST(o_orderkey + 40 AS BIGINT) AS rn,
+    concat('x;BR 1;ST ', CAST(o_custkey % 7 AS VARCHAR(5)), ';;IC;Agent;Party ', CAST(o_custkey % 50 AS VARCHAR(5)), ';B-', CAST(o_orderkey AS VARCHAR(12)), ';', CAST(CAST(o_orderdate AS DATE) AS VARCHAR(10)), ';;1;2;3;', CAST(o_custkey AS VARCHAR(12)), ';5;6;7;SO;;CAT;SUB;', CASE WHEN o_orderkey % 3 = 0 THEN ' ' ELSE concat('I', CAST(o_orderkey % 9 AS VARCHAR(5))) END, ';NAME;1999-00;EAST') AS line FROM orders
+) g
+""",
+    "fx_sheet_alias": r"""
+SELECT upper(replace(h, '.', '')) AS norm_header, h AS canonical, 1 AS priority FROM (SELECT 'BRANCH' AS h UNION ALL SELECT 'STATE' UNION ALL SELECT 'CITY' UNION ALL SELECT 'BRAND' UNION ALL SELECT 'AGENT NAME' UNION ALL SELECT 'TO PARTY NAME' UNION ALL SELECT 'BILL NO.'
+  UNION ALL SELECT 'BILL Date' UNION ALL SELECT 'SHADE NAME' UNION ALL SELECT 'RATE/UNIT' UNION ALL SELECT 'SIZE' UNION ALL SELECT 'UNITS/PACK' UNION ALL SELECT 'SL QTY' UNION ALL SELECT 'GROSS AMOUNT' UNION ALL SELECT 'AMOUNT BEFORE TAX' UNION ALL SELECT 'NET AMOUNT'
+  UNION ALL SELECT 'SALE ORDER NO.' UNION ALL SELECT 'SALE ORDER Date' UNION ALL SELECT 'Item Category' UNION ALL SELECT 'Item Sub cat' UNION ALL SELECT 'ITEM NO' UNION ALL SELECT 'ITEM NAME' UNION ALL SELECT 'FY' UNION ALL SELECT 'REGION') a
 """,
     "fx_event": r"""
 SELECT o_orderkey AS id, CASE WHEN o_custkey % 2 = 0 THEN 'party' ELSE 'type' END AS table_name, CAST(o_custkey AS VARCHAR(20)) AS row_id, CAST(o_orderdate AS DATE) AS ts,
