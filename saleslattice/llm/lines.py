@@ -8,6 +8,9 @@ and they end when all are alone. From ``min_run`` lines on, each interval's firs
 stays; the other places are later copies of a run of ``have`` lines. Runs that overlap or meet make the maximal repeated
 runs of a document, which go.
 
+Documents of one text are one sequence, of the least of them: in a copy of a whole text every run has an earlier place, so all
+of it goes if it has ``min_run`` lines, and no suffix of it takes part. Texts are told by two 64-bit hashes.
+
 ``longest`` ends the rounds once runs of so many lines are ranked. It changes no result, as longer repeated runs are made
 of overlapping ones of ``min_run`` lines, and saves the shuffles of the further rounds.
 
@@ -47,9 +50,9 @@ def _lines(text: Column) -> Column:
 
 
 def _later_runs(each: DataFrame, min_run: int, longest: int | None) -> list[DataFrame]:
-    """doc, of, line and end of later copies, by rounds of doubling. each: doc, of, line, x."""
-    lines = each.select("doc", "of", "line", F.xxhash64("x").alias("k1"), F.xxhash64(F.lit(1), "x").alias("k2"))
-    ranks, have, found = _ranked(lines, ["k1", "k2"]), 1, []
+    """doc, of, line and end of later copies, by rounds of doubling. each: doc, of (the text), line, k1 and k2
+    (hashes of the line)."""
+    ranks, have, found = _ranked(each, ["k1", "k2"]), 1, []
     while True:
         if have >= min_run:
             last = longest is not None and have >= longest
@@ -62,33 +65,72 @@ def _later_runs(each: DataFrame, min_run: int, longest: int | None) -> list[Data
                 return found
         step = min(have, min_run - have) if have < min_run else have
         of_text = Window.partitionBy("doc", "of").orderBy("line")
-        # equal rows have equal ranks; one of each is enough
-        own = ranks.repartition("doc", "of").groupBy("doc", "of", "line").agg(F.first("rank").alias("rank"))
-        both = own.select("*", F.lead("line", step).over(of_text).alias("line2"), F.lead("rank", step).over(of_text).alias("rank2"))
+        both = ranks.repartition("doc", "of").select("*", F.lead("line", step).over(of_text).alias("line2"), F.lead("rank", step).over(of_text).alias("rank2"))
         ranks, have = _ranked(both.where(F.col("line2") == F.col("line") + step), ["rank", "rank2"]), have + step
 
 
-def repeated_runs(docs: DataFrame, key: str = "doc_id", col: str = "text", min_run: int = MIN_RUN, long_words: int | None = None, longest: int | None = None) -> DataFrame:
-    """doc, of (which text: hash), runs: the maximal runs of lines that are later copies, each as start (from 0) and end
-    (past the last), in order."""
+def _texts(docs: DataFrame, key: str, col: str, min_run: int, long_words: int | None) -> DataFrame:
+    """of and of2 (hashes of the text), first (the least doc that has it), ids (of its lines), long (places of its lines of
+    long_words or more) of each distinct text. Copies are put together within partitions first, so that a hot text is a row each."""
+    text = F.col(f"`{col}`")
+    ids = F.transform(_lines(text), lambda x: F.struct(F.xxhash64(x).alias("k1"), F.xxhash64(F.lit(1), x).alias("k2")))
+    none = F.array().cast("array<int>")
+    if long_words is None:
+        long = none
+    else:
+        places = F.transform(_lines(text), lambda x, i: F.when((F.length(x) >= 2 * long_words - 1) & (F.regexp_count(x, F.lit(r"\S+")) >= long_words), i))
+        long = F.filter(places, lambda i: i.isNotNull())
+    rows = docs.where(text.isNotNull()).select(F.struct(F.col(f"`{key}`").cast("long").alias("doc")).alias("d"), F.xxhash64(text).alias("of"), F.xxhash64(F.lit(1), text).alias("of2"), ids.alias("ids"), long.alias("long"))
+    return rows.groupBy("of", "of2").agg(F.min("d").alias("first"), F.first("ids").alias("ids"), F.first("long").alias("long"))
+
+
+def _text_runs(docs: DataFrame, key: str, col: str, min_run: int, long_words: int | None, longest: int | None) -> DataFrame:
+    """of and of2 (hashes of a text), first (struct of the least doc that has it), runs and copied: the runs of lines that go, in
+    order, each as start (from 0) and end (past the last): runs in the first document of a text, copied in its later ones."""
     if min_run < 1 or (long_words is not None and long_words < 1):
         raise ValueError("min_run, long_words")
-    text = F.col(f"`{col}`")
-    each = docs.where(text.isNotNull()).select(F.col(f"`{key}`").cast("long").alias("doc"), F.xxhash64(text).alias("of"), F.posexplode(_lines(text)).alias("line", "x"))
-    found = _later_runs(each, min_run, longest)
+    texts = checkpointed(_texts(docs, key, col, min_run, long_words))
+    each = texts.select("first.doc", "of", "of2", "long", F.posexplode("ids").alias("line", "x")).select("doc", F.struct("of", "of2").alias("of"), "line", "x.k1", "x.k2", "long")
+    found = _later_runs(each.select("doc", "of", "line", "k1", "k2"), min_run, longest)
     if long_words is not None:
-        long = each.where((F.length("x") >= 2 * long_words - 1) & (F.regexp_count("x", F.lit(r"\S+")) >= long_words))
-        one = _ranked(long.select("doc", "of", "line", F.xxhash64("x").alias("k1"), F.xxhash64(F.lit(1), "x").alias("k2")), ["k1", "k2"])
+        one = _ranked(each.where(F.array_contains("long", F.col("line"))).select("doc", "of", "line", "k1", "k2"), ["k1", "k2"])
         found.append(one.where("later").select("doc", "of", "line", (F.col("line") + 1).alias("end")))
+    whole = F.struct(F.lit(0).alias("start"), F.size("ids").alias("end"))
+    copied = F.when(F.size("ids") >= min_run, F.array(whole)).otherwise(F.transform("long", lambda i: F.struct(i.alias("start"), (i + 1).alias("end"))))
     if not found:
-        return each.where(F.lit(False)).select("doc", "of", F.array(F.struct(F.col("line").alias("start"), F.col("line").alias("end"))).alias("runs"))
+        return texts.select("of", "of2", "first", F.filter(F.array(whole), lambda x: F.lit(False)).alias("runs"), copied.alias("copied"))
     ends = reduce(DataFrame.unionByName, found).groupBy("doc", "of", "line").agg(F.max("end").alias("end"))
     of_text = Window.partitionBy("doc", "of").orderBy("line")
     before = F.max("end").over(of_text.rowsBetween(Window.unboundedPreceding, -1))
     starts = ends.repartition("doc", "of").withColumn("new", F.coalesce(F.col("line") > before, F.lit(True)))
     parts = starts.withColumn("part", F.count_if("new").over(of_text.rowsBetween(Window.unboundedPreceding, 0)))
     runs = parts.groupBy("doc", "of", "part").agg(F.min("line").alias("start"), F.max("end").alias("end"))
-    return runs.groupBy("doc", "of").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("runs"))
+    by_text = runs.groupBy("doc", "of").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("runs")).select(F.col("of.of").alias("_a"), F.col("of.of2").alias("_b"), "runs")
+    none = F.filter(F.array(whole), lambda x: F.lit(False))
+    both = texts.join(by_text, (F.col("of") == F.col("_a")) & (F.col("of2") == F.col("_b")), "left")
+    return both.select("of", "of2", "first", F.coalesce("runs", none).alias("runs"), copied.alias("copied"))
+
+
+def _of_rows(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """rows (_doc, _of, _of2: a struct of the key, hashes of the text) with runs: those that go, null where none do.
+
+    Rows of a hot text meet its one row, so the join can be split on their side."""
+    gone = texts.where((F.size("runs") > 0) | (F.size("copied") > 0)).select(F.col("of").alias("_a"), F.col("of2").alias("_b"), "first", "runs", "copied")
+    both = rows.join(gone, (F.col("_of") == F.col("_a")) & (F.col("_of2") == F.col("_b")), "left")
+    return both.withColumn("runs", F.when(F.col("_doc").eqNullSafe(F.col("first")), F.col("runs")).otherwise(F.col("copied"))).drop("_a", "_b", "first", "copied")
+
+
+def _named(key: str, col: str) -> list[Column]:
+    text = F.col(f"`{col}`")
+    return [F.struct(F.col(f"`{key}`").cast("long").alias("doc")).alias("_doc"), F.xxhash64(text).alias("_of"), F.xxhash64(F.lit(1), text).alias("_of2")]
+
+
+def repeated_runs(docs: DataFrame, key: str = "doc_id", col: str = "text", min_run: int = MIN_RUN, long_words: int | None = None, longest: int | None = None) -> DataFrame:
+    """doc, of (which text: hash), runs: the maximal runs of lines that are later copies, each as start (from 0) and end
+    (past the last), in order."""
+    rows = docs.where(F.col(f"`{col}`").isNotNull()).select(*_named(key, col)).distinct()
+    found = _of_rows(rows, _text_runs(docs, key, col, min_run, long_words, longest))
+    return found.where(F.size("runs") > 0).select("_doc.doc", F.col("_of").alias("of"), "runs")
 
 
 def _kept(lines: Column, runs: Column) -> Column:
@@ -102,11 +144,11 @@ def _kept(lines: Column, runs: Column) -> Column:
 
 def line_dedup(docs: DataFrame, key: str = "doc_id", col: str = "text", min_run: int = MIN_RUN, long_words: int | None = None, longest: int | None = None) -> DataFrame:
     """docs with col rewritten and n_lines and n_removed added (columns of these names are replaced)."""
-    gone = repeated_runs(docs, key, col, min_run, long_words, longest)
+    texts = _text_runs(docs, key, col, min_run, long_words, longest)
     keep = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    base = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)), F.col(f"`{key}`").cast("long").alias("_doc"), F.xxhash64(F.col(f"`{col}`")).alias("_of"))
+    base = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)), *_named(key, col))
     text = F.col(f"c{keep.index(col)}")
-    joined = base.join(gone, base["_doc"].eqNullSafe(gone["doc"]) & (base["_of"] == gone["of"]), "left")
+    joined = _of_rows(base, texts)
     kept = F.array_join(_kept(_lines(text), F.col("runs")), "\n")
     removed = F.aggregate("runs", F.lit(0), lambda n, r: n + r["end"] - r["start"])
     made = {col: F.when(F.col("runs").isNotNull() & text.isNotNull(), kept).otherwise(text), "n_lines": F.when(text.isNull(), 0).otherwise(F.size(_lines(text))).cast("long"), "n_removed": F.when(F.col("runs").isNull() | text.isNull(), 0).otherwise(removed).cast("long")}
