@@ -32,15 +32,6 @@ def lookup_region(df: DataFrame, regions: DataFrame) -> DataFrame:
     return df.withColumn("_k", X.norm_key(F.col("state"))).join(m, F.col("_k") == F.col("_s"), "left").withColumn("region", F.coalesce("_r", "region")).drop("_k", "_s", "_r")
 
 
-def _by_name(df: DataFrame, key: str, find) -> DataFrame:
-    """df with the columns that find adds to its distinct values of key.
-
-    Names repeat over a fact, so each one is normalised and looked up once (the distinct is combined before its shuffle)
-    and the fact is joined once, by the name as it is."""
-    found = find(df.select(key).where(F.col(key).isNotNull()).distinct()).withColumnRenamed(key, "_name")
-    return df.join(found, F.col(key) == F.col("_name"), "left").drop("_name")
-
-
 def _find_place(df: DataFrame, parties: DataFrame) -> DataFrame:
     return _two_keys(df, parties, "account_name", X.normalize_party, ["district", "pin_code"], "_p_", order="account_name")
 
@@ -157,14 +148,17 @@ def lookup_so_master(df: DataFrame, orders: DataFrame) -> DataFrame:
 
 
 def _with_names(df: DataFrame, masters: dict[str, DataFrame]) -> DataFrame:
-    """df with what the masters hold of its parties and agents, for _named and, with orders, so_latest."""
+    """df with what the masters hold of its parties and agents, for _named and, with orders, so_latest. The distinct pairs of
+    both names are taken in one pass over df, and each name's values from them."""
+    pairs = df.select("to_party_name", "agent_name").distinct()
 
     def of_party(names):
         out = _find_type(_find_group(_find_place(names, masters["party"]), masters["group"]), masters["type"])
         return _find_latest(out, masters["so"]) if "so" in masters else out
 
-    found = of_party(df.select("to_party_name").where("to_party_name is not null").distinct()).withColumnRenamed("to_party_name", "_party")
-    out = _by_name(df, "agent_name", lambda names: _find_agent(names, masters["agent"]))
+    found = of_party(pairs.select("to_party_name").where("to_party_name is not null").distinct()).withColumnRenamed("to_party_name", "_party")
+    agents = _find_agent(pairs.select("agent_name").where("agent_name is not null").distinct(), masters["agent"]).withColumnRenamed("agent_name", "_name")
+    out = df.join(agents, F.col("agent_name") == F.col("_name"), "left").drop("_name")
     return out.join(found, F.col("to_party_name") == F.col("_party"), "left").drop("_party")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -193,15 +194,18 @@ def rolled(s, d, only=("branch_brand", "state_month", "state_branch_brand_month"
     return at
 
 
-def answered(s, d, at: str) -> DataFrame:
-    """Pivots that stored rollups answer, two of them by time, and one with a filter that none has, from the fact."""
-    fact = load(s, d)
-    city, brands = [{"field": "city", "operator": "in", "values": ["CITY BUILDING"]}], [{"field": "brand", "operator": "in", "values": ["IC", "RF", "Rare Wool"]}]
-    out = []
-    for by, filters in ((["branch", "brand"], brands), (["state", "month"], []), (["fy", "brand"], []), (["branch", "brand"], city)):
+#: Pivots that stored rollups answer, two of them by time, and one with a filter that none has.
+_CITY, _BRANDS = [{"field": "city", "operator": "in", "values": ["CITY BUILDING"]}], [{"field": "brand", "operator": "in", "values": ["IC", "RF", "Rare Wool"]}]
+PIVOTS = ((["branch", "brand"], _BRANDS), (["state", "month"], []), (["fy", "brand"], []), (["branch", "brand"], _CITY))
+
+
+def answered(s, d, at: str, pivots=PIVOTS) -> DataFrame:
+    """Pivots from the rollups at a folder, or from the fact."""
+    fact, out = load(s, d), []
+    for by, filters in pivots:
         got = R.pivot_from_rollup(fact, at, by, _V, filters)
-        out.append(got.select(F.lit("+".join(by) + (" city" if filters is city else "")).alias("pivot"), F.col(f"d_{by[0]}").alias("a"), F.col(f"d_{by[1]}").alias("b"), *(f"{a}_{f}" for f, a in _V)))
-    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+        out.append(got.select(F.lit("+".join(by) + (" city" if filters is _CITY else "")).alias("pivot"), F.col(f"d_{by[0]}").alias("a"), F.col(f"d_{by[1]}").alias("b"), *(f"{a}_{f}" for f, a in _V)))
+    return reduce(DataFrame.unionByName, out)
 
 
 _BB = "nullif(trim(branch),'') AS a, nullif(trim(brand),'') AS b"
