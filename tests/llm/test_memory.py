@@ -34,3 +34,13 @@ def test_long_tokens_of_toxicity(monkeypatch):
     now = tracemalloc.get_traced_memory()[0]
     tracemalloc.stop()
     assert scorer.letters <= 20_000 + 1000 and scorer.restorer.letters <= 20_000 + 1000 and len(scorer.known) < 40 and now < 5e6
+
+
+def test_empty_tables(spark):
+    """No rows in, no rows out, with the columns and their types."""
+    none = spark.createDataFrame([], "doc_id long, text string, score string, ids string")
+    model = {"weights": {}, "prior": 0.0, "channel": {}, "steps": ()}
+    scored = toxicity.score(none, model)
+    assert scored.count() == 0 and dict(scored.dtypes)["score"] == "double"
+    coded = bpe.encode(none)
+    assert coded.count() == 0 and coded.columns == ["doc_id", "n_tokens", "ids", "decoded"]

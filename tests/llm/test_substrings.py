@@ -83,6 +83,21 @@ def test_against_brute_force(spark, docs, small, monkeypatch):
         assert tuple(r[1:]) in want[r[0]], (r, want[r[0]])
 
 
+def test_texts_longer_than_a_shard(spark, monkeypatch):
+    """One text fills several shards' bytes; it shares passages with others and repeats some of its own."""
+    monkeypatch.setattr(_shards, "SHARD_BYTES", 8_000)
+    monkeypatch.setattr(_shards, "BUCKET_BYTES", 8_000)
+    rnd = random.Random(6)
+    own = [" ".join(f"w{rnd.randrange(3000)}" for _ in range(7000)) for _ in range(2)]
+    rows = [(3, own[0]), (1, own[1][5000:9000]), (2, f"{own[0][20_000:24_000]} then {own[1][:3000]}"), (4, f"{own[1]} {own[1][100:2000]}"), (5, "short"), (6, own[0])]
+    assert len(own[0]) > 4 * 8_000
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute_bytes(rows, 50)
+    assert all(tuple(r[1:]) in want[r[0]] for r in suffix.substring_dedup(df, digests=True).collect())
+    want = brute_words(rows, 20)
+    assert all(tuple(r[1:]) in want[r[0]] for r in fmindex.window_dedup(df, digests=True).collect())
+
+
 def test_edges(spark):
     long = " ".join(f"w{i}" for i in range(40))
     rows = [(1, long), (1, long), (None, long), (None, "z"), (3, long + " tail")]
