@@ -176,9 +176,12 @@ def distinct_values_batch(df: DataFrame, fields: list[str], limit: int = 500) ->
     fields = list(dict.fromkeys(f.strip() for f in fields if f and f.strip()))
     if not 1 <= len(fields) <= 24:
         raise ValueError("1 to 24 fields")
-    pairs = F.array(*(F.struct(F.lit(f).alias("field"), (X.dim_axis(f).cast("string") if f in df.columns else F.lit(None).cast("string")).alias("value")) for f in fields))
+    known = [f for f in fields if f in df.columns]
+    # fields are numbers until their first values are found: the keys of so many rows are to be short
+    pairs = F.array(*(F.struct(F.lit(i).cast("tinyint").alias("field"), X.dim_axis(f).cast("string").alias("value")) for i, f in enumerate(known))).cast("array<struct<field:tinyint,value:string>>")
     every = df.select(F.explode(pairs).alias("x")).select("x.*").where("value IS NOT NULL").distinct()
-    out = first_values(every, min(max(limit, 50), 2000)).select("field", "value", F.lit(None).cast("string").alias("error"))
+    name = F.get(F.array(*map(F.lit, known)).cast("array<string>"), F.col("field").cast("int"))
+    out = first_values(every, min(max(limit, 50), 2000)).select(name.alias("field"), "value", F.lit(None).cast("string").alias("error"))
     unknown = [(f, None, "Invalid filter field") for f in fields if f not in df.columns]
     return out.unionByName(df.sparkSession.createDataFrame(unknown, "field string, value string, error string")) if unknown else out
 
