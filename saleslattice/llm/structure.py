@@ -133,17 +133,16 @@ def _quoted(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
-def _rows(df: DataFrame, key: str, turn: str, role: str, text: str) -> DataFrame:
-    """conv, live, turn, role, text; live is false for rows that only name their conversation."""
-    live = _quoted("_live") if "_live" in df.columns else F.lit(True)
-    return df.select(_quoted(key).alias("conv"), live.alias("live"), _quoted(turn).cast("long").alias("turn"), F.coalesce(_quoted(role).cast("string"), F.lit(" ")).alias("role"), F.coalesce(_quoted(text).cast("string"), F.lit(" ")).alias("text"))
+def _rows(df: DataFrame, key: str, turn: str, role: str, text: str, live: str | None) -> DataFrame:
+    """conv, live, turn, role, text. live: a column that is false for rows that only name their conversation."""
+    return df.select(_quoted(key).alias("conv"), (_quoted(live) if live else F.lit(True)).alias("live"), _quoted(turn).cast("long").alias("turn"), F.coalesce(_quoted(role).cast("string"), F.lit(" ")).alias("role"), F.coalesce(_quoted(text).cast("string"), F.lit(" ")).alias("text"))
 
 
-def faults(df: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+def faults(df: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", live: str | None = None) -> DataFrame:
     """conv, live, turn, role, h1, h2 (hashes of role and text), initial (0 to 3) and fault: 0 none, 1 blank, 2 later than
     an equal row (of another turn), 3 truncated."""
     last = F.right(F.rtrim(F.col("text"), F.lit(SPACE)), F.lit(1))
-    rows = _rows(df, key, turn, role, text).select("conv", "live", "turn", "role", F.xxhash64("role", "text").alias("h1"), F.xxhash64(F.lit(1), "text", "role").alias("h2"), last.alias("last"))
+    rows = _rows(df, key, turn, role, text, live).select("conv", "live", "turn", "role", F.xxhash64("role", "text").alias("h1"), F.xxhash64(F.lit(1), "text", "role").alias("h2"), last.alias("last"))
     place = F.struct(F.col("turn").isNotNull().alias("a"), F.coalesce("turn", F.lit(0)).alias("b"))
     often = rows.where("live and last <> ''").groupBy("conv", "h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("end")).where("first < end")
     # the join's key differs from the group's, so that both sides are dealt anew and a hot text can be split
@@ -239,10 +238,10 @@ def _by_conversation(batches, read, made, schema: pa.Schema, most: int = 1000):
         yield _table(out, schema)
 
 
-def plans(df: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+def plans(df: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", live: str | None = None) -> DataFrame:
     """One row a conversation: conv, gaps (turns missing between the first and the last), blank, duplicate, truncated,
     illegal (adjacent initials other than su, ua, au), cost and audit (initials of the edits)."""
-    rows = faults(df, key, turn, role, text)
+    rows = faults(df, key, turn, role, text, live)
     ddl, schema = _arrow(rows, _PART)
     done_ddl, done = _arrow(rows, _PLAN)
 
@@ -285,10 +284,10 @@ def plans(df: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "
     return spread.mapInArrow(parts, ddl).repartition("conv").sortWithinPartitions("conv", "part").mapInArrow(whole, done_ddl)
 
 
-def repaired(df: DataFrame, planned: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+def repaired(df: DataFrame, planned: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", live: str | None = None) -> DataFrame:
     """conv, place (from 0), turn (null for inserted rows), role, text and edit (K, R or I) of the rows that are left, each
     conversation in one partition and in order."""
-    rows = _rows(df, key, turn, role, text).where("live").select("conv", F.lit(1).alias("kind"), "turn", "role", "text", F.xxhash64("role", "text").alias("h1"), F.xxhash64(F.lit(1), "text", "role").alias("h2"))
+    rows = _rows(df, key, turn, role, text, live).where("live").select("conv", F.lit(1).alias("kind"), "turn", "role", "text", F.xxhash64("role", "text").alias("h1"), F.xxhash64(F.lit(1), "text", "role").alias("h2"))
     none = F.lit(None).cast("string")
     heads = planned.select("conv", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("turn"), none.alias("role"), F.col("audit").alias("text"), F.lit(0).cast("long").alias("h1"), F.lit(0).cast("long").alias("h2"))
     ddl, schema = _arrow(rows, "place bigint, turn bigint, role string, text string, edit string")
@@ -356,14 +355,14 @@ def damaged(df: DataFrame) -> DataFrame:
     return base.select("conv_id", "turn", F.when(F.col("k") == 4, "user").otherwise(F.col("role")).alias("role"), changed.alias("text"), (F.col("k") != 0).alias("_live"), copies.alias("_copy")).drop("_copy")
 
 
-def repair(df: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """plans() and repaired() of the conversations."""
-    planned = plans(df, key, turn, role, text)
-    return planned, repaired(df, planned, key, turn, role, text)
+def repair(df: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", live: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """plans() and repaired() of the conversations. live: a column that is false for rows which only name their conversation."""
+    planned = plans(df, key, turn, role, text, live)
+    return planned, repaired(df, planned, key, turn, role, text, live)
 
 
 def op13_structure_repair(spark, sf_dir: str) -> DataFrame:
-    planned, rows = repair(damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+    planned, rows = repair(damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")), live="_live")
     found = digests(rows).withColumnRenamed("conv", "_c")
     both = planned.join(found.hint("merge"), planned["conv"].eqNullSafe(found["_c"]), "left")
     empty = F.lit(hashlib.sha256(b"").hexdigest())

@@ -7,6 +7,8 @@ import re
 import zlib
 from functools import cache
 
+from pyspark.sql import functions as F
+
 from saleslattice.llm import queries
 from saleslattice.llm import structure as S
 
@@ -113,7 +115,7 @@ def made(seed, n=300):
 
 
 def run(spark, rows, parts=3):
-    df = spark.createDataFrame([(7, *r, "x") for r in rows], "cost int, conv_id long, turn long, role string, text string, audit string").repartition(parts)
+    df = spark.createDataFrame([(7, *r, "x") for r in rows], "cost int, conv_id long, turn long, role string, text string, audit string").withColumns({"_live": F.lit("no"), "live": F.lit(0), "fault": F.lit(2.0)}).repartition(parts)
     planned, left = S.repair(df)
     got = {r.conv: r for r in planned.collect()}
     texts = {r.conv: r.repaired_sha256 for r in S.digests(left).collect()}
@@ -123,8 +125,6 @@ def run(spark, rows, parts=3):
 
 def wanted(spark, rows):
     """In the operator's order: ties of a turn by role and hashes of the text."""
-    from pyspark.sql import functions as F
-
     pairs = sorted({(r or "" if r is not None else " ", t if t is not None else " ") for _, _, r, t in rows})
     df = spark.createDataFrame(pairs or [("", "")], "role string, text string").select("role", "text", F.xxhash64("role", "text").alias("a"), F.xxhash64(F.lit(1), "text", "role").alias("b"))
     hashes = {(r.role, r.text): (r.a, r.b) for r in df.collect()}
