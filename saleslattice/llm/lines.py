@@ -114,10 +114,12 @@ def _text_runs(docs: DataFrame, key: str, col: str, min_run: int, long_words: in
 def _of_rows(rows: DataFrame, texts: DataFrame) -> DataFrame:
     """rows (_doc, _of, _of2: a struct of the key, hashes of the text) with runs: those that go, null where none do.
 
-    Rows of a hot text meet its one row, so the join can be split on their side."""
-    gone = texts.where((F.size("runs") > 0) | (F.size("copied") > 0)).select(F.col("of").alias("_a"), F.col("of2").alias("_b"), "first", "runs", "copied")
-    both = rows.join(gone, (F.col("_of") == F.col("_a")) & (F.col("_of2") == F.col("_b")), "left")
-    return both.withColumn("runs", F.when(F.col("_doc").eqNullSafe(F.col("first")), F.col("runs")).otherwise(F.col("copied"))).drop("_a", "_b", "first", "copied")
+    Rows of a hot text meet its one row. The join has a key of its own, so that both sides are dealt anew and such rows can be
+    split."""
+    gone = texts.where((F.size("runs") > 0) | (F.size("copied") > 0)).select(F.col("of").alias("_a"), F.col("of2").alias("_b"), "first", "runs", "copied", F.xxhash64("of", "of2").alias("_k"))
+    left = rows.withColumn("_l", F.xxhash64("_of", "_of2"))
+    both = left.join(gone.hint("merge"), (F.col("_l") == F.col("_k")) & (F.col("_of") == F.col("_a")) & (F.col("_of2") == F.col("_b")), "left")
+    return both.withColumn("runs", F.when(F.col("_doc").eqNullSafe(F.col("first")), F.col("runs")).otherwise(F.col("copied"))).drop("_a", "_b", "_k", "_l", "first", "copied")
 
 
 def _named(key: str, col: str) -> list[Column]:
