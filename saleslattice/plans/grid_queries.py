@@ -43,10 +43,10 @@ add("win_resume_skip", lambda s, d: _imported(s, d, done=300).select("sheet", "r
 
 
 def _sheet_heads(s, d) -> DataFrame:
-    return G.header_cells(load(s, d, "fx_sheet").where("rn < 3 OR rn % 7 = 0"), 60)
+    return G.header_cells(load(s, d, "fx_sheet"), 60)
 
 
-_ROWS = "SELECT sheet, rn FROM fx_sheet WHERE rn < 3 OR rn % 7 = 0 AND rn <= 60"
+_ROWS = "SELECT sheet, rn FROM fx_sheet WHERE rn <= 60"
 _ALL = ", ".join(f"'{h}'" for h in G.REQUIRED)
 add("missing_headers", lambda s, d: G.missing_headers(_sheet_heads(s, d), load(s, d, "fx_sheet_alias"), (*G.REQUIRED, "SCHEME"), (G.ITEM, ("FY", "MMM"))).select("sheet", "rn", F.array_join("missing", ",").alias("missing")), f"SELECT sheet, rn, CASE WHEN rn = {_HEAD} THEN 'SCHEME' ELSE array_to_string([{_ALL}, 'SCHEME', 'ITEM NAME or ITEM NO', 'FY or MMM'], ',') END AS missing FROM ({_ROWS}) h", *_SH)
 add("validate_headers", lambda s, d: G.validate_headers(_sheet_heads(s, d), load(s, d, "fx_sheet_alias"), G.REQUIRED, (G.ITEM,)), f"SELECT sheet, rn, coalesce(rn = {_HEAD}, false) AS valid, CASE WHEN rn = {_HEAD} THEN NULL ELSE 'BRANCH' END AS first_missing FROM ({_ROWS}) h", *_SH)
