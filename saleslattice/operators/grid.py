@@ -74,14 +74,14 @@ def first_headers(grid: DataFrame, aliases: DataFrame, required: list[str] | tup
     return header_index(heads.join(good, ["sheet", "rn"], "left_semi"), aliases).groupBy("sheet", F.col("rn").alias("head")).agg(F.map_from_entries(F.collect_list(F.struct("canonical", "pos"))).alias("at"))
 
 
-def read_rows(grid: DataFrame, heads: DataFrame, done: int = 0, cap: int = 2_500_000) -> DataFrame:
+def read_rows(grid: DataFrame, heads: DataFrame, done: int = 0, cap: int | None = 2_500_000) -> DataFrame:
     """sheet, rn, number and at (canonical to text) of a grid's data rows: those after each sheet's header, numbered over all sheets
-    from 2 on; without those up to number done, without each sheet's last row (its totals), at most cap of them."""
-    body = grid.join(heads, "sheet").where(F.col("rn") > F.col("head"))
-    every = numbered(body, ["sheet", "rn"], "number", 2)
-    last = every.groupBy("sheet").agg(F.max("rn").alias("_last"))
-    kept = resume_skip(every.join(last, "sheet").where(F.col("rn") < F.col("_last")).drop("_last"), done)
-    return row_cap(kept, cap).select("sheet", "rn", "number", F.transform_values(F.map_filter("at", lambda c, _: ~c.isin(*EXCLUDED)), lambda _, p: F.get("cells", p + 1)).alias("at"))
+    from 2 on; without those up to number done, without each sheet's last row (its totals), at most cap of them (None: all). What is known of a sheet is one row, which is
+    broadcast: rows are shuffled once, to be numbered, and without their header."""
+    body = grid.join(F.broadcast(heads.select("sheet", "head")), "sheet").where(F.col("rn") > F.col("head")).drop("head")
+    kept = resume_skip(drop_footer(numbered(body, ["sheet", "rn"], "number", 2)), done)
+    some = kept if cap is None else row_cap(kept, cap)
+    return some.join(F.broadcast(heads.select("sheet", "at")), "sheet").select("sheet", "rn", "number", F.transform_values(F.map_filter("at", lambda c, _: ~c.isin(*EXCLUDED)), lambda _, p: F.get("cells", p + 1)).alias("at"))
 
 
 def sheet_errors(grid: DataFrame, heads: DataFrame) -> DataFrame:
@@ -91,7 +91,7 @@ def sheet_errors(grid: DataFrame, heads: DataFrame) -> DataFrame:
     return long.join(heads.select("sheet"), "sheet", "left_anti").select("sheet", F.lit(NO_HEADER).alias("error"))
 
 
-def import_rows(grid: DataFrame, aliases: DataFrame, done: int = 0, cap: int = 2_500_000, required: list[str] | tuple[str, ...] = REQUIRED, either: tuple[tuple[str, ...], ...] = (ITEM,), check: bool = True) -> DataFrame:
+def import_rows(grid: DataFrame, aliases: DataFrame, done: int = 0, cap: int | None = 2_500_000, required: list[str] | tuple[str, ...] = REQUIRED, either: tuple[tuple[str, ...], ...] = (ITEM,), check: bool = True) -> DataFrame:
     """read_rows() of the grid's sheets. check: fail, before anything is read, if a sheet has no header (see sheet_errors)."""
     heads = checkpointed(first_headers(grid, aliases, required, either))
     if check and (bad := sheet_errors(grid, heads).orderBy("sheet").limit(20).collect()):
