@@ -116,15 +116,15 @@ def header_index(heads: DataFrame, aliases: DataFrame) -> DataFrame:
 def data_rows(grid: DataFrame, index: DataFrame) -> DataFrame:
     """sheet, rn, and at (canonical to text) of the rows between each sheet's header and its last row."""
     heads = index.groupBy("sheet", "rn").agg(F.map_from_entries(F.collect_list(F.struct("canonical", "pos"))).alias("at")).groupBy("sheet").agg(F.min_by(F.struct(F.col("rn").alias("head"), "at"), "rn").alias("h"))
-    body = drop_footer(grid).join(heads, "sheet").where(F.col("rn") > F.col("h.head"))
+    body = drop_footer(grid).join(F.broadcast(heads), "sheet").where(F.col("rn") > F.col("h.head"))
     return body.select("sheet", "rn", F.transform_values("h.at", lambda _, p: F.get("cells", p + 1)).alias("at"))
 
 
 def drop_footer(grid: DataFrame) -> DataFrame:
-    """The grid without the last row of each sheet. The last rows are found by an aggregate, so that a sheet of any
-    size is no single task."""
+    """The grid without the last row of each sheet. The last rows are found by an aggregate and broadcast, a number a sheet, so
+    that a sheet of any size is no single task."""
     last = grid.groupBy("sheet").agg(F.max("rn").alias("_last"))
-    return grid.join(last, "sheet").where(F.col("rn") < F.col("_last")).drop("_last")
+    return grid.join(F.broadcast(last), "sheet").where(F.col("rn") < F.col("_last")).drop("_last")
 
 
 #: How a canonical column's cells are read; others are trimmed text.

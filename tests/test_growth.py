@@ -40,3 +40,9 @@ def refuse(*_, **__):
 def test_sheets_are_read_whole(spark, sf, monkeypatch, name):
     monkeypatch.setattr(G, "row_cap", refuse)
     assert QUERIES[name](spark, sf).count() > 0
+
+
+def test_sheets_are_not_shuffled_by_name(shuffled):
+    grid = shuffled.range(100).select(F.lit("one").alias("sheet"), F.col("id").alias("rn"), F.array(F.lit("x")).alias("cells"))
+    df = G.drop_footer(grid)
+    assert df.count() == 99 and "SortMergeJoin" not in plan(df)
