@@ -158,9 +158,22 @@ def resume_skip(df: DataFrame, done: int) -> DataFrame:
     return df.where(F.col("number") > done)
 
 
+#: Numbers of one block, in which row_cap() looks for the last row.
+BLOCK = 65_536
+
+
 def row_cap(df: DataFrame, n: int = 2_500_000) -> DataFrame:
-    """The first n rows by number, a limit of the import itself. Numbers may have gaps, so rows are counted anew."""
-    return numbered(df, ["number"], "_place").where(F.col("_place") <= n).drop("_place")
+    """The first n rows by number (which has no ties), a limit of the import itself. Numbers may have gaps, so rows are counted, by
+    blocks of numbers; only the numbers of the block where the n-th row lies are put in order, and rows are not moved."""
+    if n <= 0:
+        return df.where(F.lit(False))
+    block = F.floor(F.col("number") / BLOCK)
+    sizes = df.groupBy(block.alias("_b")).agg(F.count(F.lit(1)).alias("_n"))  # a row a block
+    ends = sizes.withColumn("_end", F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)))
+    edge = ends.where((F.col("_end") >= n) & (F.col("_end") - F.col("_n") < n)).select("_b", (n - F.col("_end") + F.col("_n")).alias("_left"))
+    inside = df.select("number", block.alias("_b")).join(F.broadcast(edge), "_b").withColumn("_place", F.row_number().over(Window.partitionBy("_b").orderBy("number")))
+    last = inside.where(F.col("_place") <= F.col("_left")).agg(F.max("number").alias("_cut"))  # null: there are fewer
+    return df.crossJoin(F.broadcast(last)).where(F.coalesce(F.col("number") <= F.col("_cut"), F.lit(True))).drop("_cut")
 
 
 def keep(df: DataFrame, keys: list[str], order: str, last: bool = True) -> DataFrame:

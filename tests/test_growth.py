@@ -46,3 +46,11 @@ def test_sheets_are_not_shuffled_by_name(shuffled):
     grid = shuffled.range(100).select(F.lit("one").alias("sheet"), F.col("id").alias("rn"), F.array(F.lit("x")).alias("cells"))
     df = G.drop_footer(grid)
     assert df.count() == 99 and "SortMergeJoin" not in plan(df)
+
+
+def test_row_cap_counts_blocks(spark, monkeypatch):
+    monkeypatch.setattr(G, "numbered", refuse)
+    monkeypatch.setattr(G, "BLOCK", 64)
+    df = spark.range(1000).select((F.col("id") * 3).alias("number")).repartition(5)
+    for n in (-1, 0, 1, 21, 22, 500, 1000, 2000):
+        assert sorted(r.number for r in G.row_cap(df, n).collect()) == [3 * i for i in range(max(0, min(n, 1000)))]
