@@ -54,3 +54,13 @@ def test_row_cap_counts_blocks(spark, monkeypatch):
     df = spark.range(1000).select((F.col("id") * 3).alias("number")).repartition(5)
     for n in (-1, 0, 1, 21, 22, 500, 1000, 2000):
         assert sorted(r.number for r in G.row_cap(df, n).collect()) == [3 * i for i in range(max(0, min(n, 1000)))]
+
+
+def test_shards_are_folders(spark, tmp_path):
+    df = spark.range(1000).select(F.col("id").alias("rn"), F.lit("v").alias("v")).repartition(8)
+    facts.sink_sharded_csv(df, 4, str(tmp_path / "s"))
+    assert len(glob.glob(str(tmp_path / "s" / "shard=*" / "part-*"))) == 32
+    got = facts.read_shards(spark, str(tmp_path / "s"), "rn bigint, v string").groupBy("shard").agg(F.count("bad").alias("bad"), F.count_distinct("rn").alias("n")).collect()
+    assert {r.shard for r in got} == set("0123") and sum(r.n for r in got) == 1000 and min(r.n for r in got) > 200 and not any(r.bad for r in got)
+    spark.createDataFrame([(1, "v")], "rn long, v string").coalesce(1).write.option("header", True).csv(str(tmp_path / "plain"))
+    assert facts.read_shards(spark, str(tmp_path / "plain"), "rn bigint, v string").first().shard.startswith("part-")
