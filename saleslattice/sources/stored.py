@@ -34,7 +34,7 @@ def delete_where(spark: SparkSession, path: str, by: str, gone: Column, where: C
     here = table.where(F.col(by).isin([t for t in touched if t is not None]) | (F.col(by).isNull() if None in touched else F.lit(False)))
     left = here.where(~F.coalesce(gone, F.lit(False)))
     full = {r[0] for r in left.select(by).distinct().collect()}
-    left.hint("rebalance", by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+    left.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
     for t in touched:
         if t not in full:
             name = "__HIVE_DEFAULT_PARTITION__" if t is None else spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(str(t))

@@ -64,3 +64,10 @@ def test_shards_are_folders(spark, tmp_path):
     assert {r.shard for r in got} == set("0123") and sum(r.n for r in got) == 1000 and min(r.n for r in got) > 200 and not any(r.bad for r in got)
     spark.createDataFrame([(1, "v")], "rn long, v string").coalesce(1).write.option("header", True).csv(str(tmp_path / "plain"))
     assert facts.read_shards(spark, str(tmp_path / "plain"), "rn bigint, v string").first().shard.startswith("part-")
+
+
+def test_sink_does_not_shuffle(spark, sf, tmp_path, monkeypatch):
+    monkeypatch.setattr(DataFrame, "hint", refuse)
+    facts.sink_fact(load(spark, sf), at := str(tmp_path / "f"))
+    facts.sink_fact(load(spark, sf), at)
+    assert facts.approx_count(spark, at).first().n == 2 * load(spark, sf).count()
