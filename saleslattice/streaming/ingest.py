@@ -53,7 +53,7 @@ def compact(spark: SparkSession, path: str, every: int = EVERY) -> None:
         fs, at = hadoop(spark, parts[p])
         fs.delete(at, True)
     if len([p for p in cover if p[0] == p[1]]) >= every:
-        merged(spark, path).coalesce(1).write.mode("overwrite").parquet(f"{path}/part-{cover[0][0]}-{cover[-1][1]}")
+        merged(spark, path).write.mode("overwrite").parquet(f"{path}/part-{cover[0][0]}-{cover[-1][1]}")
 
 
 def rollup_stream(spark: SparkSession, schema, in_dir: str, path: str, checkpoint: str, name: str, every: int = EVERY, **options):

@@ -71,3 +71,10 @@ def test_sink_does_not_shuffle(spark, sf, tmp_path, monkeypatch):
     facts.sink_fact(load(spark, sf), at := str(tmp_path / "f"))
     facts.sink_fact(load(spark, sf), at)
     assert facts.approx_count(spark, at).first().n == 2 * load(spark, sf).count()
+
+
+def test_stream_input_stays_dealt(spark, sf, monkeypatch):
+    asked, real = [], DataFrame.repartition
+    monkeypatch.setattr(DataFrame, "repartition", lambda self, *a: (asked.append(a), real(self, *a))[1])
+    monkeypatch.setattr(DataFrame, "coalesce", refuse)
+    assert QUERIES["rollup_stream"](spark, sf).count() > 0 and (2,) not in asked
