@@ -78,3 +78,10 @@ def test_stream_input_stays_dealt(spark, sf, monkeypatch):
     monkeypatch.setattr(DataFrame, "repartition", lambda self, *a: (asked.append(a), real(self, *a))[1])
     monkeypatch.setattr(DataFrame, "coalesce", refuse)
     assert QUERIES["rollup_stream"](spark, sf).count() > 0 and (2,) not in asked
+
+
+def test_sums_of_keys(spark):
+    df = spark.sql("SELECT id DIV 3 AS k, id, CAST(IF(id < 3, NULL, -1.5) AS DECIMAL(15,4)) AS sl_qty, CAST(2 AS DECIMAL(15,4)) AS gross_amount, 0.5D AS amount_before_tax, CAST(3 AS DECIMAL(15,4)) AS net_amount FROM range(6)")
+    got = R.rollup(df, "all_dims")
+    assert "sum(net_amount" not in plan(got) and got.schema["sum_net_amount"].dataType.simpleString() == "decimal(25,4)"
+    assert sorted(tuple(map(str, r)) for r in got.select("k", "sum_sl_qty", "sum_gross_amount", "sum_amount_before_tax", "sum_net_amount", "fact_row_count").collect()) == [("0", "None", "6.0000", "1.5", "9.0000", "3"), ("1", "-4.5000", "6.0000", "1.5", "9.0000", "3")]
