@@ -163,14 +163,21 @@ def _nine_sql() -> str:
 add("refresh_rollups", _nine, _nine_sql(), "fx_sales", _AGENTS)
 
 
+def _kept(fact: DataFrame, *columns: str) -> DataFrame:
+    """Columns of the fact, stored: a check reads them several times."""
+    fact.select(*columns).write.parquet(at := scratch.folder(fact.sparkSession))
+    return fact.sparkSession.read.parquet(at)
+
+
 def _checked(s, d) -> DataFrame:
     """The check of no rollup, of one without the last year, and of a whole one."""
     fact = load(s, d).withColumn("fy", X.fy_axis())
-    last = fact.agg(F.max("fy")).first()[0]
-    out = R.check_fresh(fact, scratch.folder(s)).withColumn("kind", F.lit("none"))
+    years = _kept(fact, "fy")
+    last = years.agg(F.max("fy")).first()[0]
+    out = R.check_fresh(years, scratch.folder(s)).withColumn("kind", F.lit("none"))
     for kind, df in (("old", fact.where(F.col("fy") < last)), ("whole", fact)):
         R.refresh(df, at := scratch.folder(s), ("all_dims",))
-        out = out.unionByName(R.check_fresh(fact, at).withColumn("kind", F.lit(kind)))
+        out = out.unionByName(R.check_fresh(years, at).withColumn("kind", F.lit(kind)))
     return out
 
 
@@ -179,7 +186,7 @@ add("check_rollup_fresh", _checked, f"SELECT fy, src AS src_rows, CASE kind WHEN
 
 
 def _joined(s, d) -> DataFrame:
-    fact = load(s, d).withColumn("fy", X.fy_axis())
+    fact = _kept(load(s, d).withColumn("fy", X.fy_axis()), "fy", "branch")
     whole = R.freshness(fact, fact.groupBy("fy", "branch").agg(_count()))
     return whole.unionByName(R.freshness(fact, fact.where("fy < '1998-99'").groupBy("fy", "branch").agg(_count())))
 

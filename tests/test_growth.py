@@ -85,3 +85,8 @@ def test_sums_of_keys(spark):
     got = R.rollup(df, "all_dims")
     assert "sum(net_amount" not in plan(got) and got.schema["sum_net_amount"].dataType.simpleString() == "decimal(25,4)"
     assert sorted(tuple(map(str, r)) for r in got.select("k", "sum_sl_qty", "sum_gross_amount", "sum_amount_before_tax", "sum_net_amount", "fact_row_count").collect()) == [("0", "None", "6.0000", "1.5", "9.0000", "3"), ("1", "-4.5000", "6.0000", "1.5", "9.0000", "3")]
+
+
+@pytest.mark.parametrize("name", ["join_freshness", "check_rollup_fresh"])
+def test_checks_read_the_fact_once(spark, sf, name):
+    assert "lineitem" not in plan(QUERIES[name](spark, sf))
