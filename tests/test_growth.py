@@ -90,3 +90,9 @@ def test_sums_of_keys(spark):
 @pytest.mark.parametrize("name", ["join_freshness", "check_rollup_fresh"])
 def test_checks_read_the_fact_once(spark, sf, name):
     assert "lineitem" not in plan(QUERIES[name](spark, sf))
+
+
+def test_enrichment_joins_orders_by_party(shuffled, sf):
+    """The fact meets its party's orders with all else of the party, and is not shuffled again by brand and year."""
+    keys = joins(L.enrich_fact(load(shuffled, sf), _masters(shuffled, sf)))
+    assert not any("_xb" in k for k in keys) and sum("[to_party_name" in k for k in keys) == 1
