@@ -123,7 +123,7 @@ def _type(df: DataFrame) -> DataFrame:
 
 def lookup_customer_type(df: DataFrame, types: DataFrame) -> DataFrame:
     """df with master_type; a miss is RETAILER."""
-    return _type(_find_type(df, types))
+    return _type(by_party(df, lambda names: _find_type(names, types)))
 
 
 def so_type_latest(orders: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from .edits import cascade_so_type
-from .lookups import dedupe
+from .lookups import by_party, dedupe
 
 
 def folded(rows: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
@@ -104,7 +104,7 @@ def delete_range_preview(fact: DataFrame, first: str, last: str) -> DataFrame:
 def backfill_so_type(fact: DataFrame, orders: DataFrame) -> DataFrame:
     kind = X.clean_type(F.col("type_of_order"))
     latest = orders.groupBy(X.backfill_key(F.col("party_name")).alias("_k")).agg(F.max_by(kind, F.struct("so_order_date", "id")).alias("_t"))
-    out = fact.join(latest, X.backfill_key(F.col("to_party_name")) == F.col("_k"), "left")
+    out = by_party(fact, lambda names: names.withColumn("_n", X.backfill_key(F.col("to_party_name"))).join(latest, F.col("_n") == F.col("_k"), "left").drop("_n", "_k"))
     return out.withColumn("so_type", F.when(F.col("sl_qty") <= 0, "RETURN").otherwise(F.col("_t"))).select(*fact.columns)
 
 

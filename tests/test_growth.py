@@ -96,3 +96,10 @@ def test_enrichment_joins_orders_by_party(shuffled, sf):
     """The fact meets its party's orders with all else of the party, and is not shuffled again by brand and year."""
     keys = joins(L.enrich_fact(load(shuffled, sf), _masters(shuffled, sf)))
     assert not any("_xb" in k for k in keys) and sum("[to_party_name" in k for k in keys) == 1
+
+
+@pytest.mark.parametrize("make", [lambda s, d: M.backfill_so_type(load(s, d), load(s, d, "fx_so_master")), lambda s, d: L.lookup_customer_type(load(s, d), load(s, d, "fx_customer_type_master"))])
+def test_keys_are_taken_of_names(shuffled, sf, make):
+    """Keys are columns before a sort compares them, and the fact is joined once, by the name as it is."""
+    keys = joins(make(shuffled, sf))
+    assert not any("regexp_replace" in k for k in keys) and sum("[to_party_name" in k for k in keys) == 1
