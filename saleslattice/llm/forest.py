@@ -12,7 +12,8 @@ MinHash labels make the forest; documents whose labels share ``LEAST`` values ar
   instead: first all its members against its most usual one; then they are sorted by their own shingles, rare ones first,
   and only pairs of two components that share a shingle near enough to the front of both are candidates, so none that
   could be confirmed is dropped.
-* Candidates are confirmed on full sets; components come from min-label rounds with pointer jumps.
+* Candidates are confirmed on full sets. Tasks first contract their own links, LINKS at a time; components come from min-label
+  rounds with pointer jumps over what is left.
 
 Null and wordless texts have no set and link with nothing. Rows of one id are one document: where their texts differ,
 the one of the least hash (of those with words) makes its links, and all have its component. Rows keep their number; a
@@ -35,6 +36,8 @@ from ._text import LOWER, columns, grams, hash_spans, inside, lut, mix, pieces,
 
 TREES, DEPTH, LEAST, CHAINS, FEW = 24, 6, 4, 6, 4096
 MEMBERS, BUCKET_SETS = 128, 2048
+#: Links that a task contracts at a time.
+LINKS = 1 << 16
 _RNG = np.random.Generator(np.random.PCG64(20))
 _MUL = _RNG.integers(1, 1 << 62, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 1 << 63, TREES * DEPTH, dtype=np.uint64)
@@ -290,16 +293,60 @@ def linked(classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
     return grown(front_candidates(ordered, comps, percent))
 
 
+def _least(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids of links, and the least id that each reaches by them."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(ids))
+    while True:
+        low = root.copy()
+        for to, of in ((x, y), (y, x), (root[x], y), (root[y], x)):
+            np.minimum.at(low, to, root[of])
+        while not np.array_equal(far := low[low], low):
+            low = far
+        if np.array_equal(low, root):
+            return ids, ids[root]
+        root = low
+
+
+def _contracted(links: DataFrame) -> DataFrame:
+    """a, b: links that connect what links (a, b) do. Every LINKS of them at most become one of each id to the least id that they
+    lead it to, so that a path is as many steps shorter. The number of tasks follows that of links."""
+
+    def run(batches):
+        held, n = [], 0
+
+        def flush():
+            ids, least = _least(*(np.concatenate([h[i] for h in held]) for i in (0, 1)))
+            at = np.flatnonzero(ids != least)
+            return pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(least[at])], names=["a", "b"])
+
+        for b in batches:
+            held.append((b.column(0).to_numpy(), b.column(1).to_numpy()))
+            n += b.num_rows
+            if n >= LINKS:
+                yield flush()
+                held, n = [], 0
+        if n:
+            yield flush()
+
+    return links.coalesce(max(2, -(-links.count() // LINKS))).mapInArrow(run, "a bigint, b bigint")
+
+
 def components(links: DataFrame, start: DataFrame | None = None) -> DataFrame:
     """id, comp (least id reachable) of every linked id. start: components so far, as more links."""
+    links = links.select("a", "b")
     if start is not None:
-        links = links.select("a", "b").union(start.where("id <> comp").select(F.col("id").alias("a"), F.col("comp").alias("b")))
+        links = links.union(start.where("id <> comp").select(F.col("id").alias("a"), F.col("comp").alias("b")))
+    links = _contracted(links)
     links = checkpointed(links.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("x")).select("x.a", "x.b").distinct())
     now = links.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("comp"))
     now = checkpointed(now)
     while True:
         seen = links.join(now.hint("merge"), links["b"] == now["id"]).groupBy("a").agg(F.min("comp").alias("near"))
-        low = now.join(seen.hint("merge"), now["id"] == seen["a"]).select("id", "comp", F.least("comp", "near").alias("low"))
+        # what is near an id is near what stands for it, too: whole trees are hooked, not their leaves alone
+        both = now.join(seen.hint("merge"), now["id"] == seen["a"]).select(F.explode(F.array(F.struct("id", "comp", F.least("comp", "near").alias("low")), F.struct(F.col("comp").alias("id"), F.lit(None).cast("long").alias("comp"), F.col("near").alias("low")))).alias("x"))
+        low = both.select("x.*").groupBy("id").agg(F.max("comp").alias("comp"), F.min("low").alias("low"))
         low = checkpointed(low)
         far = low.select(F.col("id").alias("j"), F.col("low").alias("jump"))
         new = checkpointed(low.join(far.hint("merge"), low["low"] == far["j"]).select("id", F.col("jump").alias("comp"), (F.col("jump") != low["comp"]).alias("moved")))

@@ -192,7 +192,7 @@ def simhash_dedup(docs: DataFrame, key: str = "doc_id", col: str = "text", k: in
     """One row for each of docs': key, fp (signed fingerprint) and component_id (the least id that links reach)."""
     rows = checkpointed(fingerprints(docs, key, col, k))
     fps = checkpointed(rows.groupBy("fp").agg(F.min("id").alias("rep")))
-    comps = components(links(fps.select("fp"), bits))
+    comps = components(checkpointed(links(fps.select("fp"), bits)))
     named = fps.join(comps.hint("merge"), fps["fp"] == comps["id"], "left").select("fp", "rep", F.coalesce("comp", "fp").alias("comp"))
     least = named.groupBy("comp").agg(F.min("rep").alias("component_id")).withColumnRenamed("comp", "_c")
     both = named.join(least.hint("merge"), named["comp"] == least["_c"]).select(F.col("fp").alias("_f"), "component_id", F.xxhash64("fp").alias("_k"))
