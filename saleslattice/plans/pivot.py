@@ -152,6 +152,15 @@ def distinct_values(df: DataFrame, field: str, search: str = "", limit: int = 10
     return out.orderBy(F.lower("value"), "value").limit(min(max(limit, 1), 20_000))
 
 
+def distinct_lists(df: DataFrame, fields: list[str], at: str, limit: int = 10_000) -> dict[str, DataFrame]:
+    """distinct_values() of several fields, by field. df is read once: its distinct pairs of field and value are written to the folder
+    at, and each field's values come from there."""
+    pairs = F.array(*(F.struct(F.lit(i).cast("tinyint").alias("field"), X.dim_axis(f).cast("string").alias("value")) for i, f in enumerate(fields)))
+    df.select(F.explode(pairs).alias("x")).select("x.*").where("value IS NOT NULL").distinct().write.parquet(at)
+    stored = df.sparkSession.read.schema("field tinyint, value string").parquet(at)
+    return {f: stored.where(F.col("field") == i).select("value").orderBy(F.lower("value"), "value").limit(min(max(limit, 1), 20_000)) for i, f in enumerate(fields)}
+
+
 #: Values that one ranking keeps: up to here Spark limits each partition's groups before it shuffles them.
 STEP = 1000
 

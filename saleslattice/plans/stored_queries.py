@@ -223,7 +223,9 @@ def _distinct(s, d) -> DataFrame:
     """Lists of values with where they came from."""
     at, fact = rolled(s, d, ("branch_brand", "state_month")), load(s, d)
     found = [(f, *R.distinct_source(fact, at, f)) for f in ("branch", "state", "month", "city")]
-    out = [P.distinct_values(df, f).select(F.lit(f).alias("field"), F.lit(name).alias("source"), "value") for f, df, name in found]
+    of_fact = P.distinct_lists(fact, [f for f, _, name in found if name == "fact"], f"{scratch.folder(s)}/values")
+    lists = [(f, name, of_fact[f] if name == "fact" else P.distinct_values(df, f)) for f, df, name in found]
+    out = [df.select(F.lit(f).alias("field"), F.lit(name).alias("source"), "value") for f, name, df in lists]
     return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
 
 

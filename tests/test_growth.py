@@ -10,6 +10,7 @@ from saleslattice.operators import grid as G
 from saleslattice.operators import lookups as L
 from saleslattice.operators import maintain as M
 from saleslattice.operators import rollups as R
+from saleslattice.plans import pivot as P
 from saleslattice.plans.catalog import QUERIES
 from saleslattice.plans.queries import _masters
 from saleslattice.sources import facts
@@ -103,3 +104,14 @@ def test_keys_are_taken_of_names(shuffled, sf, make):
     """Keys are columns before a sort compares them, and the fact is joined once, by the name as it is."""
     keys = joins(make(shuffled, sf))
     assert not any("regexp_replace" in k for k in keys) and sum("[to_party_name" in k for k in keys) == 1
+
+
+def test_lists_of_the_fact_read_it_once(spark, sf, tmp_path, monkeypatch):
+    """Values of several fields of the fact come from one pass over it."""
+    seen, real = [], P.distinct_values
+    monkeypatch.setattr(P, "distinct_values", lambda df, f, *a: seen.append((f, "lineitem" in plan(df))) or real(df, f, *a))
+    got = QUERIES["distinct_from_rollup"](spark, sf)
+    assert "lineitem" not in plan(got) and seen == [("branch", False), ("state", False)]
+    df = spark.createDataFrame([(" b", None), ("B", "x"), ("", "x"), ("a", " ")], "city string, branch string")
+    lists = P.distinct_lists(df, ["city", "branch"], str(tmp_path / "v"))
+    assert {f: [r.value for r in x.collect()] for f, x in lists.items()} == {f: [r.value for r in real(df, f).collect()] for f in lists}
