@@ -24,10 +24,17 @@ def first_non_blank(*cols: Column) -> Column:
     return F.coalesce(*(null_if_blank(c) for c in cols))
 
 
+def _fy_label(start: Column) -> Column:
+    return F.concat(start.cast("string"), F.lit("-"), F.lpad(((start + 1) % 100).cast("string"), 2, "0"))
+
+
+def _fy_start_of_date(c: Column) -> Column:
+    return F.year(F.add_months(c, -3))
+
+
 def fy_of_date(c: Column) -> Column:
     """Indian fiscal year (April to March) as YYYY-YY."""
-    y = F.year(c) - F.when(F.month(c) < 4, 1).otherwise(0)
-    return F.when(c.isNotNull(), F.concat(y.cast("string"), F.lit("-"), F.lpad(((y + 1) % 100).cast("string"), 2, "0")))
+    return _fy_label(_fy_start_of_date(c))
 
 
 def month_label(c: Column) -> Column:
@@ -38,17 +45,18 @@ def mmm_label(c: Column) -> Column:
     return F.upper(F.date_format(c, "MMM"))
 
 
-def _fy_of_month_text(month: Column) -> Column:
-    ok = month.rlike(r"^\s*[A-Za-z]{3,9}\s*[-/]\s*\d{2,4}\s*$")
-    at = F.array_position(F.array(*map(F.lit, MONTHS)), F.upper(F.substring(F.trim(month), 1, 3)))
-    digits = F.regexp_extract(month, r"(\d+)\s*$", 1)
-    year = F.when(F.length(digits) == 4, F.expr("0") + digits.try_cast("int")).otherwise(2000 + F.right(digits, F.lit(2)).try_cast("int"))
-    y = year - F.when(at < 4, 1).otherwise(0)
-    return F.when(ok & (at > 0), F.concat(y.cast("string"), F.lit("-"), F.lpad(((y + 1) % 100).cast("string"), 2, "0")))
+def _fy_start_of_month_text(month: Column) -> Column:
+    """First year of a label's fiscal year; null for labels of another form."""
+    four, two = (F.regexp_extract(month, rf"^\s*[A-Za-z]{{3,9}}\s*[-/]\s*{d}\s*$", 1).try_cast("int") for d in (r"(\d{4})", r"\d?(\d{2})"))
+    late = F.create_map(*(F.lit(x) for i, m in enumerate(MONTHS) for x in (m, int(i < 3))))
+    return F.coalesce(four, two + 2000) - F.try_element_at(late, F.upper(F.substring(F.trim(month), 1, 3)))
 
 
 def fy_axis() -> Column:
-    return F.coalesce(null_if_blank(F.col("fy")), fy_of_date(F.col("bill_date")), _fy_of_month_text(F.col("month")))
+    """Each part is named as few times as can be: pivots compile it into one method with all else that they do to a row, and the JVM
+    does not compile methods of over 8000 bytes further."""
+    start = F.coalesce(_fy_start_of_date(F.col("bill_date")), _fy_start_of_month_text(F.col("month")))
+    return F.coalesce(null_if_blank(F.col("fy")), _fy_label(start))
 
 
 def month_axis() -> Column:

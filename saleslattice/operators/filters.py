@@ -15,8 +15,8 @@ PARTY = ("to_party_name",)
 
 
 def not_total_pivot() -> Column:
-    b = F.lower(F.trim(F.coalesce(F.col("branch"), F.lit(""))))
-    return ~(b.isin("total", "grand total") | b.contains("grand total") | b.contains("grandtotal"))
+    """One pattern, so that branch, which may be long to make, is made once a row."""
+    return ~F.lower(F.trim(F.coalesce(F.col("branch"), F.lit("")))).rlike(r"\Atotal\z|grand ?total")
 
 
 def is_total_grid(cols: list[str]) -> Column:

@@ -115,3 +115,19 @@ def test_lists_of_the_fact_read_it_once(spark, sf, tmp_path, monkeypatch):
     df = spark.createDataFrame([(" b", None), ("B", "x"), ("", "x"), ("a", " ")], "city string, branch string")
     lists = P.distinct_lists(df, ["city", "branch"], str(tmp_path / "v"))
     assert {f: [r.value for r in x.collect()] for f, x in lists.items()} == {f: [r.value for r in real(df, f).collect()] for f in lists}
+
+
+@pytest.mark.parametrize("broadcast", ["-1", "100000000"])
+@pytest.mark.parametrize("name", ["pivot_subtotals", "pivot_totals_onepass", "pivot_row_totals", "pivot_column_totals", "pivot_grand_total", "pivot_groupby"])
+def test_pivots_are_compiled(shuffled, sf, name, broadcast):
+    """No method that Spark generates is over 8000 bytes, which the JVM would interpret for each row."""
+    shuffled.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    shuffled.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        physical = QUERIES[name](shuffled, sf)._jdf.queryExecution().executedPlan()
+    finally:
+        shuffled.conf.unset("spark.sql.adaptive.enabled")
+    debug = getattr(getattr(shuffled._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+    stages = debug.codegenStringSeq(physical)
+    sizes = [stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())]
+    assert sizes and 0 < max(sizes) < 8000

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from saleslattice.functions import exprs as X
+from saleslattice.operators import filters as W
 from saleslattice.operators import rollups as R
 from saleslattice.plans import body as B
 from saleslattice.plans import pivot as P
@@ -109,3 +110,18 @@ def test_shared_folder_is_named(spark):
 
     with pytest.raises(ValueError):
         scratch.folder(Session())
+
+
+def test_fy_axis_of_month_texts(spark):
+    """The first of fy, bill_date and a month's label that tells a year; labels of another form tell none."""
+    cases = {"Apr-01": "2001-02", "mar-2000": "1999-00", " Jan / 99 ": "2098-99", "Sept-125": "2025-26", "April/0024": "24-25", "Foo-12": None, "\tApr-25": None, "Apr-25\n": "2025-26", "Ma-12": None, "Mar-12345": None, "Mar_20": None, "Mar-1": None, "": None, None: None}
+    rows = [(i, None, None, m) for i, m in enumerate(cases)] + [(90, " ", "2000-03-31", "Apr-01"), (91, "own", "2000-03-31", None), (92, None, "2000-04-01", None), (93, None, "1999-12-31", "x"), (94, None, "0001-01-01", None), (95, None, "9999-12-31", None)]
+    df = spark.createDataFrame(rows, "i int, fy string, d string, month string").withColumn("bill_date", F.col("d").cast("date"))
+    got = [r.v for r in df.select("i", X.fy_axis().alias("v")).orderBy("i").collect()]
+    assert got == [*cases.values(), "1999-00", "own", "2000-01", "1999-00", "0-01", "9999-00"]
+
+
+def test_total_rows_of_pivots(spark):
+    branches = ["total", " Total ", "GRAND TOTAL", "xgrand totalx", "GrandTotal", "totals", "grand  total", "total\n", "a\nGrand Total", "", None]
+    df = spark.createDataFrame(list(enumerate(branches)), "i int, branch string")
+    assert [r.i for r in df.where(W.not_total_pivot()).orderBy("i").collect()] == [5, 6, 7, 9, 10]
