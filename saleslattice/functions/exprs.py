@@ -52,11 +52,12 @@ def _fy_start_of_month_text(month: Column) -> Column:
     return F.coalesce(four, two + 2000) - F.try_element_at(late, F.upper(F.substring(F.trim(month), 1, 3)))
 
 
+def _fy_start_axis() -> Column:
+    return F.coalesce(_fy_start_of_date(F.col("bill_date")), _fy_start_of_month_text(F.col("month")))
+
+
 def fy_axis() -> Column:
-    """Each part is named as few times as can be: pivots compile it into one method with all else that they do to a row, and the JVM
-    does not compile methods of over 8000 bytes further."""
-    start = F.coalesce(_fy_start_of_date(F.col("bill_date")), _fy_start_of_month_text(F.col("month")))
-    return F.coalesce(null_if_blank(F.col("fy")), _fy_label(start))
+    return F.coalesce(null_if_blank(F.col("fy")), _fy_label(_fy_start_axis()))
 
 
 def month_axis() -> Column:
@@ -82,6 +83,19 @@ def axis_label(field: str) -> Column:
     return F.coalesce(dim_axis(field).cast("string"), F.lit("(blank)"))
 
 
+def axis_parts(field: str) -> list[Column]:
+    """What tells axis_label() of a row, for label_of_parts(). Rows are grouped by it, so that a label that takes long to make is made
+    once a group. Pivots compile all that they do to a row into one method, and the JVM only interprets methods of over 8000 bytes."""
+    if field != "fy":
+        return [axis_label(field)]
+    text = null_if_blank(F.col("fy"))
+    return [text, F.when(text.isNull(), _fy_start_axis())]
+
+
+def label_of_parts(field: str, parts: list[Column]) -> Column:
+    return F.coalesce(parts[0], _fy_label(parts[1]), F.lit("(blank)")) if field == "fy" else parts[0]
+
+
 def goods_type(c: Column) -> Column:
     head = F.regexp_extract(F.upper(F.regexp_replace(F.trim(c), "^['\"]+", "")), "^([A-Z]+)", 1)
     known = F.when(head.isin("MID", "MIX", "SRC"), head).when(head.isin("ACS", "ACC"), "ACC").otherwise("Fresh")

@@ -71,11 +71,14 @@ def pivot_groupby(df: DataFrame, cfg: dict) -> DataFrame:
 
 def pivot(df: DataFrame, cfg: dict) -> DataFrame:
     """kind (cell, row_total, column_total, grand_total, subtotal, subtotal_total), depth, row_labels, col_labels and
-    metrics. Blank axes are labelled before grouping, so that null only means "all". Rows are first aggregated by all axes;
-    only these groups are expanded to the grouping sets."""
+    metrics. Blank axes are labelled before grouping, so that null only means "all". Rows are first aggregated by what tells
+    all axes' labels; only these groups are labelled and expanded to the grouping sets."""
     rows, cols = [f"r_{c}" for c in cfg["rows"]], [f"c_{c}" for c in cfg["columns"]]
     base = df.where(where(cfg["filters"], casefold=cfg["casefold"]))
-    fine = base.groupBy(*(X.axis_label(c).alias(f"r_{c}") for c in cfg["rows"]), *(X.axis_label(c).alias(f"c_{c}") for c in cfg["columns"])).agg(*(x.alias(n) for n, x in partials(cfg["values"]).items()))
+    axes = dict(zip(rows + cols, cfg["rows"] + cfg["columns"]))
+    parts = {c: [x.alias(f"_{i}_{c}") for i, x in enumerate(X.axis_parts(f))] for c, f in axes.items()}
+    fine = base.groupBy(*sum(parts.values(), [])).agg(*(x.alias(n) for n, x in partials(cfg["values"]).items()))
+    fine = fine.withColumns({c: X.label_of_parts(f, [F.col(f"_{i}_{c}") for i in range(len(parts[c]))]) for c, f in axes.items()})
     sets = {tuple(rows + cols), tuple(rows), tuple(cols), ()}
     for s in cfg["subtotals"]:
         d = cfg["rows"].index(s) + 1

@@ -131,3 +131,9 @@ def test_pivots_are_compiled(shuffled, sf, name, broadcast):
     stages = debug.codegenStringSeq(physical)
     sizes = [stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())]
     assert sizes and 0 < max(sizes) < 8000
+
+
+def test_fy_labels_are_made_of_groups(spark, sf):
+    """Rows are grouped by what tells the fiscal year; its label is put together above the first aggregate."""
+    text = plan(QUERIES["pivot_subtotals"](spark, sf))
+    assert "lpad" not in text[text.index("partial_count(1)") :] and "add_months" in text
