@@ -14,7 +14,7 @@ from saleslattice.plans import pivot as P
 from saleslattice.plans.catalog import QUERIES
 from saleslattice.plans.queries import _masters
 from saleslattice.sources import facts
-from saleslattice.sources.fixtures import load
+from saleslattice.sources.fixtures import TABLES, load
 
 
 @pytest.fixture
@@ -137,3 +137,30 @@ def test_fy_labels_are_made_of_groups(spark, sf):
     """Rows are grouped by what tells the fiscal year; its label is put together above the first aggregate."""
     text = plan(QUERIES["pivot_subtotals"](spark, sf))
     assert "lpad" not in text[text.index("partial_count(1)") :] and "add_months" in text
+
+
+@pytest.fixture(scope="module")
+def large_keys(spark, sf, tmp_path_factory):
+    """The tables with order keys as on 360 times sf0.1, whose ids are over 63 bits."""
+    top, up = tmp_path_factory.mktemp("keys"), {"order": 53_850_000, "cust": 5_385_000, "part": 7_180_000, "supp": 359_000}
+    for t in TABLES:
+        df = spark.read.parquet(f"{sf}/{t}.parquet")
+        df.withColumns({c: F.col(c) + n for c in df.columns for k, n in up.items() if c.endswith(f"_{k}key")}).write.parquet(f"{top}/{t}.parquet")
+    return str(top)
+
+
+def test_ids_beyond_bigint(spark, sf, large_keys, tmp_path):
+    """Ids are exact where they are larger than a bigint, and bigint where they are not."""
+    own = ((F.col("l_orderkey").cast("decimal(38,0)") * 10 + F.col("l_linenumber")) * 100000 + F.col("l_partkey")) * 10000 + F.col("l_suppkey")
+    for d, kind in ((large_keys, "decimal(38,0)"), (sf, "bigint")):
+        lines = spark.read.parquet(f"{d}/lineitem.parquet")
+        got = load(spark, d)
+        assert got.schema["id"].dataType.simpleString() == kind
+        assert sorted(int(r[0]) for r in got.select("id").collect()) == sorted(int(r[0]) * 100 + int(r[1]) for r in lines.select(own, "l_quantity").collect())
+    facts.sink_period_report(facts.export_period(load(spark, large_keys), "1999-00"), str(tmp_path / "p"))
+    assert spark.read.text(str(tmp_path / "p")).count() == 1 + load(spark, sf).where("fy = '1999-00'").count()
+
+
+@pytest.mark.parametrize("name", ["enrich_fact", "load_sharded_csv", "delete_range", "ingest_stream", "sink_sharded_csv", "sink_fact", "approx_count", "scan_fact", "page_offset", "export_rejects"])
+def test_large_keys(spark, large_keys, name):
+    assert QUERIES[name](spark, large_keys).collect()
