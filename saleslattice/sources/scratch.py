@@ -25,3 +25,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or folder(df.sparkSession))
     return df.checkpoint()
+
+
+def released(spark: SparkSession) -> None:
+    """Have Spark's cleaner remove the shuffle files that no DataFrame in use refers to: it learns of them when the driver's JVM
+    collects its garbage, which may be long after the disks are full. Spark holds on to its last job, so that is a small one."""
+    spark.range(1).count()
+    spark.sparkContext._jvm.System.gc()

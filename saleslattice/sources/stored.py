@@ -79,6 +79,11 @@ def publish(spark: SparkSession, path: str, version: str) -> None:
     spark.createDataFrame([(n + 1, version)], "n long, version string").coalesce(1).write.mode("append").parquet(f"{path}/pointer")
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    fs, at = hadoop(spark, path)
+    fs.delete(at, True)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     fs, at = hadoop(spark, path)
     return fs.exists(at)

@@ -13,7 +13,7 @@ from saleslattice.operators import rollups as R
 from saleslattice.plans import pivot as P
 from saleslattice.plans.catalog import QUERIES
 from saleslattice.plans.queries import _masters
-from saleslattice.sources import facts
+from saleslattice.sources import facts, fixtures
 from saleslattice.sources.fixtures import TABLES, load
 
 
@@ -164,3 +164,52 @@ def test_ids_beyond_bigint(spark, sf, large_keys, tmp_path):
 @pytest.mark.parametrize("name", ["enrich_fact", "load_sharded_csv", "delete_range", "ingest_stream", "sink_sharded_csv", "sink_fact", "approx_count", "scan_fact", "page_offset", "export_rejects"])
 def test_large_keys(spark, large_keys, name):
     assert QUERIES[name](spark, large_keys).collect()
+
+
+def below(text, node):
+    """The lines of a plan under the first node that has a text."""
+    lines = text.splitlines()
+    i = next(i for i, line in enumerate(lines) if node in line)
+    deep = lines[i].index(node)
+    end = next((j for j in range(i + 1, len(lines)) if len(lines[j]) - len(lines[j].lstrip(" :+-|")) <= deep - 2), len(lines))
+    return "\n".join(lines[i:end])
+
+
+def test_lines_are_shuffled_twice(shuffled, sf, monkeypatch):
+    """Orders meet their customers before lines do; the rows are those of the view as written."""
+    got = load(shuffled, sf)
+    assert "l_orderkey" not in below(plan(got), "Exchange hashpartitioning(o_custkey")
+    monkeypatch.setattr(fixtures, "JOINS", ("", ""))
+    want = load(shuffled, sf)
+    assert "l_orderkey" in below(plan(want), "Exchange hashpartitioning(o_custkey") and got.schema == want.schema
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
+def test_rows_without_repeats_stay(spark, sf):
+    """Rows are shuffled only where another has their hash."""
+    assert "Exchange" not in plan(R.rollup(load(spark, sf), "all_dims"))
+
+
+@pytest.mark.parametrize("most", [0, 2, 2_000_000])
+@pytest.mark.parametrize("repeats", [0, 1, 90])
+def test_groups_of_one_row(spark, monkeypatch, repeats, most):
+    """Totals are those of a plain aggregate, whichever rows are shuffled: nulls, negative zeros, columns without a hash, sums of all kinds."""
+    monkeypatch.setattr(R, "MOST", most)
+    rows = spark.sql("SELECT IF(id % 10 = 0, NULL, CAST(id AS STRING)) AS s, IF(id % 10 = 0, CAST(id AS STRING), NULL) AS t, array(id) AS a, IF(id % 2 = 0, -0.0D, 0.0D) AS z, CAST(id AS DECIMAL(15,4)) AS d, id / 4 AS x, CAST(id AS INT) AS n, 1L AS k FROM range(100)")
+    df = rows.unionByName(rows.limit(repeats).withColumn("z", -F.col("z"))).repartition(3)
+    sums, by = {"d": "sum_d", "x": "sum_x", "n": "sum_n"}, ["s", "t", "a", "z"]
+    for count in (None, "k"):
+        got, want = R.grouped(df, by, sums, count), R._totals(df, by, sums, count)
+        assert [(f.name, f.dataType) for f in got.schema] == [(f.name, f.dataType) for f in want.schema]
+        assert sorted(map(str, got.withColumn("z", F.col("z") + 0.0).collect())) == sorted(map(str, want.withColumn("z", F.col("z") + 0.0).collect()))
+
+
+def test_stored_rows_are_compiled(shuffled, sf):
+    """The method of a sales line that is stored is under 8000 bytes, which the JVM would interpret."""
+    shuffled.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        physical = load(shuffled, sf).drop("id")._jdf.queryExecution().executedPlan()
+    finally:
+        shuffled.conf.unset("spark.sql.adaptive.enabled")
+    stages = getattr(getattr(shuffled._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$").codegenStringSeq(physical)
+    assert 0 < max(stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())) < 8000
