@@ -1,6 +1,7 @@
 """Shapes of plans and files on which the growth of queries depends."""
 
 import glob
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -204,6 +205,11 @@ def test_groups_of_one_row(spark, monkeypatch, repeats, most):
         assert sorted(map(str, got.withColumn("z", F.col("z") + 0.0).collect())) == sorted(map(str, want.withColumn("z", F.col("z") + 0.0).collect()))
 
 
+def test_refresh_leaves_only_rollups(spark, sf, tmp_path):
+    at = R.refresh(load(spark, sf), str(tmp_path / "r"), ("all_dims", "branch_brand"))
+    assert sorted(p.name for p in Path(at).iterdir()) == ["all_dims", "base", "branch_brand", "names"]
+
+
 def test_stored_rows_are_compiled(shuffled, sf):
     """The method of a sales line that is stored is under 8000 bytes, which the JVM would interpret."""
     shuffled.conf.set("spark.sql.adaptive.enabled", "false")
