@@ -166,19 +166,21 @@ add("refresh_rollups", _nine, _nine_sql(), "fx_sales", _AGENTS)
 
 def _kept(fact: DataFrame, *columns: str) -> DataFrame:
     """Columns of the fact, stored: a check reads them several times."""
-    fact.select(*columns).write.parquet(at := scratch.folder(fact.sparkSession))
+    fact.select(*columns).write.option("compression", "zstd").parquet(at := scratch.folder(fact.sparkSession))
+    scratch.released(fact.sparkSession)
     return fact.sparkSession.read.parquet(at)
 
 
 def _checked(s, d) -> DataFrame:
-    """The check of no rollup, of one without the last year, and of a whole one."""
-    fact = load(s, d).withColumn("fy", X.fy_axis())
-    years = _kept(fact, "fy")
-    last = years.agg(F.max("fy")).first()[0]
-    out = R.check_fresh(years, scratch.folder(s)).withColumn("kind", F.lit("none"))
+    """The check of no rollup, of one without the last year, and of a whole one. Each rollup goes after its check."""
+    made = load(s, d).withColumn("fy", X.fy_axis())
+    fact = _kept(made, *(c for c in made.columns if c != "id"))
+    last = fact.agg(F.max("fy")).first()[0]
+    out = R.check_fresh(fact, scratch.folder(s)).withColumn("kind", F.lit("none"))
     for kind, df in (("old", fact.where(F.col("fy") < last)), ("whole", fact)):
-        R.refresh(df, at := scratch.folder(s), ("all_dims",))
-        out = out.unionByName(R.check_fresh(years, at).withColumn("kind", F.lit(kind)))
+        R.refresh(df, at := scratch.folder(s), ("all_dims",), kept=True)
+        out = out.unionByName(scratch.checkpointed(R.check_fresh(fact, at).withColumn("kind", F.lit(kind))))
+        stored.remove(s, at)
     return out
 
 

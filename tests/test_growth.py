@@ -14,7 +14,7 @@ from saleslattice.operators import rollups as R
 from saleslattice.plans import pivot as P
 from saleslattice.plans.catalog import QUERIES
 from saleslattice.plans.queries import _masters
-from saleslattice.sources import facts, fixtures
+from saleslattice.sources import facts, fixtures, stored
 from saleslattice.sources.fixtures import TABLES, load
 
 
@@ -210,6 +210,12 @@ def test_refresh_leaves_only_rollups(spark, sf, tmp_path):
     assert sorted(p.name for p in Path(at).iterdir()) == ["all_dims", "base", "branch_brand", "names"]
 
 
+def test_checked_rollups_are_removed(spark, sf, monkeypatch):
+    made, real = [], R.refresh
+    monkeypatch.setattr(R, "refresh", lambda *a, **k: made.append(real(*a, **k)) or made[-1])
+    assert QUERIES["check_rollup_fresh"](spark, sf).count() == 3 and len(made) == 2 and not any(stored.exists(spark, at) for at in made)
+
+
 def test_stored_rows_are_compiled(shuffled, sf):
     """The method of a sales line that is stored is under 8000 bytes, which the JVM would interpret."""
     shuffled.conf.set("spark.sql.adaptive.enabled", "false")
